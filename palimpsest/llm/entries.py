@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash
+from . import decontaminate, mixing, simhash, tokenfile
 from .quality import quality
-from .shared import table
+from .shared import new_path, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_position(mixed)
 
 
+def encoded(docs: DataFrame) -> DataFrame:
+    """Writes the ids of ``docs`` to files in the shared folder and reads them back."""
+    spark = docs.sparkSession
+    path = new_path(spark, "token-ids")
+    tokenfile.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokenfile.crc32s(spark, path)
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"
@@ -37,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op3_mixing": op3_mixing,
+        "op4_token_output": op4_token_output,
         "op5_quality_rules": op5_quality_rules,
         "op10_decontamination": op10_decontamination,
     }
