@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, tokenfile
+from . import decontaminate, mixing, simhash, substrings, tokenfile
 from .quality import quality
 from .shared import new_path, table
 
@@ -41,6 +41,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.repeated(table(spark, sf_dir, "documents")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.hits(docs, table(spark, sf_dir, "benchmark")))
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_token_output": op4_token_output,
         "op5_quality_rules": op5_quality_rules,
+        "op6_substring_dedup": op6_substring_dedup,
         "op10_decontamination": op10_decontamination,
     }
 
