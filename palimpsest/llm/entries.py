@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, substrings, tokenfile
+from . import decontaminate, html, lengths, mixing, ngrams, simhash, substrings, tokenfile
 from .quality import quality
 from .shared import new_path, table
 
@@ -45,6 +45,21 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.repeated(table(spark, sf_dir, "documents")))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length histogram of each language, and of all (lang "*"), with its suffix sums."""
+    counts = lengths.token_counts(table(spark, sf_dir, "documents").select("lang", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    both = counts.select(F.explode(F.array("lang", F.lit("*"))).alias("lang"), "n_tokens")
+    return lengths.histogram(both, ["lang"])
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.scores(table(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.hits(docs, table(spark, sf_dir, "benchmark")))
@@ -57,6 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_output": op4_token_output,
         "op5_quality_rules": op5_quality_rules,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_token_counts": op7_token_counts,
+        "op8_lm_scoring": op8_lm_scoring,
+        "op9_html_extraction": op9_html_extraction,
         "op10_decontamination": op10_decontamination,
     }
 
