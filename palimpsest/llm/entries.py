@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, lengths, mixing, ngrams, simhash, substrings, tokenfile
+from . import decontaminate, html, lengths, mixing, ngrams, pii, simhash, substrings, tokenfile
 from .quality import quality
 from .shared import new_path, table
 
@@ -18,6 +18,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("palimpsest.pii.key", "a key for tests only")
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_replaced")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "positions", "_sort")
     return mixing.by_position(mixed)
@@ -68,6 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op2_pii": op2_pii,
         "op3_mixing": op3_mixing,
         "op4_token_output": op4_token_output,
         "op5_quality_rules": op5_quality_rules,
