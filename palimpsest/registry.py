@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import ledger
+from .plans import ledger, translation
 
-CATALOGS = [ledger.catalog]
+CATALOGS = [ledger.catalog, translation.catalog]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
