@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import ledger, translation
+from .plans import geometry, layout, ledger, translation
 
-CATALOGS = [ledger.catalog, translation.catalog]
+CATALOGS = [ledger.catalog, translation.catalog, layout.catalog, geometry.catalog]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -79,6 +79,25 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("doc_id", F.floor(ln / 40).cast("int").alias("page_num"), ln.alias("block_index"), F.col("t").alias("text"), "lang", *[v.cast("double").alias(k) for k, v in box.items()])
 
 
+def layout_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of text in two raw blocks a page, close enough to be joined or cut by the layout rules."""
+    b, n = blocks(spark, d), F.col("block_index")
+    x0 = (72 + 250 * (n % 2) + F.when(n % 5 == 0, 9).otherwise(0)).cast("double")
+    y0 = 20.0 + 6.5 * (n % 40)
+    font = F.when(n % 7 == 0, 11.0).otherwise(10.0)
+    return b.select("doc_id", "page_num", (n % 2).alias("raw"), n.alias("line"), "text", x0.alias("x0"), y0.alias("y0"), (x0 + F.least(F.lit(220), 4 * F.length("text"))).alias("x1"), (y0 + 10.0).alias("y1"), font.alias("font_size"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"))
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    """The words of each line as spans, with fonts, flags and colours."""
+    words = layout_lines(spark, d).select("doc_id", "page_num", "raw", "line", "x0", "y0", "y1", "font_size", F.posexplode(F.split("text", " ")).alias("span", "text"))
+    x0, w = F.col("x0") + 30.0 * F.col("span"), 4.0 * F.length("text")
+    return words.select(
+        "doc_id", "page_num", "raw", "line", "span", "text", x0.alias("x0"), "y0", (x0 + w).alias("x1"), "y1", (F.col("font_size") + F.col("span") % 3).alias("font_size"),
+        F.when(F.col("span") % 4 == 0, "Serif-Bold").otherwise("Serif").alias("font"), F.when(F.col("span") % 5 == 0, 16).otherwise(0).alias("flags"), F.when(F.col("span") % 3 == 0, 0x336699).otherwise(0x111111).alias("color"),
+    )
+
+
 def quality_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Blocks with a mock translation that is damaged in some blocks."""
     t = F.col("text")
@@ -135,6 +154,10 @@ FROM task_pages p JOIN tasks t ON t.id = p.task_id JOIN users u ON u.id = t.user
        CAST(72+250*(ln%2)+least(220,4*length(t)) AS DOUBLE) AS x1, CAST(30+18*(ln%40) AS DOUBLE) AS y1,
        CAST(CASE WHEN length(t)<60 THEN 14 ELSE 10 END AS DOUBLE) AS font_size
 FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM documents)""",
+    "layout_lines": """SELECT doc_id, page_num, block_index % 2 AS raw, block_index AS line, text, x0, y0, x0 + least(220, 4 * length(text)) AS x1, y0 + 10 AS y1, font_size, 612::DOUBLE AS page_width, 792::DOUBLE AS page_height FROM
+ (SELECT doc_id, page_num, block_index, text, (72 + 250 * (block_index % 2) + CASE WHEN block_index % 5 = 0 THEN 9 ELSE 0 END)::DOUBLE AS x0, 20 + 6.5::DOUBLE * (block_index % 40) AS y0, CASE WHEN block_index % 7 = 0 THEN 11 ELSE 10 END::DOUBLE AS font_size FROM blocks)""",
+    "spans": """SELECT doc_id, page_num, raw, line, span, text, x0 + 30 * span AS x0, y0, x0 + 30 * span + 4 * length(text) AS x1, y1, font_size + span % 3 AS font_size, CASE WHEN span % 4 = 0 THEN 'Serif-Bold' ELSE 'Serif' END AS font,
+ CASE WHEN span % 5 = 0 THEN 16 ELSE 0 END AS flags, CASE WHEN span % 3 = 0 THEN 3368601 ELSE 1118481 END AS color FROM (SELECT * EXCLUDE (text), unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS span FROM layout_lines)""",
     "quality_pairs": """SELECT *, CASE block_index % 7 WHEN 0 THEN '' WHEN 1 THEN concat('[zh: ', text, ' ??????]') WHEN 2 THEN concat('[zh: ', regexp_replace(text, '[0-9]', '', 'g'), ']')
 ELSE concat('[zh: ', text, ']') END AS translated FROM blocks""",
     "quota_requests": """SELECT event_id, ts, user_id, concat(CAST(user_id AS VARCHAR), ':', CAST(k % 10 AS VARCHAR)) AS task_id, k % 7 + 1 AS page_number
@@ -146,7 +169,7 @@ FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events
        CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END AS period_start FROM events
 UNION ALL SELECT event_id, ts, user_id, 1, 'transaction.completed', NULL, 'active', NULL FROM events WHERE event_id % 10 = 0""",
 }
-NEEDS = {"task_pages": "page_requests", "usage_page_events": "page_requests task_pages tasks users", "quality_pairs": "blocks"}
+NEEDS = {"task_pages": "page_requests", "usage_page_events": "page_requests task_pages tasks users", "quality_pairs": "blocks", "layout_lines": "blocks", "spans": "blocks layout_lines"}
 
 
 def with_views(names: list[str]) -> str:
