@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import SPACE, let, words
+from .shared import let, words, written
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -104,7 +104,7 @@ def language_profiles(docs: DataFrame) -> tuple[list[str], list[dict]]:
     """
     own = docs.select("lang", words(F.col("text")).alias("w"), class_counts(F.coalesce("text", F.lit(""))).alias("c"))
     n_classes = len(CLASSES) + 1
-    sums = own.groupBy("lang").agg(F.sum(F.size("w").cast("long")).alias("n"), *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n_classes)])
+    sums = written(own.groupBy("lang").agg(F.sum(F.size("w").cast("long")).alias("n"), *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n_classes)]), "language-sums")
     total = sums.agg(F.sum("n")).first()[0] or 0
     large = sums.filter((F.col("n") > 0) & (F.col("n") >= LANG_SHARE * total) & F.col("lang").isNotNull()).collect()
     whole = sums.agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(n_classes)]).first()
