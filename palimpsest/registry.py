@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import geometry, layout, ledger, translation
+from .plans import geometry, layout, ledger, spans, streams, translation
 
-CATALOGS = [ledger.catalog, translation.catalog, layout.catalog, geometry.catalog]
+CATALOGS = [m.catalog for m in (ledger, translation, layout, spans, geometry, streams)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
