@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import geometry, layout, ledger, spans, streams, translation
+from .plans import files, geometry, layout, ledger, spans, streams, translation
 
-CATALOGS = [m.catalog for m in (ledger, translation, layout, spans, geometry, streams)]
+CATALOGS = [m.catalog for m in (ledger, translation, layout, spans, geometry, streams, files)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
