@@ -125,7 +125,7 @@ def language_profiles(docs: DataFrame) -> tuple[list[str], list[dict]]:
         best = [(x["word"], x["n"]) for x in sorted(top, key=lambda x: x["rank"]) if x["lang"] == k] if k is not None else sorted(merged.items(), key=lambda x: (-x[1], x[0]))[:TOP_WORDS]
         chars = [float(r[f"c{i}"] or 0) if r else 0.0 for i in range(n_classes)]
         p = [c / n if n else 0.0 for _, c in best]
-        profiles.append({"profile": k, "classes": [c / (sum(chars) or 1) for c in chars], "common": [w for w, _ in best], "word_shares": [*p, max(0.0, 1 - sum(p))]})
+        profiles.append({"profile": k, "classes": [c / (sum(chars) or 1) for c in chars], "common": [w for w, _ in best], "word_shares": [*p, max(0.0, 1.0 - sum(p))]})
     return sorted(langs), profiles
 
 
