@@ -1,9 +1,9 @@
 """Main text of web pages: blocks classified by their words, and by their neighbours where unsure.
 
 One scan cuts a page into blocks at block-level tags. Pass one decides each block by length, link
-density and density of stop words, and by the element it stands in; blocks too short to tell are
-left open. Pass two gives open blocks the label of the nearest decided block before and after:
-main text if both sides are, else if the only decided side is, or if it is a heading before main text.
+density and density of stop words; blocks in elements that surround an article, or outside the
+article that a page marks, are not main text. Blocks too short to tell are left open. Pass two gives
+them the label of their nearest decided neighbour.
 """
 
 from __future__ import annotations
@@ -147,53 +147,58 @@ def cut(page: str) -> tuple[list[Block], bool]:
 
 
 def first_pass(b: Block, marked: bool) -> bool | None:
-    """Main text or not, or None where the block is too short to tell."""
-    if b.beside:
+    """Main text or not by length, link density and density of stop words; None where they cannot tell."""
+    if b.beside or marked and not b.inside:
         return False
-    if marked and b.inside:
-        return True
     n = len(b.text)
     if b.linked > LINKED * n:
         return False
+    if n < SHORT or b.heading:
+        return None if b.inside or not b.linked else False
     words = b.text.lower().split()
     stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if n < SHORT or b.heading:
-        return None if not b.linked else False
     if stops >= STOPS_HIGH:
         return True if n >= LONG else None
     if stops >= STOPS_LOW:
         return True if n >= 2 * LONG else None
-    return None if marked or n < LONG else False
+    # long without stop words: a list or a table of the page, or of the article
+    return None if b.inside or n < LONG else False
+
+
+def nearest(labels: list[bool | None], able: list[bool]) -> list[tuple[bool, int] | None]:
+    """For each block the last decided block before it and how far back it is."""
+    out, last = [], None
+    for i, (x, ok) in enumerate(zip(labels, able, strict=True)):
+        out.append((last[0], i - last[1]) if last else None)
+        if x is not None and ok:
+            last = (x, i)
+    return out
+
+
+def second_pass(blocks: list[Block], labels: list[bool | None], marked: bool) -> list[bool]:
+    """Undecided blocks take the label of the nearest decided block, before or after; of two as near, main text wins.
+
+    Menus, adverts and the like, and what is outside a marked article, are nobody's neighbours.
+    A heading looks ahead first. With no decided neighbour, blocks inside an article are main text.
+    """
+    able = [not b.beside and (b.inside or not marked) for b in blocks]
+    before = nearest(labels, able)
+    after = nearest(labels[::-1], able[::-1])[::-1]
+    out = []
+    for b, x, p, q in zip(blocks, labels, before, after, strict=True):
+        if x is None:
+            near = [y for y in ((q or p,) if b.heading else (p, q)) if y]
+            x = min(near, key=lambda y: (y[1], not y[0]))[0] if near else b.inside
+        out.append(x)
+    return out
 
 
 def main_text(page: str) -> str:
     """The blocks of the main text, one a line."""
     blocks, marked = cut(page)
-    labels = [first_pass(b, marked) for b in blocks]
-    if marked and not any(x and b.inside for x, b in zip(labels, blocks, strict=True)):
-        marked = False
-        labels = [first_pass(b._replace(inside=False), False) for b in blocks]
-    before, last = [], None
-    for x in labels:
-        before.append(last)
-        last = x if x is not None else last
-    after, last = [], None
-    for x in reversed(labels):
-        after.append(last)
-        last = x if x is not None else last
-    after.reverse()
-    kept = []
-    for b, x, p, q in zip(blocks, labels, before, after, strict=True):
-        if x is None:
-            if marked:
-                x = False  # outside the article that the page marks
-            elif b.heading:
-                x = q is True
-            else:
-                x = (p is not False and q is not False) and (p or q or False)
-        if x:
-            kept.append(b.text)
-    return "\n".join(kept)
+    marked = marked and any(b.inside and not b.beside for b in blocks)
+    labels = second_pass(blocks, [first_pass(b, marked) for b in blocks], marked)
+    return "\n".join(b.text for b, x in zip(blocks, labels, strict=True) if x)
 
 
 def extract(pages: DataFrame) -> DataFrame:
