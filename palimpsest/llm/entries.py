@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, lengths, mixing, ngrams, pii, simhash, substrings, tokenfile
+from . import decontaminate, html, lengths, mixing, ngrams, pii, simhash, sql, substrings, tokenfile
 from .quality import quality
 from .shared import new_path, table
 
@@ -42,7 +42,7 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
@@ -86,4 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_quality_rules": sql.QUALITY,
+        "op6_substring_dedup": sql.SUBSTRINGS,
+        "op10_decontamination": sql.LEAKS,
+    }
