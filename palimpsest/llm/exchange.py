@@ -22,7 +22,7 @@ def deal(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BU
     """(chunk, doc_id, text) rows dealt by doc_id, and the number of buckets; both numbers follow the size of the table."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks, buckets = max(2 * least, -(-chars // chunk_chars)), max(least, -(-chars // bucket_chars))
+    chunks, buckets = max(least, -(-chars // chunk_chars)), max(least, -(-chars // bucket_chars))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", F.col("text").cast("binary").alias("text"))
     return dealt, buckets
 
@@ -78,3 +78,19 @@ def packed_rows(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarra
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     bounds = np.concatenate(([0], cuts, [len(hashes)])) if len(hashes) else np.zeros(1, np.int64)
     return bucket[bounds[:-1]], bounds
+
+
+def pack_sorted(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as differences, each in as few bytes as the largest needs; the first byte says how many."""
+    steps = np.diff(hashes, prepend=np.uint64(0))
+    width = max(1, -(-int(steps[1:].max()).bit_length() // 8)) if len(steps) > 1 else 8
+    first = hashes[:1].astype("<u8").tobytes()
+    return bytes([width]) + first + np.ascontiguousarray(steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    width, first = data[0], np.frombuffer(data, "<u8", min(1, (len(data) - 1) // 8), 1)
+    few = np.frombuffer(data, np.uint8, offset=1 + first.nbytes).reshape(-1, width)
+    steps = np.zeros((len(few), 8), np.uint8)
+    steps[:, :width] = few
+    return np.cumsum(np.concatenate((first, steps.view("<u8").reshape(-1))), dtype=np.uint64)

@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import Hashed, deal, hashed, packed_rows, rolling
+from .exchange import Hashed, deal, hashed, pack_sorted, packed_rows, rolling, unpack_sorted
 
 ORDER = 3
 ALPHA = 0.4
+#: Larger chunks than elsewhere: an n-gram's count travels once a chunk.
+CHUNK_CHARS = 8_000_000
 
 
 def grams(texts: list[bytes | None], order: int) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
@@ -53,23 +55,25 @@ def large(data: bytes) -> np.ndarray:
 
 
 def owned(rows: pa.Table) -> pa.Table:
-    """One bucket's table, and its replies: for each chunk the n-grams that others have too, with how often."""
-    hashes = [np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()]
+    """One bucket's table, and its replies: how often others have each n-gram that a chunk sent, in the order sent."""
+    hashes = [unpack_sorted(h) for h in rows.column("hashes").to_pylist()]
+    sizes = [len(h) for h in hashes]
     counts = np.concatenate([large(c) for c in rows.column("counts").to_pylist()])
-    owner = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(h) for h in hashes])
     every = np.concatenate(hashes)
-    order = np.argsort(every)
-    every, counts, owner = every[order], counts[order], owner[order]
+    order = np.argsort(every, kind="stable")
+    every = every[order]
     starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-    others = np.repeat(np.add.reduceat(counts, starts), np.diff(np.concatenate((starts, [len(every)])))) - counts
-    told = np.flatnonzero(others > 0)
-    told = told[np.argsort(owner[told], kind="stable")]
-    every, others, owner = every[told], others[told], owner[told]
-    cuts = np.flatnonzero(np.diff(owner)) + 1
-    bounds = np.concatenate(([0], cuts, [len(owner)])) if len(owner) else np.zeros(1, np.int64)
-    chunks = np.array(rows.column("chunk").to_pylist(), np.int32)
-    spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-    return pa.table({"chunk": pa.array(chunks[owner[bounds[:-1]]], pa.int32()), "hashes": pa.array([every[x:y].tobytes() for x, y in spans], pa.binary()), "counts": pa.array([small(others[x:y]) for x, y in spans], pa.binary())})
+    sums = np.add.reduceat(counts[order], starts)
+    others = np.empty(len(every), np.int64)
+    others[order] = np.repeat(sums, np.diff(np.concatenate((starts, [len(every)]))))
+    others -= counts
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    masks, told = [], []
+    for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        some = others[x:y] > 0
+        masks.append(np.packbits(some).tobytes())
+        told.append(small(others[x:y][some]))
+    return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "mask": pa.array(masks, pa.binary()), "counts": pa.array(told, pa.binary())})
 
 
 def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
@@ -83,7 +87,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
     * repeated rows are documents of their own: each is part of the others' corpus.
     * empty table: empty result. Only doc_id and text are read.
     """
-    dealt, buckets = deal(docs)
+    dealt, buckets = deal(docs, CHUNK_CHARS)
     total = docs.agg(F.sum(F.regexp_count("text", F.lit("[^\\x09-\\x0D\\x20]+")).cast("long"))).first()[0] or 0
 
     def sending(table: pa.Table) -> pa.Table:
@@ -96,7 +100,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
             {
                 "bucket": pa.array(bucket, pa.int32()),
                 "chunk": pa.array([chunk] * len(bucket), pa.int32()),
-                "hashes": pa.array([distinct[x:y].tobytes() for x, y in spans], pa.binary()),
+                "hashes": pa.array([pack_sorted(distinct[x:y]) for x, y in spans], pa.binary()),
                 "counts": pa.array([small(n[x:y]) for x, y in spans], pa.binary()),
             }
         )
@@ -104,8 +108,11 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         sizes, owner, flat = grams(table.column("text").to_pylist(), order)
         distinct, n = counted(np.concatenate(flat))
-        for h, c in zip(replies.column("hashes").to_pylist(), replies.column("counts").to_pylist(), strict=True):
-            n[np.searchsorted(distinct, np.frombuffer(h, np.uint64))] += large(c)
+        bucket, bounds = packed_rows(distinct, buckets)
+        at = dict(zip(bucket.tolist(), zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), strict=True))
+        for b, mask, c in zip(*(replies.column(k).to_pylist() for k in ("bucket", "mask", "counts")), strict=True):
+            x, y = at[b]
+            n[x:y][np.unpackbits(np.frombuffer(mask, np.uint8), count=y - x).astype(bool)] += large(c)
         starts = np.concatenate(([0], np.cumsum(sizes)))
         words = int(starts[-1])
         rest = []
@@ -129,6 +136,6 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
         mean = [s / z if z else None for s, z in zip(sums.tolist(), sizes, strict=True)]
         return pa.table([table.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_words", "n_seen", "log_score", "mean_log_score"])
 
-    tables = dealt.groupBy("chunk").applyInArrow(sending, "bucket int, chunk int, hashes binary, counts binary").groupBy("bucket").applyInArrow(owned, "chunk int, hashes binary, counts binary")
+    tables = dealt.groupBy("chunk").applyInArrow(sending, "bucket int, chunk int, hashes binary, counts binary").groupBy("bucket").applyInArrow(owned, "chunk int, bucket int, mask binary, counts binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("chunk").cogroup(tables.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, n_words long, n_seen long, log_score double, mean_log_score double")
