@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import Hashed, deal, hashed, packed_rows, rolling
+from .exchange import Hashed, deal, hashed, pack_sorted, packed_rows, rolling, unpack_sorted
 
 WINDOW = 13
 
@@ -57,14 +57,14 @@ def send(chunk: pd.DataFrame, window: int, buckets: int) -> Iterator[tuple[int,
     bucket, bounds = packed_rows(distinct, buckets)
     for b, x, y in zip(bucket.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         docs, index = np.unique(first[x:y], return_inverse=True)
-        yield b, int(chunk["chunk"].iloc[0]), distinct[x:y].tobytes(), sorted_ids[docs].tobytes(), index.astype(np.uint16 if len(docs) < 1 << 16 else np.uint32).tobytes()
+        yield b, int(chunk["chunk"].iloc[0]), pack_sorted(distinct[x:y]), sorted_ids[docs].tobytes(), index.astype(np.uint16 if len(docs) < 1 << 16 else np.uint32).tobytes()
 
 
 def owned(rows: pa.Table) -> pa.Table:
     """Replies of one bucket: for each chunk, its hashes that also start in a smaller document of another chunk."""
     hashes, ids, owner = [], [], []
     for k, (h, d, i) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("hashes", "docs", "first")), strict=True)):
-        hashes.append(np.frombuffer(h, np.uint64))
+        hashes.append(unpack_sorted(h))
         index = np.frombuffer(i, np.uint16 if 2 * len(hashes[-1]) == len(i) else np.uint32)
         ids.append(np.frombuffer(d, np.int64)[index])
         owner.append(np.full(len(index), k, np.int32))
@@ -85,7 +85,7 @@ def owned(rows: pa.Table) -> pa.Table:
     every, owner = every[order], owner[order]
     cuts = np.flatnonzero(np.diff(owner)) + 1
     bounds = np.concatenate(([0], cuts, [len(owner)])) if len(owner) else np.zeros(1, np.int64)
-    return pa.table({"chunk": pa.array(chunks[owner[bounds[:-1]]], pa.int32()), "hashes": pa.array([every[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())})
+    return pa.table({"chunk": pa.array(chunks[owner[bounds[:-1]]], pa.int32()), "hashes": pa.array([pack_sorted(every[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())})
 
 
 def covered(flags: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -121,7 +121,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         distinct, first = firsts(hashes)
         told = np.zeros(len(distinct), bool)
         for h in replies.column("hashes").to_pylist():
-            told[np.searchsorted(distinct, np.frombuffer(h, np.uint64))] = True
+            told[np.searchsorted(distinct, unpack_sorted(h))] = True
         out: dict = {"doc_id": ids[order], "n_words": [], "n_removed": [], "spans": [], "kept_text": []}
         for k, (w, h) in enumerate(zip(words, hashes, strict=True)):
             gone = np.zeros(len(w), bool)
