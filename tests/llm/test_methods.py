@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from palimpsest.llm import entries, exchange, html, mixing, pii, quality, simhash, simple8b, tokens
+from palimpsest.llm import entries, exchange, html, lengths, mixing, ngrams, pii, quality, simhash, simple8b, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -227,3 +227,80 @@ def test_pipeline_with_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300))
+def test_packed_hashes_round_trip(hashes):
+    h = np.sort(np.array(sorted(hashes), np.uint64))
+    assert (exchange.unpack_sorted(exchange.pack_sorted(h)) == h).all()
+
+
+def brute_scores(texts: dict[int, str]) -> dict[int, float]:
+    from collections import Counter
+    from math import log
+
+    words = {k: t.split() for k, t in texts.items()}
+    own = {k: [Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for n in (1, 2, 3)] for k, w in words.items()}
+    every = [sum((o[n] for o in own.values()), Counter()) for n in range(3)]
+    total, out = sum(map(len, words.values())), {}
+    for k, w in words.items():
+        rest = [every[n] - own[k][n] for n in range(3)]
+        out[k] = 0.0
+        for i in range(len(w)):
+            for n in (3, 2, 1):
+                g = tuple(w[max(0, i - n + 1) : i + 1])
+                if len(g) == n and rest[n - 1][g]:
+                    context = rest[n - 2][g[:-1]] if n > 1 else total - len(w)
+                    out[k] += log(rest[n - 1][g] / context) + (3 - n) * log(0.4)
+                    break
+            else:
+                out[k] += log(0.4 / max(total - len(w), 1)) + 2 * log(0.4)
+    return out
+
+
+def test_scores_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choice("the a cat dog sat on mat ran".split()) for _ in range(rng.randrange(0, 40))) for i in range(40)}
+    got = {r["doc_id"]: r["log_score"] for r in ngrams.scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {k: pytest.approx(v) for k, v in brute_scores(texts).items()}
+
+
+def test_histogram_against_brute_force(spark):
+    rng = random.Random(6)
+    counts = [(rng.choice("ab"), int(rng.expovariate(1 / 3000))) for _ in range(500)]
+    hist = lengths.histogram(spark.createDataFrame(counts, "lang string, n_tokens long"), ["lang"])
+    for r in hist.collect():
+        own = [n for k, n in counts if k == r["lang"]]
+        longer = [n for n in own if n >= r["n_tokens"]]
+        assert (r["docs_from"], r["tokens_from"], r["docs_total"], r["tokens_total"]) == (len(longer), sum(longer), len(own), sum(own))
+        assert r["tokens_cut"] == sum(min(n, r["n_tokens"]) for n in own)
+    for r in lengths.at_limits(hist, ["lang"], [100, 3000, 10**6]).collect():
+        own = [n for k, n in counts if k == r["lang"]]
+        assert (r["docs_over"], r["tokens_cut"]) == (sum(n > r["context_limit"] for n in own), sum(min(n, r["context_limit"]) for n in own))
+
+
+def test_tokens_against_the_tokenizer(spark):
+    """op4's rows, read back from its files, against the library on whole texts."""
+    import zlib
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    got = {r["doc_id"]: r for r in entries.op4_token_output(spark, SF).collect()}
+    tokenizer = tokens.Tokenizer.from_file(entries.public_tokenizers.path("word_bpe_49k.json"))
+    at = 0
+    for r in rows:
+        ids = [*tokenizer.encode(r["text"], add_special_tokens=False).ids, 2]
+        found = got[r["doc_id"]]
+        assert (found["start"], found["n_tokens"], found["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_queries_match_their_sql(spark):
+    from tests import compare
+
+    for name, sql in entries.oracle_sql().items():
+        assert compare.differences(entries.queries()[name](spark, SF), sql, SF) == "", name
+
+
+def test_every_operator_is_registered():
+    assert sorted(int(k[2:].split("_")[0]) for k in entries.queries()) == list(range(1, 11))
