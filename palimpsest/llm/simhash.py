@@ -72,17 +72,18 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (long, the fingerprint's bits) for every row of ``docs``; null text has no words."""
-    kind = docs.schema["doc_id"].dataType
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep`` and fp (long, the fingerprint's bits) for every row of ``docs``; null text has no words."""
+    names = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1)
+            texts = b.column("_text")
             fps = np.fromiter((simhash(t.as_py() or b"", shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind.simpleString()}, fp long")
+    rows = docs.select(*names, F.col("text").cast("binary").alias("_text"))
+    return rows.mapInArrow(run, docs.select(*names, F.lit(0).cast("long").alias("fp")).schema)
 
 
 def table_entries(fps: DataFrame) -> DataFrame:
@@ -139,21 +140,27 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(hooked.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "simhash-labels")
 
 
+def classed(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep``, fp, label (a fingerprint that names the class) and component_id for every row of ``docs``."""
+    own = written(fingerprints(docs, shingle, keep), "simhash-fps")
+    least = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    linked = components(links(least.select("fp")))
+    labels = written(least.join(linked, least["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "simhash-classes")
+    tops = written(labels.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-tops")
+    by_fp = written(labels.join(tops, "label").select("fp", "label", "component_id"), "simhash-by-fp")
+    return own.join(by_fp, "fp").select("doc_id", *keep, "fp", "label", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (long) and component_id (least doc_id of its class) for every row of ``docs``.
 
     * null and empty texts have fingerprint 0 and so are copies of each other.
     * a text of fewer words than a shingle counts as one shingle.
-    * a repeated doc_id keeps its rows, each with its own fingerprint; a null doc_id is the least of none.
+    * a repeated doc_id keeps its rows, each with its own fingerprint; component_id is null only in a
+      class whose doc_ids are all null.
     * empty table: empty result. Other columns of ``docs`` are not read.
     """
-    own = written(fingerprints(docs, shingle), "simhash-fps")
-    least = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    linked = components(links(least.select("fp")))
-    classed = written(least.join(linked, least["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "simhash-classes")
-    tops = written(classed.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-tops")
-    by_fp = written(classed.join(tops, "label").select("fp", "component_id"), "simhash-by-fp")
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return classed(docs, shingle).select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -162,6 +169,12 @@ def hex_digits(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the least doc_id of each class; repeated rows of it count once."""
-    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each class: that of the least doc_id, null last; of several texts under it, the one of least hash.
+
+    Rows that repeat the kept row, doc_id and text, count once.
+    """
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")
+    kept = written(classed(hashed, keep=("_hash",)).groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._hash").alias("_of")), "simhash-kept")
+    rows = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
