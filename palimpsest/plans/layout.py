@@ -259,3 +259,21 @@ def p16_attribution_blocks(spark: SparkSession, d: str) -> DataFrame:
     b = L.blocks_from_lines(L.segments(lines.unionByName(credit), RAW, "line"), [*RAW, "segment"], "line")
     b = L.flagged(b.withColumns({"seq": F.element_at("lines", 1)["n"], "page_width": F.lit(612.0), "page_height": F.lit(792.0)}))
     return b.filter(F.col("is_attribution") & (F.col("page_num") == 0)).select("doc_id", "seq", "text", "layout_role")
+
+
+@add()
+def f6_line_text(spark: SparkSession, d: str) -> DataFrame:
+    """Text of every line, put together again from its spans."""
+    return L.lines_from_spans(X.spans(spark, d), [*RAW, "line"], "span").select(*RAW, "line", "text")
+
+
+@add("SELECT doc_id, page_num, line AS seq, CASE WHEN sum(CASE WHEN line % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_num) * 4 >= 40 AND line % 3 <> 0 AND line % 2 = 0 AND trim(text) <> '' AND length(text) > 0 THEN 'dense_reference' WHEN line % 3 = 0 THEN 'dense_reference' ELSE 'body' END AS role FROM layout_lines WHERE length(text) > 0", "layout_lines")
+def a10_dense_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every third line counts as a dense reference of four lines; small lines of full pages follow them."""
+    lines = line_blocks(spark, d).filter(F.length("text") > 0).withColumn("font_size", F.when(F.col("seq") % 2 == 0, 7.0).otherwise(9.0))
+    dense = F.col("seq") % 3 == 0
+    four = F.array_repeat(F.struct(F.lit("x").alias("text"), *[F.col(k) for k in ("x0", "y0", "x1", "y1", "font_size")]), 4)
+    rows = lines.withColumn("lines", F.when(dense, four).otherwise(F.col("lines"))).withColumn("layout_role", F.when(dense, "dense_reference").otherwise("body"))
+    # boxes too small for their area to count
+    rows = rows.withColumns({"x1": F.col("x0") + 1, "y1": F.col("y0") + 1})
+    return L.dense_pages(rows).select("doc_id", "page_num", "seq", F.col("layout_role").alias("role"))

@@ -347,3 +347,21 @@ def translation_quality_by_language(spark: SparkSession, d: str) -> DataFrame:
     """Headline: audited pages of the damaged mock translation, by language."""
     pages = Q.page_report(X.quality_pairs(spark, d), ["doc_id", "page_num", "lang"], numeric=False)
     return pages.groupBy("lang").agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("blocks", "expected_blocks", "warnings")])
+
+
+@add(f"SELECT doc_id, block_index, CASE WHEN rest = '' THEN '' ELSE concat(marker, rest) END AS translated FROM (SELECT *, trim(regexp_replace(substr(ltrim(text), length(marker) + 1), '\\s+', ' ', 'g')) AS rest FROM (SELECT *, {MARKER} AS marker FROM blocks)) WHERE NOT starts_with(rest, marker) OR marker = ''", "blocks")
+def f11_normalized_translation(spark: SparkSession, d: str) -> DataFrame:
+    """A translation that lost its list marker and gained a line break gets the marker back."""
+    source = F.col("text")
+    marker = T.leading_marker(source)
+    rest = F.substr(F.ltrim(source), F.length(marker) + 1)
+    rows = blocks(spark, d).filter((marker == "") | ~F.startswith(T.normalized(rest), marker))
+    return rows.select(*KEYS, R.normalized_translation(F.concat(rest, F.lit("\n")), source).alias("translated"))
+
+
+@add("SELECT doc_id, block_index, contains(text, '%') AND regexp_matches(text, '[0-9] ?%|% ?[0-9]') AS has_percent, block_index % 2 = 0 AS kept FROM blocks WHERE regexp_matches(text, '(^|[^0-9.,<>=%-])[0-9]{1,2} ?%($|[^0-9%])') AND len(regexp_extract_all(text, '%')) = 1 AND NOT regexp_matches(text, '[<>=≤≥-]')", "blocks")
+def u3_number_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Percentages of a block, looked up among the keys of a translation that has them in every second block."""
+    b = blocks(spark, d).filter(F.col("text").rlike("(^|[^0-9.,<>=%-])[0-9]{1,2} ?%($|[^0-9%])") & (F.regexp_count("text", F.lit("%")) == 1) & ~F.col("text").rlike("[<>=≤≥-]"))
+    reply = F.when(F.col("block_index") % 2 == 0, F.col("text")).otherwise("none")
+    return b.select(*KEYS, (F.size(T.numeric_tokens(F.col("text"))) > 0).alias("has_percent"), (F.size(T.lost_numbers(F.col("text"), reply)) == 0).alias("kept"))
