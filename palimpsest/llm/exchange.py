@@ -8,7 +8,10 @@ cogroup. Only packed rows are shuffled, and no group grows with how often one ha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +22,34 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def deal(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text) rows dealt by doc_id, and the number of buckets; both numbers follow the size of the table."""
+    """(chunk, docs) rows dealt by doc_id, and the number of buckets; both numbers follow the size of the table.
+
+    ``docs`` holds the documents (doc_id, text as bytes) that one batch has for a chunk, as a
+    compressed Arrow stream: texts are shuffled for both readers, so they had better be small.
+    """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks, buckets = max(least, -(-chars // chunk_chars)), max(least, -(-chars // bucket_chars))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            chunk = b.column(0).to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            found, starts = np.unique(chunk[order], return_index=True)
+            rows = b.select(["doc_id", "text"])
+            for c, at in zip(found.tolist(), np.split(order, starts[1:]), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(rows.take(pa.array(at)))
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "docs"])
+
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", F.col("text").cast("binary").alias("text"))
-    return dealt, buckets
+    return dealt.mapInArrow(pack, "chunk int, docs binary"), buckets
+
+
+def opened(chunk: pa.Table) -> pa.Table:
+    """(doc_id, text) of all rows of one chunk."""
+    return pa.concat_tables([pa.ipc.open_stream(d.as_py()).read_all() for d in chunk.column("docs")])
 
 
 class Hashed(dict):

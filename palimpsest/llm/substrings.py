@@ -11,12 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import Hashed, deal, hashed, pack_sorted, packed_rows, rolling, unpack_sorted
+from .exchange import Hashed, deal, hashed, opened, pack_sorted, packed_rows, rolling, unpack_sorted
 
 WINDOW = 13
 
@@ -48,16 +47,17 @@ def ranked(doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
-def send(chunk: pd.DataFrame, window: int, buckets: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
-    ids = chunk["doc_id"].to_numpy(np.int64)
+def send(number: int, chunk: pa.Table, window: int, buckets: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+    ids = chunk.column("doc_id").to_numpy()
     order, _ = ranked(ids)
-    _, hashes = window_hashes([chunk["text"].iloc[i] for i in order], window)
+    texts = chunk.column("text").to_pylist()
+    _, hashes = window_hashes([texts[i] for i in order], window)
     distinct, first = firsts(hashes)
     sorted_ids = ids[order]
     bucket, bounds = packed_rows(distinct, buckets)
     for b, x, y in zip(bucket.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         docs, index = np.unique(first[x:y], return_inverse=True)
-        yield b, int(chunk["chunk"].iloc[0]), pack_sorted(distinct[x:y]), sorted_ids[docs].tobytes(), index.astype(np.uint16 if len(docs) < 1 << 16 else np.uint32).tobytes()
+        yield b, number, pack_sorted(distinct[x:y]), sorted_ids[docs].tobytes(), index.astype(np.uint16 if len(docs) < 1 << 16 else np.uint32).tobytes()
 
 
 def owned(rows: pa.Table) -> pa.Table:
@@ -109,11 +109,12 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     dealt, buckets = deal(rows)
 
     def sending(table: pa.Table) -> pa.Table:
-        sent = list(send(table.to_pandas(), window, buckets))
+        sent = list(send(table.column("chunk")[0].as_py(), opened(table), window, buckets))
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*sent) if sent else [[]] * 5, kinds, strict=True)], ["bucket", "chunk", "hashes", "docs", "first"])
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
+        table = opened(table)
         ids = table.column("doc_id").to_numpy()
         order, rank = ranked(ids)
         texts = table.column("text").to_pylist()
