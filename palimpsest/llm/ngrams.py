@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import Hashed, deal, hashed, pack_sorted, packed_rows, rolling, unpack_sorted
+from .exchange import Hashed, deal, hashed, opened, pack_sorted, packed_rows, rolling, unpack_sorted
 
 ORDER = 3
 ALPHA = 0.4
@@ -26,17 +26,19 @@ ALPHA = 0.4
 CHUNK_CHARS = 8_000_000
 
 
-def grams(texts: list[bytes | None], order: int) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+def grams(texts: list[bytes | None], order: int, bits: int) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
     """(words of each text, documents of the n-grams, hashes of the n-grams), the latter two by length of n-gram."""
-    known, sizes, per = Hashed(), [], [[] for _ in range(order)]
+    known, sizes, words = Hashed(), [], []
     for t in texts:
-        h = hashed((t or b"").split(), known)
-        sizes.append(len(h))
-        for n in range(order):
-            # the length is part of the hash, as tables of all lengths share one hash space
-            per[n].append(rolling(h, n + 1) + np.uint64(n))
-    docs = [np.repeat(np.arange(len(sizes)), [len(x) for x in p]) for p in per]
-    return sizes, docs, [np.concatenate(p) if p else np.zeros(0, np.uint64) for p in per]
+        words.append(hashed((t or b"").split(), known))
+        sizes.append(len(words[-1]))
+    drop, flat, docs = np.uint64(64 - bits), [], []
+    for n in range(order):
+        own = [rolling(h, n + 1) for h in words]
+        docs.append(np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own]))
+        # the length is part of the hash, as tables of all lengths share one hash space
+        flat.append((np.concatenate(own) if own else np.zeros(0, np.uint64)) + np.uint64(n) >> drop << drop)
+    return sizes, docs, flat
 
 
 def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,20 +47,21 @@ def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def small(n: np.ndarray) -> bytes:
-    """Counts in as few bytes as the largest needs: the first byte says how many."""
-    kind = next(k for k in (1, 2, 4, 8) if not len(n) or int(n.max()) < 1 << 8 * k)
-    return bytes([kind]) + n.astype(f"<u{kind}").tobytes()
+    """Counts as bytes; those of 255 and more follow in eight bytes each. Nearly all are 1, which compresses well."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<u8").tobytes()
 
 
-def large(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+def large(data: bytes, count: int) -> np.ndarray:
+    n = np.frombuffer(data, np.uint8, count).astype(np.int64)
+    n[n == 255] = np.frombuffer(data, "<u8", offset=count)
+    return n
 
 
 def owned(rows: pa.Table) -> pa.Table:
     """One bucket's table, and its replies: how often others have each n-gram that a chunk sent, in the order sent."""
     hashes = [unpack_sorted(h) for h in rows.column("hashes").to_pylist()]
     sizes = [len(h) for h in hashes]
-    counts = np.concatenate([large(c) for c in rows.column("counts").to_pylist()])
+    counts = np.concatenate([large(c, n) for c, n in zip(rows.column("counts").to_pylist(), sizes, strict=True)])
     every = np.concatenate(hashes)
     order = np.argsort(every, kind="stable")
     every = every[order]
@@ -89,9 +92,11 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
     """
     dealt, buckets = deal(docs, CHUNK_CHARS)
     total = docs.agg(F.sum(F.regexp_count("text", F.lit("[^\\x09-\\x0D\\x20]+")).cast("long"))).first()[0] or 0
+    # so many bits that a lookup meets another n-gram's count once in 2**28 at most; 64 where the corpus is large
+    bits = min(64, max(56, total.bit_length() + 28))
 
     def sending(table: pa.Table) -> pa.Table:
-        _, _, flat = grams(table.column("text").to_pylist(), order)
+        _, _, flat = grams(opened(table).column("text").to_pylist(), order, bits)
         distinct, n = counted(np.concatenate(flat))
         bucket, bounds = packed_rows(distinct, buckets)
         spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
@@ -100,19 +105,21 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
             {
                 "bucket": pa.array(bucket, pa.int32()),
                 "chunk": pa.array([chunk] * len(bucket), pa.int32()),
-                "hashes": pa.array([pack_sorted(distinct[x:y]) for x, y in spans], pa.binary()),
+                "hashes": pa.array([pack_sorted(distinct[x:y] >> np.uint64(64 - bits)) for x, y in spans], pa.binary()),
                 "counts": pa.array([small(n[x:y]) for x, y in spans], pa.binary()),
             }
         )
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        sizes, owner, flat = grams(table.column("text").to_pylist(), order)
+        table = opened(table)
+        sizes, owner, flat = grams(table.column("text").to_pylist(), order, bits)
         distinct, n = counted(np.concatenate(flat))
         bucket, bounds = packed_rows(distinct, buckets)
         at = dict(zip(bucket.tolist(), zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), strict=True))
         for b, mask, c in zip(*(replies.column(k).to_pylist() for k in ("bucket", "mask", "counts")), strict=True):
             x, y = at[b]
-            n[x:y][np.unpackbits(np.frombuffer(mask, np.uint8), count=y - x).astype(bool)] += large(c)
+            some = np.unpackbits(np.frombuffer(mask, np.uint8), count=y - x).astype(bool)
+            n[x:y][some] += large(c, int(some.sum()))
         starts = np.concatenate(([0], np.cumsum(sizes)))
         words = int(starts[-1])
         rest = []
