@@ -10,7 +10,7 @@ from ..operators import page_geometry as G
 from ..operators import translate as R
 from ..sources import fixtures as X
 from .catalog import Catalog
-from .layout import built
+from .layout import built, stored
 
 catalog = Catalog()
 add = catalog.add
@@ -29,7 +29,7 @@ def drawings(spark: SparkSession, d: str) -> DataFrame:
 
 @add()
 def t4_merged_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return G.merged_blocks(L.reading_order(L.columns(built(spark, d)))).drop("lines")
+    return G.merged_blocks(L.reading_order(L.columns(stored(spark, d)))).drop("lines")
 
 
 @add()
@@ -55,12 +55,12 @@ def g5_u6_chart_text(spark: SparkSession, d: str) -> DataFrame:
 
 @add()
 def g6_page_layout(spark: SparkSession, d: str) -> DataFrame:
-    return G.page_layout(built(spark, d), graphics(spark, d), drawings(spark, d)).drop("lines")
+    return G.page_layout(stored(spark, d), graphics(spark, d), drawings(spark, d)).drop("lines")
 
 
 @add()
 def p15_output_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Translated blocks chosen for output and merged again."""
-    b = built(spark, d).withColumn("translated", F.concat(F.lit("[zh: "), "text", F.lit("]")))
+    b = stored(spark, d).withColumn("translated", F.concat(F.lit("[zh: "), "text", F.lit("]")))
     kept = b.filter(~F.col("is_formula") & ~F.col("is_header_footer")).filter(R.translatable(b))
     return G.merged_blocks(L.reading_order(L.columns(kept))).drop("lines")

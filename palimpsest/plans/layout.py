@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import layout as L
 from ..sources import fixtures as X
+from ..sources.scratch import written
 from .catalog import Catalog
 from .translation import ENDS, n
 
@@ -50,12 +50,17 @@ def segmented(spark: SparkSession, d: str) -> DataFrame:
 
 
 def built(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks with flags, roles, columns and order."""
+    """Blocks with flags and roles."""
     b = L.blocks_from_lines(segmented(spark, d), [*RAW, "segment"], "line")
     b = b.withColumns({"seq": F.element_at("lines", 1)["n"], "page_width": F.lit(612.0), "page_height": F.lit(792.0)})
     return L.dense_pages(L.flagged(b))
 
 
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a table, for what reads them several times: columns, order and merging."""
+    return written(built(spark, d), "blocks")
+
+
 @add(SEGMENTS, "layout_lines")
 def w3_segments(spark: SparkSession, d: str) -> DataFrame:
     return segmented(spark, d).select(*RAW, "line", "segment")
@@ -230,7 +235,7 @@ def p10_p17_headings(spark: SparkSession, d: str) -> DataFrame:
 
 @add()
 def w5_w6_reading_order(spark: SparkSession, d: str) -> DataFrame:
-    return L.reading_order(L.columns(built(spark, d))).select("doc_id", "page_num", "seq", "layout_column", "rank")
+    return L.reading_order(L.columns(stored(spark, d))).select("doc_id", "page_num", "seq", "layout_column", "rank")
 
 
 @add()
@@ -241,7 +246,7 @@ def j12_chart_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 @add()
 def j13_rescued_headers(spark: SparkSession, d: str) -> DataFrame:
-    return L.rescued_headers(built(spark, d))
+    return L.rescued_headers(stored(spark, d))
 
 
 @add()
