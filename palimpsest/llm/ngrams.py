@@ -11,7 +11,6 @@ bucket owners add the counts up, and reply with what is new to the chunk.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
