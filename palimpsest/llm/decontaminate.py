@@ -9,6 +9,7 @@ scanned block after block in one pass over the texts.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 WINDOW = 10
-#: Characters of benchmark text in one broadcast.
-BLOCK_CHARS = 32_000_000
+#: Characters of benchmark text in one broadcast: at most some 700,000 windows, 250 MB in a worker.
+BLOCK_CHARS = 4_000_000
 #: Bytes that separate words: all of ASCII but letters and digits.
 APART = bytes(b for b in range(128) if not chr(b).isalnum())
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -80,6 +80,17 @@ class Windows:
         return merged(found), items
 
 
+_index: dict[str, Windows] = {}
+
+
+def index_of(key: str, items: list[tuple[str, str]], window: int) -> Windows:
+    """The windows of a block, built once in a Python worker; only the last block is kept."""
+    if key not in _index:
+        _index.clear()
+        _index[key] = Windows(items, window)
+    return _index[key]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -113,10 +124,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_char
     schema = rows.schema
     spans_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
     for items in blocks(benchmark, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Windows(sent.value, window)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            index = index_of(key, sent.value, window)
             for b in batches:
                 n, spans, found = [], [], []
                 for text, s, i in zip(b.column("text").cast(pa.binary()), b.column("hit_spans").to_pylist(), b.column("hit_items").to_pylist(), strict=True):
