@@ -174,7 +174,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat the kept row, doc_id and text, count once.
     """
     hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    return first_of_each(hashed, classed(hashed, keep=("_hash",))).select(*docs.columns)
+
+
+def first_of_each(hashed: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of ``hashed`` that ``one_of_each`` keeps of the classes (doc_id, _hash, label) of ``labelled``."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")
-    kept = written(classed(hashed, keep=("_hash",)).groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._hash").alias("_of")), "simhash-kept")
+    kept = written(labelled.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._hash").alias("_of")), "simhash-kept")
     rows = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    return rows.dropDuplicates(["doc_id", "_hash"])

@@ -104,6 +104,49 @@ def test_near_duplicates_with_a_hot_group(spark):
     assert found == {i: least[want[f]] for i, f in fps.items()}
 
 
+def near_classes(texts: list[str]) -> set[int]:
+    """The least index of each class of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    def own(text):
+        w = text.lower().split()
+        n = min(5, len(w))
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    sets, label = [own(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return set(label)
+
+
+def test_pipeline_near_dedup_against_brute_force(spark, monkeypatch):
+    """Edited copies, chains of edits, a common passage and a dense group, against all pairs."""
+    import corpus_pipeline
+    from palimpsest.llm import similar
+
+    monkeypatch.setattr(similar, "COMMON", 5)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    passage = rng.choices(words, k=25)
+    texts = []
+    for _ in range(12):
+        base = rng.choices(words, k=rng.randrange(4, 150))
+        for _ in range(rng.randrange(1, 9)):
+            texts.append(base)
+            base = [rng.choice(words) if rng.random() < 0.02 else w for w in base]
+    dense = rng.choices(words, k=120)
+    texts += [[rng.choice(words) if rng.random() < 0.015 else w for w in dense] for _ in range(40)]
+    texts += [passage + rng.choices(words, k=rng.randrange(4, 12)) for _ in range(40)]
+    texts += [[], ["one"], ["One"], ["one", "two"]]
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = near_classes(texts)
+    assert 20 < len(want) < 120
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == want
+
+
 def test_feistel_is_a_permutation(spark):
     a, b = (F.lit(x).cast("long") for x in (189, 773))
     out = spark.range(189 * 773).select(pii.feistel(F.col("id"), a, b, "k", "d").alias("v"))
