@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +28,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_position(mixed)
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """Writes the ids of ``docs`` to files in the shared folder and reads them back."""
+def encoded(docs: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Writes the ids of ``docs`` to files in the shared folder, by ``order`` or doc_id, and reads them back."""
     spark = docs.sparkSession
     path = new_path(spark, "token-ids")
-    tokenfile.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    tokenfile.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, order=order)
     return tokenfile.crc32s(spark, path)
 
 

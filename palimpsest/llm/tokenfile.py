@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,11 +61,28 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return doc_ids, out[2].astype(np.int64), simple8b.decode(out[4], n)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
+def in_row_order(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns that sort it as its rows stand, and their names.
+
+    A table that Spark wrote keeps the order of what was written: by the number of the file, the file's
+    count within its task, and the row's place in the file. Tasks read the files in another order.
+    Rows that come from no single table are numbered as they come.
+    """
+    names = ["_file", "_count", "_row"]
+    try:
+        name, row = docs["_metadata.file_name"], docs["_metadata.row_index"]
+        number = lambda pattern: F.regexp_extract(name, pattern, 1).try_cast("long")
+        return docs.withColumns({"_file": number("^part-(\\d+)"), "_count": number("-c(\\d+)"), "_row": row}), names
+    except AnalysisException:
+        return docs.withColumn("_row", F.monotonically_increasing_id()), names[2:]
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, order: Sequence[str] = ()) -> None:
     """Encodes every text of ``docs`` with the tokenizer file, ends it with ``end_id``, writes it to ``path``.
 
-    Documents come in ascending doc_id (null first; repeated ids by their texts' hash), dealt to
-    parts by ranges. A null or empty text is its end id alone. Only doc_id and text are read.
+    Documents come in ascending ``order`` if given, else in ascending doc_id (null first; repeated ids
+    by their texts' hash), dealt to parts by ranges. A null or empty text is its end id alone. Only
+    doc_id, text and ``order`` are read.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -93,8 +111,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         if held:
             yield segment()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tie"))
-    dealt = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    doc_id, by = F.col("doc_id").cast("long"), [f"_by{i}" for i in range(len(order) or 2)]
+    keys = [F.col(c) for c in order] or [doc_id, F.xxhash64("text")]
+    rows = docs.select(doc_id.alias("doc_id"), F.col("text").cast("binary").alias("text"), *[k.alias(b) for k, b in zip(keys, by, strict=True)])
+    dealt = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("doc_id", "text")
     dealt.mapInArrow(run, SEGMENTS).write.parquet(path)
 
 

@@ -263,6 +263,28 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
 
 
+@pytest.mark.parametrize("stored", [True, False])
+def test_pipeline_writes_tokens_in_training_order(spark, stored):
+    import corpus_pipeline
+    from palimpsest.llm.shared import written
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["doc_id"])
+    taken = mixing.mix(docs).select("doc_id", F.explode("positions").alias("p")).collect()
+    want = [r["doc_id"] for r in sorted(taken, key=lambda r: (r["p"], r["doc_id"]))]
+    assert want != sorted(want)
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    # more files than tasks, of unlike sizes, are read out of order
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "17")
+    try:
+        mixed = written(mixed, "mixed") if stored else spark.createDataFrame(mixed.collect(), mixed.schema)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    out = corpus_pipeline.token_output(spark, mixed, SF).collect()
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: r["start"])] == want
+
+
 def test_pipeline_with_empty_documents(spark, tmp_path):
     import corpus_pipeline
 
