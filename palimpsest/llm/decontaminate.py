@@ -22,6 +22,7 @@ WINDOW = 10
 BLOCK_CHARS = 4_000_000
 #: Bytes that separate words: all of ASCII but letters and digits.
 APART = bytes(b for b in range(128) if not chr(b).isalnum())
+#: A word of lower-cased text.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TO_SPACE = bytes.maketrans(APART, b" " * len(APART))
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -49,7 +50,7 @@ def rolled(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 class Windows:
     """The windows of some benchmark items: a hash set, and the words behind each hash."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW) -> None:
         self.ids, self.items = Ids(), {}
         for item, text in items:
             own = [self.ids.setdefault(w, len(self.ids) + 1) for w in split((text or "").encode())]
@@ -61,7 +62,7 @@ class Windows:
             rows = np.array([w for w in self.items if len(w) == size], np.int64)
             self.hashes[size] = np.unique(rolled(rows.reshape(-1), np.arange(len(rows)) * size, size))
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Spans of words that windows cover, merged, and the items they come from."""
         ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         gaps = np.concatenate(([0], np.cumsum(ids == 0)))
@@ -83,7 +84,7 @@ class Windows:
 _index: dict[str, Windows] = {}
 
 
-def index_of(key: str, items: list[tuple[str, str]], window: int) -> Windows:
+def index_of(key: str, items: list[tuple[str | None, str]], window: int) -> Windows:
     """The windows of a block, built once in a Python worker; only the last block is kept."""
     if key not in _index:
         _index.clear()
@@ -101,9 +102,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
+def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items in runs of at most about ``limit`` characters; only one run is on the driver at a time."""
-    items = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // limit) or 1
     for k in range(n):
@@ -114,7 +115,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_char
     """``docs`` with n_words (long), hit_spans (array of word positions, end excluded) and hit_items (array of item_id as string, sorted).
 
     * null text has no words and no hits; an item without words matches nothing, one of fewer words
-      than a window is one window of its own length; items whose item_id is null are left out.
+      than a window is one window of its own length; items whose item_id is null hit as others do and
+      are one null in hit_items, last, as SQL counts them; the items' hash leaves it out.
     * repeated rows are each scanned; empty tables give no rows, or no hits.
     * columns of ``docs`` that have these names are replaced.
     """
@@ -135,7 +137,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_char
                     own, items = index.scan(words)
                     n.append(len(words))
                     spans.append([{"begin": x, "end": y} for x, y in merged([*((x["begin"], x["end"]) for x in s or ()), *own])])
-                    found.append(sorted({*(i or ()), *items}))
+                    found.append(sorted({*(i or ()), *items}, key=lambda x: (x is None, x)))
                 columns = [b.column(c) for c in keep] + [pa.array(n, pa.int64()), pa.array(spans, spans_type), pa.array(found, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *added])
 
@@ -152,7 +154,7 @@ def cut(docs: DataFrame) -> DataFrame:
             for text, spans in zip(b.column("text").cast(pa.binary()), b.column("hit_spans").to_pylist(), strict=True):
                 data = text.as_py()
                 if spans:
-                    at = [m.span() for m in WORD.finditer(data)]
+                    at = [m.span() for m in WORD.finditer(data.lower())]
                     for s in reversed(spans):
                         data = data[: at[s["begin"]][0]] + data[at[s["end"] - 1][1] :]
                 texts.append(None if data is None else data.decode())

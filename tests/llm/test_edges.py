@@ -5,8 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, entries, html, lengths, mixing, ngrams, pii, quality, simhash, substrings, tokenfile
+from palimpsest.llm import decontaminate, entries, html, lengths, mixing, ngrams, pii, quality, simhash, sql, substrings, tokenfile
 from palimpsest.llm.shared import new_path
+from tests import compare
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977} the of" for i in range(60_000))
@@ -126,6 +127,27 @@ def test_decontamination(odd, none, bench, spark):
     assert decontaminate.decontaminate(odd, bench).count() == 5
 
 
+def test_spans_of_mixed_case(spark, bench):
+    """Words of capitals count as words where spans are cut; every other byte stays."""
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([(1, "NASA and McDonald's É SAY: Lazy DOG and runs AWAY from All of it AT Once! THE End"), (2, "ÄB ONE, tWo C")], schema)
+    left = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench, "spans").collect()}
+    assert left == {1: "NASA and McDonald's É SAY: ! THE End", 2: "ÄB  C"}
+
+
+def test_items_without_id_hit(spark, bench, tmp_path):
+    """Passages of items whose item_id is null count as hits, as in the SQL."""
+    docs = spark.createDataFrame([(1, "x three four y"), (2, "z one two"), (3, "nothing")], "doc_id long, text string")
+    more = bench.unionByName(spark.createDataFrame([(None, "three four"), (None, "one two"), (None, "y")], "item_id long, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    more.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for chars in (4_000_000, 10):
+        found = decontaminate.digest(decontaminate.hits(docs, more, block_chars=chars))
+        assert {r["doc_id"]: r["n_hit"] for r in found.collect()} == {1: 3, 2: 2, 3: 0}
+        assert compare.differences(found, sql.LEAKS, str(tmp_path)) == ""
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, more).collect()] == [3]
+
+
 def test_benchmark_in_blocks(odd, bench):
     whole = sorted(map(str, decontaminate.digest(decontaminate.hits(odd, bench)).collect()))
     assert sorted(map(str, decontaminate.digest(decontaminate.hits(odd, bench, block_chars=20)).collect())) == whole
