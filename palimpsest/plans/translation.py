@@ -99,15 +99,25 @@ def f10_symbol_prefix(spark: SparkSession, d: str) -> DataFrame:
     return blocks(spark, d).select(*KEYS, head.alias("symbols"), rest.alias("rest"))
 
 
-@add("SELECT doc_id, block_index, concat('a[[REF0]] ', text, '[[REF1]].') AS protected, concat('a² ', text, '³⁻⁴.') AS restored, concat('a ', text, '²³⁻⁴') AS appended FROM blocks WHERE text NOT LIKE '%²%' AND regexp_matches(text, '[a-z]$')".replace("³⁻⁴", "³-⁴"), "blocks")
-def f9_references(spark: SparkSession, d: str) -> DataFrame:
-    b = blocks(spark, d).filter(~F.col("text").contains("²") & F.col("text").rlike("[a-z]$"))
+def references_of(b: DataFrame) -> DataFrame:
     source = F.concat(F.lit("a² "), F.col("text"), F.lit("³-⁴."))
     lost = F.concat(F.lit("a "), F.col("text"))
     reply = F.concat(F.lit("a[[ ref 0 ]] "), F.col("text"), F.lit("[[REF1]]."))
     return b.select(*KEYS, R.protected(source).alias("protected"), R.restored(reply, source).alias("restored"), R.restored(lost, source).alias("appended"))
 
 
+@add("SELECT doc_id, block_index, concat('a[[REF0]] ', text, '[[REF1]].') AS protected, concat('a² ', text, '³⁻⁴.') AS restored, concat('a ', text, '²³⁻⁴') AS appended FROM blocks WHERE text NOT LIKE '%²%' AND regexp_matches(text, '[a-z]$')".replace("³⁻⁴", "³-⁴"), "blocks")
+def f9_references(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d).filter(~F.col("text").contains("²") & F.col("text").rlike("[a-z]$"))
+    return references_of(b)
+
+
+@add()
+def f9_references_all(spark: SparkSession, d: str) -> DataFrame:
+    """As f9_references, over all blocks."""
+    return references_of(blocks(spark, d))
+
+
 @add(f"SELECT doc_id, block_index, {FORMULA} AS formula, {NUMERIC} AS numeric_like FROM blocks", "blocks")
 def p3_p13_formulas(spark: SparkSession, d: str) -> DataFrame:
     return blocks(spark, d).select(*KEYS, T.is_formula(F.col("text")).alias("formula"), T.is_numeric_like(F.col("text")).alias("numeric_like"))
@@ -359,9 +369,19 @@ def f11_normalized_translation(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*KEYS, R.normalized_translation(F.concat(rest, F.lit("\n")), source).alias("translated"))
 
 
+def number_keys_of(b: DataFrame) -> DataFrame:
+    reply = F.when(F.col("block_index") % 2 == 0, F.col("text")).otherwise("none")
+    return b.select(*KEYS, (F.size(T.numeric_tokens(F.col("text"))) > 0).alias("has_percent"), (F.size(T.lost_numbers(F.col("text"), reply)) == 0).alias("kept"))
+
+
 @add("SELECT doc_id, block_index, contains(text, '%') AND regexp_matches(text, '[0-9] ?%|% ?[0-9]') AS has_percent, block_index % 2 = 0 AS kept FROM blocks WHERE regexp_matches(text, '(^|[^0-9.,<>=%-])[0-9]{1,2} ?%($|[^0-9%])') AND len(regexp_extract_all(text, '%')) = 1 AND NOT regexp_matches(text, '[<>=≤≥-]')", "blocks")
 def u3_number_keys(spark: SparkSession, d: str) -> DataFrame:
     """Percentages of a block, looked up among the keys of a translation that has them in every second block."""
     b = blocks(spark, d).filter(F.col("text").rlike("(^|[^0-9.,<>=%-])[0-9]{1,2} ?%($|[^0-9%])") & (F.regexp_count("text", F.lit("%")) == 1) & ~F.col("text").rlike("[<>=≤≥-]"))
-    reply = F.when(F.col("block_index") % 2 == 0, F.col("text")).otherwise("none")
-    return b.select(*KEYS, (F.size(T.numeric_tokens(F.col("text"))) > 0).alias("has_percent"), (F.size(T.lost_numbers(F.col("text"), reply)) == 0).alias("kept"))
+    return number_keys_of(b)
+
+
+@add()
+def u3_number_keys_all(spark: SparkSession, d: str) -> DataFrame:
+    """As u3_number_keys, over all blocks, with every kind of number."""
+    return number_keys_of(blocks(spark, d))
