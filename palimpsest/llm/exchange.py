@@ -4,6 +4,10 @@ Documents are dealt into chunks. A chunk sends each distinct hash once, packed i
 bucket of the hash space; the task that owns a bucket sees each hash at most once a chunk, however
 often a hot passage is repeated, and replies to the chunks. Chunk and replies then meet again in a
 cogroup. Only packed rows are shuffled, and no group grows with how often one hash occurs.
+
+Chunks and buckets grow with the input, so a row packs fewer hashes the larger it is: some
+chunk hashes x bucket hashes / all hashes. At worst that is one a row, as many rows as a plain
+exploded table has, never more.
 """
 
 from __future__ import annotations
@@ -12,86 +16,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text in a chunk, and of what one bucket's hashes stand for.
 CHUNK_CHARS, BUCKET_CHARS = 3_000_000, 12_000_000
-MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def deal(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS) -> tuple[DataFrame, int]:
-    """(chunk, docs) rows dealt by doc_id, and the number of buckets; both numbers follow the size of the table.
+def deal(docs: DataFrame, chars: int, chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS) -> tuple[DataFrame, int]:
+    """(chunk, docs) rows, and the number of buckets; both numbers follow ``chars``, the size of the table.
 
-    ``docs`` holds the documents (doc_id, text as bytes) that one batch has for a chunk, as a
-    compressed Arrow stream: texts are shuffled for both readers, so they had better be small.
+    ``docs`` holds the documents (doc_id, text as bytes, copies: rows alike) that one batch has for a
+    chunk, as a compressed Arrow stream: texts are shuffled for both readers, so they had better be
+    small. Documents are dealt by doc_id and text, so that rows without a doc_id, or with one in
+    common, are spread; rows alike in both travel as one with their number.
     """
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks, buckets = max(least, -(-chars // chunk_chars)), max(least, -(-chars // bucket_chars))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            chunk = b.column(0).to_numpy()
+            rows = pa.Table.from_batches([b]).group_by(["chunk", "doc_id", "text"], use_threads=False).aggregate([([], "count_all")])
+            chunk = rows.column("chunk").to_numpy()
+            rows = rows.select(["doc_id", "text", "count_all"]).rename_columns(["doc_id", "text", "copies"])
             order = np.argsort(chunk, kind="stable")
             found, starts = np.unique(chunk[order], return_index=True)
-            rows = b.select(["doc_id", "text"])
             for c, at in zip(found.tolist(), np.split(order, starts[1:]), strict=True):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(rows.take(pa.array(at)))
+                    out.write_table(rows.take(pa.array(at)))
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "docs"])
 
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", F.col("text").cast("binary").alias("text"))
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", F.col("text").cast("binary").alias("text"))
     return dealt.mapInArrow(pack, "chunk int, docs binary"), buckets
 
 
 def opened(chunk: pa.Table) -> pa.Table:
-    """(doc_id, text) of all rows of one chunk."""
+    """(doc_id, text, copies) of all documents of one chunk."""
     return pa.concat_tables([pa.ipc.open_stream(d.as_py()).read_all() for d in chunk.column("docs")])
 
 
-class Hashed(dict):
-    """64-bit hashes of words, each computed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def hashed(words: list[bytes], known: Hashed) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def rolling(h: np.ndarray, size: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """Rabin-Karp hashes of every window of ``size`` words, modulo 2**64.
-
-    The hash of a window is sum(h[i + j] * base**(size - 1 - j)); windows of one length follow from
-    each other, and doubling computes all of them in log(size) vector steps.
-    """
-    if len(h) < size:
-        return np.zeros(0, np.uint64)
-    total, length = None, 0
-    power, power_len, step = h, 1, size
-    # power: hashes of windows of power_len words; total: of the windows of `length` words, by binary digits of size
-    while step:
-        if step & 1:
-            if total is None:
-                total, length = power, power_len
-            else:
-                factor = np.uint64(pow(base, length, 1 << 64))
-                total = power[: len(h) - length - power_len + 1] * factor + total[power_len : len(h) - length + 1]
-                length += power_len
-        step >>= 1
-        if step:
-            factor = np.uint64(pow(base, power_len, 1 << 64))
-            power = power[: len(h) - 2 * power_len + 1] * factor + power[power_len:]
-            power_len *= 2
-    out = total ^ (total >> np.uint64(32))
-    return out * MIX
-
-
 def buckets_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of each hash, in the hashes' order: sorted hashes give sorted buckets."""
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -106,16 +70,25 @@ def packed_rows(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarra
 
 
 def pack_sorted(hashes: np.ndarray) -> bytes:
-    """Ascending hashes as differences, each in as few bytes as the largest needs; the first byte says how many."""
+    """Ascending hashes as differences, each in as few bytes as the largest needs.
+
+    The first byte says how many, eight hold the first hash; the low bytes follow as they are, and the
+    highest byte of each, which varies little, compressed.
+    """
     steps = np.diff(hashes, prepend=np.uint64(0))
-    width = max(1, -(-int(steps[1:].max()).bit_length() // 8)) if len(steps) > 1 else 8
-    first = hashes[:1].astype("<u8").tobytes()
-    return bytes([width]) + first + np.ascontiguousarray(steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    width = max(1, -(-int(steps[1:].max()).bit_length() // 8)) if len(steps) > 1 else 1
+    planes = steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)
+    low, high = np.ascontiguousarray(planes[:, : width - 1]).tobytes(), np.ascontiguousarray(planes[:, width - 1]).tobytes()
+    return bytes([width]) + hashes[:1].astype("<u8").tobytes() + low + (pa.compress(high, codec="zstd", asbytes=True) if high else b"") + len(high).to_bytes(4, "little")
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    width, first = data[0], np.frombuffer(data, "<u8", min(1, (len(data) - 1) // 8), 1)
-    few = np.frombuffer(data, np.uint8, offset=1 + first.nbytes).reshape(-1, width)
-    steps = np.zeros((len(few), 8), np.uint8)
-    steps[:, :width] = few
+    if len(data) < 9:
+        return np.zeros(0, np.uint64)
+    width, first, n = data[0], np.frombuffer(data, "<u8", 1, 1), int.from_bytes(data[-4:], "little")
+    end = 9 + n * (width - 1)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, : width - 1] = np.frombuffer(data, np.uint8, n * (width - 1), 9).reshape(n, width - 1)
+    if n:
+        steps[:, width - 1] = np.frombuffer(pa.decompress(data[end:-4], n, codec="zstd", asbytes=True), np.uint8)
     return np.cumsum(np.concatenate((first, steps.view("<u8").reshape(-1))), dtype=np.uint64)

@@ -1,23 +1,27 @@
 """Stupid-backoff scores of documents, from n-gram counts over the whole corpus.
 
 Counts of every n-gram of every document are gathered in tables partitioned by the n-gram's hash;
-each document's exploded n-grams look their counts up there, and the logarithms sum per document.
-A document's own occurrences do not count for it: it is scored by what the rest of the corpus says,
-so that back-off happens where the rest has not seen its n-gram.
+each document's n-grams are joined to them there, and the logarithms sum per document. A document's
+own occurrences do not count for it: it is scored by what the rest of the corpus says, so that
+back-off happens where the rest has not seen its n-gram.
 
 The tables travel through ``exchange``: chunks of documents send each distinct n-gram's count once,
-bucket owners add the counts up, and reply with what is new to the chunk.
+bucket owners add the counts up, and reply with what is new to the chunk. ``joined_scores`` says the
+same with a row for each n-gram of each document; it is what the tests compare with, as it shuffles
+many times the input.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .exchange import Hashed, deal, hashed, opened, pack_sorted, packed_rows, rolling, unpack_sorted
+from . import hashing
+from .exchange import deal, opened, pack_sorted, packed_rows, unpack_sorted
+from .shared import words
 
 ORDER = 3
 ALPHA = 0.4
@@ -25,24 +29,58 @@ ALPHA = 0.4
 CHUNK_CHARS = 8_000_000
 
 
-def grams(texts: list[bytes | None], order: int, bits: int) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
-    """(words of each text, documents of the n-grams, hashes of the n-grams), the latter two by length of n-gram."""
-    known, sizes, words = Hashed(), [], []
-    for t in texts:
-        words.append(hashed((t or b"").split(), known))
-        sizes.append(len(words[-1]))
-    drop, flat, docs = np.uint64(64 - bits), [], []
-    for n in range(order):
-        own = [rolling(h, n + 1) for h in words]
-        docs.append(np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own]))
-        # the length is part of the hash, as tables of all lengths share one hash space
-        flat.append((np.concatenate(own) if own else np.zeros(0, np.uint64)) + np.uint64(n) >> drop << drop)
-    return sizes, docs, flat
+class Grams:
+    """The n-grams of some texts, of all lengths up to ``order``, and their distinct hashes.
 
+    ``ends``: for each length, the word at which each n-gram ends; ``at``: the n-grams, by length and place,
+    in the order of their hashes; ``starts``: where the runs of equal hashes begin in that order;
+    ``owner``: the text of each n-gram in that order.
+    """
 
-def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, n = np.unique(hashes, return_counts=True)
-    return distinct, n
+    def __init__(self, texts: list[bytes | None], order: int) -> None:
+        flat, self.sizes = hashing.word_hashes([t or b"" for t in texts])
+        begins = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        place = np.arange(len(flat)) - begins[self.doc]
+        self.ends, found = [], []
+        for k in range(order):
+            ends = np.flatnonzero(place >= k).astype(np.int32)
+            self.ends.append(ends)
+            # the length is part of the hash, as tables of all lengths share one hash space
+            found.append(hashing.rolling(flat, k + 1)[ends - k] + np.uint64(k) if len(ends) else np.zeros(0, np.uint64))
+        del flat, place
+        hashes = np.concatenate(found)
+        del found
+        self.at, ordered = hashing.stable_sort(hashes)
+        del hashes
+        self.starts = hashing.runs(ordered)
+        self.distinct = ordered[self.starts]
+        del ordered
+        self.owner = np.concatenate([self.doc[e] for e in self.ends])[self.at]
+
+    def counts(self, copies: np.ndarray) -> np.ndarray:
+        """Occurrences of each distinct n-gram, of each text as often as it has copies."""
+        return np.add.reduceat(copies[self.owner], self.starts) if len(self.starts) else np.zeros(0, np.int64)
+
+    def others(self, totals: np.ndarray) -> list[np.ndarray]:
+        """For each length and word, how often other texts have the n-gram that ends there; 0 where the text is too short."""
+        n = len(self.at)
+        begin = np.zeros(n, bool)
+        begin[self.starts] = True
+        begin[1:] |= self.owner[1:] != self.owner[:-1]
+        sizes = hashing.lengths(np.flatnonzero(begin), n)
+        left = np.repeat(totals, hashing.lengths(self.starts, n))
+        left -= np.repeat(sizes, sizes)
+        rest = np.empty(n, np.int64)
+        rest[self.at] = left
+        del left
+        out, done = [], 0
+        for ends in self.ends:
+            own = np.zeros(len(self.doc), np.int64)
+            own[ends] = rest[done : done + len(ends)]
+            done += len(ends)
+            out.append(own)
+        return out
 
 
 def small(n: np.ndarray) -> bytes:
@@ -62,12 +100,10 @@ def owned(rows: pa.Table) -> pa.Table:
     sizes = [len(h) for h in hashes]
     counts = np.concatenate([large(c, n) for c, n in zip(rows.column("counts").to_pylist(), sizes, strict=True)])
     every = np.concatenate(hashes)
-    order = np.argsort(every, kind="stable")
-    every = every[order]
-    starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-    sums = np.add.reduceat(counts[order], starts)
+    order, ordered = hashing.stable_sort(every)
+    starts = hashing.runs(ordered)
     others = np.empty(len(every), np.int64)
-    others[order] = np.repeat(sums, np.diff(np.concatenate((starts, [len(every)]))))
+    others[order] = np.repeat(np.add.reduceat(counts[order], starts), hashing.lengths(starts, len(every)))
     others -= counts
     bounds = np.concatenate(([0], np.cumsum(sizes)))
     masks, told = [], []
@@ -78,6 +114,15 @@ def owned(rows: pa.Table) -> pa.Table:
     return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "mask": pa.array(masks, pa.binary()), "counts": pa.array(told, pa.binary())})
 
 
+def log_scores(rest: list[np.ndarray], corpus: np.ndarray, alpha: float) -> np.ndarray:
+    """Each word's log score, from the counts in the rest of the corpus and the rest's number of words."""
+    log = np.where(rest[0] > 0, np.log(np.maximum(rest[0], 1) / np.maximum(corpus, 1)), np.log(alpha / np.maximum(corpus, 1)))
+    for shorter, own in zip(rest, rest[1:], strict=False):
+        context = np.concatenate(([0], shorter[:-1])) if len(own) else shorter
+        log = np.where(own > 0, np.log(np.maximum(own, 1) / np.maximum(context, np.maximum(own, 1))), np.log(alpha) + log)
+    return log
+
+
 def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_words (long), n_seen (long: words whose longest n-gram the rest of the corpus has), log_score and mean_log_score (double).
 
@@ -88,15 +133,16 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
     * null or empty text: no words, log_score 0, mean_log_score null.
     * repeated rows are documents of their own: each is part of the others' corpus.
     * empty table: empty result. Only doc_id and text are read.
+    * n-grams are told apart by 64-bit hashes.
     """
-    dealt, buckets = deal(docs, CHUNK_CHARS)
-    total = docs.agg(F.sum(F.regexp_count("text", F.lit("[^\\x09-\\x0D\\x20]+")).cast("long"))).first()[0] or 0
-    # so many bits that a lookup meets another n-gram's count once in 2**28 at most; 64 where the corpus is large
-    bits = min(64, max(56, total.bit_length() + 28))
+    sizes = docs.agg(F.sum(F.length("text")), F.sum(F.regexp_count("text", F.lit("[^\\x09-\\x0D\\x20]+")).cast("long"))).first()
+    total = sizes[1] or 0
+    dealt, buckets = deal(docs.select("doc_id", "text"), sizes[0] or 0, CHUNK_CHARS)
 
     def sending(table: pa.Table) -> pa.Table:
-        _, _, flat = grams(opened(table).column("text").to_pylist(), order, bits)
-        distinct, n = counted(np.concatenate(flat))
+        own = opened(table)
+        grams = Grams(own.column("text").to_pylist(), order)
+        n, distinct = grams.counts(own.column("copies").to_numpy()), grams.distinct
         bucket, bounds = packed_rows(distinct, buckets)
         spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
         chunk = table.column("chunk")[0].as_py()
@@ -104,44 +150,54 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
             {
                 "bucket": pa.array(bucket, pa.int32()),
                 "chunk": pa.array([chunk] * len(bucket), pa.int32()),
-                "hashes": pa.array([pack_sorted(distinct[x:y] >> np.uint64(64 - bits)) for x, y in spans], pa.binary()),
+                "hashes": pa.array([pack_sorted(distinct[x:y]) for x, y in spans], pa.binary()),
                 "counts": pa.array([small(n[x:y]) for x, y in spans], pa.binary()),
             }
         )
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        table = opened(table)
-        sizes, owner, flat = grams(table.column("text").to_pylist(), order, bits)
-        distinct, n = counted(np.concatenate(flat))
-        bucket, bounds = packed_rows(distinct, buckets)
+        own = opened(table)
+        copies = own.column("copies").to_numpy()
+        grams = Grams(own.column("text").to_pylist(), order)
+        n = grams.counts(copies)
+        bucket, bounds = packed_rows(grams.distinct, buckets)
         at = dict(zip(bucket.tolist(), zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), strict=True))
         for b, mask, c in zip(*(replies.column(k).to_pylist() for k in ("bucket", "mask", "counts")), strict=True):
             x, y = at[b]
             some = np.unpackbits(np.frombuffer(mask, np.uint8), count=y - x).astype(bool)
             n[x:y][some] += large(c, int(some.sum()))
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        words = int(starts[-1])
-        rest = []
-        for k in range(order):
-            # how often the rest of the corpus has the n-gram that ends at each word; 0 where the text is too short
-            own = np.zeros(words, np.int64)
-            before = np.concatenate(([0], np.cumsum(np.maximum(np.array(sizes, np.int64) - k, 0))))
-            at = starts[owner[k]] + np.arange(len(flat[k])) - before[owner[k]] + k
-            same = flat[k] + owner[k].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            _, inverse, times = np.unique(same, return_inverse=True, return_counts=True)
-            own[at] = n[np.searchsorted(distinct, flat[k])] - times[inverse]
-            rest.append(own)
-        corpus = total - np.repeat(sizes, sizes)
-        log = np.log(alpha / np.maximum(corpus, 1))
-        log = np.where(rest[0] > 0, np.log(np.maximum(rest[0], 1) / np.maximum(corpus, 1)), log)
-        for k in range(1, order):
-            context = np.concatenate(([0], rest[k - 1][:-1])) if words else rest[k - 1]
-            log = np.where(rest[k] > 0, np.log(np.maximum(rest[k], 1) / np.maximum(context, np.maximum(rest[k], 1))), np.log(alpha) + log)
-        sums = np.add.reduceat(np.concatenate((log, [0.0])), starts[:-1]) * (np.array(sizes) > 0) if len(sizes) else log
-        seen = np.add.reduceat(np.concatenate((rest[-1] > 0, [False])).astype(np.int64), starts[:-1]) * (np.array(sizes) > 0) if len(sizes) else log
-        mean = [s / z if z else None for s, z in zip(sums.tolist(), sizes, strict=True)]
-        return pa.table([table.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_words", "n_seen", "log_score", "mean_log_score"])
+        rest, sizes = grams.others(n), grams.sizes
+        log = log_scores(rest, total - np.repeat(sizes, sizes), alpha)
+        per_doc = lambda x: np.bincount(grams.doc, x, len(sizes)).astype(float)
+        sums = per_doc(log)
+        mean = pa.array(np.divide(sums, sizes, where=sizes > 0, out=np.zeros(len(sizes))), mask=sizes == 0)
+        out = pa.table([own.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(per_doc(rest[-1] > 0).astype(np.int64)), pa.array(sums), mean], ["doc_id", "n_words", "n_seen", "log_score", "mean_log_score"])
+        return out if (copies == 1).all() else out.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
 
     tables = dealt.groupBy("chunk").applyInArrow(sending, "bucket int, chunk int, hashes binary, counts binary").groupBy("bucket").applyInArrow(owned, "chunk int, bucket int, mask binary, counts binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("chunk").cogroup(tables.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, n_words long, n_seen long, log_score double, mean_log_score double")
+
+
+def joined_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
+    """``scores`` of rows of distinct doc_id, as joins: count tables by n-gram, exploded n-grams, sums per document."""
+    own = docs.select("doc_id", words(F.col("text")).alias("w"))
+    total = own.agg(F.sum(F.size("w").cast("long"))).first()[0] or 0
+    word = own.select("doc_id", F.size("w").alias("size"), F.posexplode("w").alias("i", "x"))
+    by = Window.partitionBy("doc_id").orderBy("i")
+    for k in range(order):
+        gram = F.array_join(F.array(*[F.lag("x", j).over(by) if j else F.col("x") for j in range(k, -1, -1)]), " ")
+        word = word.withColumn(f"g{k}", F.when(F.col("i") >= k, gram))
+    for k in range(order):
+        inside = word.groupBy("doc_id", f"g{k}").agg(F.count("*").alias("own"))
+        counts = inside.groupBy(f"g{k}").agg(F.sum("own").alias("all"))
+        rest = inside.join(counts, f"g{k}").select("doc_id", f"g{k}", (F.col("all") - F.col("own")).alias(f"n{k}"))
+        word = word.join(rest, ["doc_id", f"g{k}"], "left").withColumn(f"n{k}", F.coalesce(f"n{k}", F.lit(0)))
+    corpus = F.greatest(F.lit(total) - F.col("size"), F.lit(1))
+    log = F.when(F.col("n0") > 0, F.log(F.col("n0") / corpus)).otherwise(F.log(F.lit(alpha) / corpus))
+    for k in range(1, order):
+        n, context = F.col(f"n{k}"), F.coalesce(F.lag(f"n{k - 1}").over(by), F.lit(0))
+        log = F.when(n > 0, F.log(n / F.greatest(context, n))).otherwise(F.log(F.lit(alpha)) + log)
+    sums = word.withColumn("log", log).groupBy("doc_id").agg(F.sum((F.col(f"n{order - 1}") > 0).cast("long")).alias("n_seen"), F.sum("log").alias("log_score"))
+    out = own.join(sums, "doc_id", "left").select("doc_id", F.size("w").cast("long").alias("n_words"), F.coalesce("n_seen", F.lit(0)).alias("n_seen"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
+    return out.withColumn("mean_log_score", F.try_divide("log_score", "n_words"))

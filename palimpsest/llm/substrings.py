@@ -8,56 +8,59 @@ document of each it comes first, and tells every chunk but the one with the firs
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import Hashed, deal, hashed, opened, pack_sorted, packed_rows, rolling, unpack_sorted
+from . import hashing
+from .exchange import deal, opened, pack_sorted, packed_rows, unpack_sorted
 
 WINDOW = 13
 
 
-def window_hashes(texts: list[bytes | None], window: int) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    known, words, hashes = Hashed(), [], []
-    for t in texts:
-        words.append((t or b"").split())
-        hashes.append(rolling(hashed(words[-1], known), window))
-    return words, hashes
-
-
-def firsts(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes of documents in ascending doc_id, sorted, and the index of the first document of each."""
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    every = np.concatenate(hashes)
-    owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-    order = np.argsort(every, kind="stable")  # equal hashes stay in the order of documents
-    every, owner = every[order], owner[order]
-    new = np.concatenate(([True], every[1:] != every[:-1])) if len(every) else np.zeros(0, bool)
-    return every[new], owner[new]
-
-
-def ranked(doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank): documents in ascending doc_id; equal doc_ids share a rank, as neither is smaller."""
-    order = np.argsort(doc_ids, kind="stable")
-    rank = np.cumsum(np.concatenate(([0], doc_ids[order][1:] != doc_ids[order][:-1])).astype(np.int64)) if len(order) else order
-    return order, rank
+class Windows:
+    """The windows of some documents, in ascending doc_id: equal windows are runs, whose first document is known.
 
+    Equal doc_ids share a rank, as neither is smaller.
+    """
 
-def send(number: int, chunk: pa.Table, window: int, buckets: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
-    ids = chunk.column("doc_id").to_numpy()
-    order, _ = ranked(ids)
-    texts = chunk.column("text").to_pylist()
-    _, hashes = window_hashes([texts[i] for i in order], window)
-    distinct, first = firsts(hashes)
-    sorted_ids = ids[order]
-    bucket, bounds = packed_rows(distinct, buckets)
-    for b, x, y in zip(bucket.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        docs, index = np.unique(first[x:y], return_inverse=True)
-        yield b, number, pack_sorted(distinct[x:y]), sorted_ids[docs].tobytes(), index.astype(np.uint16 if len(docs) < 1 << 16 else np.uint32).tobytes()
+    def __init__(self, docs: pa.Table, window: int) -> None:
+        ids = docs.column("doc_id").to_numpy()
+        self.order = np.argsort(ids, kind="stable")
+        self.ids, self.copies = ids[self.order], docs.column("copies").to_numpy()[self.order]
+        texts = docs.column("text").to_pylist()
+        self.texts = [texts[i] or b"" for i in self.order.tolist()]
+        rank = np.cumsum(np.concatenate(([0], self.ids[1:] != self.ids[:-1])).astype(np.int64)) if len(ids) else self.order
+        flat, self.sizes = hashing.word_hashes(self.texts)
+        self.begins = np.concatenate(([0], np.cumsum(self.sizes)))
+        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        left = self.begins[doc + 1] - np.arange(len(flat))
+        self.at = np.flatnonzero(left >= window)
+        hashes = hashing.rolling(flat, window)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        self.sorted, ordered = hashing.stable_sort(hashes)  # equal hashes stay in the order of documents
+        owner = doc[self.at[self.sorted]]
+        starts = hashing.runs(ordered)
+        self.distinct, self.first = ordered[starts], owner[starts]
+        self.times = hashing.lengths(starts, len(ordered))
+        self.late = rank[owner] > np.repeat(rank[self.first], self.times)
+
+    def flagged(self, told: np.ndarray) -> np.ndarray:
+        """First words of the windows that also start in a smaller document: ``told`` of their distinct windows, or here."""
+        return self.at[self.sorted[np.repeat(told, self.times) | self.late]]
+
+
+def send(number: int, docs: pa.Table, window: int, buckets: int) -> pa.Table:
+    """A chunk's distinct windows and the first document of each, a row a bucket."""
+    own = Windows(docs, window)
+    bucket, bounds = packed_rows(own.distinct, buckets)
+    rows: dict[str, list] = {"hashes": [], "docs": [], "first": []}
+    for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        docs_here, index = np.unique(own.first[x:y], return_inverse=True)
+        rows["hashes"].append(pack_sorted(own.distinct[x:y]))
+        rows["docs"].append(own.ids[docs_here].tobytes())
+        rows["first"].append(index.astype(np.uint16 if len(docs_here) < 1 << 16 else np.uint32).tobytes())
+    return pa.table({"bucket": pa.array(bucket, pa.int32()), "chunk": pa.array([number] * len(bucket), pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in rows.items()}})
 
 
 def owned(rows: pa.Table) -> pa.Table:
@@ -69,15 +72,13 @@ def owned(rows: pa.Table) -> pa.Table:
         ids.append(np.frombuffer(d, np.int64)[index])
         owner.append(np.full(len(index), k, np.int32))
     every, ids, owner = np.concatenate(hashes), np.concatenate(ids), np.concatenate(owner)
-    order = np.argsort(every)
-    every = every[order]
-    start = np.concatenate(([True], every[1:] != every[:-1]))
-    group = np.cumsum(start) - 1
-    shared = np.flatnonzero(np.bincount(group)[group] > 1)
-    every, group, ids, owner = every[shared], group[shared], ids[order[shared]], owner[order[shared]]
+    order, every = hashing.stable_sort(every)
+    times = hashing.lengths(hashing.runs(every), len(every))
+    shared = np.flatnonzero(np.repeat(times, times) > 1)
+    every, ids, owner = every[shared], ids[order[shared]], owner[order[shared]]
     if len(every):
-        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        least = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.concatenate((starts, [len(ids)]))))
+        starts = hashing.runs(every)
+        least = np.repeat(np.minimum.reduceat(ids, starts), hashing.lengths(starts, len(ids)))
         late = ids > least
         every, owner = every[late], owner[late]
     chunks = np.array(rows.column("chunk").to_pylist(), np.int32)
@@ -88,15 +89,34 @@ def owned(rows: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array(chunks[owner[bounds[:-1]]], pa.int32()), "hashes": pa.array([pack_sorted(every[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())})
 
 
-def covered(flags: np.ndarray, window: int, n: int) -> np.ndarray:
-    """Words inside the flagged windows."""
-    edge = np.zeros(n + 1, np.int64)
-    at = np.flatnonzero(flags)
-    edge[at] += 1
-    edge[at + window] -= 1
+def covered(at: np.ndarray, window: int, n: int) -> np.ndarray:
+    """Words inside the windows that start ``at``, of ``n`` words."""
+    edge = np.bincount(at, minlength=n + 1) - np.bincount(at + window, minlength=n + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
+def cleaned(own: Windows, told: np.ndarray, window: int) -> pa.Table:
+    """The result's rows for one chunk."""
+    n = int(own.begins[-1])
+    gone = covered(own.flagged(told), window, n)
+    removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[own.begins])
+    spans, kept = [], []
+    for k, text in enumerate(own.texts):
+        words = text.split()
+        intervals = []
+        if removed[k]:
+            here = gone[own.begins[k] : own.begins[k + 1]]
+            edges = np.flatnonzero(np.diff(np.concatenate(([False], here, [False])).astype(np.int8))).reshape(-1, 2).tolist()
+            intervals = [{"begin": x, "end": y} for x, y in edges]
+            words = [w for w, g in zip(words, here.tolist(), strict=True) if not g]
+        spans.append(intervals)
+        kept.append(b" ".join(words).decode())
+    columns = [own.ids, own.sizes, removed.astype(np.int64), spans, kept]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.string()]
+    out = pa.table([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "spans", "kept_text"])
+    return out if (own.copies == 1).all() else out.take(pa.array(np.repeat(np.arange(len(own.copies)), own.copies)))
+
+
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed (long), spans (word intervals removed, end excluded) and kept_text of every row.
 
@@ -104,38 +124,20 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     * of texts with the same doc_id neither is smaller, so they remove nothing from each other;
       a null doc_id counts as smaller than any.
     * empty table: empty result. Only doc_id and text are read.
+    * windows are told apart by 64-bit hashes.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    dealt, buckets = deal(rows)
+    dealt, buckets = deal(rows, rows.agg(F.sum(F.length("text"))).first()[0] or 0)
 
     def sending(table: pa.Table) -> pa.Table:
-        sent = list(send(table.column("chunk")[0].as_py(), opened(table), window, buckets))
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*sent) if sent else [[]] * 5, kinds, strict=True)], ["bucket", "chunk", "hashes", "docs", "first"])
+        return send(table.column("chunk")[0].as_py(), opened(table), window, buckets)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        table = opened(table)
-        ids = table.column("doc_id").to_numpy()
-        order, rank = ranked(ids)
-        texts = table.column("text").to_pylist()
-        words, hashes = window_hashes([texts[i] for i in order], window)
-        distinct, first = firsts(hashes)
-        told = np.zeros(len(distinct), bool)
+        own = Windows(opened(table), window)
+        told = np.zeros(len(own.distinct), bool)
         for h in replies.column("hashes").to_pylist():
-            told[np.searchsorted(distinct, unpack_sorted(h))] = True
-        out: dict = {"doc_id": ids[order], "n_words": [], "n_removed": [], "spans": [], "kept_text": []}
-        for k, (w, h) in enumerate(zip(words, hashes, strict=True)):
-            gone = np.zeros(len(w), bool)
-            if len(h):
-                at = np.searchsorted(distinct, h)
-                gone = covered(told[at] | (rank[first[at]] < rank[k]), window, len(w))
-            edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-            out["n_words"].append(len(w))
-            out["n_removed"].append(int(gone.sum()))
-            out["spans"].append([{"begin": x, "end": y} for x, y in edges.reshape(-1, 2).tolist()])
-            out["kept_text"].append(b" ".join(w if not len(edges) else [x for x, g in zip(w, gone.tolist(), strict=True) if not g]).decode())
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.string()]
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+            told[np.searchsorted(own.distinct, unpack_sorted(h))] = True
+        return cleaned(own, told, window)
 
     packed = dealt.groupBy("chunk").applyInArrow(sending, "bucket int, chunk int, hashes binary, docs binary, first binary")
     replies = packed.groupBy("bucket").applyInArrow(owned, "chunk int, hashes binary")

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from palimpsest.llm import entries, exchange, html, lengths, mixing, ngrams, pii, quality, simhash, simple8b, tokens
+from palimpsest.llm import entries, exchange, hashing, html, lengths, mixing, ngrams, pii, quality, simhash, simple8b, substrings, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,11 +41,39 @@ def test_rolling_hashes(size):
     h = np.random.default_rng(size).integers(0, 1 << 63, 60).astype(np.uint64)
     base = 0x9E3779B97F4A7C15
     want = np.array([sum(int(h[i + j]) * pow(base, size - 1 - j, 1 << 64) for j in range(size)) % (1 << 64) for i in range(61 - size)], np.uint64)
-    assert (exchange.rolling(h, size) == (want ^ (want >> np.uint64(32))) * exchange.MIX).all()
+    assert (hashing.rolling(h, size) == (want ^ (want >> np.uint64(32))) * hashing.MIX).all()
+
+
+def test_word_hashes():
+    """Equal words, and only they, have equal hashes, wherever they stand."""
+    rng = random.Random(2)
+    texts = ["", " \t", "a", *(" ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(300))) for _ in range(40)), "x " * 700_000]
+    hashes, counts = hashing.word_hashes([t.encode() for t in texts])
+    words = [w for t in texts for w in t.split()]
+    assert counts.tolist() == [len(t.split()) for t in texts] and len(hashes) == len(words)
+    pairs = set(zip(words, hashes.tolist(), strict=True))
+    assert len(pairs) == len(set(words)) == len({h for _, h in pairs})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 3), st.integers(2**63, 2**63 + 3), st.integers(0, 2**64 - 1)), max_size=200))
+def test_stable_sort(values):
+    h = np.array(values, np.uint64)
+    order, ordered = hashing.stable_sort(h)
+    assert (order == np.argsort(h, kind="stable")).all() and (ordered == np.sort(h)).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=700), st.sets(st.integers(0, 2**64 - 1), max_size=700))
+def test_parity_maps_never_differ_in_more_than_their_sets(a, b):
+    from palimpsest.llm import similar
+
+    x, y = (np.sort(np.array(sorted(s), np.uint64)) for s in (a, b | set(list(a)[:300])))
+    assert similar.differ(similar.parity_map(x), similar.parity_map(y)) <= len(np.setxor1d(x, y))
 
 
 def brute_simhash(text: str) -> int:
-    words = text.lower().split()
+    words = "".join(c.lower() if c.isascii() else c for c in text).split()
     if not words:
         return 0
     n = min(3, len(words))
@@ -55,7 +83,7 @@ def brute_simhash(text: str) -> int:
 
 def test_fingerprints():
     for text in ("", "one", "one two", "a b c d e a b c", "Ä Ö ü " * 40):
-        assert simhash.simhash(text.encode()) == brute_simhash("".join(c.lower() if c.isascii() else c for c in text)) or not text.isascii()
+        assert simhash.simhash(text.encode()) == brute_simhash(text)
 
 
 def classes(fps: list[int]) -> dict[int, int]:
@@ -331,6 +359,32 @@ def test_scores_against_brute_force(spark):
     assert got == {k: pytest.approx(v) for k, v in brute_scores(texts).items()}
 
 
+def test_scores_against_joined_tables(spark):
+    """The packed exchange gives what count tables joined to exploded n-grams give."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    got = {r["doc_id"]: r for r in ngrams.scores(docs).collect()}
+    want = {r["doc_id"]: r for r in ngrams.joined_scores(docs).collect()}
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert (got[k]["n_words"], got[k]["n_seen"]) == (r["n_words"], r["n_seen"])
+        assert got[k]["log_score"] == pytest.approx(r["log_score"]) and got[k]["mean_log_score"] == (r["mean_log_score"] and pytest.approx(r["mean_log_score"]))
+
+
+def test_rows_without_doc_id_are_dealt_to_many_chunks(spark, monkeypatch):
+    """1,000 rows without doc_id spread over chunks by their texts; rows alike travel together and all come back."""
+    texts = [f"row {i} says one two three four five six seven eight nine ten eleven twelve" for i in range(500)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(None, "all of these are the same row")] * 500 + [(1, texts[0])], "doc_id long, text string")
+    monkeypatch.setattr(ngrams, "CHUNK_CHARS", 4000)
+    dealt, _ = exchange.deal(docs, sum(map(len, texts)), 4000)
+    per_chunk = {r["chunk"]: r["n"] for r in dealt.groupBy("chunk").agg(F.count("*").alias("n")).collect()}
+    assert len(per_chunk) > 8
+    rows = ngrams.scores(docs).collect()
+    assert len(rows) == 1001 and {r["n_seen"] for r in rows if r["n_words"] == 7} == {5}
+    found = substrings.repeated(docs).collect()
+    assert len(found) == 1001 and [r["n_removed"] for r in found if r["doc_id"] == 1] == [15]
+    assert {r["n_removed"] for r in found if r["doc_id"] is None} == {0}
+
+
 def test_histogram_against_brute_force(spark):
     rng = random.Random(6)
     counts = [(rng.choice("ab"), int(rng.expovariate(1 / 3000))) for _ in range(500)]
