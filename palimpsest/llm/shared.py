@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, written
 
-__all__ = ["SPACE", "let", "new_path", "table", "words", "written"]
+__all__ = ["SPACE", "free", "let", "new_path", "table", "words", "written"]
 
 #: Separators of words: space and the control characters TAB to CR.
 SPACE = "[\\x09-\\x0D\\x20]+"
@@ -25,3 +25,15 @@ def words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names for own use, one for each of ``names``, none of which ``df`` has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import mixed
 from .shared import written
 
 MAX_BITS = 2
@@ -39,14 +40,6 @@ PAIRED = 64
 SLICE = 1 << 17
 
 
-def mixed(i: int) -> int:
-    """The i-th reference fingerprint: bits of a fixed integer hash (splitmix64)."""
-    z = (i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-    z = (z ^ z >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
-    return z ^ z >> 31
-
-
 #: The spread-out pivots, whose distances discard pairs.
 PIVOTS = [mixed(i) for i in range(24)]
 
@@ -168,18 +161,23 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, hash (of the text) and row: all columns of ``docs`` in a struct, so that none clashes."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each class: that of the least doc_id, null last; of several texts under it, the one of least hash.
+    """One row of each class, with the columns of ``docs``: that of the least doc_id, null last; of several texts under it, the one of least hash.
 
-    Rows that repeat the kept row, doc_id and text, count once.
+    Rows that repeat the kept row, doc_id and text, count once. Empty table: empty result.
     """
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    return first_of_each(hashed, classed(hashed, keep=("_hash",))).select(*docs.columns)
+    hashed = packed(docs)
+    return first_of_each(hashed, classed(hashed, keep=("hash",)))
 
 
 def first_of_each(hashed: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The rows of ``hashed`` that ``one_of_each`` keeps of the classes (doc_id, _hash, label) of ``labelled``."""
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")
-    kept = written(labelled.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._hash").alias("_of")), "simhash-kept")
-    rows = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_hash"])
+    """The rows in ``hashed`` (from ``packed``) that ``one_of_each`` keeps of the classes (doc_id, hash, label) of ``labelled``."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    kept = written(labelled.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.hash").alias("kept_hash")), "simhash-kept")
+    rows = hashed.drop("text").join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "hash"]).select("row.*")
