@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ WHITE = "(?U)\\s"
 MARKER = "^((?:[*•·\\-–—]\\s+)|(?:\\(?[A-Za-z0-9]{1,8}[).]\\s+))"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row; written plainly, Spark computes it for each use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def in_class(chars: str) -> str:
     """The characters as a regular-expression class."""
     return "[" + "".join("\\" + c if c in "\\]^-[&" else c for c in chars) + "]"
@@ -57,16 +63,26 @@ def compact(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """No zero-width space or byte-order mark, each run of white space one space, ends trimmed."""
-    return stripped(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\u00a0\u200b\ufeff", " "), "(?U)\\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\u00a0\u200b\ufeff", " "), "(?U)\\s+", " "))
+
+
+def is_blank(text: Column) -> Column:
+    """True if ``normalized`` leaves nothing."""
+    return ~F.coalesce(text, F.lit("")).rlike("(?U)[^\\s\u200b\ufeff]")
+
+
+def tight(text: Column) -> Column:
+    """``compact`` of ``normalized`` text, in one step."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)[\\s\u200b\ufeff]", "")
 
 
 def ends_sentence(text: Column) -> Column:
-    """True if what is left without closing brackets and quotes ends a sentence."""
-    return F.regexp_replace(normalized(text), in_class(CLOSERS) + "+$", "").rlike(in_class(ENDS) + "$")
+    """True if what is left of ``normalized`` text without closing brackets and quotes ends a sentence."""
+    return F.coalesce(text, F.lit("")).rlike(f"(?U){in_class(ENDS)}{in_class(CLOSERS)[:-1]}\u200b\ufeff]*[\\s\u200b\ufeff]*\\z")
 
 
 def ends_with_stop(text: Column) -> Column:
-    return F.regexp_replace(text, "(?U)\\s+$", "").rlike(in_class(ENDS) + "$")
+    return text.rlike(f"(?U){in_class(ENDS)}\\s*\\z")
 
 
 def has_cjk(text: Column) -> Column:
@@ -79,8 +95,9 @@ def has_emoji(text: Column) -> Column:
 
 def is_emoji_only(text: Column) -> Column:
     """Only symbols and pictures, bullets aside."""
-    rest = F.regexp_replace(normalized(text), "(?U)[\\s\ufe0f\u200d]", "")
-    return (rest != "") & rest.rlike(f"^[[\\p{{So}}\\x{{10000}}-\\x{{10FFFF}}]&&[^{BULLETS}]]+$")
+    blank = "\\s\ufe0f\u200d\u200b\ufeff"
+    picture = f"[[\\p{{So}}\\x{{10000}}-\\x{{10FFFF}}]&&[^{BULLETS}]]"
+    return F.coalesce(text, F.lit("")).rlike(f"(?U)^[{blank}]*+(?:{picture}[{blank}]*+)++\\z")
 
 
 BAD_GLYPH = f"[{TOFU}\\p{{Co}}\\x{{10000}}-\\x{{10FFFF}}]|[[\\p{{So}}☀-➿]&&[^{BULLETS}]]"
@@ -135,7 +152,7 @@ def font_route(found: Column) -> Column:
 
 
 def leading_marker(text: Column) -> Column:
-    return F.regexp_extract(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)^\\s+", ""), MARKER, 1)
+    return F.regexp_extract(F.coalesce(text, F.lit("")), "^(?U:\\s*+)" + MARKER[1:], 1)
 
 
 def symbol_prefix(text: Column) -> tuple[Column, Column]:
@@ -148,17 +165,22 @@ def symbol_prefix(text: Column) -> tuple[Column, Column]:
 
 def is_formula(text: Column) -> Column:
     """Signs, digits and operators outweigh letters, by four rules."""
-    c = compact(normalized(text))
-    n, math = F.length(c), count_of(c, in_class(MATH)[:-1] + "Ͱ-Ͽἀ-῿]")
-    digits, letters, operators = count_of(c, "\\p{Nd}"), count_of(c, "\\p{L}"), count_of(c, "[+\\-*/=<>^_]")
-    ratio = (math + digits + operators) / F.greatest(n, F.lit(1))
-    rules = (
-        (c.rlike(in_class(STRONG_MATH)) & (letters <= n * 0.65))
-        | (c.contains("=") & (operators >= 1) & (ratio >= 0.28))
-        | ((math >= 2) & (ratio >= 0.25))
-        | ((n <= 28) & (ratio >= 0.45) & (letters <= digits + math + operators))
-    )
-    return (n >= 2) & rules
+
+    def counts(c: Column) -> Column:
+        found = {"math": in_class(MATH)[:-1] + "Ͱ-Ͽἀ-῿]", "digits": "\\p{Nd}", "letters": "\\p{L}", "operators": "[+\\-*/=<>^_]"}
+        return F.struct(F.length(c).alias("n"), *[count_of(c, p).alias(k) for k, p in found.items()], c.rlike(in_class(STRONG_MATH)).alias("strong"), c.contains("=").alias("equals"))
+
+    def rules(s: Column) -> Column:
+        n, signs = s["n"], s["math"] + s["digits"] + s["operators"]
+        ratio = signs / F.greatest(n, F.lit(1))
+        return (n >= 2) & (
+            (s["strong"] & (s["letters"] <= n * 0.65))
+            | (s["equals"] & (s["operators"] >= 1) & (ratio >= 0.28))
+            | ((s["math"] >= 2) & (ratio >= 0.25))
+            | ((n <= 28) & (ratio >= 0.45) & (s["letters"] <= signs))
+        )
+
+    return let(let(tight(text), counts), rules)
 
 
 def is_numeric_like(text: Column) -> Column:

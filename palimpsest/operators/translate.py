@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import written
 from .quality import UNTRANSLATED_ROLES, flag
 
 MOST_BLOCKS, MOST_CHARS = 20, 8000
@@ -28,16 +30,19 @@ def translatable(df: DataFrame) -> Column:
         out = out & ~flag(df, name)
     if "layout_role" in df.columns:
         out = out & ~F.coalesce(F.col("layout_role").isin(UNTRANSLATED_ROLES), F.lit(False))
-    return out & (T.stripped(F.coalesce("text", F.lit(""))) != "") & ~T.is_emoji_only(F.col("text")) & ~T.is_formula(F.col("text"))
+    return out & ~T.is_blank(F.col("text")) & ~T.is_emoji_only(F.col("text")) & ~T.is_formula(F.col("text"))
 
 
 def role(df: DataFrame) -> Column:
     """The block's layout role; a body block is a list item, caption, heading or body by its text."""
-    text = T.stripped(F.coalesce("text", F.lit("")))
-    lines = F.size(F.filter("lines", lambda x: T.stripped(x["text"]) != "")) if "lines" in df.columns else F.lit(1)
-    words = T.count_of(text, "[\\p{L}\\p{N}_]+(?:[-/][\\p{L}\\p{N}_]+)*")
-    heading = (text != "") & (F.length(text) <= 140) & (lines == 1) & (words <= 16) & ~T.ends_with_stop(text)
-    body = F.when(T.leading_marker(text) != "", "list_item").when(text.rlike("(?i)^(figure|fig\\.?|table)\\s+[\\p{L}\\p{N}_]+"), "caption").when(heading, "heading").otherwise("body")
+    lines = F.size(F.filter("lines", lambda x: ~T.is_blank(x["text"]))) if "lines" in df.columns else F.lit(1)
+
+    def by_text(text: Column) -> Column:
+        words = T.count_of(text, "[\\p{L}\\p{N}_]+(?:[-/][\\p{L}\\p{N}_]+)*")
+        heading = (text != "") & (F.length(text) <= 140) & (lines == 1) & ~T.ends_with_stop(text) & (words <= 16)
+        return F.when(T.leading_marker(text) != "", "list_item").when(text.rlike("(?i)^(figure|fig\\.?|table)\\s+[\\p{L}\\p{N}_]+"), "caption").when(heading, "heading").otherwise("body")
+
+    body = T.let(T.stripped(F.coalesce("text", F.lit(""))), by_text)
     given = F.coalesce("layout_role", F.lit("body")) if "layout_role" in df.columns else F.lit("body")
     return F.when(given != "body", given).otherwise(body)
 
@@ -48,8 +53,9 @@ def references(text: Column) -> Column:
 
 def protected(text: Column) -> Column:
     """Superscript reference markers as [[REFn]], numbered."""
-    parts = F.split(F.coalesce(text, F.lit("")), REFERENCE, -1)
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("[[REF"), (i - 1).cast("string"), F.lit("]]"), p))), "")
+    plain = F.coalesce(text, F.lit(""))
+    numbered = F.transform(F.split(plain, REFERENCE, -1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("[[REF"), (i - 1).cast("string"), F.lit("]]"), p)))
+    return F.when(plain.rlike(f"[{SUPERSCRIPTS}]"), F.array_join(numbered, "")).otherwise(plain)
 
 
 def restored(translated: Column, source: Column) -> Column:
@@ -97,9 +103,16 @@ def distinct_items(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("first"))
 
 
-def memory_lookup(items: DataFrame, memory: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(hits with their translation, misses) against a translation-memory table with one row a key."""
-    return items.join(memory, keys), items.join(memory, keys, "left_anti")
+def looked_up(df: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the other columns of ``known``, one row a key, where all keys are equal; null is equal to null."""
+    other = known.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in known.columns])
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return df.join(other, on, "left").drop(*[f"_{k}" for k in keys])
+
+
+def memory_lookup(items: DataFrame, memory: DataFrame, keys: list[str]) -> DataFrame:
+    """``items`` with what a translation-memory table with one row a key says of them, and ``hit`` (false for a miss)."""
+    return looked_up(items, memory.withColumn("hit", F.lit(True)), keys).withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def batches(df: DataFrame, group: list[str], order: str, text: str = "text", most_blocks: int = MOST_BLOCKS, most_chars: int = MOST_CHARS) -> DataFrame:
@@ -174,7 +187,7 @@ def translated(items: DataFrame, source: str, target: str, translator: Translato
 
 def mock(text: Column, source: Column, target: Column) -> Column:
     """The mock translator as an expression."""
-    return F.when(source == target, text).otherwise(F.concat(F.lit("["), target, F.lit(": "), text, F.lit("]")))
+    return F.when(source.eqNullSafe(target), text).otherwise(F.concat(F.lit("["), F.coalesce(target, F.lit("")), F.lit(": "), text, F.lit("]")))
 
 
 def translate_once(blocks: DataFrame, target: str, translate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -183,12 +196,13 @@ def translate_once(blocks: DataFrame, target: str, translate: Callable[[DataFram
     ``translate`` maps distinct items (lang, target, role, text) to the same rows with ``translated``;
     default: the mock. Blocks that are not for translation get an empty text, failed ones their source.
     """
-    marked = blocks.withColumns({"_go": translatable(blocks), "role": role(blocks), "target": F.lit(target)})
+    # the rules on texts are dear: what they say is stored, as both sides of the join read it
+    marked = written(blocks.withColumns({"_go": translatable(blocks), "role": role(blocks), "target": F.lit(target)}), "translate-marked")
     keys = ["lang", "target", "role", "text"]
     items = marked.filter("_go").select(*keys).distinct()
     done = translate(items) if translate else items.withColumn("translated", mock(F.col("text"), F.col("lang"), F.col("target")))
-    out = F.when(~F.col("_go"), "").otherwise(F.coalesce("translated", "text"))
-    return marked.join(done.select(*keys, "translated"), keys, "left").withColumn("translated", out).drop("_go")
+    out = F.when(~F.col("_go"), "").otherwise(F.coalesce("_done", "text"))
+    return looked_up(marked, done.select(*keys, F.col("translated").alias("_done")), keys).withColumn("translated", out).drop("_go", "_done")
 
 
 def page_texts(df: DataFrame, page: list[str], order: str) -> DataFrame:

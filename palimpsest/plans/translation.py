@@ -153,9 +153,8 @@ def j3_translation_memory(spark: SparkSession, d: str) -> DataFrame:
     b = blocks(spark, d)
     items = b.filter(R.translatable(b)).select("lang", "text").distinct()
     memory = b.filter(F.col("doc_id") % 3 == 0).select("lang", "text").distinct().withColumn("translated", R.mock(F.col("text"), F.col("lang"), F.lit("zh")))
-    hits, misses = R.memory_lookup(items, memory, ["lang", "text"])
-    both = hits.select("lang", F.lit(1).alias("hit")).unionByName(misses.select("lang", F.lit(0).alias("hit")))
-    return both.groupBy("lang").agg(F.count("*").alias("blocks"), F.sum("hit").alias("hits"), F.sum(1 - F.col("hit")).alias("misses"))
+    known = R.memory_lookup(items, memory, ["lang", "text"])
+    return known.groupBy("lang").agg(F.count("*").alias("blocks"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
 ONCE = f"SELECT doc_id, block_index, {ROLE} AS role, CASE WHEN {GO} THEN CASE WHEN lang = 'en' THEN text ELSE concat('[en: ', text, ']') END ELSE '' END AS translated FROM blocks"
