@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import written
+from .shared import free, written
 from .tokens import words_of
 
 #: Lengths in a block: suffix sums run inside blocks, and over the blocks' totals.
@@ -28,10 +28,11 @@ def token_counts(docs: DataFrame, tokenizer: str, extra: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = words_of(tokenizer).encode
         for b in batches:
-            n = [len(encode(t.as_py() or b"")) // 4 + extra for t in b.column("_text")]
+            n = [len(encode(t.as_py() or b"")) // 4 + extra for t in b.column(name)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64())], [*keep, "n_tokens"])
 
-    rows = docs.select(*keep, F.col("text").cast("binary").alias("_text"))
+    (name,) = free(docs, "text_bytes")
+    rows = docs.select(*keep, F.col("text").cast("binary").alias(name))
     schema = docs.select(*keep, F.lit(0).cast("long").alias("n_tokens")).schema
     return rows.mapInArrow(run, schema)
 

@@ -80,24 +80,32 @@ def mix(docs: DataFrame, schedules: list[Schedule] = SCHEDULES, budget: float =
     * repeated rows are taken each by itself. Empty table: empty result.
     * columns of ``docs`` that have these names are replaced.
     """
-    added = ["size", "source_size", "target", "copies", "taken", "positions"]
-    keep = [c for c in docs.columns if c not in added]
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
+    return _mixed(docs, keep, schedules, budget, most).select("row.*", *ADDED)
+
+
+ADDED = ["size", "source_size", "target", "copies", "taken", "positions"]
+
+
+def _mixed(docs: DataFrame, keep: list[str], schedules: list[Schedule] = SCHEDULES, budget: float = BUDGET, most: int = MOST) -> DataFrame:
+    """``mix`` with the columns ``keep`` of ``docs`` in a struct, row, so that none clashes, and sort, id, order: training order."""
     order = F.xxhash64(F.lit(SEED), "doc_id", F.coalesce("text", F.lit("")))
     rows = docs.select(
-        *keep,
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
+        F.col("doc_id").alias("id"),
         size_of(F.col("text")).alias("size"),
-        F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), "source")).alias("_key"),
-        order.alias("_order"),
-        F.shiftrightunsigned(order, 64 - BUCKET_BITS).alias("_bucket"),
+        F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), "source")).alias("key"),
+        order.alias("order"),
+        F.shiftrightunsigned(order, 64 - BUCKET_BITS).alias("bucket"),
     )
-    sums = written(rows.groupBy("_key", "_bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
-    sources = targets(sums.groupBy(F.col("_key").alias("key")).agg(F.sum("bucket_size").alias("source_size")), schedules, budget, most)
-    before = F.sum("bucket_size").over(Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    plan = written(sums.withColumn("bucket_start", F.coalesce(before, F.lit(0))).join(sources, F.col("_key") == F.col("key")).drop("key", "bucket_size"), "mix-plan")
-    inside = F.sum("size").over(Window.partitionBy("_key", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = rows.drop("source_size").withColumn("_end", inside).join(plan, ["_key", "_bucket"])
+    sums = written(rows.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
+    sources = targets(sums.groupBy("key").agg(F.sum("bucket_size").alias("source_size")), schedules, budget, most)
+    before = F.sum("bucket_size").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    plan = written(sums.withColumn("bucket_start", F.coalesce(before, F.lit(0))).join(sources, "key").drop("bucket_size"), "mix-plan")
+    inside = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = rows.withColumn("end", inside).join(plan, ["key", "bucket"])
     total, goal, size = F.col("source_size"), F.col("target"), F.col("size")
-    middle = F.col("bucket_start") + F.col("_end") - size / 2
+    middle = F.col("bucket_start") + F.col("end") - size / 2
     full = F.coalesce(F.floor(F.try_divide(goal, total)), F.lit(0))
     copies = F.when(size > 0, F.least(full + F.when(middle < goal - full * total, F.lit(1)).otherwise(F.lit(0)), F.lit(most))).otherwise(F.lit(0)).cast("long")
     share = lambda k: F.least(F.try_divide(k * total + middle, goal), F.lit(1.0))
@@ -106,15 +114,20 @@ def mix(docs: DataFrame, schedules: list[Schedule] = SCHEDULES, budget: float =
     positions = F.filter(F.array(*[F.when(F.col("copies") > k, at(k)) for k in range(most)]), lambda x: x.isNotNull())
     # what is not taken still sorts by its place, so that no range holds it all
     rest = F.lit(1.0) + F.coalesce(F.try_divide(middle, total), F.lit(0.0))
-    return placed.withColumn("positions", positions).withColumn("taken", F.col("copies") * size).withColumn("_sort", F.coalesce(F.try_element_at("positions", F.lit(1)), rest)).select(*keep, *added, "_sort")
+    placed = placed.withColumn("positions", positions).withColumn("taken", F.col("copies") * size)
+    return placed.withColumn("sort", F.coalesce(F.try_element_at("positions", F.lit(1)), rest)).select("row", "id", "order", *ADDED, "sort")
 
 
-def by_position(mixed: DataFrame) -> DataFrame:
-    """One row for each document, in order of its first position; what is not taken comes last."""
-    return mixed.orderBy("_sort", "doc_id").drop("_sort")
+def by_position(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``mix``, of the columns ``keep`` of ``docs``, in order of each document's first position; what is not taken comes last."""
+    return _mixed(docs, keep).orderBy("sort", "id", "order").select("row.*", *ADDED)
 
 
 def curriculum(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in training order, each as often as it is taken."""
-    taken = mix(docs).select(*docs.columns, F.explode("positions").alias("_position"))
-    return taken.orderBy("_position", "doc_id").select(*docs.columns)
+    """The rows of ``docs`` in training order, each as often as it is taken.
+
+    * documents without words, and sources without any, are not taken; ties of position go by doc_id, then text.
+    * null text, null source, repeated rows: as in ``mix``. Empty table: empty result. Columns of any name pass through.
+    """
+    taken = _mixed(docs, docs.columns).select("row", "id", "order", F.explode("positions").alias("position"))
+    return taken.orderBy("position", "id", "order").select("row.*")

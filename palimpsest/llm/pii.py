@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let
+from .shared import free, let
 
 ROUNDS = 8
 #: Alternatives in order of precedence, none inside a longer word or number.
@@ -199,9 +199,10 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     keep = [c for c in docs.columns if c != "n_replaced"]
     found = F.when(text.rlike("[0-9@]|token|secret|passw|_?key"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    rows = docs.select(*keep, found.alias("_found"))
-    rows = rows.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
-    joined = F.array_join(F.zip_with(F.split(F.col("text"), ANY, -1), F.col("_new"), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    changed = F.aggregate(F.zip_with("_found", "_new", lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    new = F.when(F.size("_found") > 0, joined).otherwise(F.col("text"))
+    matches, new_ones = free(docs, "found", "new")
+    rows = docs.select(*keep, found.alias(matches))
+    rows = rows.withColumn(new_ones, F.transform(matches, lambda m: pseudonym(m, key)))
+    joined = F.array_join(F.zip_with(F.split(F.col("text"), ANY, -1), F.col(new_ones), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+    changed = F.aggregate(F.zip_with(matches, new_ones, lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    new = F.when(F.size(matches) > 0, joined).otherwise(F.col("text"))
     return rows.select(*[new.alias("text") if c == "text" else F.col(c) for c in keep], changed.alias("n_replaced"))

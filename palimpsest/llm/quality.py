@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import let, words, written
+from .shared import free, let, words, written
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
-#: A language has a profile of its own from this share of the corpus's words (so at most 100 have one).
-LANG_SHARE = 0.01
+#: A language has a profile of its own from so many words on; what has fewer is held against the whole corpus.
+PROFILE_WORDS = 2_000
 #: A word is common from this share of its language's words (so at most 1,000 are), and TOP_WORDS of them count.
 WORD_SHARE = 0.001
 TOP_WORDS = 24
@@ -77,55 +77,56 @@ def repeated_words(hashed: Column, size: int = WINDOW) -> Column:
     return let(hashed, lambda h: F.when(F.size(h) > size, let(windows(h), count)).otherwise(F.lit(0)))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with the counts of each text; its words stay in column _words.
+def base_counts(w: Column, text: Column) -> dict[str, Column]:
+    """The counts of each text, from its words ``w``.
 
     Plain columns, not one struct: Spark would compute a struct again for each field taken from it.
     """
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike("[^\\x09-\\x0D\\x20]"))
-    w = F.col("_words")
-    return docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_words", words(F.col("_text"))).withColumns(
-        {
-            "n_words": F.size(w).cast("long"),
-            "word_chars": F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
-            "n_symbols": F.regexp_count("_text", F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-            "n_repeat_words": repeated_words(F.transform(w, lambda x: F.xxhash64(x))).cast("long"),
-            "_classes": class_counts(F.col("_text")),
-        }
-    )
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x09-\\x0D\\x20]"))
+    return {
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+        "n_repeat_words": repeated_words(F.transform(w, lambda x: F.xxhash64(x))).cast("long"),
+    }
 
 
 def language_profiles(docs: DataFrame) -> tuple[list[str], list[dict]]:
-    """Profiles of the languages with LANG_SHARE of the words, and of the whole corpus (language null).
+    """Profiles of the languages with PROFILE_WORDS words, and of the whole corpus (language null).
 
-    Two aggregations over every document. What reaches the driver is bounded by LANG_SHARE and
-    TOP_WORDS: at most 101 profiles of 24 words.
+    One scan of every document counts words and characters of each class by language, the latter
+    under the classes' numbers, which are no words as they hold a space. A word that has WORD_SHARE of the
+    whole corpus has it in some language, so the whole corpus's commonest are among the languages'
+    common ones, whose counts add up. What reaches the driver are TOP_WORDS words a language.
     """
-    own = docs.select("lang", words(F.col("text")).alias("w"), class_counts(F.coalesce("text", F.lit(""))).alias("c"))
     n_classes = len(CLASSES) + 1
-    sums = written(own.groupBy("lang").agg(F.sum(F.size("w").cast("long")).alias("n"), *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n_classes)]), "language-sums")
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    large = sums.filter((F.col("n") > 0) & (F.col("n") >= LANG_SHARE * total) & F.col("lang").isNotNull()).collect()
-    whole = sums.agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(n_classes)]).first()
-    langs = {r["lang"]: r for r in large}
-    counted = docs.select(F.when(F.col("lang").isin(list(langs)), F.col("lang")).alias("lang") if langs else F.lit(None).cast("string").alias("lang"), F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    least = F.lit(max(1.0, WORD_SHARE * total))
-    for k, r in langs.items():
-        least = F.when(F.col("lang") == k, F.lit(max(1.0, WORD_SHARE * r["n"]))).otherwise(least)
-    # at most 1,000 words of a language pass the share, so the ranking below is small
-    common = counted.filter(F.col("n") >= least)
-    top = common.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= TOP_WORDS).collect()
-    merged: dict = {}
-    for r in top:
-        merged[r["word"]] = merged.get(r["word"], 0) + r["n"]
+    numbered = F.transform(class_counts(F.coalesce("text", F.lit(""))), lambda n, i: F.struct(F.concat(F.lit(" "), i.cast("string")).alias("word"), n.alias("n")))
+    each = F.concat(F.transform(words(F.col("text")), lambda w: F.struct(w.alias("word"), F.lit(1).cast("long").alias("n"))), numbered)
+    counted = written(docs.select("lang", F.inline(each)).groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    is_class = F.startswith("word", F.lit(" "))
+    of_class = [F.coalesce(F.sum(F.when(F.col("word") == f" {i}", F.col("n"))), F.lit(0)).alias(f"c{i}") for i in range(n_classes)]
+    sums = written(counted.groupBy("lang").agg(F.coalesce(F.sum(F.when(~is_class, F.col("n"))), F.lit(0)).alias("n"), *of_class), "language-sums")
+    langs = {r["lang"]: r for r in sums.filter((F.col("n") >= PROFILE_WORDS) & F.col("lang").isNotNull()).collect()}
+    # the rest of the languages are one more to count their words by
+    own = sums.select(F.when(F.col("lang").isin(list(langs)) if langs else F.lit(False), F.col("lang")).alias("own"), F.col("lang").alias("own_lang"), "n")
+    totals = own.groupBy("own").agg(F.sum("n").alias("total"))
+    of_own = written(counted.filter(~is_class).join(F.broadcast(own.select("own", "own_lang")), F.col("lang").eqNullSafe(F.col("own_lang"))).groupBy("own", "word").agg(F.sum("n").alias("n")), "language-counts")
+    shares_of = of_own.join(F.broadcast(totals.withColumnRenamed("own", "of")), F.col("own").eqNullSafe(F.col("of")))
+    common = shares_of.filter(F.col("n") >= F.greatest(F.lit(1.0), WORD_SHARE * F.col("total"))).select("own", "word", "n")
+    ranked = lambda rows, by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= TOP_WORDS)
+    top = ranked(common, ["own"]).filter(F.col("own").isNotNull()).collect()
+    whole = of_own.join(common.select("word").distinct(), "word").groupBy("word").agg(F.sum("n").alias("n"))
+    every = sums.agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(n_classes)]).first()
+    least = max(1.0, WORD_SHARE * (every["n"] or 0))
+    best_of_all = whole.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()
     profiles = []
-    for k, r in [*langs.items(), (None, whole)]:
-        n = (r["n"] or 0) if r else 0
-        best = [(x["word"], x["n"]) for x in sorted(top, key=lambda x: x["rank"]) if x["lang"] == k] if k is not None else sorted(merged.items(), key=lambda x: (-x[1], x[0]))[:TOP_WORDS]
-        chars = [float(r[f"c{i}"] or 0) if r else 0.0 for i in range(n_classes)]
-        p = [c / n if n else 0.0 for _, c in best]
-        profiles.append({"profile": k, "classes": [c / (sum(chars) or 1) for c in chars], "common": [w for w, _ in best], "word_shares": [*p, max(0.0, 1.0 - sum(p))]})
+    for k, r in [*langs.items(), (None, every)]:
+        n = r["n"] or 0
+        best = sorted((x for x in top if x["own"] == k), key=lambda x: x["rank"]) if k is not None else best_of_all
+        chars = [float(r[f"c{i}"] or 0) for i in range(n_classes)]
+        p = [x["n"] / n if n else 0.0 for x in best]
+        profiles.append({"profile": k, "classes": [c / (sum(chars) or 1) for c in chars], "common": [x["word"] for x in best], "word_shares": [*p, max(0.0, 1.0 - sum(p))]})
     return sorted(langs), profiles
 
 
@@ -136,28 +137,32 @@ def quality(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: fl
     word_distance (double; null where the text is too short to judge), base_failed and kept.
 
     * null or empty text: no words, base_failed.
-    * null or rare language: judged by the whole corpus's profile.
+    * null language, or one of fewer than PROFILE_WORDS words: judged by the whole corpus's profile.
+    * ties: of words as common as each other, the lesser stands first.
+    * repeats are counted by 64-bit hashes of windows of 64-bit hashes of words.
     * repeated rows: each is judged by itself. Empty table: empty result.
     * columns of ``docs`` with a name this adds are replaced.
     """
     langs, profiles = language_profiles(docs)
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
-    keep = [c for c in docs.columns if c not in added]
-    spark = docs.sparkSession
-    refs = spark.createDataFrame([(p["profile"] or "", p["profile"] is None, p["classes"], p["common"], p["word_shares"]) for p in profiles], "profile string, whole boolean, ref_classes array<double>, ref_common array<string>, ref_words array<double>")
-    known = sorted({w for p in profiles for w in p["common"]})
+    keep = [c for c in docs.columns if c.lower() not in added]
+    own_text, w, classes, judge, profile, ref_classes, ref_common, ref_words = free(docs.select(*keep), "own_text", "own_words", "own_classes", "judge", "profile", "ref_classes", "ref_common", "ref_words")
+    refs = docs.sparkSession.createDataFrame([(p["profile"] or "", p["profile"] is None, p["classes"], p["common"], p["word_shares"]) for p in profiles], f"{profile} string, whole boolean, {ref_classes} array<double>, {ref_common} array<string>, {ref_words} array<double>")
+    refs = refs.withColumn(profile, F.when(F.col("whole"), F.lit("-")).otherwise(F.concat(F.lit("+"), profile))).drop("whole")
+    known = sorted({x for p in profiles for x in p["common"]})
     whole = F.col("lang").isNull() | ~F.col("lang").isin(langs) if langs else F.lit(True)
-    rows = base_counts(docs.select(*keep)).withColumns({"_whole": whole, "_profile": F.when(whole, F.lit("")).otherwise(F.col("lang"))})
-    rows = rows.join(F.broadcast(refs), (rows["_profile"] == refs["profile"]) & (rows["_whole"] == refs["whole"]), "left")
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias(own_text), F.when(whole, F.lit("-")).otherwise(F.concat(F.lit("+"), "lang")).alias(judge))
+    rows = rows.withColumn(w, words(F.col(own_text))).withColumns(base_counts(F.col(w), F.col(own_text)) | {classes: class_counts(F.col(own_text))})
+    rows = rows.join(F.broadcast(refs), F.col(judge) == F.col(profile), "left")
     rest = lambda n: F.concat(n, F.array(F.col("n_words") - F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)))
-    common = lambda c: let(F.transform("ref_common", lambda r: F.size(F.filter(c, lambda x: x == r)).cast("long")), rest)
-    judged = let(F.filter("_words", lambda w: w.isin(known) if known else F.lit(False)), common)
+    common = lambda c: let(F.transform(ref_common, lambda r: F.size(F.filter(c, lambda x: x == r)).cast("long")), rest)
+    judged = let(F.filter(w, lambda x: x.isin(known) if known else F.lit(False)), common)
     n = F.col("n_words")
     rows = rows.select(
-        *[F.col(c) for c in keep],
+        *keep,
         *added[:5],
-        F.when(F.length("_text") >= MIN_CHARS, js_distance(shares(F.col("_classes")), F.col("ref_classes"))).alias("class_distance"),
-        F.when(n >= MIN_WORDS, js_distance(shares(judged), F.col("ref_words"))).alias("word_distance"),
+        F.when(F.length(own_text) >= MIN_CHARS, js_distance(shares(F.col(classes)), F.col(ref_classes))).alias("class_distance"),
+        F.when(n >= MIN_WORDS, js_distance(shares(judged), F.col(ref_words))).alias("word_distance"),
         ((n < 20) | (100 * F.col("n_repeat_words") > 30 * n)).alias("base_failed"),
     )
     diverges = (F.coalesce("class_distance", F.lit(0.0)) > max_class) | (F.coalesce("word_distance", F.lit(0.0)) > max_word)
@@ -165,5 +170,6 @@ def quality(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: fl
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns only."""
-    return quality(docs).filter("kept").select(*docs.columns)
+    """The rows of ``docs`` that pass, with their own columns only; nulls, repeats and empty tables as in ``quality``."""
+    packed = docs.select("text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return quality(packed).filter("kept").select("row.*")

@@ -1,25 +1,25 @@
 """SimHash near-duplicates: fingerprints, linked through tables of distances to pivots.
 
 1. ``fingerprints``: one 64-bit SimHash a document, from its word shingles.
-2. ``links``: pairs of distinct fingerprints at most MAX_BITS apart. Each fingerprint has its Hamming
-   distances to many reference fingerprints (pivots). Those of a family of pivots that differ from
-   the first pivot in one bit of a 16-bit block spell out the block; as two near fingerprints differ
-   in at most two of four blocks, they share the table entries of two families, and meet in one of
-   six equi-joins. Of the pairs that meet, those with a pivot whose two distances differ by more
-   than MAX_BITS are discarded (triangle inequality), and an XOR verifies the survivors.
-3. ``components``: classes of linked fingerprints by hooking and pointer jumping.
-
-No step forms all pairs of a group: table entries that more than PAIRED fingerprints share go
-through ``close_links`` instead, which joins fingerprints on their one-bit neighbours. Two
-fingerprints at most two bits apart share such a neighbour, any two that share one are at most two
-bits apart, and no neighbour is shared by more than 65, so chaining each to the least one is exact.
-Exact copies count once throughout: everything after step 1 works on distinct fingerprints.
+2. ``distances``: a table of each distinct fingerprint's Hamming distances to 89 reference fingerprints:
+   the base pivot, FAMILY (64 pivots one bit from the base, in blocks of 16) and FAR (24 spread out).
+3. ``links``: candidates come from that table alone. A change of one bit moves one distance of the
+   family, measured from the base's, so two fingerprints at most two bits apart have equal distances,
+   so measured, to the pivots of two blocks of four: they meet in one of six equi-joins. Of the pairs
+   that meet, those with a pivot in FAR whose two distances differ by more than MAX_BITS are discarded
+   (triangle inequality), and an XOR verifies the survivors.
+4. ``components``: classes of linked fingerprints by hooking and pointer jumping.
+
+No step forms all pairs of a group: fingerprints whose entries more than PAIRED share get pivots of
+their own in ``close_links``, all points within one bit of them. Two fingerprints at most two bits
+apart share such a pivot, any two that share one have distances that add up to two at most, and no
+pivot has more than 65, so chaining each to the least one is exact. Exact copies count once
+throughout: everything after step 1 works on distinct fingerprints.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -40,8 +40,10 @@ PAIRED = 64
 SLICE = 1 << 17
 
 
-#: The spread-out pivots, whose distances discard pairs.
-PIVOTS = [mixed(i) for i in range(24)]
+#: The reference fingerprints: the base, those one bit from it, and the spread-out ones.
+BASE_PIVOT = mixed(24)
+FAMILY = [BASE_PIVOT ^ 1 << i for i in range(64)]
+FAR = [mixed(i) for i in range(24)]
 
 
 def signed(x: int) -> int:
@@ -79,35 +81,47 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...]
     return rows.mapInArrow(run, docs.select(*names, F.lit(0).cast("long").alias("fp")).schema)
 
 
-def table_entries(fps: DataFrame) -> DataFrame:
-    """Six rows (key, fp) for each distinct fingerprint: its entries in two families of pivots."""
-    block = lambda i: F.shiftrightunsigned("fp", BLOCK * i).bitwiseAND(F.lit((1 << BLOCK) - 1))
-    keys = [F.shiftleft(F.lit(n).cast("long"), 2 * BLOCK) + F.shiftleft(block(i), BLOCK) + block(j) for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+def to_pivots(fp: Column, pivots: list[int]) -> Column:
+    """Hamming distances to the pivots, as an array."""
+    return F.transform(F.array(*[F.lit(signed(p)) for p in pivots]), lambda p: F.bit_count(fp.bitwiseXOR(p)).cast("byte"))
 
 
-def near(a: Column, b: Column) -> Column:
-    """True if no pivot tells the two apart and they differ in at most MAX_BITS bits."""
-    to = lambda x, p: F.bit_count(x.bitwiseXOR(F.lit(signed(p))))
-    chebyshev = reduce(lambda x, y: x & y, [F.abs(to(a, p) - to(b, p)) <= MAX_BITS for p in PIVOTS])
-    return chebyshev & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
+def distances(fps: DataFrame) -> DataFrame:
+    """The pivot distance table: fp, family (distances to FAMILY less the distance to the base) and far (to FAR)."""
+    base = F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(BASE_PIVOT))))
+    family = F.transform(to_pivots(F.col("fp"), FAMILY), lambda d: (d - F.col("base")).cast("byte"))
+    return fps.withColumn("base", base).select("fp", family.alias("family"), to_pivots(F.col("fp"), FAR).alias("far"))
+
+
+def table_entries(table: DataFrame) -> DataFrame:
+    """Six rows (key, fp, far) of the distance table for each fingerprint: its distances to the pivots of two blocks, as a key."""
+    block = lambda i: F.slice("family", BLOCK * i + 1, BLOCK)
+    keys = [F.xxhash64(F.lit(n), block(i), block(j)) for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
+    return table.select(F.explode(F.array(*keys)).alias("key"), "fp", "far")
+
+
+def told_apart(a: Column, b: Column) -> Column:
+    """True if the distances to some pivot differ by more than two near fingerprints' can."""
+    return F.exists(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda d: d > MAX_BITS)
 
 
 def close_links(fps: DataFrame) -> DataFrame:
-    """Links that connect all of ``fps`` at most two bits apart, through shared one-bit neighbours."""
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)])
-    beside = fps.select("fp", F.explode(flips).alias("at")).groupBy("at").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
+    """Links that connect all of ``fps`` at most two bits apart, through pivots at most one bit from them."""
+    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)])
+    table = fps.select("fp", F.explode(near).alias("pivot")).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))))
+    beside = table.filter(F.col("distance") * 2 <= MAX_BITS).groupBy("pivot").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
     return beside.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Pairs (a < b) of the distinct fingerprints ``fps`` that link, chained where many lie together."""
-    entries = table_entries(fps)
+    entries = table_entries(written(distances(fps), "simhash-distances"))
     shared = written(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-entries")
     met = written(entries.join(shared, "key"), "simhash-met")
     few = met.filter(F.col("n") <= PAIRED)
-    x, y = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
-    pairs = x.join(y, "key").filter("a < b").filter(near(F.col("a"), F.col("b"))).select("a", "b")
+    x, y = (few.select("key", F.col("fp").alias(s), F.col("far").alias(f"far_{s}")) for s in "ab")
+    left = x.join(y, "key").filter("a < b").filter(~told_apart(F.col("far_a"), F.col("far_b")))
+    pairs = left.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
     many = met.filter(F.col("n") > PAIRED).select("fp").distinct()
     return pairs.unionByName(close_links(many)).distinct()
 

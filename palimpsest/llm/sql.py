@@ -38,18 +38,20 @@ def distance(p: str, q: str) -> str:
 # Java's classes in RE2: the same letters and digits for the languages at hand.
 COUNTS = ", ".join(f"CAST(len(regexp_extract_all(t, '{p}')) AS DOUBLE)" for p in [*list(Q.CLASSES.values())[:-1], "[^\\p{L}\\p{Nd}\\x09-\\x0D\\x20.,;:!?]"])
 
-#: op5: counts of each text, profiles of its language, and the verdict.
-QUALITY = f"""WITH w AS (SELECT *, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
+#: op5: counts of each text, profiles of its language or of all, and the verdict.
+QUALITY = f"""WITH large AS (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING sum(len({WORDS})) >= {Q.PROFILE_WORDS}),
+w AS (SELECT d.* EXCLUDE (lang), coalesce('+' || large.lang, '-') AS lang, coalesce(text, '') AS t, {WORDS} AS ws FROM documents d LEFT JOIN large ON d.lang = large.lang),
+ww AS (SELECT lang, ws FROM w WHERE lang <> '-' UNION ALL SELECT '-', ws FROM w),
 c AS (SELECT *, list_concat(five, [length(t) - list_sum(five)]) AS cls, CAST(len(ws) AS BIGINT) AS n FROM (SELECT *, [{COUNTS}] AS five FROM w)),
-lang AS (SELECT lang, sum(n) AS ln, [{", ".join(f"sum(cls[{i}])" for i in range(1, len(Q.CLASSES) + 2))}] AS lcls FROM c GROUP BY lang),
-top AS (SELECT lang, word, k, row_number() OVER (PARTITION BY lang ORDER BY k DESC, word) AS rk FROM (SELECT lang, word, count(*) AS k FROM (SELECT lang, unnest(ws) AS word FROM w) GROUP BY lang, word) JOIN lang USING (lang) WHERE k >= greatest(1, {Q.WORD_SHARE}::DOUBLE * ln)),
+lang AS (SELECT lang, coalesce(sum(n), 0) AS ln, [{", ".join(f"sum(cls[{i}])" for i in range(1, len(Q.CLASSES) + 2))}] AS lcls FROM (SELECT lang, n, cls FROM c WHERE lang <> '-' UNION ALL SELECT '-', n, cls FROM c) GROUP BY lang),
+top AS (SELECT lang, word, k, row_number() OVER (PARTITION BY lang ORDER BY k DESC, word) AS rk FROM (SELECT lang, word, count(*) AS k FROM (SELECT lang, unnest(ws) AS word FROM ww) GROUP BY lang, word) JOIN lang USING (lang) WHERE k >= greatest(1, {Q.WORD_SHARE}::DOUBLE * ln)),
 prof AS (SELECT lang, list(word ORDER BY rk) AS common, list(k / ln::DOUBLE ORDER BY rk) AS p FROM top JOIN lang USING (lang) WHERE rk <= {Q.TOP_WORDS} GROUP BY lang),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) > 8)),
 rep AS (SELECT doc_id, count(*) AS n_repeat FROM (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN (SELECT doc_id, g FROM win GROUP BY doc_id, g HAVING count(*) > 1) x USING (doc_id, g), (SELECT unnest(range(0, 8)) AS k)) GROUP BY doc_id),
 base AS (SELECT c.*, coalesce(n_repeat, 0) AS n_repeat, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM c LEFT JOIN rep USING (doc_id)),
 judged AS (SELECT b.*, CASE WHEN length(t) >= {Q.MIN_CHARS} THEN {distance("list_transform(cls, lambda x: x / list_sum(cls))", "list_transform(lcls, lambda x: x / list_sum(lcls))")} END AS dc,
  CASE WHEN n >= {Q.MIN_WORDS} THEN {distance("list_concat(own, [1 - list_sum(own)])", "list_concat(p, [greatest(0, 1 - list_sum(p))])")} END AS dw
- FROM (SELECT base.*, lcls, p, list_transform(common, lambda r: len(list_filter(ws, lambda x: x = r)) / n::DOUBLE) AS own FROM base JOIN lang USING (lang) JOIN prof USING (lang)) b)
+ FROM (SELECT base.*, lcls, p, list_transform(common, lambda r: len(list_filter(ws, lambda x: x = r)) / n::DOUBLE) AS own FROM base JOIN lang USING (lang) LEFT JOIN prof USING (lang)) b)
 SELECT doc_id, n AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat AS BIGINT) AS n_repeat_words, n < 20 OR 100 * n_repeat > 30 * n AS base_failed,
  NOT (n < 20 OR 100 * n_repeat > 30 * n) AND coalesce(dc, 0) <= {Q.MAX_CLASS_DISTANCE}::DOUBLE AND coalesce(dw, 0) <= {Q.MAX_WORD_DISTANCE}::DOUBLE AS kept FROM judged"""
