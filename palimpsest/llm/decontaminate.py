@@ -3,7 +3,7 @@
 The normalised windows of the benchmark form a hash set that is broadcast; tasks scan the windows
 of whole texts against it, verify each hit word by word, and report or remove what was hit. The set
 is only broadcast in blocks of at most BLOCK_CHARS characters of items: a larger benchmark is
-scanned block after block in one pass over the texts.
+scanned block after block, with the texts and what was found so far stored between.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 WINDOW = 10
 #: Characters of benchmark text in one broadcast: at most some 700,000 windows, 250 MB in a worker.
 BLOCK_CHARS = 4_000_000
@@ -125,6 +127,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_char
     rows = docs.select(*keep, F.lit(0).cast("bigint").alias("n_words"), *[F.array().cast(kind).alias(c) for c, kind in list(added.items())[1:]])
     schema = rows.schema
     spans_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    first = True
     for items in blocks(benchmark, block_chars):
         sent, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
@@ -141,12 +144,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_char
                 columns = [b.column(c) for c in keep] + [pa.array(n, pa.int64()), pa.array(spans, spans_type), pa.array(found, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *added])
 
-        rows = rows.mapInArrow(run, schema)
+        # a table between blocks: tasks hold one block's index at a time
+        rows = rows.mapInArrow(run, schema) if first else written(rows, "hits").mapInArrow(run, schema)
+        first = False
     return rows
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """The texts of ``hits`` without their hit spans: from the first word's first byte to the last word's last."""
+    """The texts of ``hits`` without their hit spans: from the first word's first byte to the last word's last; null stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,11 +169,14 @@ def cut(docs: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents") -> DataFrame:
-    """``docs`` without the documents, or without the spans, that hold a window of the benchmark."""
-    found = hits(docs, benchmark)
+    """``docs`` without the documents, or without the spans, that hold a window of the benchmark; nulls, repeats, empty tables as in ``hits``.
+
+    Columns of any name pass through as they are.
+    """
+    found = hits(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), benchmark)
     if remove == "documents":
-        return found.filter(F.size("hit_spans") == 0).select(*docs.columns)
-    return cut(found).select(*docs.columns)
+        return found.filter(F.size("hit_spans") == 0).select("row.*")
+    return cut(found).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

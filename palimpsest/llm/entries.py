@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable, Sequence
 
 import public_tokenizers
@@ -14,12 +15,19 @@ from .shared import new_path, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; nulls, empty texts, repeats, empty tables: as ``simhash.near_duplicates`` says."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("palimpsest.pii.key", "a key for tests only")
+    """Pseudonyms under the key of the setting palimpsest.pii.key; a session without one draws its own, so nobody can invert them.
+
+    Nulls, repeated rows and empty tables: as ``pii.pseudonymize`` says.
+    """
+    key = spark.conf.get("palimpsest.pii.key", None)
+    if not key:
+        spark.conf.set("palimpsest.pii.key", key := secrets.token_hex(32))
     return pii.pseudonymize(table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_replaced")
 
 
@@ -37,16 +45,19 @@ def encoded(docs: DataFrame, order: Sequence[str] = ()) -> DataFrame:
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document, null text too: its end id alone; ties and empty tables as ``tokenfile.write_tokens`` says."""
     return encoded(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; nulls, rare languages, ties, empty tables: as ``quality.quality`` says."""
     return quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; nulls, short texts, equal doc_ids: as ``substrings.repeated`` says."""
     return substrings.digest(substrings.repeated(table(spark, sf_dir, "documents")))
 
 
@@ -58,14 +69,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; nulls, repeats, empty tables: as ``ngrams.scores`` says."""
     return ngrams.scores(table(spark, sf_dir, "documents"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each page; null, empty and broken html: as ``html.extract`` says."""
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; nulls, items without words or id, repeats: as ``decontaminate.hits`` says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.hits(docs, table(spark, sf_dir, "benchmark")))
 

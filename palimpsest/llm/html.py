@@ -1,9 +1,10 @@
 """Main text of web pages: blocks classified by their words, and by their neighbours where unsure.
 
 One scan cuts a page into blocks at block-level tags. Pass one decides each block by length, link
-density and density of stop words; blocks in elements that surround an article, or outside the
-article that a page marks, are not main text. Blocks too short to tell are left open. Pass two gives
-them the label of their nearest decided neighbour.
+density and density of stop words; blocks in elements that surround an article are not main text.
+Blocks too short to tell are left open. Pass two gives them the label of their nearest decided
+neighbour. Where a page marks an article that holds the larger part of what the rules find, what lies
+outside it is not main text; an article that holds less is a teaser, and marks nothing.
 """
 
 from __future__ import annotations
@@ -35,10 +36,17 @@ STOP_WORDS = frozenset(
     "aber als am auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für haben hat ich im in ist mit nach nicht noch nur oder sich sie sind so um und von vor war wie wir wird zu zum zur "
     "al como con de del el en entre era es esta este fue ha la las lo los más me mi muy no o para pero por que se ser si sin sobre su sus también un una y ya".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+#: Elements of running text, which a name must match in full.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li td th tr dt dd blockquote pre figure figcaption span b i em strong a".split())
+#: Parts of names of what holds the article beside something else.
+HOLDERS = frozenset("with without has no main content body layout".split())
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-NAME = re.compile(r"[a-z]+")
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACES = re.compile(r"\s+")
+HREF = re.compile(r"\bhref\b", re.I)
+#: Elements past which an open sibling is not ended.
+LIMITS = frozenset("ul ol table article section div main body blockquote nav footer header aside".split())
 
 LONG, SHORT = 140, 40
 LINKED = 0.4
@@ -53,97 +61,195 @@ class Block(NamedTuple):
     inside: bool
 
 
-def names_beside(attributes: str) -> bool:
+def named_beside(name: str, tag: str, inside: bool) -> bool:
+    """Whether a class or id name says that an element is beside the article: in full, or by its first or last part.
+
+    An article's own header has its title.
+    """
+    parts = [x.lower() for x in NAME.findall(name)]
+    if not parts or inside and parts[-1] in ("header", "masthead"):
+        return False
+    if len(parts) == 1:
+        return parts[0] in BESIDE_NAMES
+    return tag not in RUNNING and HOLDERS.isdisjoint(parts) and not BESIDE_NAMES.isdisjoint((parts[0], parts[-1]))
+
+
+def names_beside(attributes: str, tag: str, inside: bool) -> bool:
     for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "role" and value.strip() in BESIDE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "role" and value.strip().lower() in BESIDE_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key in ("class", "id") and not BESIDE_NAMES.isdisjoint(NAME.findall(value)):
+        if key in ("class", "id") and any(named_beside(x, tag, inside) for x in value.split()):
             return True
     return False
 
 
-def cut(page: str) -> tuple[list[Block], bool]:
-    """The blocks of a page in order, and whether an article or main element marks the main text."""
+class Finder:
+    """``str.find`` for searches that move forward: what was found, or that nothing is left, is remembered, so that all of them take one pass."""
+
+    def __init__(self, page: str, what: str) -> None:
+        self.page, self.what, self.found, self.since = page, what, -2, 0
+
+    def next(self, at: int) -> int:
+        if self.found == -2 or at < self.since or -1 < self.found < at:
+            self.found, self.since = self.page.find(self.what, at), at
+        return self.found
+
+
+class Scanner:
+    """Tags, comments and text of a page from left to right, in time that grows with its length."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.lower, self.finders = page, page.translate(LOWER), {}
+
+    def find(self, what: str, at: int) -> int:
+        """Place of the lower-case string at or after ``at``, or -1."""
+        if what not in self.finders:
+            self.finders[what] = Finder(self.lower, what)
+        return self.finders[what].next(at)
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends the tag whose attributes start at ``at``, or -1; a quote that closes nowhere sensible is a letter."""
+        while True:
+            end = self.find(">", at)
+            if end < 0:
+                return -1
+            quotes = [(q, c) for c in "\"'" if 0 <= (q := self.find(c, at)) < end]
+            if not quotes:
+                return end
+            quote, c = min(quotes)
+            if not self.page[:quote].endswith("=") and not self.page[at:quote].rstrip().endswith("="):
+                at = quote + 1
+                continue
+            close = self.find(c, quote + 1)
+            after = self.page[close + 1 : close + 2]
+            if close < 0 or close > end and ("<" in self.page[quote:close] or after not in ("", ">", "/", " ", "\t", "\n", "\r", "\f")):
+                return end
+            at = close + 1
+
+    def closing(self, tag: str, at: int) -> int:
+        """End of the next closing tag of that name, or -1."""
+        start = at
+        while (start := self.find(f"</{tag}", start)) >= 0:
+            after = start + 2 + len(tag)
+            if not self.lower[after : after + 1].isalnum():
+                return self.tag_end(after) + 1 or len(self.page)
+            start = after
+        return -1
+
+
+#: Lower case that keeps every character's place.
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def cut(page: str) -> list[Block]:
+    """The blocks of a page in order."""
     blocks: list[Block] = []
     parts: list[str] = []
-    linked, links, heading, marked = 0, 0, False, False
+    linked, heading = 0, False
+    # text before this place is a link's; 0: in no link; an anchor that is not closed before the next ends with its block
+    link_end, until_block = 0, False
     open_tags: list[tuple[str, bool, bool]] = []  # name, beside, inside
+    counts: dict[str, int] = {}
     beside = inside = False
-    at, end = 0, len(page)
+    scan, at, end = Scanner(page), 0, len(page)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, link_end, until_block
         text = SPACES.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
         parts.clear()
         if text:
             blocks.append(Block(text, linked, heading, beside, inside))
         linked = 0
+        if until_block:
+            link_end, until_block = 0, False
+
+    def shut(tag: str, within: frozenset[str] = frozenset()) -> None:
+        """Closes the last open ``tag`` and what it holds, unless one of ``within`` was opened after it."""
+        nonlocal beside, inside
+        if counts.get(tag):
+            for k in range(len(open_tags) - 1, -1, -1):
+                if open_tags[k][0] == tag:
+                    for name, _, _ in open_tags[k:]:
+                        counts[name] -= 1
+                    del open_tags[k:]
+                    break
+                if open_tags[k][0] in within:
+                    break
+        beside, inside = open_tags[-1][1:] if open_tags else (False, False)
 
     while at < end:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else end]
+        start = scan.find("<", at)
+        if start < 0:
+            start = end
+        text = page[at:start]
         if text:
             parts.append(text)
-            if links:
+            if link_end:
                 linked += len(html.unescape(SPACES.sub(" ", text)))
-        if not m:
+        if start >= end:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if page.startswith("<![CDATA[", m.start()):
-                parts.append(page[m.start() + 9 : at - 3])
+        m = TAG.match(page, start)
+        if not m:
+            if page.startswith("<!--", start):
+                close = scan.find("-->", start + 4)
+                at = close + 3 if close >= 0 else end
+            elif page.startswith("<![CDATA[", start):
+                close = scan.find("]]>", start)
+                parts.append(page[start + 9 : close if close >= 0 else end])
+                at = close + 3 if close >= 0 else end
+            elif page[start + 1 : start + 2] in ("!", "?"):
+                close = scan.find(">", start)
+                at = close + 1 if close >= 0 else end
+            else:
+                parts.append("<")
+                at = start + 1
             continue
+        close = scan.tag_end(m.end())
+        attributes = page[m.end() : close] if close >= 0 else ""
+        at = close + 1 if close >= 0 else end
+        tag = m[2].lower()
         if m[1]:
             if tag in BLOCK_TAGS:
                 flush()
             if tag == "a":
-                links = 0
-            if tag in VOID:
-                continue
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == tag:
-                    del open_tags[k:]
-                    beside, inside = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, False)
-                    break
+                link_end, until_block = 0, False
+            if tag not in VOID:
+                shut(tag)
             heading = False if tag in BLOCK_TAGS else heading
             continue
         if tag in HIDDEN:
             if tag in BLOCK_TAGS:
                 flush()
-            if not m[0].endswith("/>"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not attributes.endswith("/"):
+                close = scan.closing(tag, at)
                 # an element that is never closed hides only its own tag, except what cannot hold markup
-                at = close.end() if close else end if tag in ("script", "style") else at
+                at = close if close >= 0 else end if tag in ("script", "style") else at
             continue
         if tag in BLOCK_TAGS:
             flush()
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if tag == "a":
-            links = 1
+        if tag == "a" and HREF.search(attributes):
+            close, another = scan.find("</a", at), scan.find("<a ", at)
+            link_end, until_block = 1, close < 0 or 0 <= another < close
+        elif tag == "a":
+            link_end, until_block = 0, False
         if tag == "br":
             parts.append(" ")
         if tag in VOID:
             continue
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
-            # these end a sibling that was left open
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == tag:
-                    del open_tags[k:]
-                    break
-                if open_tags[k][0] in ("ul", "ol", "table", "article", "section", "div", "main", "body", "blockquote", "nav", "footer", "header", "aside"):
-                    break
-            beside, inside = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, False)
+            shut(tag, LIMITS)  # these end a sibling that was left open
         if tag in ("article", "main"):
-            marked = inside = True
-        holds = tag not in ("html", "body", "article", "main") and (tag in BESIDE or bool(m[3]) and names_beside(m[3]))
+            inside = True
+        holds = tag not in ("html", "body", "article", "main") and (tag in BESIDE or bool(attributes) and names_beside(attributes, tag, inside))
         if holds and tag == "header" and inside:
             holds = False  # an article's own header has its title
         beside = beside or holds
         open_tags.append((tag, beside, inside))
+        counts[tag] = counts.get(tag, 0) + 1
     flush()
-    return blocks, marked
+    return blocks
 
 
 def first_pass(b: Block, marked: bool) -> bool | None:
@@ -161,8 +267,8 @@ def first_pass(b: Block, marked: bool) -> bool | None:
         return True if n >= LONG else None
     if stops >= STOPS_LOW:
         return True if n >= 2 * LONG else None
-    # long without stop words: a list or a table of the page, or of the article
-    return None if b.inside or n < LONG else False
+    # without stop words: a list or a table of the page, or of the article
+    return None if b.inside or not b.linked else False
 
 
 def nearest(labels: list[bool | None], able: list[bool]) -> list[tuple[bool, int] | None]:
@@ -179,9 +285,11 @@ def second_pass(blocks: list[Block], labels: list[bool | None], marked: bool) ->
     """Undecided blocks take the label of the nearest decided block, before or after; of two as near, main text wins.
 
     Menus, adverts and the like, and what is outside a marked article, are nobody's neighbours.
-    A heading looks ahead first. With no decided neighbour, blocks inside an article are main text.
+    A heading looks ahead first. On a page where nothing is decided as main text, what is open is it.
     """
     able = [not b.beside and (b.inside or not marked) for b in blocks]
+    if not any(x and ok for x, ok in zip(labels, able, strict=True)):
+        return [x is None and ok for x, ok in zip(labels, able, strict=True)]
     before = nearest(labels, able)
     after = nearest(labels[::-1], able[::-1])[::-1]
     out = []
@@ -195,9 +303,12 @@ def second_pass(blocks: list[Block], labels: list[bool | None], marked: bool) ->
 
 def main_text(page: str) -> str:
     """The blocks of the main text, one a line."""
-    blocks, marked = cut(page)
-    marked = marked and any(b.inside and not b.beside for b in blocks)
-    labels = second_pass(blocks, [first_pass(b, marked) for b in blocks], marked)
+    blocks = cut(page)
+    labels = second_pass(blocks, [first_pass(b, False) for b in blocks], False)
+    if any(b.inside and not b.beside for b in blocks):
+        own, other = (sum(len(b.text) for b, x in zip(blocks, labels, strict=True) if x and b.inside == side) for side in (True, False))
+        if own >= other:
+            labels = second_pass(blocks, [first_pass(b, True) for b in blocks], True)
     return "\n".join(b.text for b, x in zip(blocks, labels, strict=True) if x)
 
 

@@ -20,18 +20,25 @@ from .shared import free, let
 ROUNDS = 8
 #: Alternatives in order of precedence, none inside a longer word or number.
 EMAIL = "[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
-SECRET = "(?<=(?:token|secret|passwd|password|api_key|apikey|access_key) {0,3}[=:] {0,3}[\"']?)[A-Za-z0-9+/_-]{16,256}(?![A-Za-z0-9])"
-IBAN = "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+NAMED = "(?i:token|secret|secret[_-]key|passwd|password|pwd|api[_-]?key|access[_-]?key) {0,3}[=:] {0,3}[\"']?"
+SECRET = NAMED + "(?:[A-Za-z0-9+/_-]{16,256}|(?=[A-Za-z+/_-]{0,14}[0-9])[A-Za-z0-9+/_-]{8,15})(?![A-Za-z0-9])"
+ACCESS_KEY = "(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
+IBAN = "(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}[a-z0-9]{11,30})(?![A-Za-z0-9])"
+IPV6 = "(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"
 IPV4 = "(?<![0-9.])(?:[0-9]{1,3}\\.){3}[0-9]{1,3}(?!\\.?[0-9])"
 ISO_DATE = "(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DATE = "(?<![0-9./-])(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\\.[0-9]{1,2}\\.[0-9]{4})(?![0-9/-])"
 SSN = "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = "(?<![0-9+])(?:\\+[0-9]{1,3}[ .-]?)?(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9])\\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
 CARD = "(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "ip": IPV4, "iso_date": ISO_DATE, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
+KINDS = {"email": EMAIL, "secret": SECRET, "access_key": ACCESS_KEY, "ipv6": IPV6, "iban": IBAN, "ip": IPV4, "iso_date": ISO_DATE, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
-#: Days of a whole Gregorian cycle, from its first year: the domain of dates, 189 x 773.
+#: Days of a whole Gregorian cycle, from its first year: dates move inside their own cycle of 400 years, 189 x 773 days.
 FIRST_DAY, CYCLE = "1800-01-01", (189, 773)
+#: Whole cycles before and after that one in which years have three or four digits.
+CYCLES = (-4, 19)
+#: Country calling codes of one and two digits; the others have three.
+SHORT_CODES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 
 def keyed(key: str, *parts: Column | str) -> Column:
@@ -109,7 +116,7 @@ def new_iban(m: Column, key: str) -> Column:
         return let(body, lambda b: F.concat(check(b), digits_of(b)))
 
     spaced = lambda s: F.when(F.length(s).between(15, 34) & (mod97(F.concat(F.substr(s, F.lit(5)), F.substring(s, 1, 4))) == 1), put_back(m, renewed(s)))
-    return let(F.replace(m, F.lit(" "), F.lit("")), spaced)
+    return let(F.upper(F.replace(m, F.lit(" "), F.lit(""))), spaced)
 
 
 def new_ip(m: Column, key: str) -> Column:
@@ -128,8 +135,8 @@ def new_date(m: Column, key: str, formats: list[tuple[str, str]]) -> Column:
 
     def one(shape: str, form: str) -> Column:
         day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), first)
-        moved = lambda d: F.date_format(F.date_add(first, feistel(d.cast("long"), a, b, key, "date").cast("int")), form)
-        return let(F.when(m.rlike(shape), day), lambda d: F.when((d >= 0) & (d < days), moved(d)))
+        moved = lambda d: F.date_format(F.date_add(first, (d - F.pmod(d, days) + feistel(F.pmod(d, days).cast("long"), a, b, key, "date")).cast("int")), form)
+        return let(F.when(m.rlike(shape), day), lambda d: F.when((d >= CYCLES[0] * days) & (d < (CYCLES[1] + 1) * days), moved(d)))
 
     return F.coalesce(*[one(*f) for f in formats])
 
@@ -152,10 +159,11 @@ def new_ssn(m: Column, key: str) -> Column:
 
 
 def new_phone(m: Column, key: str) -> Column:
-    """Keeps the country code, punctuation and length; permutes the last ten digits, or all if no more."""
+    """Keeps the country code, punctuation and length; permutes the rest, without a + the last ten digits."""
 
     def renewed(d: Column) -> Column:
-        head = F.greatest(F.length(d) - 10, F.lit(0))
+        code = F.when(d.rlike(f"^(?:{SHORT_CODES})"), F.length(F.regexp_extract(d, f"^(?:{SHORT_CODES})", 0))).otherwise(3)
+        head = F.when(F.startswith(m, F.lit("+")), code).otherwise(F.greatest(F.length(d) - 10, F.lit(0)))
         return F.concat(F.substr(d, F.lit(1), head), permuted(F.substr(d, head + 1), key, "phone"))
 
     return let(digits_of(m), lambda d: F.when(F.length(d).between(7, 15), put_back(m, renewed(d))))
@@ -165,10 +173,24 @@ def new_email(m: Column, key: str) -> Column:
     return F.concat(F.lit("u"), F.substring(keyed(key, "email", F.lower(m)), 1, 16), F.lit("@example.com"))
 
 
+def new_ipv6(m: Column, key: str) -> Column:
+    """An address of the documentation range, by a keyed hash."""
+    h = keyed(key, "ipv6", F.lower(m))
+    return F.concat(F.lit("2001:0db8"), *[F.concat(F.lit(":"), F.substring(h, 4 * i + 1, 4)) for i in range(6)])
+
+
+def new_access_key(m: Column, key: str) -> Column:
+    return F.concat(F.substring(m, 1, 4), F.upper(F.substring(keyed(key, "access_key", m), 1, 16)))
+
+
 def new_secret(m: Column, key: str) -> Column:
-    """As many hex digits."""
-    long = F.concat(*[keyed(key, f"secret{i}", m) for i in range(4)])
-    return F.substr(long, F.lit(1), F.length(m))
+    """What names the secret, then as many hex digits as it has characters."""
+
+    def renewed(value: Column) -> Column:
+        long = F.concat(*[keyed(key, f"secret{i}", value) for i in range(4)])
+        return F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(value)), F.substr(long, F.lit(1), F.length(value)))
+
+    return let(F.regexp_extract(m, "[A-Za-z0-9+/_-]+$", 0), renewed)
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -177,28 +199,32 @@ def pseudonym(m: Column, key: str) -> Column:
     whole = lambda p: f"^(?:{p})$"
     date = let(m, lambda x: new_date(x, key, dates))
     return F.coalesce(
-        F.when(F.instr(m, "@") > 0, new_email(m, key))
+        F.when(m.rlike(f"^{NAMED}"), new_secret(m, key))
+        .when(F.instr(m, "@") > 0, new_email(m, key))
         .when(m.rlike(whole("(?:[0-9]{1,3}\\.){3}[0-9]{1,3}")), new_ip(m, key))
         .when(m.rlike(whole("[0-9]{4}-[0-9]{2}-[0-9]{2}")), new_date(m, key, [("", "yyyy-MM-dd")]))
         .when(m.rlike(whole("[0-9]{1,2}([/.])[0-9]{1,2}\\1[0-9]{4}")), date)
         .when(m.rlike(whole("[0-9]{3}-[0-9]{2}-[0-9]{4}")), new_ssn(m, key))
-        .when(m.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$"), F.coalesce(new_iban(m, key), F.when(~m.contains(" ") & (F.length(m) >= 16) & (m == F.lower(m)), new_secret(m, key))))
+        .when(m.rlike(whole(ACCESS_KEY)), new_access_key(m, key))
+        .when(m.rlike(whole(IPV6)), new_ipv6(m, key))
+        .when(m.rlike("^[A-Za-z]{2}[0-9]{2}[A-Za-z0-9 ]+$"), new_iban(m, key))
         .when(m.rlike("^[0-9 -]{13,}$") & F.length(digits_of(m)).between(13, 19), new_card(m, key))
-        .when(m.rlike("^[+0-9(][0-9() .-]{6,}$"), new_phone(m, key))
-        .when(m.rlike("^[A-Za-z0-9+/_-]{16,}$"), new_secret(m, key)),
+        .when(m.rlike("^[+0-9(][0-9() .-]{6,}$"), new_phone(m, key)),
         m,
     )
 
 
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with its texts under pseudonyms, and n_replaced (long).
+    """``docs`` with its texts under pseudonyms of the secret ``key``, and n_replaced (long).
 
     * null text: null, 0. Empty table: empty result. Equal values get equal pseudonyms everywhere.
     * whole texts of any length; a column n_replaced of ``docs`` is replaced.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     text = F.coalesce("text", F.lit(""))
     keep = [c for c in docs.columns if c != "n_replaced"]
-    found = F.when(text.rlike("[0-9@]|token|secret|passw|_?key"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    found = F.when(text.rlike("(?i)[0-9@]|token|secret|passw|pwd|key"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
     matches, new_ones = free(docs, "found", "new")
     rows = docs.select(*keep, found.alias(matches))
     rows = rows.withColumn(new_ones, F.transform(matches, lambda m: pseudonym(m, key)))

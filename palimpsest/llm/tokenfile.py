@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import simple8b
+from .shared import free
 from .tokens import packed, words_of
 
 SEGMENT_IDS = 1 << 18
+#: Bytes of text in one part of the data set, so that parts grow in number and not in size.
+PART_BYTES = 128 << 20
 HEAD = struct.Struct("<4sIQQQQ")
 SEGMENTS = "part int, seq int, ids_before long, n_docs long, n_ids long, payload binary"
 
@@ -68,13 +71,13 @@ def in_row_order(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     count within its task, and the row's place in the file. Tasks read the files in another order.
     Rows that come from no single table are numbered as they come.
     """
-    names = ["_file", "_count", "_row"]
+    names = free(docs, "file", "count", "row")
     try:
         name, row = docs["_metadata.file_name"], docs["_metadata.row_index"]
         number = lambda pattern: F.regexp_extract(name, pattern, 1).try_cast("long")
-        return docs.withColumns({"_file": number("^part-(\\d+)"), "_count": number("-c(\\d+)"), "_row": row}), names
+        return docs.withColumns(dict(zip(names, (number("^part-(\\d+)"), number("-c(\\d+)"), row), strict=True))), names
     except AnalysisException:
-        return docs.withColumn("_row", F.monotonically_increasing_id()), names[2:]
+        return docs.withColumn(names[2], F.monotonically_increasing_id()), names[2:]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, order: Sequence[str] = ()) -> None:
@@ -85,7 +88,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, order:
     doc_id, text and ``order`` are read.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     end = packed([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, entries, html, lengths, mixing, ngrams, pii, quality, simhash, sql, substrings, tokenfile
+from palimpsest.llm import decontaminate, entries, html, lengths, mixing, ngrams, pii, quality, similar, simhash, sql, substrings, tokenfile
 from palimpsest.llm.shared import new_path
 from tests import compare
 
@@ -171,3 +171,95 @@ def test_files_survive_reading_by_ids(odd, spark):
     path = new_path(spark, "ids")
     tokenfile.write_tokens(odd, path, entries.public_tokenizers.path("word_bpe_49k.json"), 2)
     assert all(r["ids"][-1] == 2 and len(r["ids"]) == r["n_tokens"] for r in tokenfile.read_tokens(spark, path).collect())
+
+
+#: Names that some operator uses inside; an input may have any of them.
+INNER = """text_bytes key bucket order row sort id end position schedule bucket_start bucket_size source_size target copies taken positions weight
+found new fp hash label sid n prefix parity kept_id kept_hash chunk docs own_text own_words own_classes judge profile ref_classes ref_common
+ref_words word begin_of file count value start n_hit hit_items class_distance word_distance base_failed html_bytes n_chars_ _text _words _id _of
+_hash _key _order _bucket _sort _found _new _row _file _count _position whole""".split()
+
+
+def test_clashing_names(spark, odd, bench):
+    """Columns with the operators' inner names change nothing and come through where columns are kept."""
+    docs = odd.select("doc_id", "text", "lang", "source").filter("doc_id is null or doc_id <> 6")
+    more = docs.withColumns({c: F.lit(f"mine {c}") for c in INNER})
+    path = entries.public_tokenizers.path("word_bpe_49k.json")
+    runs = {
+        "quality": lambda d: quality.quality(d).select("doc_id", "text", "n_words", "n_repeat_words", "class_distance", "word_distance", "kept"),
+        "near": lambda d: simhash.near_duplicates(d),
+        "mix": lambda d: mixing.mix(d).select("doc_id", "size", "target", "taken", "positions"),
+        "tokens": lambda d: entries.encoded(d),
+        "substrings": lambda d: substrings.repeated(d).drop("spans"),
+        "scores": lambda d: ngrams.scores(d),
+        "pii": lambda d: pii.pseudonymize(d, "k").select("doc_id", "text", "n_replaced"),
+        "counts": lambda d: lengths.token_counts(d, path).select("doc_id", "n_tokens"),
+        "hits": lambda d: decontaminate.digest(decontaminate.hits(d, bench)),
+    }
+    for name, run in runs.items():
+        assert sorted(map(str, run(more).collect())) == sorted(map(str, run(docs).collect())), name
+    for keeps in (quality.kept_documents, simhash.one_of_each, similar.one_of_each, mixing.curriculum, lambda d: decontaminate.decontaminate(d, bench), lambda d: decontaminate.decontaminate(d, bench, "spans")):
+        out = keeps(more)
+        assert out.columns == more.columns
+        assert all(r[c] == f"mine {c}" for r in out.collect() for c in INNER)
+    for adds in (lambda d: pii.pseudonymize(d, "k"), mixing.mix, quality.quality, lambda d: decontaminate.hits(d, bench)):
+        out = adds(more)
+        kept = [c for c in INNER if c not in ("size", "source_size", "target", "copies", "taken", "positions", "class_distance", "word_distance", "base_failed", "hit_items")]
+        assert all(r[c] == f"mine {c}" for r in out.collect() for c in kept)
+
+
+def test_languages_without_a_profile(spark, tmp_path):
+    """Null and rare languages are held against the whole corpus, as in the SQL, and ties of words go to the lesser."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lang = F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 11 == 0, F.lit("rare")).otherwise(F.col("lang"))
+    docs.withColumn("lang", lang).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert compare.differences(entries.op5_quality_rules(spark, str(tmp_path)), sql.QUALITY, str(tmp_path)) == ""
+
+
+def test_pipeline_on_odd_rows(spark, odd, bench, tmp_path):
+    """Nulls, ties, repeats, clashing names and a very long text through every stage; each stage's decisions hold for the next."""
+    import corpus_pipeline
+
+    docs = odd.withColumns({c: F.lit(c) for c in ("_hash", "row", "sort", "judge", "position")})
+    odd_rows = docs.unionByName(docs.filter("doc_id = 6").withColumn("doc_id", F.lit(8).cast("long")))
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = odd_rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns, name
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+    written_ids = [r["doc_id"] for r in now.collect()]
+    out = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(written_ids)
+    assert set(written_ids) <= {6}  # of two copies the first; nothing else has twenty words
+
+
+def test_very_long_and_broken_pages():
+    """Time grows with a page's length, whatever is left open in it."""
+    import time
+
+    for part in ("<p a='", "<button>", "<a href=x>", "<p>", "<div>", "<b>", "<!--", "<![CDATA[", "<a ", "</p", "<p a=\"x' ", "<option>", "<script>", "<p a='>x", "<svg>", "<a name=x>y"):
+        start = time.time()
+        html.main_text(part * 30_000)
+        assert time.time() - start < 10, part
+    assert html.main_text("<a name=top><h1>T</h1><p>" + "The cat is on the mat and so it is. " * 8).count("cat") == 8
+    inside = "<article><div class='entry-header'><h1>Head</h1></div><p class='share-price'>The price of the share is on the rise for all of us.</p><p>" + "It is the cat that is on the mat. " * 8 + "</p></article>"
+    assert html.main_text(inside).startswith("Head\nThe price")
+    teaser = "<article><h2>Teaser</h2><p>Read the rest of it.</p></article><div><p>" + "It is the cat that is on the mat. " * 8 + "</p><p>" + "It is the dog that is in the house. " * 8 + "</p></div>"
+    assert "cat" in html.main_text(teaser) and "dog" in html.main_text(teaser)
+    assert html.main_text("<p title=\"abc>It is the cat.</p><p>" + "It is the dog that is in the house. " * 8 + "</p>").startswith("It is the cat.")
+
+
+def test_density_alone_finds_the_article(spark):
+    """With article and main tags taken away, blocks of the text are found by the rules: recall of 0.9 and more."""
+    import re
+
+    recalls, alike, n = [], 0, 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        whole = html.main_text(r["html"] or "").split("\n")
+        bare = html.main_text(re.sub(r"</?(?:article|main)[^>]*>", "", r["html"] or "")).split("\n")
+        recalls.append(len(set(whole) & set(bare)) / len(set(whole)))
+        alike, n = alike + (whole == bare), n + 1
+    assert sum(recalls) / n >= 0.9 and alike / n >= 0.9
