@@ -95,31 +95,33 @@ def base_counts(w: Column, text: Column) -> dict[str, Column]:
 def language_profiles(docs: DataFrame) -> tuple[list[str], list[dict]]:
     """Profiles of the languages with PROFILE_WORDS words, and of the whole corpus (language null).
 
-    One scan of every document counts words and characters of each class by language, the latter
-    under the classes' numbers, which are no words as they hold a space. A word that has WORD_SHARE of the
+    One scan of every document counts words by language; a text's class counts travel along as one
+    more word, which no other is like as it begins with a space. A word that has WORD_SHARE of the
     whole corpus has it in some language, so the whole corpus's commonest are among the languages'
     common ones, whose counts add up. What reaches the driver are TOP_WORDS words a language.
     """
     n_classes = len(CLASSES) + 1
-    numbered = F.transform(class_counts(F.coalesce("text", F.lit(""))), lambda n, i: F.struct(F.concat(F.lit(" "), i.cast("string")).alias("word"), n.alias("n")))
-    each = F.concat(F.transform(words(F.col("text")), lambda w: F.struct(w.alias("word"), F.lit(1).cast("long").alias("n"))), numbered)
-    counted = written(docs.select("lang", F.inline(each)).groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    classes = F.concat(F.lit(" "), F.array_join(class_counts(F.coalesce("text", F.lit(""))).cast("array<string>"), " "))
+    each = F.concat(words(F.col("text")), F.array(classes))
+    counted = written(docs.select("lang", F.explode(each).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "language-words")
     is_class = F.startswith("word", F.lit(" "))
-    of_class = [F.coalesce(F.sum(F.when(F.col("word") == f" {i}", F.col("n"))), F.lit(0)).alias(f"c{i}") for i in range(n_classes)]
+    of_class = [F.coalesce(F.sum(F.when(is_class, F.col("n") * F.get(F.split("word", " "), F.lit(i + 1)).cast("long"))), F.lit(0)).alias(f"c{i}") for i in range(n_classes)]
     sums = written(counted.groupBy("lang").agg(F.coalesce(F.sum(F.when(~is_class, F.col("n"))), F.lit(0)).alias("n"), *of_class), "language-sums")
     langs = {r["lang"]: r for r in sums.filter((F.col("n") >= PROFILE_WORDS) & F.col("lang").isNotNull()).collect()}
-    # the rest of the languages are one more to count their words by
-    own = sums.select(F.when(F.col("lang").isin(list(langs)) if langs else F.lit(False), F.col("lang")).alias("own"), F.col("lang").alias("own_lang"), "n")
-    totals = own.groupBy("own").agg(F.sum("n").alias("total"))
-    of_own = written(counted.filter(~is_class).join(F.broadcast(own.select("own", "own_lang")), F.col("lang").eqNullSafe(F.col("own_lang"))).groupBy("own", "word").agg(F.sum("n").alias("n")), "language-counts")
-    shares_of = of_own.join(F.broadcast(totals.withColumnRenamed("own", "of")), F.col("own").eqNullSafe(F.col("of")))
-    common = shares_of.filter(F.col("n") >= F.greatest(F.lit(1.0), WORD_SHARE * F.col("total"))).select("own", "word", "n")
-    ranked = lambda rows, by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= TOP_WORDS)
-    top = ranked(common, ["own"]).filter(F.col("own").isNotNull()).collect()
-    whole = of_own.join(common.select("word").distinct(), "word").groupBy("word").agg(F.sum("n").alias("n"))
     every = sums.agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(n_classes)]).first()
-    least = max(1.0, WORD_SHARE * (every["n"] or 0))
-    best_of_all = whole.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()
+    # the rest of the languages are one more to count common words by
+    known = F.coalesce(F.col("lang").isin(list(langs)), F.lit(False)) if langs else F.lit(False)
+    small = counted.filter(~is_class & ~known).groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("own"), "word", "n")
+    of_own = counted.filter(~is_class & known).select(F.col("lang").alias("own"), "word", "n").unionByName(small)
+    least = F.lit(max(1.0, WORD_SHARE * ((every["n"] or 0) - sum(r["n"] for r in langs.values()))))
+    for k, r in langs.items():
+        least = F.when(F.col("own") == k, F.lit(max(1.0, WORD_SHARE * r["n"]))).otherwise(least)
+    # at most 1 / WORD_SHARE words of each, so what follows is small
+    common = written(of_own.filter(F.col("n") >= least), "language-common")
+    by = Window.partitionBy("own").orderBy(F.desc("n"), "word")
+    top = common.filter(F.col("own").isNotNull()).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= TOP_WORDS).collect()
+    whole = of_own.join(F.broadcast(common.select("word").distinct()), "word").groupBy("word").agg(F.sum("n").alias("n"))
+    best_of_all = whole.filter(F.col("n") >= max(1.0, WORD_SHARE * (every["n"] or 0))).orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()
     profiles = []
     for k, r in [*langs.items(), (None, every)]:
         n = r["n"] or 0
@@ -133,8 +135,8 @@ def language_profiles(docs: DataFrame) -> tuple[list[str], list[dict]]:
 def quality(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """Every row of ``docs`` with its counts, distances and verdict.
 
-    Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), class_distance and
-    word_distance (double; null where the text is too short to judge), base_failed and kept.
+    Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept, and
+    class_distance and word_distance (double; null where base_failed, or the text is too short to judge).
 
     * null or empty text: no words, base_failed.
     * null language, or one of fewer than PROFILE_WORDS words: judged by the whole corpus's profile.
@@ -146,13 +148,15 @@ def quality(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: fl
     langs, profiles = language_profiles(docs)
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
     keep = [c for c in docs.columns if c.lower() not in added]
-    own_text, w, classes, judge, profile, ref_classes, ref_common, ref_words = free(docs.select(*keep), "own_text", "own_words", "own_classes", "judge", "profile", "ref_classes", "ref_common", "ref_words")
+    own_text, w, judge, profile, ref_classes, ref_common, ref_words = free(docs.select(*keep), "own_text", "own_words", "judge", "profile", "ref_classes", "ref_common", "ref_words")
     refs = docs.sparkSession.createDataFrame([(p["profile"] or "", p["profile"] is None, p["classes"], p["common"], p["word_shares"]) for p in profiles], f"{profile} string, whole boolean, {ref_classes} array<double>, {ref_common} array<string>, {ref_words} array<double>")
     refs = refs.withColumn(profile, F.when(F.col("whole"), F.lit("-")).otherwise(F.concat(F.lit("+"), profile))).drop("whole")
     known = sorted({x for p in profiles for x in p["common"]})
     whole = F.col("lang").isNull() | ~F.col("lang").isin(langs) if langs else F.lit(True)
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias(own_text), F.when(whole, F.lit("-")).otherwise(F.concat(F.lit("+"), "lang")).alias(judge))
-    rows = rows.withColumn(w, words(F.col(own_text))).withColumns(base_counts(F.col(w), F.col(own_text)) | {classes: class_counts(F.col(own_text))})
+    rows = rows.withColumn(w, words(F.col(own_text))).withColumns(base_counts(F.col(w), F.col(own_text)))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rows = rows.withColumn("base_failed", failed)
     rows = rows.join(F.broadcast(refs), F.col(judge) == F.col(profile), "left")
     rest = lambda n: F.concat(n, F.array(F.col("n_words") - F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)))
     common = lambda c: let(F.transform(ref_common, lambda r: F.size(F.filter(c, lambda x: x == r)).cast("long")), rest)
@@ -161,9 +165,9 @@ def quality(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: fl
     rows = rows.select(
         *keep,
         *added[:5],
-        F.when(F.length(own_text) >= MIN_CHARS, js_distance(shares(F.col(classes)), F.col(ref_classes))).alias("class_distance"),
-        F.when(n >= MIN_WORDS, js_distance(shares(judged), F.col(ref_words))).alias("word_distance"),
-        ((n < 20) | (100 * F.col("n_repeat_words") > 30 * n)).alias("base_failed"),
+        F.when(~F.col("base_failed") & (F.length(own_text) >= MIN_CHARS), js_distance(let(class_counts(F.col(own_text)), shares), F.col(ref_classes))).alias("class_distance"),
+        F.when(~F.col("base_failed") & (n >= MIN_WORDS), js_distance(let(judged, shares), F.col(ref_words))).alias("word_distance"),
+        "base_failed",
     )
     diverges = (F.coalesce("class_distance", F.lit(0.0)) > max_class) | (F.coalesce("word_distance", F.lit(0.0)) > max_word)
     return rows.withColumn("kept", ~F.col("base_failed") & ~diverges)
