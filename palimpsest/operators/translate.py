@@ -98,11 +98,6 @@ def cache_key(source: Column, target: Column, role: Column, text: Column) -> Col
     return F.sha2(F.concat_ws("\u0001", source, target, role, protected(text)), 256)
 
 
-def distinct_items(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Each distinct key once, with its first place; a partial aggregate, so a text that repeats everywhere shuffles once a task."""
-    return df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("first"))
-
-
 def looked_up(df: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` with the other columns of ``known``, one row a key, where all keys are equal; null is equal to null."""
     other = known.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in known.columns])

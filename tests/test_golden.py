@@ -243,3 +243,15 @@ def test_failing_translator(spark):
 
     out = {r["text"]: r["translated"] for r in R.translated(items.coalesce(1), "s", "t", fails).collect()}
     assert out == {"good": "GOOD", "bad": None, "fine": "FINE"}
+
+
+def test_blocks_without_language_are_translated(spark):
+    """A null language is a language of its own, in the batch and in the memory."""
+    rows = [(1, None, "A text that is to be translated here."), (2, "de", "A text that is to be translated here."), (3, None, "12 + 3 = 15"), (4, "en", "A text that is to be translated here.")]
+    blocks = spark.createDataFrame(rows, "id long, lang string, text string")
+    out = {r["id"]: r["translated"] for r in R.translate_once(blocks, "en").collect()}
+    text = rows[0][2]
+    assert out == {1: f"[en: {text}]", 2: f"[en: {text}]", 3: "", 4: text}
+    memory = spark.createDataFrame([(None, text, "known")], "lang string, text string, translated string")
+    told = {r["id"]: (r["hit"], r["translated"]) for r in R.memory_lookup(blocks, memory, ["lang", "text"]).collect()}
+    assert told == {1: (True, "known"), 2: (False, None), 3: (False, None), 4: (False, None)}
