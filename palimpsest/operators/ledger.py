@@ -20,6 +20,11 @@ def latest(df: DataFrame, keys: list[str], order: str = "created_at", tie: str =
     return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def by_key(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key is among ``wanted``, each once; a null key is not found. A semi join, so repeated keys cost nothing."""
+    return df.join(wanted.select(*keys), keys, "left_semi")
+
+
 def file_history(files: DataFrame, tasks: DataFrame) -> DataFrame:
     """Files with their latest task, or nulls."""
     newest = latest(tasks, ["file_id"]).select("file_id", F.col("id").alias("task_id"), F.col("status").alias("task_status"), F.col("created_at").alias("task_created_at"))

@@ -31,8 +31,10 @@ def raw_text(chars: Column, size: Column) -> Column:
 
     def spaced(cs: Column) -> Column:
         gaps = F.zip_with(F.slice(cs, 1, F.greatest(F.size(cs) - 1, F.lit(0))), F.slice(cs, 2, F.greatest(F.size(cs) - 1, F.lit(0))), apart)
-        share = F.size(F.filter(gaps, lambda g: g)) / F.greatest(F.size(gaps), F.lit(1))
-        return F.array_join(F.transform(cs, lambda x, i: F.concat(F.when((i > 0) & (share <= 0.45) & F.coalesce(F.try_element_at(gaps, i), F.lit(False)), " ").otherwise(""), x["c"])), "")
+        # bound once, so that a line costs as much as it is long
+        told = F.transform(F.array(gaps), lambda g: F.struct(F.concat(F.array(F.lit(False)), g).alias("before"), (F.size(F.filter(g, lambda x: x)) / F.greatest(F.size(g), F.lit(1)) <= 0.45).alias("few")))[0]
+        joined = lambda b: F.array_join(F.zip_with(cs, b["before"], lambda x, s: F.concat(F.when(b["few"] & F.coalesce(s, F.lit(False)), " ").otherwise(""), x["c"])), "")
+        return F.transform(F.array(told), joined)[0]
 
     # index 0 is no element of an array
     shifted = lambda cs: F.transform(F.array(cs), spaced)[0]

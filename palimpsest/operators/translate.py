@@ -8,12 +8,15 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..sources.scratch import written
 from .quality import UNTRANSLATED_ROLES, flag
 
 MOST_BLOCKS, MOST_CHARS = 20, 8000
+#: Pages of a translated and of a bilingual export's batch.
+EXPORT_PAGES, BILINGUAL_EXPORT_PAGES = 100, 50
 SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
 REFERENCE = f"[{SUPERSCRIPTS}]+(?:[,.\\-–—][{SUPERSCRIPTS}]+)*"
 Translator = Callable[[list[str], str, str], list[str]]
@@ -207,6 +210,19 @@ def page_texts(df: DataFrame, page: list[str], order: str) -> DataFrame:
     return kept.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), t.alias("t")))), lambda x: x["t"]), "\n").alias("translated"))
 
 
+def export_batches(pages: DataFrame, task: list[str], order: str, size: int = EXPORT_PAGES) -> DataFrame:
+    """``batch`` of each page of a task: runs of ``size`` pages in order, numbered from 0."""
+    at = F.row_number().over(Window.partitionBy(*task).orderBy(order)) - 1
+    return pages.withColumn("batch", F.floor(at / size))
+
+
+def export_texts(pages: DataFrame, task: list[str], order: str) -> DataFrame:
+    """A row for each task and batch: how many pages, and their translated texts in order, one below the other."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order), F.col("translated"))))
+    rows = pages.groupBy(*task, "batch").agg(F.count("*").alias("pages"), parts.alias("_p"))
+    return rows.select(*task, "batch", "pages", F.array_join(F.transform("_p", lambda p: p["translated"]), "\n").alias("text"))
+
+
 def page_results(df: DataFrame, page: list[str], order: str) -> DataFrame:
     """The page document: original and translated text and the blocks, nested."""
     block = F.struct(F.col(order), "text", F.col("translated").alias("translatedText"))

@@ -44,7 +44,12 @@ def g3_rule_tables(spark: SparkSession, d: str) -> DataFrame:
 
 @add()
 def g4_aligned_tables(spark: SparkSession, d: str) -> DataFrame:
-    return G.alignment_regions(built(spark, d))
+    """Tables told by the alignment of their texts: the first letters of every line as a cell of a grid three cells wide."""
+    at = F.col("line") % 40
+    x0, y0 = 60.0 + 180.0 * (at % 3), 200.0 + 20.0 * F.floor(at / 3)
+    cells = X.layout_lines(spark, d).filter(F.trim("text") != "").withColumns({"text": F.substring("text", 1, 12), "x0": x0, "y0": y0, "x1": x0 + 100.0, "y1": y0 + 9.0, "font_size": F.lit(10.0)})
+    one = F.struct("text", "x0", "y0", "x1", "y1", "font_size")
+    return G.alignment_regions(L.flagged(cells.withColumn("lines", F.array(one)).withColumnRenamed("line", "seq")))
 
 
 @add()

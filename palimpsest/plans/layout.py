@@ -49,9 +49,10 @@ def segmented(spark: SparkSession, d: str) -> DataFrame:
     return L.segments(X.layout_lines(spark, d), RAW, "line")
 
 
-def built(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks with flags and roles."""
-    b = L.blocks_from_lines(segmented(spark, d), [*RAW, "segment"], "line")
+def built(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
+    """Blocks with flags and roles, of ``lines`` or of all lines."""
+    cut = segmented(spark, d) if lines is None else L.segments(lines, RAW, "line")
+    b = L.blocks_from_lines(cut, [*RAW, "segment"], "line")
     b = b.withColumns({"seq": F.element_at("lines", 1)["n"], "page_width": F.lit(612.0), "page_height": F.lit(792.0)})
     return L.dense_pages(L.flagged(b))
 
@@ -246,7 +247,11 @@ def j12_chart_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 @add()
 def j13_rescued_headers(spark: SparkSession, d: str) -> DataFrame:
-    return L.rescued_headers(stored(spark, d))
+    """Heads of pages that are headings of what is right below; every page gets a short line above its first column."""
+    lines = X.layout_lines(spark, d)
+    head = F.when(F.col("page_num") == 0, "Page 1").otherwise("Results overview")
+    added = lines.dropDuplicates(["doc_id", "page_num"]).withColumns({"raw": F.lit(2), "line": F.lit(9998), "text": head, "x0": F.lit(72.0), "x1": F.lit(172.0), "y0": F.lit(8.0), "y1": F.lit(18.0), "font_size": F.lit(10.0)})
+    return L.rescued_headers(written(built(spark, d, lines.unionByName(added)), "blocks"))
 
 
 @add()

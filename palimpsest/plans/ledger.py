@@ -21,9 +21,11 @@ def sql_limit(plan: str, which: int) -> str:
     return f"CASE {plan} " + " ".join(f"WHEN '{k}' THEN {v[which]}" for k, v in P.LIMITS.items()) + " END"
 
 
-@add("SELECT id, plan, subscription_status, period_start FROM users WHERE id = '7'", "users")
+@add("SELECT id, plan, subscription_status, period_start FROM users WHERE id IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT')", "users")
 def s1_user_by_key(spark: SparkSession, d: str) -> DataFrame:
-    return X.users(spark, d).filter(F.col("id") == "7")
+    """The users who have an urgent order, looked up by key."""
+    urgent = X.table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
+    return L.by_key(X.users(spark, d), urgent.select(F.col("o_custkey").cast("string").alias("id")), ["id"])
 
 
 @add(

@@ -35,11 +35,12 @@ def w7_reference_markers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @add(
-    "SELECT doc_id, page_num, raw, line, CASE WHEN length(text) > 7 AND regexp_matches(text, '^[a-z]+$') THEN rtrim(regexp_replace(text, '([a-z]{7})', '\\1 ', 'g')) ELSE text END AS text FROM layout_lines WHERE regexp_matches(text, '^[a-z]+$') AND length(text) > 2",
+    "SELECT doc_id, page_num, raw, line, array_to_string(list_transform(parts, lambda p, i: CASE WHEN i > 1 AND regexp_matches(p, '^[\\p{L}\\p{N}''’]') AND regexp_matches(parts[i - 1], '[\\p{L}\\p{N}''’]$') THEN concat(' ', p) ELSE p END), '') AS text FROM (SELECT *, regexp_extract_all(text, '(?s).{1,7}') AS parts FROM layout_lines)",
     "layout_lines",
 )
 def w8_missing_spaces(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.layout_lines(spark, d).filter(F.col("text").rlike("^[a-z]+$") & (F.length("text") > 2))
+    """Every line, its characters set apart after each seventh: a space where two word characters meet there."""
+    rows = X.layout_lines(spark, d)
     return rows.select(*KEYS, P.raw_text(chars(F.col("text"), F.col("x0")), F.col("font_size")).alias("text"))
 
 

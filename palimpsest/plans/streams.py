@@ -45,12 +45,12 @@ def st2_subscription_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @add()
 def st3_quota_with_releases(spark: SparkSession, d: str) -> DataFrame:
-    """Views, clicks and purchases reserve pages, errors release them."""
+    """Views, clicks and purchases reserve pages, errors release them; every third user has no limit, every second used a page before."""
     e = S.read_stream(spark, d).filter(F.col("event_type").isin("view", "click", "purchase", "error"))
     k = F.get_json_object("props", "$.k").cast("int") % 10
     action = F.when(F.col("event_type") == "error", "release").otherwise("reserve")
-    asked = e.select("event_id", "ts", "user_id", F.concat_ws(":", "user_id", k).alias("key"), action.alias("action"))
-    return S.run(S.quota_stream(asked, 5), "append", "st3").select("event_id", "user_id", "admitted")
+    asked = e.select("event_id", "ts", "user_id", F.concat_ws(":", "user_id", k).alias("key"), action.alias("action"), F.date_format("ts", "yyyy-MM").alias("period"), F.when(F.col("user_id") % 3 != 0, 5).alias("quota"), (F.col("user_id") % 2).cast("int").alias("base"))
+    return S.run(S.quota_stream(asked), "append", "st3").select("event_id", "user_id", "admitted")
 
 
 @add("SELECT user_id, date_trunc('month', ts)::TIMESTAMP AS month, count(*) AS units FROM events GROUP BY ALL")

@@ -9,6 +9,8 @@ from ..functions import text as T
 from ..operators import quality as Q
 from ..operators import translate as R
 from ..sources import fixtures as X
+from ..sources import pages as G
+from ..sources.scratch import new_path
 from .catalog import Catalog
 
 catalog = Catalog()
@@ -228,10 +230,20 @@ def s8_bilingual_text(spark: SparkSession, d: str) -> DataFrame:
 
 @add("SELECT task_id, page_number, (row_number() OVER (PARTITION BY task_id ORDER BY page_number) - 1) // 2 AS batch FROM task_pages", "task_pages")
 def s9_export_batches(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
+    return R.export_batches(X.task_pages(spark, d), ["task_id"], "page_number", 2).select("task_id", "page_number", "batch")
+
 
-    at = F.row_number().over(Window.partitionBy("task_id").orderBy("page_number")) - 1
-    return X.task_pages(spark, d).select("task_id", "page_number", F.floor(at / 2).alias("batch"))
+@add(
+    """SELECT doc_id::VARCHAR AS task_id, batch, count(*) AS pages, string_agg(translated, chr(10) ORDER BY page_num) AS text FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY page_num) - 1) // 2 AS batch FROM (
+ SELECT doc_id, page_num, string_agg(trim(translated), chr(10) ORDER BY block_index) AS translated FROM quality_pairs WHERE trim(translated) <> '' GROUP BY doc_id, page_num)) GROUP BY doc_id, batch""",
+    "quality_pairs",
+)
+def s9_written_exports(spark: SparkSession, d: str) -> DataFrame:
+    """Page texts of every document in batches of two pages, written as exports and read back."""
+    pages = R.page_texts(X.quality_pairs(spark, d), ["doc_id", "page_num"], "block_index").withColumn("task_id", F.col("doc_id").cast("string"))
+    path = new_path(spark, "exports")
+    G.write_export(R.export_texts(R.export_batches(pages, ["task_id"], "page_num", 2), ["task_id"], "page_num"), path)
+    return G.read_export(spark, path)
 
 
 GLYPHS = "len(regexp_extract_all(translated, '\\?'))"
@@ -373,10 +385,11 @@ def number_keys_of(b: DataFrame) -> DataFrame:
     return b.select(*KEYS, (F.size(T.numeric_tokens(F.col("text"))) > 0).alias("has_percent"), (F.size(T.lost_numbers(F.col("text"), reply)) == 0).alias("kept"))
 
 
-@add("SELECT doc_id, block_index, contains(text, '%') AND regexp_matches(text, '[0-9] ?%|% ?[0-9]') AS has_percent, block_index % 2 = 0 AS kept FROM blocks WHERE regexp_matches(text, '(^|[^0-9.,<>=%-])[0-9]{1,2} ?%($|[^0-9%])') AND len(regexp_extract_all(text, '%')) = 1 AND NOT regexp_matches(text, '[<>=≤≥-]')", "blocks")
+@add("SELECT doc_id, block_index, block_index % 3 < 2 AS has_percent, block_index % 2 = 0 OR block_index % 3 = 2 AS kept FROM blocks", "blocks")
 def u3_number_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Percentages of a block, looked up among the keys of a translation that has them in every second block."""
-    b = blocks(spark, d).filter(F.col("text").rlike("(^|[^0-9.,<>=%-])[0-9]{1,2} ?%($|[^0-9%])") & (F.regexp_count("text", F.lit("%")) == 1) & ~F.col("text").rlike("[<>=≤≥-]"))
+    """Every block with its own numbers replaced by a percentage, a range or none, looked up among the keys of a translation that has them in every second block."""
+    given = X.cases(F.col("block_index") % 3, {0: " 12 %", 1: " 3-5"}, "")
+    b = blocks(spark, d).withColumn("text", F.concat(F.regexp_replace("text", "[\\p{N}%<>=≤≥]", ""), given))
     return number_keys_of(b)
 
 

@@ -34,12 +34,16 @@ def blocks_of(pages: DataFrame) -> DataFrame:
     return rows.select("task_id", "page_num", "seq", "b.type", "b.text", F.col("b.translatedText").alias("translated"), *[F.col(f"b.bbox.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")], "b.font_size", "b.layout_role", "b.is_header_footer_metadata", "b.is_formula", "b.is_chart_text", "b.is_table_text")
 
 
-def write_task_results(results: DataFrame, path: str) -> None:
-    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task_id").json(path)
+def write_task_results(results: DataFrame, path: str, version: int) -> None:
+    """Results of some tasks as one version of the data set; writing a version again, as after a failure, replaces it."""
+    results.withColumn("version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").json(path)
 
 
 def read_task_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema(TASK_RESULT).add("task_id", "string")).json(path)
+    """The newest result of each task."""
+    fields = schema(TASK_RESULT)
+    rows = spark.read.schema(schema(TASK_RESULT).add("task_id", "string").add("version", "integer")).json(path)
+    return rows.groupBy("task_id").agg(F.max_by(F.struct(*fields.names), "version").alias("r")).select("task_id", "r.*")
 
 
 def without_stale_exports(exports: DataFrame, results: DataFrame) -> DataFrame:
@@ -56,8 +60,12 @@ def read_report(spark: SparkSession, path: str, task: str = "task_id string") ->
 
 
 def write_export(texts: DataFrame, path: str) -> None:
-    """Text exports (task_id, batch, text), a folder for each task and batch."""
-    texts.repartition("task_id", "batch").write.mode("overwrite").partitionBy("task_id", "batch").text(path)
+    """Text exports (task_id, batch, pages, text), many tasks to a file."""
+    texts.write.mode("overwrite").json(path)
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("task_id string, batch long, pages long, text string").json(path)
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ failure replaces itself; readers take the union, or the latest row of a key.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -110,25 +111,30 @@ def subscription_stream(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(update, SUBSCRIPTION, "state string", "update", GroupStateTimeout.NoTimeout)
 
 
-def quota_stream(requests: DataFrame, quota: int) -> DataFrame:
-    """Reservations of (task, page) keys with releases; ``requests``: event_id, ts, user_id, key, action.
+def quota_stream(requests: DataFrame) -> DataFrame:
+    """Reservations of (task, page) keys with releases; ``requests``: event_id, ts, user_id, key, action, period, quota, base.
 
-    A key held already is admitted free; a new one while fewer than ``quota`` are held; a release gives
-    one back. State is a user's held keys, at most ``quota`` of them.
+    A key held already is admitted free, in whatever period it was reserved; a new one while the keys held
+    of its period and ``base``, what was used before the stream began, are fewer than ``quota`` (null or not
+    positive: no limit). A release gives one back. State is the keys a user holds, as the ledger has them.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = set(json.loads(state.get[0])) if state.exists else set()
+        held = json.loads(state.get[0]) if state.exists else {}
+        used = Counter(held.values())
         rows = []
         for r in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples(index=False):
             if r.action == "release":
-                held.discard(r.key)
+                gone = held.pop(r.key, None)
+                used[gone] -= 1
                 continue
-            admitted = r.key in held or len(held) < quota
-            if admitted:
-                held.add(r.key)
+            free = pd.isna(r.quota) or r.quota <= 0 or used[r.period] + (0 if pd.isna(r.base) else r.base) < r.quota
+            admitted = bool(r.key in held or free)
+            if admitted and r.key not in held:
+                held[r.key] = r.period
+                used[r.period] += 1
             rows.append((r.event_id, key[0], admitted))
-        state.update((json.dumps(sorted(held)),))
+        state.update((json.dumps(held),))
         yield pd.DataFrame(rows, columns=["event_id", "user_id", "admitted"])
 
     return requests.groupBy("user_id").applyInPandasWithState(update, "event_id long, user_id long, admitted boolean", "held string", "append", GroupStateTimeout.NoTimeout)

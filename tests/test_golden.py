@@ -157,6 +157,49 @@ def test_columns(spark):
     assert [r["seq"] for r in L.reading_order(two_columns(spark)).orderBy("rank").collect()] == [0, 1, 2, 3]
 
 
+def test_alignment(spark):
+    lines = [(0, "short", 250.0, 300.0, 362.0, 310.0, 10.0), (1, "also short", 246.0, 312.0, 366.0, 322.0, 10.0)]
+    centred = (*block(0, "short also short", 246.0, 300.0, 366.0, 322.0)[:-1], lines)
+    left = (*block(1, "one two", 60.0, 300.0, 160.0, 322.0)[:-1], [(0, "one", 60.0, 300.0, 90.0, 310.0, 10.0), (1, "two", 60.0, 312.0, 160.0, 322.0, 10.0)])
+    right = block(2, "12", 540.0, 400.0, 600.0, 410.0)
+    rows = flagged(spark, [centred, left, right, block(3, "a body line", 246.0, 500.0, 366.0, 510.0)]).withColumn("layout_role", F.when(F.col("seq") == 2, "marginalia").otherwise("body"))
+    assert {r["seq"]: r["a"] for r in rows.select("seq", L.alignment().alias("a")).collect()} == {0: "center", 1: "left", 2: "right", 3: "left"}
+
+
+def test_attribution_and_compact_heading(spark):
+    rows = [block(0, "Designed by Ada + Grace + Edsger", 200.0, 600.0, 400.0, 612.0, page=0), block(1, "Designed by Ada + Grace + Edsger", 200.0, 600.0, 400.0, 612.0), block(2, "A Large Heading", 100.0, 300.0, 300.0, 320.0, 18.0), block(3, "A large sentence that stops.", 100.0, 340.0, 300.0, 360.0, 18.0)]
+    out = {r["seq"]: r for r in flagged(spark, rows).withColumn("compact", L.compact_heading()).collect()}
+    assert {k: r["is_attribution"] for k, r in out.items()} == {0: True, 1: False, 2: False, 3: False}
+    assert out[0]["layout_role"] == "metadata" and (out[2]["compact"], out[3]["compact"]) == (True, False)
+
+
+def test_rescued_headers(spark):
+    """The heading right above the text is one; the one far above, and the page number elsewhere, are not."""
+    rows = [
+        block(0, "Results overview", 72.0, 8.0, 172.0, 18.0), block(1, "A paragraph of text that is below the heading", 72.0, 22.0, 540.0, 32.0),
+        block(2, "Page 2", 500.0, 8.0, 540.0, 18.0), block(3, "Other matters", 72.0, 8.0, 172.0, 18.0, page=2), block(4, "A paragraph that is far below the line above it", 72.0, 60.0, 540.0, 70.0, page=2),
+    ]
+    heads = flagged(spark, rows)
+    assert {r["seq"] for r in heads.filter("is_header_footer").collect()} == {0, 2, 3}
+    assert [r["seq"] for r in L.rescued_headers(heads).collect()] == [0]
+
+
+def test_chart_seeds(spark):
+    graphic = spark.createDataFrame([(1, 1, 100.0, 100.0, 400.0, 300.0, 612.0), (1, 2, 100.0, 100.0, 150.0, 300.0, 612.0)], "doc_id long, page_num int, x0 double, y0 double, x1 double, y1 double, page_width double")
+    rows = [block(0, "20", 120.0, 120.0, 130.0, 126.0, 6.0), block(1, "Words of a body text that lie on the chart but are large", 120.0, 140.0, 380.0, 150.0, 11.0), block(2, "20", 500.0, 120.0, 510.0, 126.0, 6.0), block(3, "20", 120.0, 120.0, 130.0, 126.0, 6.0, page=2)]
+    plain = flagged(spark, rows).withColumns({"is_header_footer": F.lit(False), "is_formula": F.lit(False)})
+    assert [r["seq"] for r in L.chart_seeds(plain, graphic).collect()] == [0]
+
+
+def test_inline_graphics(spark):
+    """An image of a line's size at a first line is inline; a large one, and one at the second line, are not."""
+    lines = [(0, "first line", 100.0, 200.0, 300.0, 210.0, 10.0), (1, "second line", 100.0, 230.0, 300.0, 240.0, 10.0)]
+    text = (*block(0, "first line second line", 100.0, 200.0, 300.0, 240.0)[:-1], lines)
+    boxes = [("inline", 90.0, 200.0, 100.0, 210.0), ("large", 90.0, 200.0, 190.0, 300.0), ("below", 120.0, 230.0, 130.0, 240.0)]
+    images = spark.createDataFrame([(1, 1, *b) for b in boxes], "doc_id long, page_num int, image string, x0 double, y0 double, x1 double, y1 double")
+    assert [(r["image"], r["seq"]) for r in L.inline_graphics(images, flagged(spark, [text])).collect()] == [("inline", 0)]
+
+
 def test_table_overlap(spark):
     boxes = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 100.0, 10.0), (1, 1, 1, 0.0, 20.0, 100.0, 30.0)], "doc_id long, page_num int, seq int, x0 double, y0 double, x1 double, y1 double")
     region = spark.createDataFrame([(1, 1, 30.0, 0.0, 70.0, 12.0), (1, 1, 35.0, 20.0, 65.0, 31.0)], "doc_id long, page_num int, x0 double, y0 double, x1 double, y1 double")
@@ -226,10 +269,10 @@ def test_subscription_rules(spark):
 
 def test_quota_release(spark, tmp_path):
     t = [datetime.datetime(2024, 1, 1, i) for i in range(4)]
-    rows = [(1, t[0], 1, "k1", "reserve"), (2, t[1], 1, "k2", "reserve"), (3, t[2], 1, "k1", "release"), (4, t[3], 1, "k2", "reserve")]
-    schema = "event_id long, ts timestamp, user_id long, key string, action string"
+    rows = [(i, t[i - 1], 1, key, action, "2024-01", 1, 0) for i, key, action in [(1, "k1", "reserve"), (2, "k2", "reserve"), (3, "k1", "release"), (4, "k2", "reserve")]]
+    schema = "event_id long, ts timestamp, user_id long, key string, action string, period string, quota int, base int"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = ST.run(ST.quota_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 1), "append", "quota")
+    out = ST.run(ST.quota_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), "append", "quota")
     assert {r["event_id"]: r["admitted"] for r in out.collect()} == {1: True, 2: False, 4: True}
 
 
