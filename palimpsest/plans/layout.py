@@ -254,7 +254,14 @@ def j13_rescued_headers(spark: SparkSession, d: str) -> DataFrame:
     return L.rescued_headers(written(built(spark, d, lines.unionByName(added)), "blocks"))
 
 
-@add()
+@add(
+    f""", b AS (SELECT l.doc_id, l.page_num, l.raw, segment, min(line) AS seq, min(x0) AS b0, max(x1) AS b1, min(y0) AS t0, max(y1) AS t1, max(font_size) AS f, arg_min(y0, line) FILTER ({norm("text")} <> '') AS l0, arg_min(y1, line) FILTER ({norm("text")} <> '') AS l1
+  FROM layout_lines l JOIN ({SEGMENTS}) s USING (doc_id, page_num, raw, line) GROUP BY l.doc_id, l.page_num, l.raw, segment HAVING bool_or({norm("text")} <> ''))
+ SELECT i.doc_id, i.page_num, concat(i.line, ':', i.span) AS image, b.seq FROM spans i JOIN b ON i.doc_id = b.doc_id AND i.page_num = b.page_num AND b1 > b0 AND t1 > t0 AND l1 > l0
+  AND b0 - greatest(f * {d(1.2)}, 8) < i.x1 AND i.x0 < b1 + greatest(f * {d(1.2)}, 8) AND l0 - greatest(f * {d(0.45)}, 4) < i.y1 AND i.y0 < l1 + greatest(f * {d(0.45)}, 4)
+  AND least(i.x1 - i.x0, i.y1 - i.y0) >= greatest(f * {d(0.35)}, 5) AND greatest(i.x1 - i.x0, i.y1 - i.y0) <= greatest(f * {d(3.8)}, 54) AND (i.x0 + i.x1) / 2 BETWEEN b0 - greatest(f, 8) AND b1 + greatest(f, 8) WHERE i.span % 9 = 0 AND length(i.text) > 1""",
+    "spans",
+)
 def j16_inline_graphics(spark: SparkSession, d: str) -> DataFrame:
     """Every ninth span's box as a small image, against the blocks' first lines."""
     images = X.spans(spark, d).filter((F.col("span") % 9 == 0) & (F.length("text") > 1)).select("doc_id", "page_num", F.concat_ws(":", "line", "span").alias("image"), "x0", "y0", "x1", "y1")
