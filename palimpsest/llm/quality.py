@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import free, let, words, written
+from .shared import free, let, scope, words, written
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -145,7 +145,8 @@ def quality(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: fl
     * repeated rows: each is judged by itself. Empty table: empty result.
     * columns of ``docs`` with a name this adds are replaced.
     """
-    langs, profiles = language_profiles(docs)
+    with scope(docs.sparkSession):
+        langs, profiles = language_profiles(docs)
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
     keep = [c for c in docs.columns if c.lower() not in added]
     own_text, w, judge, profile, ref_classes, ref_common, ref_words = free(docs.select(*keep), "own_text", "own_words", "judge", "profile", "ref_classes", "ref_common", "ref_words")

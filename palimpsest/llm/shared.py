@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import new_path, written
+from ..sources.scratch import new_path, scope, written
 
-__all__ = ["SPACE", "free", "let", "new_path", "table", "words", "written"]
+__all__ = ["SPACE", "free", "let", "new_path", "scope", "table", "words", "written"]
 
 #: Separators of words: space and the control characters TAB to CR.
 SPACE = "[\\x09-\\x0D\\x20]+"

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mixed
-from .shared import written
+from .shared import scope, written
 
 MAX_BITS = 2
 SHINGLE = 3
@@ -149,12 +149,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classed(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``keep``, fp, label (a fingerprint that names the class) and component_id for every row of ``docs``."""
-    own = written(fingerprints(docs, shingle, keep), "simhash-fps")
-    least = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    linked = components(links(least.select("fp")))
-    labels = written(least.join(linked, least["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "simhash-classes")
-    tops = written(labels.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-tops")
-    by_fp = written(labels.join(tops, "label").select("fp", "label", "component_id"), "simhash-by-fp")
+    with scope(docs.sparkSession):
+        own = written(fingerprints(docs, shingle, keep), "simhash-fps", lasting=True)
+        least = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+        linked = components(links(least.select("fp")))
+        labels = written(least.join(linked, least["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "simhash-classes")
+        tops = written(labels.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-tops")
+        by_fp = written(labels.join(tops, "label").select("fp", "label", "component_id"), "simhash-by-fp", lasting=True)
     return own.join(by_fp, "fp").select("doc_id", *keep, "fp", "label", "component_id")
 
 
@@ -186,12 +187,19 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat the kept row, doc_id and text, count once. Empty table: empty result.
     """
     hashed = packed(docs)
-    return first_of_each(hashed, classed(hashed, keep=("hash",)))
+    with scope(docs.sparkSession):
+        kept = first_ids(classed(hashed, keep=("hash",)))
+    return first_rows(hashed, kept)
 
 
-def first_of_each(hashed: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The rows in ``hashed`` (from ``packed``) that ``one_of_each`` keeps of the classes (doc_id, hash, label) of ``labelled``."""
+def first_ids(labelled: DataFrame) -> DataFrame:
+    """kept_id and kept_hash of the rows that ``one_of_each`` keeps of the classes (doc_id, hash, label) of ``labelled``, as a lasting table."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    kept = written(labelled.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.hash").alias("kept_hash")), "simhash-kept")
+    firsts = labelled.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.hash").alias("kept_hash"))
+    return written(firsts, "simhash-kept", lasting=True)
+
+
+def first_rows(hashed: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows in ``hashed`` (from ``packed``) that ``kept`` (from ``first_ids``) names."""
     rows = hashed.drop("text").join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
     return rows.dropDuplicates(["doc_id", "hash"]).select("row.*")
