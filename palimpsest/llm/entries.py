@@ -9,9 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, lengths, mixing, ngrams, pii, simhash, sql, substrings, tokenfile
+from . import conversations, decontaminate, html, lengths, mixing, negatives, ngrams, pii, simhash, sql, substrings, tokenfile, topk
 from .quality import quality
-from .shared import new_path, table
+from .shared import new_path, only, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.hits(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of every row whose vec_id is divisible by 20; nulls, ties, repeats, empty tables: as ``topk.top_k`` says."""
+    rows = only(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(rows, "embedding", F.col("vec_id") % 20 == 0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each conv_id of the damaged table; nulls, ties, empty conversations and tables: as ``conversations.report`` says."""
+    rows = only(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return conversations.report(*conversations.damaged(rows))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every anchor, a vec_id divisible by 100; nulls, ties, repeats, empty tables: as ``negatives.hard_negatives`` says."""
+    rows = only(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows, "embedding", label, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -96,6 +115,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_html_extraction": op9_html_extraction,
         "op10_decontamination": op10_decontamination,
+        "op11_topk_search": op11_topk_search,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -104,4 +126,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": sql.QUALITY,
         "op6_substring_dedup": sql.SUBSTRINGS,
         "op10_decontamination": sql.LEAKS,
+        "op11_topk_search": sql.TOP_K,
+        "op12_conversation_repair": sql.REPAIR,
+        "op13_hard_negatives": sql.NEGATIVES,
     }

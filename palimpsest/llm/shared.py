@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, scope, written
 
-__all__ = ["SPACE", "free", "let", "new_path", "scope", "table", "words", "written"]
+__all__ = ["SPACE", "free", "let", "new_path", "only", "scope", "table", "words", "written"]
 
 #: Separators of words: space and the control characters TAB to CR.
 SPACE = "[\\x09-\\x0D\\x20]+"
@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of just these names, whatever others there are: with dots, or of the same letters in another case."""
+    at = [df.columns.index(n) for n in names]
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)])
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """Column names for own use, one for each of ``names``, none of which ``df`` has (in any case)."""
     taken = {c.lower() for c in df.columns}

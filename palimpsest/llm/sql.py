@@ -55,3 +55,50 @@ judged AS (SELECT b.*, CASE WHEN length(t) >= {Q.MIN_CHARS} THEN {distance("list
 SELECT doc_id, n AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat AS BIGINT) AS n_repeat_words, n < 20 OR 100 * n_repeat > 30 * n AS base_failed,
  NOT (n < 20 OR 100 * n_repeat > 30 * n) AND coalesce(dc, 0) <= {Q.MAX_CLASS_DISTANCE}::DOUBLE AND coalesce(dw, 0) <= {Q.MAX_WORD_DISTANCE}::DOUBLE AS kept FROM judged"""
+
+
+def scaled(scale: int, more: str = "") -> str:
+    """The rows of embeddings that take part, their vectors in whole numbers."""
+    return f"""v AS (SELECT row_number() OVER () AS k, vec_id{more}, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+#: op11: the 20 best of each row whose vec_id is divisible by 20.
+TOP_K = f"""WITH {scaled(64)},
+s AS (SELECT q.k AS q, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.k <> c.k WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id, score FROM s WINDOW o AS (PARTITION BY q ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 20"""
+
+#: op13: positives of each anchor, then the negatives of each positive's window.
+NEGATIVES = f"""WITH {scaled(256, ", CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label").rstrip(")")} AND label IS NOT NULL),
+s AS (SELECT a.k AS a, a.vec_id AS anchor_id, c.k AS c, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score FROM v a JOIN v c ON a.k <> c.k WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT s.same AND 100 * s.score BETWEEN 30 * p.score AND 90 * p.score WINDOW o AS (PARTITION BY p.a, p.c ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER o <= 10"""
+
+NEXT = "CASE WHEN {0} = 2 THEN 3 ELSE 2 END"
+NAME = "CASE WHEN {0} = 3 THEN 'assistant' ELSE 'user' END"
+
+#: op12: states 0 (start), 1 (system), 2 (user), 3 (assistant); of each conversation, row and state the cheapest edits, least audit.
+REPAIR = f"""WITH RECURSIVE tab AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) x(i)),
+damage AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+ xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS d FROM conversations, tab),
+r AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM damage, range(2) x(n) WHERE d <> 0 AND (n = 0 OR d = 3)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, CASE WHEN role = '' THEN ' ' ELSE left(role, 1) END AS ini, right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS z FROM r),
+f AS (SELECT *, CASE WHEN z = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN z NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM n),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS m FROM f GROUP BY conv_id),
+ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+rows AS (SELECT c, i, fault, ini, role, text FROM f JOIN ids ON f.conv_id IS NOT DISTINCT FROM ids.conv_id),
+dp AS (SELECT c, 0::BIGINT AS i, 0 AS st, 0::BIGINT AS cost, '' AS audit, '' AS said FROM ids
+ UNION ALL
+ SELECT c, i, w.st, w.cost, w.audit, w.said FROM (
+  SELECT c, i, unnest([{{'st': st, 'cost': cost + 3, 'audit': audit || 'D', 'said': said}},
+    {{'st': CASE WHEN st = 0 AND ini = 's' THEN 1 WHEN st <> 2 AND ini = 'u' THEN 2 WHEN st = 2 AND ini = 'a' THEN 3 END, 'cost': cost + t, 'audit': audit || 'K', 'said': said || role || ':' || text || chr(10)}},
+    {{'st': {NEXT.format("st")}, 'cost': cost + 2 + t, 'audit': audit || 'R', 'said': said || {NAME.format(f"({NEXT.format('st')})")} || ':' || text || chr(10)}}]) AS w, unnest(['D', 'K', 'R']) AS edit, fault
+  FROM (SELECT dp.c, rows.i, fault, ini, role, text, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS t, CASE WHEN j = 0 THEN st WHEN j = 1 THEN {NEXT.format("st")} WHEN st = 2 THEN 2 ELSE 3 END AS st, cost + 2 * j AS cost, audit || repeat('I', j) AS audit,
+    said || CASE WHEN j > 0 THEN {NAME.format(f"({NEXT.format('st')})")} || ':' || chr(10) ELSE '' END || CASE WHEN j > 1 THEN CASE WHEN st = 2 THEN 'user:' ELSE 'assistant:' END || chr(10) ELSE '' END AS said
+   FROM dp JOIN rows ON dp.c = rows.c AND rows.i = dp.i + 1, (SELECT unnest([0, 1, 2]) AS j)))
+ WHERE w.st IS NOT NULL AND (edit = 'D' OR fault NOT IN ('b', 'd')) QUALIFY row_number() OVER (PARTITION BY c, i, w.st ORDER BY w.cost, w.audit) = 1),
+ended AS (SELECT c, cost + CASE st WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END AS cost, audit || CASE st WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit, said || CASE st WHEN 1 THEN 'user:' || chr(10) || 'assistant:' || chr(10) WHEN 2 THEN 'assistant:' || chr(10) ELSE '' END AS said
+ FROM dp JOIN ids USING (c) LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM ids.conv_id WHERE i = coalesce(m, 0) QUALIFY row_number() OVER (PARTITION BY c ORDER BY cost + CASE st WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END, audit || CASE st WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END) = 1)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost, audit, sha256(CASE WHEN said = '' THEN '' ELSE left(said, length(said) - 1) END) AS repaired_sha256
+FROM ended JOIN ids USING (c) LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM ids.conv_id"""
