@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.keyed import KeyedTable
 from ..sources.scratch import written
 from .quality import UNTRANSLATED_ROLES, flag
 
@@ -188,19 +189,58 @@ def mock(text: Column, source: Column, target: Column) -> Column:
     return F.when(source.eqNullSafe(target), text).otherwise(F.concat(F.lit("["), F.coalesce(target, F.lit("")), F.lit(": "), text, F.lit("]")))
 
 
-def translate_once(blocks: DataFrame, target: str, translate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+#: Columns of a translation memory, and what its hash is of.
+ITEM = ["lang", "target", "role", "text"]
+MEMORY = "key string, lang string, target string, role string, text string, translated string"
+
+
+def memory(spark: SparkSession, path: str) -> KeyedTable:
+    """A translation memory that lives between runs: a row for each (source, target, role, text with protected markers), by its hash."""
+    return KeyedTable(spark, path, MEMORY, ("key",))
+
+
+def from_memory(items: DataFrame, known: KeyedTable) -> DataFrame:
+    """Distinct ``items`` with their key, ``translated`` as far as it is known, and ``hit``."""
+    keyed = items.withColumn("key", F.sha2(F.concat_ws("\u0001", *ITEM), 256))
+    found = known.lookup(keyed.withColumnsRenamed({c: f"_{c}" for c in ITEM}))
+    # the four values decide, the hash only finds them
+    same = reduce(lambda x, y: x & y, [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in ITEM])
+    return found.select("key", *[F.col(f"_{c}").alias(c) for c in ITEM], F.when(same, F.col("translated")).alias("translated"), (F.col("hit") & same).alias("hit"))
+
+
+def translate_once(
+    blocks: DataFrame, target: str, translate: Callable[[DataFrame], DataFrame] | None = None, known: KeyedTable | None = None, batch: str | None = None
+) -> DataFrame:
     """Every block with its translation: each distinct (language, role, text) is translated once and joined back.
 
-    ``translate`` maps distinct items (lang, target, role, text) to the same rows with ``translated``;
-    default: the mock. Blocks that are not for translation get an empty text, failed ones their source.
+    ``translate`` maps distinct items (lang, target, role, text with protected markers) to the same rows with
+    ``translated``; default: the mock. Blocks that are not for translation get an empty text, failed ones their source.
+    With a memory ``known``, only items that it lacks are translated, and those that succeed are added to it as ``batch``:
+    a run that breaks off, and is made again under the same name, leaves what one run leaves.
     """
     # the rules on texts are dear: what they say is stored, as both sides of the join read it
-    marked = written(blocks.withColumns({"_go": translatable(blocks), "role": role(blocks), "target": F.lit(target)}), "translate-marked")
-    keys = ["lang", "target", "role", "text"]
-    items = marked.filter("_go").select(*keys).distinct()
-    done = translate(items) if translate else items.withColumn("translated", mock(F.col("text"), F.col("lang"), F.col("target")))
-    out = F.when(~F.col("_go"), "").otherwise(F.coalesce("_done", "text"))
-    return looked_up(marked, done.select(*keys, F.col("translated").alias("_done")), keys).withColumn("translated", out).drop("_go", "_done")
+    item = {"_go": translatable(blocks), "role": role(blocks), "target": F.lit(target), "_text": protected(F.col("text"))}
+    marked = blocks.withColumns(item).withColumn("_hash", F.xxhash64("lang", "role", "_text"))
+    marked = written(marked, "translate-marked")
+    items = marked.filter("_go").select("lang", "target", "role", F.col("_text").alias("text")).distinct()
+    done = translate or (lambda rows: rows.withColumn("translated", mock(F.col("text"), F.col("lang"), F.col("target"))))
+    if known is None:
+        told = done(items)
+    else:
+        if batch is None:
+            raise ValueError("a memory takes what is new as a named batch")
+        looked = written(from_memory(items, known), "translate-known")
+        fresh = written(done(looked.filter(~F.col("hit")).select(*ITEM)), "translate-fresh")
+        new = fresh.filter(F.col("translated").isNotNull()).withColumn("key", F.sha2(F.concat_ws("\u0001", *ITEM), 256))
+        # a batch replaces itself: what it added before stays in it
+        known.add(written(new.unionByName(known.batch(batch)), "translate-added"), batch)
+        told = looked.filter("hit").select(*ITEM, "translated").unionByName(fresh.select(*ITEM, "translated"))
+    # joined by a hash of the item; its values are compared where hashes meet
+    told = told.select(F.xxhash64("lang", "role", "text").alias("_of"), F.col("lang").alias("_l"), F.col("role").alias("_r"), F.col("text").alias("_t"), F.col("translated").alias("_done"))
+    on = (F.col("_hash") == F.col("_of")) & F.col("_go") & F.col("lang").eqNullSafe(F.col("_l")) & F.col("role").eqNullSafe(F.col("_r")) & F.col("_text").eqNullSafe(F.col("_t"))
+    back = F.when(F.col("text").rlike(f"[{SUPERSCRIPTS}]"), restored(F.col("_done"), F.col("text"))).otherwise(F.col("_done"))
+    out = F.when(~F.col("_go"), "").otherwise(F.coalesce(back, "text"))
+    return marked.join(told, on, "left").withColumn("translated", out).drop("_go", "_done", "_text", "_hash", "_of", "_l", "_r", "_t")
 
 
 def page_texts(df: DataFrame, page: list[str], order: str) -> DataFrame:

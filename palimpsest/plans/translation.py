@@ -150,13 +150,28 @@ def u2_distinct_items(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("lang", "role", "text").agg(F.count("*").alias("places"), F.min("doc_id").alias("first_doc"))
 
 
-@add(f"SELECT b.lang, count(*) AS blocks, count(m.text) AS hits, count(*) - count(m.text) AS misses FROM (SELECT DISTINCT lang, text FROM blocks WHERE {GO}) b LEFT JOIN (SELECT DISTINCT lang, text FROM blocks WHERE doc_id % 3 = 0) m ON m.lang = b.lang AND m.text = b.text GROUP BY b.lang", "blocks")
+ITEMS = f"SELECT DISTINCT doc_id, lang, {ROLE} AS role, text FROM blocks WHERE {GO}"
+
+
+@add(f"SELECT b.lang, b.role, count(*) AS items, count(m.text) AS hits, count(*) - count(m.text) AS misses FROM (SELECT DISTINCT lang, role, text FROM ({ITEMS})) b LEFT JOIN (SELECT DISTINCT lang, role, text FROM ({ITEMS}) WHERE doc_id % 3 = 0) m ON m.lang = b.lang AND m.role = b.role AND m.text = b.text GROUP BY ALL", "blocks")
 def j3_translation_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Every third document is translated into a memory, then all items are looked up in it by source, target, role and text."""
+    b = blocks(spark, d)
+    known = R.memory(spark, new_path(spark, "memory"))
+    R.translate_once(b.filter(F.col("doc_id") % 3 == 0), "zh", known=known, batch="first")
+    items = b.filter(R.translatable(b)).select("lang", F.lit("zh").alias("target"), R.role(b).alias("role"), R.protected(F.col("text")).alias("text")).distinct()
+    return R.from_memory(items, known).groupBy("lang", "role").agg(F.count("*").alias("items"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
+@add(f"""SELECT run, lang, count(*) AS added FROM (SELECT lang, role, text, CASE WHEN min(doc_id % 3) = 0 THEN 'a' ELSE 'b' END AS run FROM ({ITEMS}) GROUP BY ALL) GROUP BY ALL""", "blocks")
+def j3_j4_memory_between_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What each of three runs adds to a memory: every third document, all documents, all documents again (nothing)."""
     b = blocks(spark, d)
-    items = b.filter(R.translatable(b)).select("lang", "text").distinct()
-    memory = b.filter(F.col("doc_id") % 3 == 0).select("lang", "text").distinct().withColumn("translated", R.mock(F.col("text"), F.col("lang"), F.lit("zh")))
-    known = R.memory_lookup(items, memory, ["lang", "text"])
-    return known.groupBy("lang").agg(F.count("*").alias("blocks"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    known = R.memory(spark, new_path(spark, "memory"))
+    for name, rows in (("a", b.filter(F.col("doc_id") % 3 == 0)), ("b", b), ("c", b)):
+        R.translate_once(rows, "zh", known=known, batch=name)
+    added = [known.batch(name).groupBy("lang").agg(F.count("*").alias("added")).select(F.lit(name).alias("run"), "lang", "added") for name in "abc"]
+    return added[0].unionByName(added[1]).unionByName(added[2])
 
 
 ONCE = f"SELECT doc_id, block_index, {ROLE} AS role, CASE WHEN {GO} THEN CASE WHEN lang = 'en' THEN text ELSE concat('[en: ', text, ']') END ELSE '' END AS translated FROM blocks"
