@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,11 +49,6 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
-
-
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
 
@@ -180,7 +176,11 @@ def is_formula(text: Column) -> Column:
             | ((n <= 28) & (ratio >= 0.45) & (s["letters"] <= signs))
         )
 
-    return let(let(tight(text), counts), rules)
+    # no rule holds without one of these signs, and they are cheap to look for
+    plain, sign = F.coalesce(text, F.lit("")), in_class(MATH)[:-1] + "Ͱ-Ͽἀ-῿]"
+    short = (F.length(tight(text)) <= 28) & plain.rlike(f"\\p{{Nd}}|{sign}")
+    maybe = plain.rlike(f"(?s){in_class(STRONG_MATH)}|=|{sign}.*?{sign}") | short
+    return F.when(maybe, let(let(tight(text), counts), rules)).otherwise(F.lit(False))
 
 
 def is_numeric_like(text: Column) -> Column:
@@ -201,18 +201,51 @@ def joined_lines(lines: Column) -> Column:
 
 # Numbers
 
+#: What the number rules read; the dashes that count as a hyphen; a slash laid over a comparison.
+READ = "0123456789%<>=.,+- ≤≥"
+DASHES = "−‐‑‒–—―"
+STRUCK = {"<\u0338": "≮", ">\u0338": "≯", "=\u0338": "≠"}
 NUMBER = "\\d+(?:[\\s\u00a0\u202f]?\\d{3})*(?:[.,]\\d+)?"
 
 
+@cache
+def compatible() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility form, dashes as hyphens, holds one that the number rules read: those of one character, and of more."""
+    one, more, hyphens = {}, {}, str.maketrans(DASHES, "-" * len(DASHES))
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))):
+        n = unicodedata.normalize("NFKC", c).translate(hyphens)
+        if n != c and any(x in READ for x in n):
+            (one if len(n) == 1 else more)[c] = n
+    return one, more
+
+
+def near(chars: Iterable[str], gap: int = 64) -> str:
+    """A class of few ranges that hold ``chars`` and what lies between neighbours: quick to look for."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if ranges and c - ranges[-1][1] <= gap:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 def numeric_text(text: Column) -> Column:
-    """Comparison signs and dashes in ASCII; apply to text in NFKC."""
-    plain = F.replace(F.replace(text, F.lit("≤"), F.lit("<=")), F.lit("≥"), F.lit(">="))
-    return F.translate(plain, "−‐‑‒–—―", "-------")
+    """The text as the number rules read it: digits, signs and spaces in their compatibility form (NFKC), comparisons and dashes in ASCII."""
+    one, more = compatible()
+    plain = F.translate(text, "".join(one), "".join(one.values()))
+    table = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
+    wide = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    for k, v in STRUCK.items():
+        wide = F.replace(wide, F.lit(k), F.lit(v))
+    plain = F.when(plain.rlike(near([*more, "\u0338"])), wide).otherwise(plain)
+    form = F.replace(F.replace(plain, F.lit("≤"), F.lit("<=")), F.lit("≥"), F.lit(">="))
+    return F.when(text.rlike(near([*one, *more, "\u0338", "≤", "≥"])), form).otherwise(text)
 
 
 def number_value(text: Column) -> Column:
     """One spelling of a number: 1,234 and 1.234.567 lose their separators, 12,5 gets a stop."""
-    v = F.regexp_replace(F.regexp_replace(text, "(?<=\\d)[\\s\u00a0\u202f](?=\\d)", ""), "[^\\d.,]", "")
+    v = F.regexp_replace(text, "(?U)[^\\d.,]", "")
     parts = F.split(v, "[.,]", -1)
     seps, last = F.size(parts) - 1, F.element_at(parts, -1)
     whole = F.array_join(parts, "")
@@ -223,34 +256,44 @@ def number_value(text: Column) -> Column:
 
 
 def numeric_tokens(text: Column) -> Column:
-    """Comparisons, percentages and ranges, in order of kind, each once, at most 24."""
+    """Comparisons, percentages and ranges of ``numeric_text``, in order of kind, each once, at most 24."""
     patterns = [f"(?:<=|>=|[<>])\\s*{NUMBER}\\s*%?", "\\d+(?:[.,]\\d+)?\\s*%", "%\\s*\\d+(?:[.,]\\d+)?", "\\d+(?:[.,]\\d+)?\\s*-\\s*\\d+(?:[.,]\\d+)?\\s*%?"]
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in patterns]))
-    return F.slice(F.array_distinct(F.filter(F.transform(found, compact), lambda x: x != "")), 1, 24)
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?U)({p})"), F.lit(1)) for p in patterns]))
+    tokens = F.slice(F.array_distinct(F.filter(F.transform(found, compact), lambda x: x != "")), 1, 24)
+    return F.when(text.rlike("[<>%]|(?U:\\d\\s*-\\s*\\d)"), tokens).otherwise(F.array().cast("array<string>"))
 
 
 def numeric_keys(text: Column) -> Column:
-    """Spellings under which the numbers of a text may be found again."""
+    """Spellings under which the numbers of ``numeric_text`` may be found again."""
     number = f"(?:{NUMBER}|\\d+(?:[.,]\\d+)*)"
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in (f"(?:<=|>=|[<>])?\\s*{number}\\s*%?", f"(?:<=|>=|[<>])?\\s*%\\s*{number}")]))
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?U)({p})"), F.lit(1)) for p in (f"(?:<=|>=|[<>])?\\s*{number}\\s*%?", f"(?:<=|>=|[<>])?\\s*%\\s*{number}")]))
 
     def keys(m: Column) -> Column:
         sign, percent = F.regexp_extract(m, "^(<=|>=|[<>])", 1), m.contains("%")
-        v = number_value(F.regexp_replace(m, "[<>=%]", ""))
-        some = F.array(F.when(v != "", v), F.when(percent, F.concat(v, F.lit("%"))), F.when(percent, F.concat(F.lit("%"), v)), F.when(sign != "", F.concat(sign, v)), F.when((sign != "") & percent, F.concat(sign, v, F.lit("%"))), F.when((sign != "") & percent, F.concat(sign, F.lit("%"), v)))
-        return F.when(v == "", F.array().cast("array<string>")).otherwise(F.array_compact(some))
 
-    whole = F.regexp_replace(compact(text), "(?<=\\d),(?=\\d)", ".")
+        def spelled(v: Column) -> Column:
+            some = F.array(v, F.when(percent, F.concat(v, F.lit("%"))), F.when(percent, F.concat(F.lit("%"), v)), F.when(sign != "", F.concat(sign, v)), F.when((sign != "") & percent, F.concat(sign, v, F.lit("%"))), F.when((sign != "") & percent, F.concat(sign, F.lit("%"), v)))
+            return F.when(v == "", F.array().cast("array<string>")).otherwise(F.array_compact(some))
+
+        return let(number_value(m), spelled)
+
+    whole = F.regexp_replace(compact(text), "(?U)(?<=\\d),(?=\\d)", ".")
     return F.array_distinct(F.filter(F.concat(F.array(whole), F.flatten(F.transform(found, keys))), lambda x: x != ""))
 
 
 def lost_numbers(source: Column, translated: Column) -> Column:
-    """Numeric tokens of the source that the translation has in no spelling; a range needs both ends. At most 8."""
-    there = numeric_keys(translated)
+    """Numeric tokens of the source that the translation has in no spelling; a range needs both ends. At most 8. Any text."""
+
+    def missing(tokens: Column) -> Column:
+        def against(there: Column) -> Column:
+            def kept(token: Column) -> Column:
+                ends = F.filter(F.split(token, "-", -1), lambda x: stripped(x) != "")
+                ranged = token.contains("-") & (F.size(ends) == 2)
+                return F.when(ranged, F.arrays_overlap(numeric_keys(ends[0]), there) & F.arrays_overlap(numeric_keys(ends[1]), there)).otherwise(F.arrays_overlap(numeric_keys(token), there))
+
+            return F.slice(F.filter(tokens, lambda t: ~kept(t)), 1, 8)
 
-    def kept(token: Column) -> Column:
-        ends = F.filter(F.split(token, "-", -1), lambda x: x != "")
-        ranged = token.contains("-") & (F.size(ends) == 2)
-        return F.when(ranged, F.arrays_overlap(numeric_keys(ends[0]), there) & F.arrays_overlap(numeric_keys(ends[1]), there)).otherwise(F.arrays_overlap(numeric_keys(token), there))
+        # the translation's keys once a text, and only where the source has a token
+        return F.when(F.size(tokens) == 0, tokens).otherwise(let(let(numeric_text(translated), numeric_keys), against))
 
-    return F.slice(F.filter(numeric_tokens(source), lambda t: ~kept(t)), 1, 8)
+    return let(let(numeric_text(source), numeric_tokens), missing)

@@ -28,7 +28,7 @@ def expected(df: DataFrame) -> Column:
     return out & (source != "") & ~T.is_numeric_like(source)
 
 
-def warnings_of(df: DataFrame, numeric: bool = True) -> Column:
+def warnings_of(df: DataFrame) -> Column:
     """Array of a block's warnings from columns text and translated, in the order glyphs, marker, numbers, line break, length."""
     source, out = F.coalesce("text", F.lit("")), F.coalesce("translated", F.lit(""))
     blank = T.stripped(out) == ""
@@ -45,10 +45,9 @@ def warnings_of(df: DataFrame, numeric: bool = True) -> Column:
         F.when(glyphs > 0, warning("suspicious_glyphs", count=glyphs.cast("int"))),
         F.when((marker != "") & ~F.startswith(F.regexp_replace(out, "(?U)^\\s+", ""), marker), warning("missing_marker", marker=marker)),
     ]
-    if numeric:
-        lost = T.lost_numbers(T.numeric_text(source), T.numeric_text(out))
-        found.append(F.when(F.size(lost) > 0, warning("missing_numeric_symbol", tokens=lost)))
+    lost = T.let(T.lost_numbers(source, out), lambda tokens: F.when(F.size(tokens) > 0, warning("missing_numeric_symbol", tokens=tokens)))
     found += [
+        lost,
         F.when(T.stripped(out).contains("\n"), warning("unexpected_line_break")),
         F.when((a >= 30) & (b > a * 4.0) & ~T.ends_with_stop(source), warning("length_ratio_high", ratio=F.round(b / F.greatest(a, F.lit(1)), 2))),
     ]
@@ -57,36 +56,45 @@ def warnings_of(df: DataFrame, numeric: bool = True) -> Column:
     return F.when(blank, missing).otherwise(F.array_compact(F.array(*found)))
 
 
-def page_report(df: DataFrame, keys: list[str], numeric: bool = True) -> DataFrame:
-    """Counts and status of each page; a page that expects translations and has none gets a warning more."""
-    w = df.withColumns({"_w": warnings_of(df, numeric), "_expected": expected(df).cast("long"), "_done": (T.stripped(F.coalesce("translated", F.lit(""))) != "").cast("long")})
+#: Every code that ``warnings_of`` gives; a block has each once at most.
+CODES = ["missing_translation", "suspicious_glyphs", "missing_marker", "missing_numeric_symbol", "unexpected_line_break", "length_ratio_high"]
+
+
+def page_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of each page, with one for each code, from one look at each block; a page that expects translations and has none is blank."""
+    w = df.withColumns({"_w": warnings_of(df), "_expected": expected(df), "_done": T.stripped(F.coalesce("translated", F.lit(""))) != ""})
     glyphs = F.aggregate("_w", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["count"], F.lit(0)))
-    out = w.groupBy(*keys).agg(F.count("*").alias("blocks"), F.sum("_expected").alias("expected_blocks"), F.sum("_done").alias("translated_blocks"), F.sum(glyphs).alias("suspicious_glyphs"), F.sum(F.size("_w").cast("long")).alias("block_warnings"))
-    out = out.withColumn("blank_page", (F.col("expected_blocks") > 0) & (F.col("translated_blocks") == 0))
-    total = F.col("block_warnings") + F.col("blank_page").cast("long")
-    return out.withColumn("warnings", total).withColumn("status", F.when(total > 0, "warn").otherwise("ok")).drop("block_warnings")
+    codes = [F.count_if(F.array_contains("_codes", c)).alias(c) for c in CODES]
+    out = w.withColumn("_codes", F.col("_w.code")).groupBy(*keys).agg(F.count("*").alias("blocks"), F.count_if("_expected").alias("expected_blocks"), F.count_if("_done").alias("translated_blocks"), F.sum(glyphs).alias("suspicious_count"), *codes)
+    return out.withColumn("blank_page", (F.col("expected_blocks") > 0) & (F.col("translated_blocks") == 0))
+
+
+def page_report(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts and status of each page; a page that expects translations and has none gets a warning more."""
+    counts = page_counts(df, keys)
+    total = sum((F.col(c) for c in CODES), F.col("blank_page").cast("long"))
+    rows = counts.select(*keys, "blocks", "expected_blocks", "translated_blocks", F.col("suspicious_count").alias("suspicious_glyphs"), "blank_page", total.alias("warnings"))
+    return rows.withColumn("status", F.when(F.col("warnings") > 0, "warn").otherwise("ok"))
 
 
-def warning_rows(df: DataFrame, keys: list[str], numeric: bool = True) -> DataFrame:
+def warning_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each warning of each block."""
-    return df.withColumn("_w", F.explode(warnings_of(df, numeric))).select(*keys, F.col("_w.*"))
+    # an outer explode: for an inner one Spark evaluates the array once more, in a filter
+    return df.withColumn("_w", F.explode_outer(warnings_of(df))).filter("_w IS NOT NULL").select(*keys, F.col("_w.*"))
 
 
-def report(df: DataFrame, task: list[str], page: list[str], sizes: DataFrame | None = None, numeric: bool = True) -> DataFrame:
+def report(df: DataFrame, task: list[str], page: list[str], sizes: DataFrame | None = None) -> DataFrame:
     """One row a task: pages, warnings, counts by code as a map, status; ``sizes``: task, source_bytes, export_bytes."""
-    pages = page_report(df, task + page, numeric)
-    totals = pages.groupBy(*task).agg(F.count("*").alias("pages"), F.sum("warnings").alias("warnings"), F.sum(F.col("blank_page").cast("long")).alias("_blank"))
-    codes = warning_rows(df, task, numeric).groupBy(*task, "code").agg(F.count("*").alias("n"))
-    codes = codes.groupBy(*task).agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("_codes"))
-    out = totals.join(codes, task, "left")
+    pages = page_counts(df, task + page)
+    out = pages.groupBy(*task).agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in CODES], F.count_if("blank_page").alias("blank_translated_page"))
     over = F.lit(False)
     if sizes is not None:
         out = out.join(sizes, task, "left").withColumn("size_ratio", size_ratio())
         over = F.coalesce(F.col("size_ratio") > SIZE_RATIO, F.lit(False))
-    extra = lambda cond, code, n: F.when(cond, F.array(F.struct(F.lit(code).alias("code"), n.cast("long").alias("n")))).otherwise(F.array().cast("array<struct<code:string,n:bigint>>"))
-    entries = F.concat(F.coalesce("_codes", F.array().cast("array<struct<code:string,n:bigint>>")), extra(F.col("_blank") > 0, "blank_translated_page", F.col("_blank")), extra(over, "export_size_ratio_high", F.lit(1)))
-    warnings = F.col("warnings") + over.cast("long")
-    return out.select(*task, "pages", warnings.alias("warnings"), F.map_from_entries(entries).alias("warning_counts"), F.when(warnings > 0, "warn").otherwise("ok").alias("status"))
+    found = {c: F.col(c) for c in sorted([*CODES, "blank_translated_page"])} | {"export_size_ratio_high": over.cast("long")}
+    counts = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(c).alias("code"), n.alias("n")) for c, n in found.items()]), lambda x: x["n"] > 0))
+    warnings = sum(found.values(), F.lit(0).cast("long"))
+    return out.select(*task, "pages", warnings.alias("warnings"), counts.alias("warning_counts"), F.when(warnings > 0, "warn").otherwise("ok").alias("status"))
 
 
 def size_ratio() -> Column:

@@ -264,14 +264,42 @@ def s9_written_exports(spark: SparkSession, d: str) -> DataFrame:
 GLYPHS = "len(regexp_extract_all(translated, '\\?'))"
 SUSPICIOUS = f"CASE WHEN {GLYPHS} >= 6 AND {GLYPHS}::DOUBLE / greatest(length(translated), 1) >= 0.03::DOUBLE THEN {GLYPHS} ELSE 0 END"
 LENGTHS = "length(regexp_replace({0}, '\\s', '', 'g'))"
+# The number rules: characters as read, tokens, and the spellings under which a number counts as kept.
+READ = T.compatible()[0]
+DIGITS = f"replace(replace(translate({{0}}, '{"".join(READ)}', '{"".join(READ.values())}'), '≤', '<='), '≥', '>=')"
+NUMBER = "\\d+(?:\\s?\\d{3})*(?:[.,]\\d+)?"
+TOKEN_PATTERNS = [f"(?:<=|>=|[<>])\\s*{NUMBER}\\s*%?", "\\d+(?:[.,]\\d+)?\\s*%", "%\\s*\\d+(?:[.,]\\d+)?", "\\d+(?:[.,]\\d+)?\\s*-\\s*\\d+(?:[.,]\\d+)?\\s*%?"]
+SPELLED = f"(?:{NUMBER}|\\d+(?:[.,]\\d+)*)"
+VALUE = """CASE WHEN len(p) = 1 THEN p[1] WHEN len(p) > 2 THEN CASE WHEN len(list_filter(p[2:], lambda y: length(y) <> 3)) = 0 THEN array_to_string(p, '') ELSE array_to_string(p[:-2], '') || '.' || p[-1] END
+ WHEN length(p[2]) = 3 AND p[1] NOT IN ('', '0') THEN p[1] || p[2] ELSE p[1] || '.' || p[2] END"""
+
+
+def number_keys_sql(text: str) -> str:
+    """A list of the spellings of the numbers in ``text``, an expression in the form of DIGITS."""
+    compact = f"regexp_replace({text}, '\\s', '', 'g')"
+    whole = f"regexp_replace(regexp_replace({compact}, '(\\d),(\\d)', '\\1.\\2', 'g'), '(\\d),(\\d)', '\\1.\\2', 'g')"
+    found = f"list_concat(regexp_extract_all({text}, '(?:<=|>=|[<>])?\\s*{SPELLED}\\s*%?'), regexp_extract_all({text}, '(?:<=|>=|[<>])?\\s*%\\s*{SPELLED}'))"
+    value = f"list_transform([regexp_split_to_array(regexp_replace(m, '[^\\d.,]', '', 'g'), '[.,]')], lambda p: {VALUE})"
+    sign = "regexp_extract(m, '^(<=|>=|[<>])', 1)"
+    spelled = f"[v, CASE WHEN contains(m, '%') THEN v || '%' END, CASE WHEN contains(m, '%') THEN '%' || v END, {sign} || v, CASE WHEN contains(m, '%') THEN {sign} || v || '%' END, CASE WHEN contains(m, '%') THEN {sign} || '%' || v END]"
+    keys = f"flatten(list_transform({found}, lambda m: flatten(list_transform({value}, lambda v: CASE WHEN v = '' THEN [] ELSE {spelled} END))))"
+    return f"list_filter(list_concat([{whole}], {keys}), lambda k: k <> '')"
+
+
+#: Lost tokens of each block, least first.
+LOST = f"""SELECT doc_id, page_num, block_index, list_sort(list(token)) AS tokens FROM (
+ SELECT *, list_filter(string_split(token, '-'), lambda y: trim(y) <> '') AS ends FROM (
+  SELECT doc_id, page_num, block_index, there, unnest(list_distinct(list_transform(list_concat({", ".join(f"regexp_extract_all(s, '{p}')" for p in TOKEN_PATTERNS)}), lambda y: regexp_replace(y, '\\s', '', 'g')))) AS token FROM (
+   SELECT doc_id, page_num, block_index, s, {number_keys_sql("t")} AS there FROM (SELECT doc_id, page_num, block_index, {DIGITS.format("text")} AS s, {DIGITS.format("translated")} AS t FROM quality_pairs WHERE trim(translated) <> '') WHERE regexp_matches(s, '[<>%]|\\d\\s*-\\s*\\d'))))
+ WHERE CASE WHEN contains(token, '-') AND len(ends) = 2 THEN NOT (list_has_any({number_keys_sql("ends[1]")}, there) AND list_has_any({number_keys_sql("ends[2]")}, there)) ELSE NOT list_has_any({number_keys_sql("token")}, there) END GROUP BY ALL"""
 WARNINGS = f"""SELECT doc_id, page_num, block_index, lang, unnest(CASE WHEN trim(translated) = '' THEN CASE WHEN trim(text) <> '' AND NOT {NUMERIC} THEN [{{'code': 'missing_translation', 'n': 0}}] ELSE [] END
- ELSE list_filter([CASE WHEN {SUSPICIOUS} > 0 THEN {{'code': 'suspicious_glyphs', 'n': {SUSPICIOUS}}} END, CASE WHEN {MARKER} <> '' AND NOT starts_with(ltrim(translated), {MARKER}) THEN {{'code': 'missing_marker', 'n': 0}} END,
- CASE WHEN {LENGTHS.format("text")} >= 30 AND {LENGTHS.format("translated")} > {LENGTHS.format("text")} * 4 AND NOT {STOP} THEN {{'code': 'length_ratio_high', 'n': 0}} END], lambda w: w IS NOT NULL) END) AS w FROM quality_pairs"""
+ ELSE list_filter([CASE WHEN {SUSPICIOUS} > 0 THEN {{'code': 'suspicious_glyphs', 'n': {SUSPICIOUS}}} END, CASE WHEN {MARKER} <> '' AND NOT starts_with(ltrim(translated), {MARKER}) THEN {{'code': 'missing_marker', 'n': 0}} END, CASE WHEN tokens IS NOT NULL THEN {{'code': 'missing_numeric_symbol', 'n': 0}} END,
+ CASE WHEN {LENGTHS.format("text")} >= 30 AND {LENGTHS.format("translated")} > {LENGTHS.format("text")} * 4 AND NOT {STOP} THEN {{'code': 'length_ratio_high', 'n': 0}} END], lambda w: w IS NOT NULL) END) AS w FROM quality_pairs LEFT JOIN ({LOST}) USING (doc_id, page_num, block_index)"""
 
 
 @add(f"SELECT doc_id, page_num, block_index, w.code AS code, CAST(w.n AS INT) AS n FROM ({WARNINGS})", "quality_pairs")
 def f13_block_warnings(spark: SparkSession, d: str) -> DataFrame:
-    rows = Q.warning_rows(X.quality_pairs(spark, d), ["doc_id", "page_num", "block_index"], numeric=False)
+    rows = Q.warning_rows(X.quality_pairs(spark, d), ["doc_id", "page_num", "block_index"])
     return rows.select("doc_id", "page_num", "block_index", "code", F.coalesce("count", F.lit(0)).alias("n"))
 
 
@@ -282,24 +310,32 @@ PAGES = f"""SELECT p.*, coalesce(g, 0) AS suspicious_glyphs, expected_blocks > 0
 
 @add(f"SELECT *, CASE WHEN warnings > 0 THEN 'warn' ELSE 'ok' END AS status FROM ({PAGES})", "quality_pairs")
 def a13_a14_page_report(spark: SparkSession, d: str) -> DataFrame:
-    return Q.page_report(X.quality_pairs(spark, d), ["doc_id", "page_num"], numeric=False)
+    return Q.page_report(X.quality_pairs(spark, d), ["doc_id", "page_num"])
 
 
-def numeric_warnings(spark: SparkSession, d: str) -> DataFrame:
-    return Q.warning_rows(X.quality_pairs(spark, d), ["doc_id", "block_index"]).filter("code = 'missing_numeric_symbol'").select("doc_id", "block_index", "tokens")
-
-
-@add()
+@add(f"SELECT doc_id, block_index, tokens FROM ({LOST})", "quality_pairs")
 def f12_lost_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Blocks whose translation lost a number, percentage, range or comparison."""
-    return numeric_warnings(spark, d)
+    rows = Q.warning_rows(X.quality_pairs(spark, d), ["doc_id", "block_index"]).filter("code = 'missing_numeric_symbol'")
+    return rows.select("doc_id", "block_index", F.array_sort("tokens").alias("tokens"))
 
 
-@add()
+SIZES = "SELECT DISTINCT doc_id, 1000 AS source_bytes, n_chars + 500 AS export_bytes FROM documents"
+
+
+@add(
+    f"""SELECT doc_id, pages, total AS warnings, 'warn' AS status, code, n FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id)::BIGINT AS total FROM (
+  SELECT doc_id, w.code AS code, count(*) AS n FROM ({WARNINGS}) GROUP BY ALL
+  UNION ALL SELECT doc_id, 'blank_translated_page', count(*) FILTER (blank_page) FROM ({PAGES}) GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'export_size_ratio_high', 1 FROM ({SIZES}) WHERE round(export_bytes / 1000::DOUBLE, 3) > 2.2::DOUBLE) WHERE n > 0) JOIN (SELECT doc_id, count(*) AS pages FROM (SELECT DISTINCT doc_id, page_num FROM quality_pairs) GROUP BY doc_id) USING (doc_id)
+ UNION ALL SELECT doc_id, count(*), 0, 'ok', NULL, NULL FROM ({PAGES}) JOIN ({SIZES}) USING (doc_id) GROUP BY doc_id HAVING sum(warnings) = 0 AND max(round(export_bytes / 1000::DOUBLE, 3)) <= 2.2::DOUBLE""",
+    "quality_pairs",
+)
 def a13_task_report(spark: SparkSession, d: str) -> DataFrame:
-    """The whole report of each document, numbers and sizes included."""
-    sizes = X.table(spark, d, "documents").select("doc_id", F.lit(1000).alias("source_bytes"), (F.col("n_chars") + 500).alias("export_bytes")).dropDuplicates(["doc_id"])
-    return Q.report(X.quality_pairs(spark, d), ["doc_id"], ["page_num"], sizes)
+    """The whole report of each document, numbers and sizes included, a row for each code."""
+    sizes = X.table(spark, d, "documents").select("doc_id", F.lit(1000).alias("source_bytes"), (F.col("n_chars") + 500).alias("export_bytes")).distinct()
+    whole = Q.report(X.quality_pairs(spark, d), ["doc_id"], ["page_num"], sizes)
+    return whole.select("doc_id", "pages", "warnings", "status", F.explode_outer("warning_counts").alias("code", "n"))
 
 
 @add("SELECT id, file_size AS source_bytes, file_size * (id_n % 4) AS export_bytes, round(file_size * (id_n % 4) / greatest(file_size, 1)::DOUBLE, 3) AS size_ratio, file_size * (id_n % 4) / greatest(file_size, 1)::DOUBLE > 2.2::DOUBLE AS size_warning FROM (SELECT *, total_pages AS id_n FROM files)", "files")
@@ -322,7 +358,7 @@ def a17_emoji_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @add(f"SELECT lang, CASE WHEN bool_or(blank_page) THEN 'fail' WHEN sum(warnings) > 0 THEN 'warn' ELSE 'ok' END AS outcome, count(*) AS pages FROM ({PAGES}) JOIN (SELECT doc_id, any_value(lang) AS lang FROM documents GROUP BY doc_id) USING (doc_id) GROUP BY lang", "quality_pairs")
 def a18_run_outcome(spark: SparkSession, d: str) -> DataFrame:
-    pages = Q.page_report(X.quality_pairs(spark, d), ["doc_id", "page_num", "lang"], numeric=False)
+    pages = Q.page_report(X.quality_pairs(spark, d), ["doc_id", "page_num", "lang"])
     outcome = F.when(F.bool_or("blank_page"), "fail").when(F.sum("warnings") > 0, "warn").otherwise("ok")
     return pages.groupBy("lang").agg(outcome.alias("outcome"), F.count("*").alias("pages"))
 
@@ -381,7 +417,7 @@ def a12_page_results(spark: SparkSession, d: str) -> DataFrame:
 )
 def translation_quality_by_language(spark: SparkSession, d: str) -> DataFrame:
     """Headline: audited pages of the damaged mock translation, by language."""
-    pages = Q.page_report(X.quality_pairs(spark, d), ["doc_id", "page_num", "lang"], numeric=False)
+    pages = Q.page_report(X.quality_pairs(spark, d), ["doc_id", "page_num", "lang"])
     return pages.groupBy("lang").agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("blocks", "expected_blocks", "warnings")])
 
 
