@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 from ..sources import fixtures as X
+from ..sources.keyed import KeyedTable
+from ..sources.scratch import new_path
 from ..streaming import ledger as S
 from .catalog import Catalog
 
@@ -23,6 +25,14 @@ def st1_deduplicated_webhooks(spark: SparkSession, d: str) -> DataFrame:
     return S.run(S.deduplicated(webhooks(spark, d)).select("event_id", "user_id"), "append", "st1").select("event_id", "user_id")
 
 
+@add("SELECT event_id, user_id, event_type FROM webhooks WHERE delivery = 0", "webhooks")
+def st1_exact_webhooks(spark: SparkSession, d: str) -> DataFrame:
+    """The first delivery of each event against a table of all ids ever processed."""
+    known, out = KeyedTable(spark, new_path(spark, "webhook-ids"), "event_id long, user_id long, event_type string", ("event_id",)), new_path(spark, "webhooks")
+    S.first_deliveries(webhooks(spark, d), known, ["ts", "delivery"], out, new_path(spark, "st1-state"))
+    return known.rows().select("event_id", "user_id", "event_type")
+
+
 SUBSCRIPTIONS = """SELECT user_id, plan, status, CASE WHEN paid THEN start END AS period_start FROM (SELECT *, last_value(CASE WHEN paid AND NOT (period_start IS NULL AND coalesce(pp AND pplan = plan, FALSE)) THEN coalesce(period_start, ts) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS start,
   row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM (SELECT *, lag(paid) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pp, lag(plan) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pplan FROM (
    SELECT *, plan <> 'free' AND status IN ('active', 'trialing') AS paid FROM (SELECT event_id, ts, user_id, period_start, CASE WHEN status = 'canceled' OR plan IS NULL THEN 'free' ELSE plan END AS plan, CASE WHEN status = 'canceled' THEN 'inactive' ELSE status END AS status FROM webhooks WHERE delivery = 0 AND event_type LIKE 'subscription.%')))) WHERE rn = 1"""
@@ -50,7 +60,7 @@ def st3_quota_with_releases(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int") % 10
     action = F.when(F.col("event_type") == "error", "release").otherwise("reserve")
     asked = e.select("event_id", "ts", "user_id", F.concat_ws(":", "user_id", k).alias("key"), action.alias("action"), F.date_format("ts", "yyyy-MM").alias("period"), F.when(F.col("user_id") % 3 != 0, 5).alias("quota"), (F.col("user_id") % 2).cast("int").alias("base"))
-    return S.run(S.quota_stream(asked), "append", "st3").select("event_id", "user_id", "admitted")
+    return S.run(S.quota_stream(asked), "append", "st3", S.ROCKS).select("event_id", "user_id", "admitted")
 
 
 @add("SELECT user_id, date_trunc('month', ts)::TIMESTAMP AS month, count(*) AS units FROM events GROUP BY ALL")

@@ -7,17 +7,19 @@ failure replaces itself; readers take the union, or the latest row of a key.
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..operators.ledger import STATUSES
 from ..sources import fixtures as X
+from ..sources.keyed import KeyedTable
 from ..sources.scratch import new_path
 
 CANCELLED = ["canceled", "cancelled", "paused", "deleted"]
@@ -32,9 +34,17 @@ def read_stream(spark: SparkSession, d: str, name: str = "events") -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
 
 
-def run(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a query over all that is there and returns what it wrote, with the batch number."""
+#: The state store that keeps entries on the executors' disks, and changes them one by one.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run(stream: DataFrame, mode: str, name: str, store: str | None = None) -> DataFrame:
+    """Runs a query over all that is there and returns what it wrote, with the batch number; ``store``: its state store's class."""
     spark = stream.sparkSession
+    before = spark.conf.get(STORE, None)
+    if store:
+        spark.conf.set(STORE, store)
     out = new_path(spark, name)
     empty = spark.createDataFrame([], stream.schema.add("batch", "long"))
     empty.write.parquet(f"{out}/rows")
@@ -42,8 +52,12 @@ def run(stream: DataFrame, mode: str, name: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/rows/part={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if store:
+            spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
     return spark.read.schema(empty.schema).option("recursiveFileLookup", "true").parquet(f"{out}/rows")
 
 
@@ -58,6 +72,29 @@ def deduplicated(events: DataFrame, within: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def first_deliveries(events: DataFrame, known: KeyedTable, order: list[str], out: str, checkpoint: str, compact_after: int = 50) -> None:
+    """Exact de-duplication, forever: the first delivery of each event_id, over all that is there.
+
+    ``known`` is the table of processed ids (event_id and what of the event is kept). A batch's first row
+    of an id, by ``order``, passes if no earlier batch has the id; it is written to ``out`` under the batch's
+    number. Both sinks replace a batch that is run again, so that a replay, after a failure at any
+    point, leaves what one run leaves. Rows without id or type are refused, as the ledger does. Lookups read
+    the buckets of a batch's ids; from ``compact_after`` batches on, all but the present one are merged.
+    """
+    fields = T.StructType.fromDDL(known.schema).names
+
+    def write(batch: DataFrame, number: int) -> None:
+        valid = batch.filter((F.col("event_id").cast("string") != "") & (F.col("event_type") != ""))
+        first = valid.groupBy("event_id").agg(F.min_by(F.struct(*[c for c in fields if c != "event_id"]), F.struct(*order)).alias("_r")).select("event_id", "_r.*")
+        passed = known.add(first.select(*fields), str(number))
+        passed.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/part={number}")
+        if len(known.batches()) > compact_after:
+            known.compact(but=str(number))
+
+    query = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def timely(events: DataFrame, seconds: int = TOLERANCE_SECONDS) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): events whose arrival and own time are no further apart than the tolerance, either way."""
     off = F.abs(F.unix_timestamp("arrived") - F.unix_timestamp("ts"))
@@ -111,33 +148,76 @@ def subscription_stream(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(update, SUBSCRIPTION, "state string", "update", GroupStateTimeout.NoTimeout)
 
 
-def quota_stream(requests: DataFrame) -> DataFrame:
-    """Reservations of (task, page) keys with releases; ``requests``: event_id, ts, user_id, key, action, period, quota, base.
+QUOTA = "event_id long, user_id long, admitted boolean"
 
-    A key held already is admitted free, in whatever period it was reserved; a new one while the keys held
-    of its period and ``base``, what was used before the stream began, are fewer than ``quota`` (null or not
-    positive: no limit). A release gives one back. State is the keys a user holds, as the ledger has them.
+
+class Quota(StatefulProcessor):
+    """Keys held of each user, an entry each, and how many of each period, so that a row changes one entry and no other.
+
+    ``keep``: days after a period's end, by the watermark, when its keys and count are forgotten; None: never.
     """
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {}
-        used = Counter(held.values())
-        rows = []
-        for r in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples(index=False):
+    def __init__(self, keep: int | None = None):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "key string", "period string")
+        self.used = handle.getMapState("used", "period string", "n long")
+
+    def count(self, period: str, by: int) -> None:
+        n = self.used.getValue((period,))[0] if self.used.containsKey((period,)) else 0
+        if n + by > 0:
+            self.used.updateValue((period,), (n + by,))
+        elif n:
+            self.used.removeKey((period,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        told = []
+        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples(index=False):
+            mine = self.held.getValue((r.key,))[0] if self.held.containsKey((r.key,)) else None
             if r.action == "release":
-                gone = held.pop(r.key, None)
-                used[gone] -= 1
+                if mine is not None:
+                    self.held.removeKey((r.key,))
+                    self.count(mine, -1)
                 continue
-            free = pd.isna(r.quota) or r.quota <= 0 or used[r.period] + (0 if pd.isna(r.base) else r.base) < r.quota
-            admitted = bool(r.key in held or free)
-            if admitted and r.key not in held:
-                held[r.key] = r.period
-                used[r.period] += 1
-            rows.append((r.event_id, key[0], admitted))
-        state.update((json.dumps(held),))
-        yield pd.DataFrame(rows, columns=["event_id", "user_id", "admitted"])
-
-    return requests.groupBy("user_id").applyInPandasWithState(update, "event_id long, user_id long, admitted boolean", "held string", "append", GroupStateTimeout.NoTimeout)
+            admitted = mine is not None or pd.isna(r.quota) or r.quota <= 0
+            if not admitted:
+                n = self.used.getValue((r.period,))[0] if self.used.containsKey((r.period,)) else 0
+                admitted = n + (0 if pd.isna(r.base) else r.base) < r.quota
+            if admitted and mine is None:
+                self.held.updateValue((r.key,), (r.period,))
+                self.count(r.period, 1)
+                if self.keep is not None:
+                    end = pd.Timestamp(f"{r.period}-01", tz="UTC") + pd.DateOffset(months=1, days=self.keep)
+                    self.handle.registerTimer(int(end.timestamp() * 1000))
+            told.append((r.event_id, key[0], bool(admitted)))
+        yield pd.DataFrame(told, columns=["event_id", "user_id", "admitted"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms", tz="UTC")
+        ended = lambda p: pd.Timestamp(f"{p}-01", tz="UTC") + pd.DateOffset(months=1, days=self.keep) <= now
+        for (k,), (period,) in list(self.held.iterator()):
+            if ended(period):
+                self.held.removeKey((k,))
+        for (period,), _ in list(self.used.iterator()):
+            if ended(period):
+                self.used.removeKey((period,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def quota_stream(requests: DataFrame, keep: int | None = None) -> DataFrame:
+    """Reservations of (task, page) keys with releases; ``requests``: event_id, ts, user_id, key, action, period (yyyy-MM), quota, base.
+
+    A key held already is admitted free, in whatever period it was reserved; a new one while the keys held
+    of its period and ``base``, what was used before the stream began, are fewer than ``quota`` (null or not
+    positive: no limit). A release gives one back. Run it with ``run(..., store=ROCKS)``. With ``keep``, and
+    a watermark on ts, a period's keys are forgotten that many days after its end: reserved again, they count again.
+    """
+    return requests.groupBy("user_id").transformWithStateInPandas(Quota(keep), QUOTA, "append", "none" if keep is None else "eventtime")
 
 
 def running_usage(events: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.sources import fixtures
+from palimpsest.sources.keyed import KeyedTable
+from palimpsest.sources.scratch import new_path
 from palimpsest.streaming import ledger as S
 
 from .conftest import SF
@@ -94,7 +96,68 @@ def test_quota_across_batches(spark, tmp_path):
     rows = [(i, start + datetime.timedelta(hours=i), i % 4, f"k{i * 7 % 11}", "release" if i % 9 == 8 else "reserve", "2024-01" if i < 50 else "2024-02", quotas[i % 4], 1 if i % 4 == 3 else None) for i in range(100)]
     schema = "event_id long, ts timestamp, user_id long, key string, action string, period string, quota int, base int"
     stream = stream_of(spark, str(tmp_path / "in"), [spark.createDataFrame(rows[k : k + 25], schema) for k in range(0, 100, 25)])
-    out = S.run(S.quota_stream(stream), "append", "quota")
+    out = S.run(S.quota_stream(stream), "append", "quota", S.ROCKS)
     want = by_hand(rows)
     assert {r["event_id"]: r["admitted"] for r in out.collect()} == want
     assert {False, True} == {v for k, v in want.items() if k % 4 == 0} and all(v for k, v in want.items() if k % 4 in (1, 2))
+
+
+def test_closed_periods_are_forgotten(spark, tmp_path):
+    """A key of January still counts as held in February; once January ended a week before the watermark it is asked for anew."""
+    at = lambda m, d: datetime.datetime(2024, m, d)
+    row = lambda i, ts, key, period: (i, ts, 1, key, "reserve", period, 1, None)
+    parts = [[row(1, at(1, 5), "a", "2024-01")], [row(2, at(2, 2), "a", "2024-02"), row(3, at(2, 3), "b", "2024-02")], [row(4, at(2, 20), "c", "2024-02")], [row(7, at(2, 20), "d", "2024-02")], [row(5, at(2, 21), "a", "2024-02")], [row(6, at(3, 1), "a", "2024-03")]]
+    schema = "event_id long, ts timestamp, user_id long, key string, action string, period string, quota int, base int"
+    frames = [spark.createDataFrame(r, schema) for r in parts]
+    want = {True: {1: True, 2: True, 3: True, 4: False, 7: False, 5: False, 6: True}, False: {1: True, 2: True, 3: True, 4: False, 7: False, 5: True, 6: True}}
+    for forgets in (True, False):
+        stream = stream_of(spark, str(tmp_path / f"in{forgets}"), frames).withWatermark("ts", "1 day")
+        out = S.run(S.quota_stream(stream, keep=7 if forgets else None), "append", "quota", S.ROCKS)
+        assert {r["event_id"]: r["admitted"] for r in out.collect()} == want[forgets]
+
+
+SEEN = "event_id long, user_id long, event_type string"
+
+
+def deliveries(spark):
+    """Three batches: ids repeated within one, in the next, and a year later, past any watermark; rows without id or type."""
+    ts = lambda y, h: datetime.datetime(y, 1, 1, h)
+    rows = [
+        [(1, ts(2023, 1), 7, "subscription.created"), (1, ts(2023, 0), 8, "transaction.completed"), (2, ts(2023, 2), 7, "a")],
+        [(2, ts(2023, 3), 9, "late"), (3, ts(2023, 4), 7, "b"), (None, ts(2023, 4), 7, "b"), (4, ts(2023, 4), 7, ""), (5, ts(2023, 4), 7, None)],
+        [(1, ts(2024, 1), 9, "late"), (3, ts(2024, 1), 9, "late"), (4, ts(2024, 1), 7, "c")],
+    ]
+    return [spark.createDataFrame(r, "event_id long, ts timestamp, user_id long, event_type string") for r in rows]
+
+
+WANT = {0: {(1, 8, "transaction.completed"), (2, 7, "a")}, 1: {(3, 7, "b")}, 2: {(4, 7, "c")}}
+
+
+def passed(spark, out):
+    found = {}
+    for r in spark.read.option("recursiveFileLookup", "true").parquet(out).collect():
+        found.setdefault(r["batch"], set()).add((r["event_id"], r["user_id"], r["event_type"]))
+    return found
+
+
+@pytest.mark.parametrize("compact_after", [1, 50])
+def test_ids_are_known_forever(spark, tmp_path, compact_after):
+    known = KeyedTable(spark, new_path(spark, "ids"), SEEN, ("event_id",))
+    S.first_deliveries(stream_of(spark, str(tmp_path / "in"), deliveries(spark)), known, ["ts"], str(tmp_path / "out"), str(tmp_path / "state"), compact_after)
+    assert passed(spark, str(tmp_path / "out")) == WANT
+    assert known.rows().count() == 4
+
+
+def test_a_replayed_batch_passes_the_same_rows(spark, tmp_path):
+    """The stream breaks off after the ids are kept and before the batch is done; run again, it takes the batch anew."""
+    known = KeyedTable(spark, new_path(spark, "ids"), SEEN, ("event_id",))
+    stream = lambda: spark.readStream.schema(deliveries(spark)[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = lambda: S.first_deliveries(stream(), known, ["ts"], str(tmp_path / "out"), str(tmp_path / "state"))
+    parts = deliveries(spark)
+    stream_of(spark, str(tmp_path / "in"), parts[:1])
+    run()
+    # the second batch's ids are there already, as if its run had ended just after keeping them
+    known.add(parts[1].filter("event_type = 'b' and event_id = 3").select("event_id", "user_id", "event_type"), "1")
+    stream_of(spark, str(tmp_path / "in"), parts[1:])
+    run()
+    assert passed(spark, str(tmp_path / "out")) == WANT and known.rows().count() == 4
