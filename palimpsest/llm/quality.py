@@ -20,6 +20,8 @@ PROFILE_WORDS = 2_000
 #: A word is common from this share of its language's words (so at most 1,000 are), and TOP_WORDS of them count.
 WORD_SHARE = 0.001
 TOP_WORDS = 24
+#: Common words of all languages up to which one list of them speeds up the counting; beyond, the result is the same.
+MOST_KNOWN = 5_000
 #: Texts below these lengths have too noisy a histogram to be judged by it.
 MIN_CHARS = 200
 MIN_WORDS = 60
@@ -92,13 +94,14 @@ def base_counts(w: Column, text: Column) -> dict[str, Column]:
     }
 
 
-def language_profiles(docs: DataFrame) -> tuple[list[str], list[dict]]:
-    """Profiles of the languages with PROFILE_WORDS words, and of the whole corpus (language null).
+def language_profiles(docs: DataFrame) -> tuple[DataFrame, dict]:
+    """A table of the profiles of the languages with PROFILE_WORDS words (own, classes, common, word_shares), and that of the whole corpus.
 
     One scan of every document counts words by language; a text's class counts travel along as one
     more word, which no other is like as it begins with a space. A word that has WORD_SHARE of the
     whole corpus has it in some language, so the whole corpus's commonest are among the languages'
-    common ones, whose counts add up. What reaches the driver are TOP_WORDS words a language.
+    common ones, whose counts add up. Languages may be many: they stay a table, and only the whole
+    corpus's profile, TOP_WORDS words, reaches the driver.
     """
     n_classes = len(CLASSES) + 1
     classes = F.concat(F.lit(" "), F.array_join(class_counts(F.coalesce("text", F.lit(""))).cast("array<string>"), " "))
@@ -107,29 +110,27 @@ def language_profiles(docs: DataFrame) -> tuple[list[str], list[dict]]:
     is_class = F.startswith("word", F.lit(" "))
     of_class = [F.coalesce(F.sum(F.when(is_class, F.col("n") * F.get(F.split("word", " "), F.lit(i + 1)).cast("long"))), F.lit(0)).alias(f"c{i}") for i in range(n_classes)]
     sums = written(counted.groupBy("lang").agg(F.coalesce(F.sum(F.when(~is_class, F.col("n"))), F.lit(0)).alias("n"), *of_class), "language-sums")
-    langs = {r["lang"]: r for r in sums.filter((F.col("n") >= PROFILE_WORDS) & F.col("lang").isNotNull()).collect()}
-    every = sums.agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(n_classes)]).first()
+    large = written(sums.filter((F.col("n") >= PROFILE_WORDS) & F.col("lang").isNotNull()).withColumnsRenamed({"lang": "own", "n": "total"}), "language-large")
+    every = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(n_classes)]).first()
     # the rest of the languages are one more to count common words by
-    known = F.coalesce(F.col("lang").isin(list(langs)), F.lit(False)) if langs else F.lit(False)
-    small = counted.filter(~is_class & ~known).groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("own"), "word", "n")
-    of_own = counted.filter(~is_class & known).select(F.col("lang").alias("own"), "word", "n").unionByName(small)
-    least = F.lit(max(1.0, WORD_SHARE * ((every["n"] or 0) - sum(r["n"] for r in langs.values()))))
-    for k, r in langs.items():
-        least = F.when(F.col("own") == k, F.lit(max(1.0, WORD_SHARE * r["n"]))).otherwise(least)
-    # at most 1 / WORD_SHARE words of each, so what follows is small
-    common = written(of_own.filter(F.col("n") >= least), "language-common")
+    rest = every["n"] - (large.agg(F.sum("total")).first()[0] or 0)
+    tagged = counted.filter(~is_class).join(large.select("own", "total"), F.col("lang") == F.col("own"), "left").select("own", "total", "word", "n")
+    small = tagged.filter(F.col("own").isNull()).groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("own"), F.lit(rest).alias("total"), "word", "n")
+    of_own = tagged.filter(F.col("own").isNotNull()).unionByName(small)
+    # at most 1 / WORD_SHARE words of each
+    common = written(of_own.filter(F.col("n") >= F.greatest(F.lit(1.0), WORD_SHARE * F.col("total"))), "language-common")
     by = Window.partitionBy("own").orderBy(F.desc("n"), "word")
-    top = common.filter(F.col("own").isNotNull()).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= TOP_WORDS).collect()
-    whole = of_own.join(F.broadcast(common.select("word").distinct()), "word").groupBy("word").agg(F.sum("n").alias("n"))
-    best_of_all = whole.filter(F.col("n") >= max(1.0, WORD_SHARE * (every["n"] or 0))).orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()
-    profiles = []
-    for k, r in [*langs.items(), (None, every)]:
-        n = r["n"] or 0
-        best = sorted((x for x in top if x["own"] == k), key=lambda x: x["rank"]) if k is not None else best_of_all
-        chars = [float(r[f"c{i}"] or 0) for i in range(n_classes)]
-        p = [x["n"] / n if n else 0.0 for x in best]
-        profiles.append({"profile": k, "classes": [c / (sum(chars) or 1) for c in chars], "common": [x["word"] for x in best], "word_shares": [*p, max(0.0, 1.0 - sum(p))]})
-    return sorted(langs), profiles
+    top = common.filter(F.col("own").isNotNull()).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= TOP_WORDS)
+    best = top.groupBy("own").agg(F.sort_array(F.collect_list(F.struct("rank", "word", (F.col("n") / F.col("total")).alias("share")))).alias("best"))
+    left = lambda p: F.concat(p, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(p, F.lit(0.0), lambda a, x: a + x))))
+    none = F.array().cast("array<struct<rank:int,word:string,share:double>>")
+    profiles = large.join(best, "own", "left").withColumn("best", F.coalesce("best", none)).select("own", shares(F.array(*[F.col(f"c{i}") for i in range(n_classes)])).alias("classes"), F.col("best.word").alias("common"), left(F.col("best.share")).alias("word_shares"))
+    whole = of_own.join(common.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
+    first = whole.filter(F.col("n") >= max(1.0, WORD_SHARE * every["n"])).orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()
+    chars = [float(every[f"c{i}"]) for i in range(n_classes)]
+    p = [x["n"] / every["n"] for x in first]
+    of_all = {"classes": [c / (sum(chars) or 1) for c in chars], "common": [x["word"] for x in first], "word_shares": [*p, max(0.0, 1.0 - sum(p))]}
+    return written(profiles, "language-profiles", lasting=True), of_all
 
 
 def quality(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
@@ -146,25 +147,30 @@ def quality(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: fl
     * columns of ``docs`` with a name this adds are replaced.
     """
     with scope(docs.sparkSession):
-        langs, profiles = language_profiles(docs)
+        profiles, of_all = language_profiles(docs)
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
     keep = [c for c in docs.columns if c.lower() not in added]
-    own_text, w, judge, profile, ref_classes, ref_common, ref_words = free(docs.select(*keep), "own_text", "own_words", "judge", "profile", "ref_classes", "ref_common", "ref_words")
-    refs = docs.sparkSession.createDataFrame([(p["profile"] or "", p["profile"] is None, p["classes"], p["common"], p["word_shares"]) for p in profiles], f"{profile} string, whole boolean, {ref_classes} array<double>, {ref_common} array<string>, {ref_words} array<double>")
-    refs = refs.withColumn(profile, F.when(F.col("whole"), F.lit("-")).otherwise(F.concat(F.lit("+"), profile))).drop("whole")
-    known = sorted({x for p in profiles for x in p["common"]})
-    whole = F.col("lang").isNull() | ~F.col("lang").isin(langs) if langs else F.lit(True)
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias(own_text), F.when(whole, F.lit("-")).otherwise(F.concat(F.lit("+"), "lang")).alias(judge))
+    names = [F.col(f"`{c}`") for c in keep]
+    own_text, w, profile, ref_classes, ref_common, ref_words = free(docs.select(*names), "own_text", "own_words", "profile", "ref_classes", "ref_common", "ref_words")
+    refs = profiles.toDF(profile, ref_classes, ref_common, ref_words)
+    # words to look for at all, where they are few enough for one list; else each text's own reference decides alone
+    known = [r[0] for r in refs.select(F.explode(ref_common)).distinct().limit(MOST_KNOWN + 1).collect()]
+    listed = set(known) | set(of_all["common"]) if len(known) <= MOST_KNOWN else None
+    rows = docs.select(*names, F.coalesce("text", F.lit("")).alias(own_text))
     rows = rows.withColumn(w, words(F.col(own_text))).withColumns(base_counts(F.col(w), F.col(own_text)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    rows = rows.join(F.broadcast(refs), F.col(judge) == F.col(profile), "left")
+    # Spark broadcasts the references while they are small, and joins by language where they are not
+    rows = rows.join(refs, F.col("lang") == F.col(profile), "left")
+    array = lambda values, kind: F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+    rows = rows.withColumns({ref_classes: F.coalesce(ref_classes, array(of_all["classes"], "double")), ref_common: F.coalesce(ref_common, array(of_all["common"], "string")), ref_words: F.coalesce(ref_words, array(of_all["word_shares"], "double"))})
     rest = lambda n: F.concat(n, F.array(F.col("n_words") - F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)))
     common = lambda c: let(F.transform(ref_common, lambda r: F.size(F.filter(c, lambda x: x == r)).cast("long")), rest)
-    judged = let(F.filter(w, lambda x: x.isin(known) if known else F.lit(False)), common)
+    some = F.col(w) if listed is None else F.filter(w, lambda x: x.isin(sorted(listed)) if listed else F.lit(False))
+    judged = let(some, common)
     n = F.col("n_words")
     rows = rows.select(
-        *keep,
+        *names,
         *added[:5],
         F.when(~F.col("base_failed") & (F.length(own_text) >= MIN_CHARS), js_distance(let(class_counts(F.col(own_text)), shares), F.col(ref_classes))).alias("class_distance"),
         F.when(~F.col("base_failed") & (n >= MIN_WORDS), js_distance(let(judged, shares), F.col(ref_words))).alias("word_distance"),

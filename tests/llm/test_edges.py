@@ -217,6 +217,23 @@ def test_languages_without_a_profile(spark, tmp_path):
     assert compare.differences(entries.op5_quality_rules(spark, str(tmp_path)), sql.QUALITY, str(tmp_path)) == ""
 
 
+def test_thousands_of_languages(spark, monkeypatch):
+    """Profiles are a table: as many languages as there are, with and without the list of all common words."""
+    monkeypatch.setattr(quality, "PROFILE_WORDS", 50)
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(79)), lambda i: F.concat(F.lit("w"), (F.col("id") * 7 % 5003).cast("string"), F.lit("x"), F.pmod(F.xxhash64(i), F.lit(9)).cast("string"))))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), text.alias("text"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("lang"), F.lit("mine").alias("a.b"), F.lit("mine").alias("Known"))
+    # of the last language's documents one is in another's words
+    docs = docs.unionByName(docs.filter("doc_id = 7").withColumns({"doc_id": F.lit(9999).cast("long"), "lang": F.lit("l8")}))
+    columns = ["doc_id", "n_words", "kept", "class_distance", "word_distance"]
+    found = {}
+    for most in (10, 100_000):
+        monkeypatch.setattr(quality, "MOST_KNOWN", most)
+        found[most] = sorted(tuple(r) for r in quality.quality(docs).select(*columns).collect())
+    assert found[10] == found[100_000] and len(found[10]) == 3001
+    far = {r[0]: r[4] for r in found[10]}
+    assert far[7] < 1e-6 and far[100] < 1e-6 and 0.1 < far[8] and 0.1 < far[9999]
+
+
 def test_pipeline_on_odd_rows(spark, odd, bench, tmp_path):
     """Nulls, ties, repeats, clashing names and a very long text through every stage; each stage's decisions hold for the next."""
     import corpus_pipeline
