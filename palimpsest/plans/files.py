@@ -11,6 +11,7 @@ from ..sources import fixtures as X
 from ..sources import pages as G
 from ..sources.scratch import new_path
 from .catalog import Catalog
+from .translation import PAGES, WARNINGS
 
 catalog = Catalog()
 add = catalog.add
@@ -31,6 +32,16 @@ def s3_s5_page_documents(spark: SparkSession, d: str) -> DataFrame:
     return blocks.select("task_id", "page_num", "seq", "text", "translated")
 
 
+@add("SELECT doc_id::VARCHAR AS task_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE count(DISTINCT page_num) END AS pages, doc_id % 3 = 0 AS again FROM quality_pairs GROUP BY doc_id", "quality_pairs")
+def s5_rewritten_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Every third task is written again, with its first page only: it replaces its pages and no others."""
+    path = stored_pages(spark, d)
+    first = X.table(spark, d, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("task_id")).distinct()
+    G.write_page_results(first.select("task_id", F.lit(1).alias("pageNum"), F.lit("").alias("original"), F.lit("again").alias("translated"), F.array().cast(f"array<{G.BLOCK}>").alias("textBlocks")), path)
+    pages = G.read_page_results(spark, path)
+    return pages.groupBy("task_id").agg(F.count("*").alias("pages"), F.bool_or(F.col("translated") == "again").alias("again"))
+
+
 @add("SELECT id::VARCHAR AS task_id, file_id AS \"fileId\", user_id AS \"userId\", (id % 9)::INT AS \"totalPages\", id % 3 <> 0 OR status = 'recoverable' AS \"isPartial\" FROM tasks", "tasks")
 def s4_s6_task_results(spark: SparkSession, d: str) -> DataFrame:
     """Partial results of all tasks, then those of every third task again; the newest of each is read."""
@@ -49,12 +60,16 @@ def s6_fresh_exports(spark: SparkSession, d: str) -> DataFrame:
     return G.without_stale_exports(exports, t.filter(F.col("task_id") % 3 == 0))
 
 
-@add()
+@add(
+    f"""SELECT doc_id, pages, total AS warnings, CASE WHEN total > 0 THEN 'warn' ELSE 'ok' END AS status, code, n FROM (SELECT doc_id, count(*) AS pages, sum(warnings)::BIGINT AS total FROM ({PAGES}) GROUP BY doc_id)
+ LEFT JOIN (SELECT doc_id, w.code AS code, count(*) AS n FROM ({WARNINGS}) GROUP BY ALL UNION ALL SELECT doc_id, 'blank_translated_page', count(*) FROM ({PAGES}) WHERE blank_page GROUP BY doc_id) USING (doc_id)""",
+    "quality_pairs",
+)
 def s7_quality_reports(spark: SparkSession, d: str) -> DataFrame:
-    """Reports written as JSON and read back."""
+    """Reports written as JSON and read back, a row for each code."""
     path = new_path(spark, "reports")
     G.write_report(Q.report(X.quality_pairs(spark, d), ["doc_id"], ["page_num"]), path)
-    return G.read_report(spark, path, "doc_id long")
+    return G.read_report(spark, path, "doc_id long").select("doc_id", "pages", "warnings", "status", F.explode_outer("warning_counts").alias("code", "n"))
 
 
 @add("SELECT 'stored' AS what, count(DISTINCT doc_id % 16) AS n FROM documents UNION ALL SELECT 'missing', 16 - count(DISTINCT doc_id % 16) + 1 FROM documents")

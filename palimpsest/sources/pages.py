@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import _hadoop, written
+
 RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
 LINE = f"struct<text:string,bbox:{RECT},font_size:double>"
 BLOCK = f"struct<type:string,bbox:{RECT},text:string,translatedText:string,font_size:double,layout_role:string,is_header_footer_metadata:boolean,is_formula:boolean,is_chart_text:boolean,is_table_text:boolean,block_index:int,lines:array<{LINE}>>"
@@ -17,15 +19,47 @@ def schema(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
-def write_page_results(pages: DataFrame, path: str) -> None:
-    """One folder a task; writing a task again replaces that task's pages only."""
-    pages.repartition("task_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task_id").json(path)
+#: Folders of a page store; a task's pages are in the one of its hash.
+BUCKETS = 64
+
+
+def task_bucket(task: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(task.cast("string")), F.lit(buckets)).cast("int")
+
+
+def write_page_results(pages: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Pages of some tasks into the store at ``path``, in place of those tasks' former pages; other tasks keep theirs.
+
+    Tasks share ``buckets`` folders, however many they are. Only folders of the written tasks are read and
+    replaced, each at the commit of the job; the rows are in the shared folder before, so that a run that
+    breaks off can be made again. A bucket's rows are dealt to several files where they are many.
+    """
+    spark = pages.sparkSession
+    new = written(pages.withColumn("bucket", task_bucket(F.col("task_id"), buckets)), "pages-new")
+    touched = new.select("bucket").distinct()
+    if touched.isEmpty():
+        return
+    old = stored_pages(spark, path)
+    if old is not None:
+        kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select("task_id").distinct(), "task_id", "left_anti")
+        new = written(new.unionByName(kept.select(*new.columns), allowMissingColumns=True), "pages-both")
+    dealt = new.repartition("bucket", F.pmod(F.xxhash64("task_id"), F.lit(buckets * 8)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(path)
+
+
+def stored_pages(spark: SparkSession, path: str) -> DataFrame | None:
+    """All pages of the store with their bucket; None if there is no store."""
+    files, root = _hadoop(spark, path)
+    if not files.exists(root):
+        return None
+    return spark.read.schema(schema(PAGE_RESULT).add("task_id", "string").add("bucket", "integer")).json(path)
 
 
-def read_page_results(spark: SparkSession, path: str, task: Column | None = None) -> DataFrame:
-    """Pages with their task_id; a filter on it reads only that task's folder."""
-    pages = spark.read.schema(schema(PAGE_RESULT).add("task_id", "string")).json(path)
-    return pages if task is None else pages.filter(F.col("task_id") == task)
+def read_page_results(spark: SparkSession, path: str, task: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Pages with their task_id; for a ``task`` only the folder of its hash is read."""
+    pages = spark.read.schema(schema(PAGE_RESULT).add("task_id", "string").add("bucket", "integer")).json(path)
+    found = pages if task is None else pages.filter((F.col("bucket") == task_bucket(task, buckets)) & (F.col("task_id") == task.cast("string")))
+    return found.drop("bucket")
 
 
 def blocks_of(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import translate as R
+from palimpsest.sources import pages as G
 from palimpsest.sources.keyed import KeyedTable
 from palimpsest.sources.scratch import new_path
 
@@ -113,3 +114,23 @@ def test_failed_texts_are_not_remembered(spark):
     assert once[(4, 0)] == "New words." and known.rows().count() == 3
     later, n = run(spark, known, "b", rows=[*BLOCKS, (4, 0, "en", "New words.")])
     assert n == 1 and later[(4, 0)] == "[zh: New words.]"
+
+
+def test_page_store(spark):
+    """Tasks share folders; a task is found by its folder's hash alone, and written again without touching its neighbours."""
+    path = new_path(spark, "pages")
+    page = lambda t, n, text: (t, n, text, text, [])
+    columns = f"task_id string, pageNum int, original string, translated string, textBlocks array<{G.BLOCK}>"
+    write = lambda rows: G.write_page_results(spark.createDataFrame(rows, columns), path, 4)
+    write([page(f"t{i}", n, "old") for i in range(12) for n in (1, 2)])
+    one = G.read_page_results(spark, path, F.lit("t5"), 4)
+    assert sorted(r["pageNum"] for r in one.collect()) == [1, 2]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    write([page("t5", 1, "new"), page("t99", 1, "new")])
+    write([])
+    found = {}
+    for r in G.read_page_results(spark, path).collect():
+        found.setdefault(r["task_id"], []).append((r["pageNum"], r["translated"]))
+    assert found.pop("t5") == [(1, "new")] and found.pop("t99") == [(1, "new")]
+    assert len(found) == 11 and all(sorted(v) == [(1, "old"), (2, "old")] for v in found.values())
