@@ -329,8 +329,10 @@ def styles(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
     kept = spans.filter(F.trim("text") != "").withColumn("_w", F.length(F.trim("text")))
     colors = kept.groupBy(*keys, "color").agg(F.sum("_w").alias("w"), F.min(order).alias("at"))
     lead = colors.groupBy(*keys).agg(F.max_by("color", F.struct("w", -c("at"))).alias("lead"), F.min_by("color", "at").alias("first"), (F.max("w") / F.sum("w")).alias("share"), F.count("*").alias("n"))
-    rest = kept.groupBy(*keys).agg(F.sort_array(F.collect_list("font_size")).alias("_s"), (F.sum(F.when(is_bold(c("font"), c("flags")), c("_w")).otherwise(0)) / F.sum("_w") >= 0.45).alias("is_bold"))
-    size = most(F.element_at("_s", F.floor(F.size("_s") / 2).cast("int") + 1), 6.0)
+    # the upper median is the first half's last from the top: a count for each size, no list of spans
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY font_size DESC)")
+    rest = kept.groupBy(*keys).agg(middle.alias("_s"), (F.sum(F.when(is_bold(c("font"), c("flags")), c("_w")).otherwise(0)) / F.sum("_w") >= 0.45).alias("is_bold"))
+    size = most(c("_s"), 6.0)
     color = F.when((c("n") > 1) & (c("share") < 0.75), c("first")).otherwise(c("lead"))
     return rest.join(lead, keys).select(*keys, size.alias("font_size"), "is_bold", color.alias("color"))
 

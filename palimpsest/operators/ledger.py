@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.plans import effective_plan, limit
+from ..sources.scratch import new_path
 
 STATUSES = ["pending", "processing", "completed", "failed"]
 
@@ -142,10 +145,37 @@ def validate_uploads(uploads: DataFrame, plan: Column) -> DataFrame:
     return uploads.withColumn("reason", reason)
 
 
+@dataclass(frozen=True)
+class Listing:
+    """Rows in range partitions of an order, as a table of a folder each, and how many each holds: any page is read from its own partitions."""
+
+    rows: DataFrame
+    order: list[Column]
+    counts: list[tuple[int, int]]
+
+    @classmethod
+    def of(cls, df: DataFrame, order: list[Column], parts: int | None = None) -> Listing:
+        """``order`` should leave no ties: tied rows may change places from listing to listing."""
+        spark = df.sparkSession
+        n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        path = new_path(spark, "listing")
+        df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(path)
+        rows = spark.read.schema(df.schema.add("_part", "integer")).parquet(path)
+        # a number for each partition, as many as the listing was asked to have
+        return cls(rows, order, sorted((r["_part"], r["n"]) for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()))
+
+    def page(self, number: int, size: int = 10) -> DataFrame:
+        """The rows of one page with their rank in the whole; a page past the end shows the last."""
+        total = sum(n for _, n in self.counts)
+        at = max(1, min(number, -(-total // size)))
+        first, last = (at - 1) * size, at * size
+        before = dict(zip((p for p, _ in self.counts), accumulate((n for _, n in self.counts), initial=0), strict=False))
+        there = {p: before[p] for p, n in self.counts if before[p] < last and before[p] + n > first}
+        offset = reduce(lambda c, x: F.when(F.col("_part") == x[0], F.lit(x[1])).otherwise(c), there.items(), F.lit(0))
+        ranked = self.rows.filter(F.col("_part").isin(list(there))).withColumn("rank", F.row_number().over(Window.partitionBy("_part").orderBy(*self.order)) + offset)
+        return ranked.filter((F.col("rank") > first) & (F.col("rank") <= last)).drop("_part")
+
+
 def page_of(df: DataFrame, order: list[Column], page: int, size: int = 10) -> DataFrame:
-    """One page of an ordered listing; a page past the end shows the last. The total and the page travel as plan, not through the driver."""
-    total = df.agg(F.count("*").alias("_total"))
-    at = F.least(F.lit(page), F.greatest(F.ceil(F.col("_total") / size), F.lit(1)))
-    top = df.orderBy(*order).limit(page * size)
-    ranked = top.join(F.broadcast(total)).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return ranked.filter((F.col("rank") > (at - 1) * size) & (F.col("rank") <= at * size)).drop("_total")
+    """One page of an ordered listing; a page past the end shows the last."""
+    return Listing.of(df, order).page(page, size)

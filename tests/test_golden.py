@@ -311,3 +311,18 @@ def test_blocks_without_language_are_translated(spark):
     memory = spark.createDataFrame([(None, text, "known")], "lang string, text string, translated string")
     told = {r["id"]: (r["hit"], r["translated"]) for r in R.memory_lookup(blocks, memory, ["lang", "text"]).collect()}
     assert told == {1: (True, "known"), 2: (False, None), 3: (False, None), 4: (False, None)}
+
+
+def test_pages_of_a_long_listing(spark):
+    """Any page comes from its own partitions; a page past the end is the last; an empty listing has none."""
+    df = spark.range(100_003).select(F.col("id"), (F.col("id") * 7919 % 100_003).alias("at"))
+    listing = G.Listing.of(df, [F.desc("at"), "id"], parts=7)
+    page = listing.page(5_000)
+    assert [(r["at"], r["rank"]) for r in page.orderBy("rank").collect()] == [(100_002 - k, k + 1) for k in range(49_990, 50_000)]
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "_part" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert [r["at"] for r in listing.page(99_999).orderBy("rank").collect()] == [2, 1, 0]
+    # a page that lies in two partitions
+    border = listing.counts[0][1] // 10 + 1
+    assert [r["rank"] for r in listing.page(border).orderBy("rank").collect()] == list(range(10 * border - 9, 10 * border + 1))
+    assert G.page_of(df.filter("id < 0"), [F.desc("at")], 3).collect() == []
