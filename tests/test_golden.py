@@ -285,7 +285,7 @@ def test_quota_release(spark, tmp_path):
     rows = [(i, t[i - 1], 1, key, action, "2024-01", 1, 0) for i, key, action in [(1, "k1", "reserve"), (2, "k2", "reserve"), (3, "k1", "release"), (4, "k2", "reserve")]]
     schema = "event_id long, ts timestamp, user_id long, key string, action string, period string, quota int, base int"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = ST.run(ST.quota_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), "append", "quota")
+    out = ST.run(ST.quota_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), "append", "quota", ST.ROCKS)
     assert {r["event_id"]: r["admitted"] for r in out.collect()} == {1: True, 2: False, 4: True}
 
 
