@@ -147,41 +147,82 @@ def parsed_replies(df: DataFrame) -> DataFrame:
     return df.withColumn("texts", F.when(good, F.transform(F.sort_array(ids), lambda i: F.element_at(F.filter(items, lambda x: x["id"] == i), -1)["text"])))
 
 
-def translated(items: DataFrame, source: str, target: str, translator: Translator, batch: int = MOST_BLOCKS, chars: int = MOST_CHARS, column: str = "text") -> DataFrame:
-    """``items`` with ``translated``, by a function of (texts, source, target) applied to bounded batches in each partition.
+def attempted(items: DataFrame, source: str, target: str, translator: Translator, number: int = 1, batch: int = MOST_BLOCKS, chars: int = MOST_CHARS, column: str = "text") -> DataFrame:
+    """One attempt at all ``items``: with ``translated``, ``attempt``, ``status`` (completed or failed) and ``error``.
 
-    A batch that fails, or returns another number of texts, is tried again text by text; a text that
-    fails alone stays null.
+    The translator, a function of (texts, source, target), gets bounded batches in each partition. A batch that raises, or comes
+    back with another number of texts, fails as a whole; a text that comes back null fails alone.
     """
+    added = {"translated": "string", "attempt": "int", "status": "string", "error": "string"}
 
-    def safe(texts: list[str], a: str, b: str) -> list[str | None]:
+    def once(texts: list[str], a: str, b: str) -> tuple[list[str | None], str | None]:
         try:
-            out = translator(texts, a, b)
-            if len(out) == len(texts):
-                return list(out)
-        except Exception:  # a translator may fail in any way
-            out = None
-        return [None] if len(texts) == 1 else [safe([t], a, b)[0] for t in texts]
+            out = list(translator(texts, a, b))
+        except Exception as e:  # a translator may fail in any way
+            return [None] * len(texts), f"{type(e).__name__}: {e}"
+        return (out, None) if len(out) == len(texts) else ([None] * len(texts), f"{len(out)} texts for {len(texts)}")
+
+    def cut(texts: pd.Series) -> Iterator[list[int]]:
+        held: list[int] = []
+        n = 0
+        for i, t in texts.items():
+            if held and (len(held) >= batch or n + len(t or "") > chars):
+                yield held
+                held, n = [], 0
+            held.append(i)
+            n += len(t or "")
+        if held:
+            yield held
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            done: list = [None] * len(f)
-            for (a, b), part in f.reset_index(drop=True).groupby([source, target], dropna=False, sort=False):
-                held: list[int] = []
-                n = 0
-                for i, t in part[column].items():
-                    if held and (len(held) >= batch or n + len(t) > chars):
-                        for k, x in zip(held, safe([part[column][k] for k in held], a, b), strict=True):
-                            done[k] = x
-                        held, n = [], 0
-                    held.append(i)
-                    n += len(t)
-                for k, x in zip(held, safe([part[column][k] for k in held], a, b) if held else [], strict=True):
-                    done[k] = x
-            yield f.assign(translated=done)
-
-    schema = items.withColumn("translated", F.lit(None).cast("string")).schema
-    return items.mapInPandas(run, schema)
+            f = f.reset_index(drop=True)
+            done: list[str | None] = [None] * len(f)
+            errors: list[str | None] = [None] * len(f)
+            for (a, b), part in f.groupby([source, target], dropna=False, sort=False):
+                for held in cut(part[column]):
+                    texts, error = once([part[column][k] for k in held], a, b)
+                    for k, x in zip(held, texts, strict=True):
+                        done[k], errors[k] = x, error or (None if x is not None else "no text")
+            yield f.assign(translated=done, attempt=number, status=["failed" if e else "completed" for e in errors], error=errors)
+
+    return items.mapInPandas(run, items.withColumns({c: F.lit(None).cast(k) for c, k in added.items()}).schema)
+
+
+def with_fallback(
+    items: DataFrame, source: str, target: str, translator: Translator, batch: int = MOST_BLOCKS, chars: int = MOST_CHARS, column: str = "text", retries: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """``items`` with ``translated`` (null where every attempt failed), and the log: a row for each item and attempt.
+
+    What the first pass failed on is a table; each retry is a pass of its own over it, spread over all
+    partitions, one item a batch, so that one task's bad batches hold up no other and a lost executor repeats one pass only.
+    """
+    spark = items.sparkSession
+    runs = [written(attempted(items, source, target, translator, 1, batch, chars, column), "translate-attempt")]
+    for number in range(2, retries + 2):
+        failed = runs[-1].filter("status = 'failed'").select(*items.columns)
+        if failed.isEmpty():
+            break
+        spread = failed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        runs.append(written(attempted(spread, source, target, translator, number, 1, chars, column), "translate-attempt"))
+    last = [r.filter("status = 'completed'") for r in runs[:-1]] + runs[-1:]
+    return reduce(DataFrame.unionByName, last).select(*items.columns, "translated"), reduce(DataFrame.unionByName, runs)
+
+
+def translated(items: DataFrame, source: str, target: str, translator: Translator, batch: int = MOST_BLOCKS, chars: int = MOST_CHARS, column: str = "text") -> DataFrame:
+    """``items`` with ``translated``: in bounded batches, then what failed once more, one by one; a text that fails alone stays null."""
+    return with_fallback(items, source, target, translator, batch, chars, column)[0]
+
+
+def page_attempts(items: DataFrame, log: DataFrame, page: list[str], keys: list[str]) -> DataFrame:
+    """Attempts of pages from those of their items: ``items`` has ``page`` and the log's ``keys``, null equal to null.
+
+    A page's attempt failed if any of its items did in that attempt; items that were through before have no part in it.
+    """
+    tried = log.select(*[F.col(k).alias(f"_{k}") for k in keys], "attempt", "status").withColumn("_hash", F.xxhash64(*[f"_{k}" for k in keys]))
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.xxhash64(*keys) == F.col("_hash"))
+    met = items.join(tried, on)
+    return met.groupBy(*page, "attempt").agg(F.when(F.bool_or(F.col("status") == "failed"), "failed").otherwise("completed").alias("status"))
 
 
 def mock(text: Column, source: Column, target: Column) -> Column:

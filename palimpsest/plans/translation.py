@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import ledger as L
 from ..operators import quality as Q
 from ..operators import translate as R
 from ..sources import fixtures as X
 from ..sources import pages as G
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, written
 from .catalog import Catalog
 
 catalog = Catalog()
@@ -201,6 +202,27 @@ def b3_fallback(spark: SparkSession, d: str) -> DataFrame:
     return R.translate_once(blocks(spark, d), "en", lambda items: R.translated(items, "lang", "target", flaky)).select(*KEYS, "role", "translated")
 
 
+@add(
+    f"SELECT doc_id AS task_id, page_num AS page_number, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bad THEN 2 END AS attempts, NOT bad AS is_billed FROM (SELECT doc_id, page_num, bool_or(length(text) % 97 = 0) AS bad FROM blocks WHERE {GO} GROUP BY ALL)",
+    "blocks",
+)
+def b3_w12_page_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Pages after a translator that never takes some texts, nor a batch that holds one: what the log of its attempts says of them."""
+
+    def choosy(texts: list[str], source: str, target: str) -> list[str]:
+        if any(len(t) % 97 == 0 for t in texts):
+            raise ValueError("not this one")
+        return R.TRANSLATORS["mock"](texts, source, target)
+
+    b = blocks(spark, d)
+    keys = ["lang", "target", "role", "text"]
+    items = written(b.filter(R.translatable(b)).select(F.col("doc_id").alias("task_id"), F.col("page_num").alias("page_number"), "lang", F.lit("en").alias("target"), R.role(b).alias("role"), R.protected(F.col("text")).alias("text")), "items")
+    _, log = R.with_fallback(items.select(*keys).distinct(), "lang", "target", choosy)
+    pages = L.page_outcomes(R.page_attempts(items, log, ["task_id", "page_number"], keys))
+    # how often a page without such a text was tried depends on what shared its batches
+    return pages.withColumn("attempts", F.when(F.col("status") == "failed", F.col("attempts")))
+
+
 @add(f"SELECT doc_id, block_index, CASE WHEN lang = 'fr' THEN text ELSE concat('[fr: ', text, ']') END AS translated FROM blocks", "blocks")
 def b4_mock_translator(spark: SparkSession, d: str) -> DataFrame:
     return blocks(spark, d).select(*KEYS, R.mock(F.col("text"), F.col("lang"), F.lit("fr")).alias("translated"))

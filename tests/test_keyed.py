@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.operators import ledger as L
 from palimpsest.operators import translate as R
 from palimpsest.sources import pages as G
 from palimpsest.sources.keyed import KeyedTable
@@ -134,3 +135,31 @@ def test_page_store(spark):
         found.setdefault(r["task_id"], []).append((r["pageNum"], r["translated"]))
     assert found.pop("t5") == [(1, "new")] and found.pop("t99") == [(1, "new")]
     assert len(found) == 11 and all(sorted(v) == [(1, "old"), (2, "old")] for v in found.values())
+
+
+def test_failed_batches_are_tried_again_all_over(spark):
+    """A batch that fails goes item by item through a second pass, over all partitions; each attempt is a row that the page outcome reads."""
+    items = spark.range(200).select(F.lit("en").alias("lang"), F.lit("zh").alias("target"), F.col("id").cast("string").alias("text")).coalesce(1)
+
+    def choosy(texts, source, target):
+        if len(texts) > 1 and int(texts[0]) // 20 % 2 or "7" in texts:
+            raise RuntimeError("no")
+        return [None if t == "3" else t.upper() for t in texts]
+
+    done, log = R.with_fallback(items, "lang", "target", choosy)
+    out = {r["text"]: r["translated"] for r in done.collect()}
+    assert out == {str(i): None if i in (3, 7) else str(i) for i in range(200)}
+    rows = [(int(r["text"]), r["attempt"], r["status"], r["error"]) for r in log.collect()]
+    # every other batch of 20 fails, the one that holds the 7, and the 3 by itself
+    again = {i for i in range(200) if i // 20 % 2 or i < 20}
+    assert sorted((i, a) for i, a, *_ in rows) == sorted([(i, 1) for i in range(200)] + [(i, 2) for i in again])
+    assert {(i, e) for i, a, s, e in rows if a == 2 and s == "failed"} == {(3, "no text"), (7, "RuntimeError: no")}
+    assert log.filter("attempt = 2").select(F.spark_partition_id()).distinct().count() > 1
+    pages = items.withColumns({"task_id": F.lit(1), "page_number": (F.col("text").cast("int") / 20).cast("int")})
+    outcome = {r["page_number"]: (r["status"], r["attempts"], r["is_billed"]) for r in L.page_outcomes(R.page_attempts(pages, log, ["task_id", "page_number"], ["lang", "target", "text"])).collect()}
+    assert outcome == {p: ("failed", 2, False) if p == 0 else ("completed", 2 if p % 2 else 1, True) for p in range(10)}
+
+
+def test_no_items_no_attempts(spark):
+    done, log = R.with_fallback(spark.createDataFrame([], "lang string, target string, text string"), "lang", "target", R.TRANSLATORS["mock"])
+    assert done.count() == 0 and log.count() == 0 and done.columns == ["lang", "target", "text", "translated"]
