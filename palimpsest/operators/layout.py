@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.scratch import written
 
 PAGE = ["doc_id", "page_num"]
 WORD = "[A-Za-z0-9]+(?:[./:-][A-Za-z0-9]+)*"
@@ -441,13 +442,50 @@ def rescued_headers(blocks: DataFrame) -> DataFrame:
     return heads.alias("h").join(others.alias("o"), on, "left_semi").select(*PAGE, "seq")
 
 
+#: So many blocks after one are looked at by a window; joins look further.
+NEXT = 16
+
+
+def is_below(b: dict[str, Column], n: dict[str, Column]) -> Column:
+    """Block ``n`` begins below ``b`` and shares its column: they overlap sideways, or begin at about one x."""
+    aside = (n["x1"] >= b["x0"] - 12) & (n["x0"] <= b["x1"] + 12)
+    return (n["y0"] > b["y0"] + 1) & (aside | (F.abs(n["x0"] - b["x0"]) < 80))
+
+
 def room_below(blocks: DataFrame, margin: float = 18.0) -> DataFrame:
-    """``bottom_limit`` of each block: just above the next later block below it in its column, else the page's margin."""
-    related = ((c("n.x1") >= c("b.x0") - 12) & (c("n.x0") <= c("b.x1") + 12)) | (F.abs(c("n.x0") - c("b.x0")) < 80)
-    on = same_page("b", "n") & (c("n.seq") > c("b.seq")) & (c("n.y0") > c("b.y0") + 1) & related
-    joined = blocks.alias("b").join(blocks.alias("n"), on, "left")
-    found = joined.groupBy(*[c(f"b.{k}").alias(k) for k in (*PAGE, "seq")]).agg(F.max("b.page_height").alias("page_height"), F.min_by(c("n.y0"), c("n.seq")).alias("next_y0"))
-    return found.select(*PAGE, "seq", F.least(c("page_height") - margin, F.coalesce(c("next_y0") - 4, c("page_height"))).alias("bottom_limit"))
+    """``bottom_limit`` of each block: just above the next later block below it in its column, else the page's margin.
+
+    Most blocks have their next among the few that follow, which a window over the page sees; those that nothing later on
+    the page is below have none. The rest look on in rounds, each sixteen times as far as the last, by a join on runs of ranks:
+    work goes with how far the next block lies, and no page is ever held whole. ``seq`` names a block of its page.
+    """
+    sides = ["x0", "y0", "x1"]
+    key = [*PAGE, "seq"]
+    onward, back = Window.partitionBy(*PAGE).orderBy("seq"), Window.partitionBy(*PAGE).orderBy(c("seq").desc())
+    # from the end of the page, a frame only grows: linear in the page's blocks
+    seen = blocks.select(*key, *sides, "page_height").withColumns(
+        {
+            "_near": F.collect_list(F.struct("seq", *sides)).over(onward.rowsBetween(1, NEXT)),
+            "rank": F.row_number().over(onward),
+            "_lowest": F.max("y0").over(back.rowsBetween(Window.unboundedPreceding, -NEXT - 1)),
+            "after": F.row_number().over(back) - 1,
+        }
+    )
+    own = {k: c(k) for k in sides}
+    first = F.filter("_near", lambda x: is_below(own, {k: x[k] for k in sides}))
+    seen = seen.withColumn("next_y0", F.try_element_at(first, F.lit(1))["y0"])
+    seen = written(seen.withColumn("_open", c("next_y0").isNull() & F.coalesce(c("_lowest") > c("y0") + 1, F.lit(False))).drop("_near", "_lowest"), "room-below")
+    left, width, far = seen.filter("_open").select(*key, *sides, "rank", "after"), NEXT, []
+    while not left.isEmpty():
+        width *= 16
+        run = F.floor(c("rank") / width)
+        looks = left.withColumn("run", F.explode(F.array(run, run + 1))).alias("b")
+        on = same_page("b", "n") & (c("b.run") == c("n.run")) & (c("n.rank") > c("b.rank")) & is_below({k: c(f"b.{k}") for k in sides}, {k: c(f"n.{k}") for k in sides})
+        met = looks.join(seen.withColumn("run", run).alias("n"), on)
+        far.append(written(met.groupBy(*[c(f"b.{k}").alias(k) for k in key]).agg(F.min_by(c("n.y0"), c("n.seq")).alias("far_y0")), "room-far"))
+        left = written(left.filter(c("after") > width).join(far[-1], key, "left_anti"), "room-left")
+    found = seen.join(reduce(DataFrame.unionByName, far), key, "left") if far else seen.withColumn("far_y0", F.lit(None).cast("double"))
+    return found.select(*key, F.least(c("page_height") - margin, F.coalesce(F.coalesce("next_y0", "far_y0") - 4, c("page_height"))).alias("bottom_limit"))
 
 
 def inline_graphics(images: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.plans import effective_plan, limit
+from ..sources.keyed import KeyedTable
 from ..sources.scratch import new_path
 
 STATUSES = ["pending", "processing", "completed", "failed"]
@@ -130,6 +132,56 @@ def cascade(deleted: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]])
     return {k: df.join(deleted.select(*on), on, "left_anti") for k, (df, on) in tables.items()}
 
 
+#: How the tables that depend on a file name it: by the file itself, or by its tasks.
+DEPENDENTS = {"tasks": "file_id", "usage_events": "file_id", "usage_page_events": "file_id", "task_pages": "task_id", "exports": "task_id"}
+
+
+def delete_files(gone: DataFrame, files: DataFrame, tables: dict[str, DataFrame], pages: str = "pages") -> tuple[dict[str, DataFrame], DataFrame]:
+    """Files ``gone`` (file_id) leave ``files`` and all five dependent ``tables``, which have the names of DEPENDENTS.
+
+    Returns what each table keeps, and (key, removed): the storage keys that go with the files, and those of
+    exports, which no list of a file names: they stay in storage without a row (removed is false). Tables whose key is null keep the row.
+    """
+    tasks = tables["tasks"]
+    lost = tasks.join(gone.select("file_id"), "file_id", "left_semi")
+    by = {"file_id": gone.select("file_id"), "task_id": lost.select(F.col("id").alias("task_id"))}
+    kept = {k: tables[k].join(by[on], on, "left_anti").select(*tables[k].columns) for k, on in DEPENDENTS.items()}
+    kept["files"] = files.join(gone.select(F.col("file_id").alias("id")), "id", "left_anti").select(*files.columns)
+    removed = storage_keys(files.join(gone.select(F.col("file_id").alias("id")), "id", "left_semi"), lost, pages).select("key", F.lit(True).alias("removed"))
+    orphans = tables["exports"].join(by["task_id"], "task_id", "left_semi").select(export_key().alias("key"), F.lit(False).alias("removed"))
+    return kept, removed.unionByName(orphans)
+
+
+def export_key() -> Column:
+    return F.concat(F.lit("exports/"), F.col("task_id").cast("string"), F.lit("/"), F.col("output_type"), F.lit(".pdf"))
+
+
+TASK_ROW = "id long, file_id string, user_id string, source_lang string, target_lang string, status string, progress double, processed_pages int, total_pages int, translated_pages int, is_partial boolean, created_at timestamp"
+FILE_ROW = "id string, user_id string, original_filename string, storage_key string, file_size long, total_pages int, created_at timestamp"
+DEFAULTS: dict[str, Column | str | float | bool] = {"status": "processing", "progress": 0.0, "processed_pages": 0, "total_pages": 0, "translated_pages": 0, "is_partial": False}
+
+
+def ledger_table(spark: SparkSession, path: str, row: str) -> KeyedTable:
+    """A table of rows TASK_ROW or FILE_ROW that lives between runs, one row an id."""
+    return KeyedTable(spark, path, row, ("id",))
+
+
+def append_tasks(table: KeyedTable, requests: DataFrame, batch: str) -> DataFrame:
+    """New tasks with the state they begin in; an id that the table has stays as it is, and a batch made again replaces itself.
+
+    A column of ``requests`` counts before the default, but for status and progress, with which every task begins. Returns what the batch added.
+    """
+    given = [c for c in requests.columns if c not in ("status", "progress")]
+    rows = requests.select(*given, *[F.lit(v).alias(c) for c, v in DEFAULTS.items() if c not in given])
+    return table.add(rows.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(TASK_ROW).fields]), batch)
+
+
+def append_files(table: KeyedTable, files: DataFrame, batch: str) -> DataFrame:
+    """New files with their storage key, as ``append_tasks`` adds tasks."""
+    rows = files.withColumn("storage_key", F.concat(F.lit("uploads/"), F.col("id"), F.lit(".pdf")))
+    return table.add(rows.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(FILE_ROW).fields]), batch)
+
+
 def storage_keys(files: DataFrame, tasks: DataFrame, pages: str = "pages") -> DataFrame:
     """Keys of what a file left in storage: the upload, each task's result, each page's."""
     source = files.select(F.col("id").alias("file_id"), F.concat(F.lit("uploads/"), F.col("id"), F.lit(".pdf")).alias("key"))
@@ -141,7 +193,7 @@ def storage_keys(files: DataFrame, tasks: DataFrame, pages: str = "pages") -> Da
 
 def validate_uploads(uploads: DataFrame, plan: Column) -> DataFrame:
     """(name, head, size) rows with a rejection reason, or null: by name, by magic bytes, by the plan's size."""
-    reason = F.when(~F.lower("name").endswith(".pdf"), "not_pdf_name").when(F.col("head") != "%PDF", "not_pdf_content").when(F.col("size") > limit(plan, 1).cast("long") * 1024 * 1024, "too_large")
+    reason = F.when(~F.lower("name").endswith(".pdf"), "not_pdf_name").when(F.coalesce("head", F.lit("")) != "%PDF", "not_pdf_content").when(F.col("size") > limit(plan, 1).cast("long") * 1024 * 1024, "too_large")
     return uploads.withColumn("reason", reason)
 
 

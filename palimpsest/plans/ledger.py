@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import plans as P
 from ..operators import ledger as L
 from ..sources import fixtures as X
+from ..sources.scratch import new_path
 from .catalog import Catalog
 
 catalog = Catalog()
@@ -48,13 +51,34 @@ def s12_new_task_rows(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", "file_id", "user_id", "source_lang", "target_lang", F.lit("processing").alias("status"), F.lit(0.0).alias("progress"), F.lit(0).alias("processed_pages"), F.lit(0).alias("translated_pages"), F.lit(False).alias("is_partial"))
 
 
+@add(
+    """SELECT 'task' AS kind, id::VARCHAR AS id, CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS batch, 'processing' AS status, (id % 4)::INT AS total_pages, 0 AS translated_pages, NULL AS storage_key FROM tasks
+ UNION ALL SELECT 'file', id, 'a', NULL, total_pages, NULL, concat('uploads/', id, '.pdf') FROM files""",
+    "tasks files",
+)
+def s12_appended_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every third task is appended, then all of them, then the same batch again; files in one batch, twice: what the tables hold."""
+    asked = X.tasks(spark, d).withColumn("total_pages", F.col("id") % 4)
+    tasks, files = L.ledger_table(spark, new_path(spark, "tasks"), L.TASK_ROW), L.ledger_table(spark, new_path(spark, "files"), L.FILE_ROW)
+    for batch, rows in (("a", asked.filter("id % 3 = 0")), ("b", asked), ("b", asked)):
+        L.append_tasks(tasks, rows, batch)
+    for _ in range(2):
+        L.append_files(files, X.files(spark, d), "a")
+    null = lambda kind: F.lit(None).cast(kind)
+    task = [tasks.batch(b).select(F.lit("task").alias("kind"), F.col("id").cast("string").alias("id"), F.lit(b).alias("batch"), "status", "total_pages", "translated_pages", null("string").alias("storage_key")) for b in "ab"]
+    file = files.batch("a").select(F.lit("file").alias("kind"), "id", F.lit("a").alias("batch"), null("string").alias("status"), "total_pages", null("int").alias("translated_pages"), "storage_key")
+    return task[0].unionByName(task[1]).unionByName(file)
+
+
 LANGUAGES = "en zh ja ko es fr it pt de nl pl ru uk fi tr vi id ms".split()
 
 
-@add("SELECT doc_id, lower(trim(concat(' ', upper(lang), ' '))) AS lang FROM documents WHERE lower(trim(lang)) IN ('en','zh','ja','ko','es','fr','it','pt','nl','pl','ru','uk','fi','tr','vi','id','ms')")
+@add(f"SELECT doc_id, lower(trim(lang)) AS lang FROM documents WHERE doc_id % 5 <> 0 AND lower(trim(lang)) IN {tuple(LANGUAGES)}")
 def p18_supported_language(spark: SparkSession, d: str) -> DataFrame:
-    docs = X.table(spark, d, "documents").select("doc_id", F.concat(F.lit(" "), F.upper("lang"), F.lit(" ")).alias("lang"))
-    return docs.select("doc_id", F.lower(F.trim("lang")).alias("lang")).filter(F.col("lang").isin([x for x in LANGUAGES if x != "de"]))
+    """Languages of all documents, written in capitals and spaces; every fifth asks for a dialect, which is not supported."""
+    asked = F.concat(F.lit(" "), F.upper("lang"), F.when(F.col("doc_id") % 5 == 0, "-X").otherwise(""), F.lit(" "))
+    docs = X.table(spark, d, "documents").select("doc_id", asked.alias("lang"))
+    return docs.select("doc_id", F.lower(F.trim("lang")).alias("lang")).filter(F.col("lang").isin(LANGUAGES))
 
 
 @add(f"SELECT id, ep AS plan, {sql_limit('ep', 0)} AS max_pages_per_file, {sql_limit('ep', 1)} AS max_file_size_mb, {sql_limit('ep', 2)} AS period_quota, {sql_limit('ep', 3)} AS preview_pages FROM (SELECT id, {EFFECTIVE} AS ep FROM users)", "users")
@@ -264,6 +288,34 @@ def j10_cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+GONE = "(SELECT id FROM files WHERE total_pages % 2 = 1)"
+GONE_TASKS = f"(SELECT * FROM tasks WHERE file_id IN {GONE})"
+
+
+@add(
+    f"""SELECT 'files' AS part, id AS key FROM files WHERE id NOT IN {GONE} UNION ALL SELECT 'tasks', id::VARCHAR FROM tasks WHERE file_id NOT IN {GONE}
+ UNION ALL SELECT 'usage_events', id::VARCHAR FROM tasks WHERE status = 'recoverable' AND file_id NOT IN {GONE}
+ UNION ALL SELECT 'usage_page_events', concat(task_id, '/', page_number) FROM usage_page_events WHERE file_id NOT IN {GONE}
+ UNION ALL SELECT 'task_pages', concat(task_id, '/', page_number) FROM task_pages WHERE task_id NOT IN (SELECT id FROM {GONE_TASKS})
+ UNION ALL SELECT 'exports', concat(id, '/', unnest(['translated', 'bilingual'])) FROM tasks WHERE status = 'completed' AND file_id NOT IN {GONE}
+ UNION ALL SELECT 'removed', concat('uploads/', id, '.pdf') FROM files WHERE id IN {GONE} UNION ALL SELECT 'removed', concat('results/', id, '/result.json') FROM {GONE_TASKS}
+ UNION ALL SELECT 'removed', concat('results/', id, '/pages/', unnest(range(1, CAST(id % 4 + 1 AS BIGINT))), '.json') FROM {GONE_TASKS}
+ UNION ALL SELECT 'orphan', concat('exports/', id, '/', unnest(['translated', 'bilingual']), '.pdf') FROM {GONE_TASKS} WHERE status = 'completed'""",
+    "files tasks task_pages usage_page_events page_requests users",
+)
+def j10_cascade_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Files of an odd number of pages are deleted: what all five dependent tables keep, the storage keys that go, the exports that are left without a row."""
+    f, t = X.files(spark, d), X.tasks(spark, d).withColumn("pages", F.col("id") % 4)
+    exports = t.filter("status = 'completed'").select(F.col("id").alias("task_id"), F.explode(F.array(F.lit("translated"), F.lit("bilingual"))).alias("output_type"))
+    events = t.filter("status = 'recoverable'").select(F.col("id").alias("task_id"), "file_id")
+    tables = {"tasks": t, "task_pages": X.task_pages(spark, d), "usage_events": events, "usage_page_events": X.usage_page_events(spark, d), "exports": exports}
+    kept, keys = L.delete_files(f.filter("total_pages % 2 = 1").select(F.col("id").alias("file_id")), f, tables)
+    own = {"files": F.col("id"), "tasks": F.col("id").cast("string"), "usage_events": F.col("task_id").cast("string"), "exports": F.concat_ws("/", "task_id", "output_type")}
+    page = F.concat_ws("/", "task_id", "page_number")
+    parts = [df.select(F.lit(k).alias("part"), own.get(k, page).alias("key")) for k, df in kept.items()]
+    return reduce(DataFrame.unionByName, parts, keys.select(F.when(F.col("removed"), "removed").otherwise("orphan").alias("part"), "key"))
+
+
 @add(
     """SELECT id AS file_id, concat('uploads/', id, '.pdf') AS key FROM files UNION ALL SELECT file_id, concat('results/', id, '/result.json') FROM tasks
  UNION ALL SELECT file_id, concat('results/', id, '/pages/', unnest(range(1, CAST(id % 4 + 1 AS BIGINT))), '.json') FROM tasks""",

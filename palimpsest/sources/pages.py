@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .heads import listed
 from .scratch import _hadoop, written
 
 RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -85,6 +86,40 @@ def without_stale_exports(exports: DataFrame, results: DataFrame) -> DataFrame:
     return exports.join(results.select("task_id").distinct(), "task_id", "left_anti")
 
 
+def write_exports(exports: DataFrame, path: str, version: int) -> None:
+    """Exports made from the results of ``version``, as one version of the data set; writing a version again replaces it."""
+    exports.withColumn("version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").json(path)
+
+
+def newest_versions(spark: SparkSession, path: str) -> DataFrame:
+    """task_id and version of each task's newest result: what its exports have to be made from."""
+    rows = spark.read.schema("task_id string, version int").json(path)
+    return rows.groupBy("task_id").agg(F.max("version").alias("version"))
+
+
+def fresh_exports(spark: SparkSession, exports: str, results: str, schema: str = "task_id string, output_type string") -> DataFrame:
+    """The exports at ``exports`` that stand for the newest result of their task.
+
+    Writing a result is what invalidates: at the commit of a version of ``results`` all exports of older ones are
+    stale, whatever happens after it. Those of tasks without a result are too.
+    """
+    rows = spark.read.schema(f"{schema}, version int").json(exports)
+    return rows.join(newest_versions(spark, results), ["task_id", "version"], "left_semi")
+
+
+def drop_stale_exports(spark: SparkSession, exports: str, results: str, schema: str = "task_id string, output_type string") -> None:
+    """Removes from storage what ``fresh_exports`` does not show; versions that keep nothing lose their folder."""
+    fresh = written(fresh_exports(spark, exports, results, schema), "exports-fresh")
+    files, root = _hadoop(spark, exports)
+    if not fresh.isEmpty():
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").json(exports)
+    # a folder for each run that wrote
+    held = {f"version={r['version']}" for r in fresh.select("version").distinct().collect()}
+    for p in files.listStatus(root):
+        if p.isDirectory() and p.getPath().getName().startswith("version=") and p.getPath().getName() not in held:
+            files.delete(p.getPath(), True)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
@@ -104,16 +139,10 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """key, length of every file below ``path``; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_replace("path", "^.*?" + path.rstrip("/").split("/")[-1] + "/", "").alias("key"), "length")
+    root = path.rstrip("/").split("/")[-1]
+    return listed(spark, path).select(F.regexp_replace("path", f"^.*?/\\Q{root}\\E/", "").alias("key"), "length")
 
 
 def missing(expected: DataFrame, stored: DataFrame) -> DataFrame:
     """Expected keys that are not stored."""
     return expected.join(stored, "key", "left_anti")
-
-
-def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """name, head (first four bytes as text) and size of files under ``path``, for validation."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode(F.substring("content", 1, 4), "ISO-8859-1").alias("head"), F.col("length").alias("size"))
