@@ -25,7 +25,7 @@ HIDDEN = frozenset("script style noscript template svg math iframe object canvas
 #: Elements that hold what surrounds the article.
 BESIDE = frozenset("nav header footer aside form menu dialog".split())
 #: Words of class and id names that mark what surrounds the article.
-BESIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer form header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
+BESIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus footer form header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
 #: Roles that do.
 BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -41,6 +41,12 @@ TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li td th tr dt dd blockquote pre figure figcaption span b i em strong a".split())
 #: Parts of names of what holds the article beside something else.
 HOLDERS = frozenset("with without has no main content body layout".split())
+#: First parts of names of an article's own header.
+HEADED = frozenset("article content entry page post story title".split())
+#: Words that mark reader comments wherever a name has them.
+READERS = frozenset("comment comments discussion disqus replies reply respond".split())
+#: Ends of sentences.
+STOPS = tuple(".!?…。！？:：\"”’»)")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACES = re.compile(r"\s+")
@@ -49,8 +55,8 @@ HREF = re.compile(r"\bhref\b", re.I)
 LIMITS = frozenset("ul ol table article section div main body blockquote nav footer header aside".split())
 
 LONG, SHORT = 140, 40
-LINKED = 0.4
-STOPS_HIGH, STOPS_LOW = 0.18, 0.08
+LINKED, MOSTLY = 0.4, 0.8
+STOPS_HIGH, STOPS_LOW, STRANGE = 0.18, 0.08, 0.02
 
 
 class Block(NamedTuple):
@@ -59,29 +65,34 @@ class Block(NamedTuple):
     heading: bool
     beside: bool
     inside: bool
+    unsure: bool = False
 
 
-def named_beside(name: str, tag: str, inside: bool) -> bool:
-    """Whether a class or id name says that an element is beside the article: in full, or by its first or last part.
+#: What a name says of an element: nothing; beside the article by a part of a longer name, which may err; beside it.
+NO, MAYBE, YES = 0, 1, 2
 
-    An article's own header has its title.
-    """
+
+def named_beside(name: str, tag: str, inside: bool) -> int:
+    """What a class or id name says: it is taken in full, or by its first or last part. An article's own header has its title."""
     parts = [x.lower() for x in NAME.findall(name)]
-    if not parts or inside and parts[-1] in ("header", "masthead"):
-        return False
+    if not parts or parts[-1] in ("header", "masthead") and (inside or len(parts) > 1 and parts[0] in HEADED):
+        return NO
     if len(parts) == 1:
-        return parts[0] in BESIDE_NAMES
-    return tag not in RUNNING and HOLDERS.isdisjoint(parts) and not BESIDE_NAMES.isdisjoint((parts[0], parts[-1]))
+        return YES if parts[0] in BESIDE_NAMES else NO
+    if tag in RUNNING or not HOLDERS.isdisjoint(parts) or BESIDE_NAMES.isdisjoint((parts[0], parts[-1])):
+        return NO
+    return MAYBE if READERS.isdisjoint(parts) else YES
 
 
-def names_beside(attributes: str, tag: str, inside: bool) -> bool:
+def names_beside(attributes: str, tag: str, inside: bool) -> int:
+    said = NO
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "role" and value.strip().lower() in BESIDE_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key in ("class", "id") and any(named_beside(x, tag, inside) for x in value.split()):
-            return True
-    return False
+            return YES
+        if key in ("class", "id"):
+            said = max([said, *(named_beside(x, tag, inside) for x in value.split())])
+    return said
 
 
 class Finder:
@@ -149,9 +160,9 @@ def cut(page: str) -> list[Block]:
     linked, heading = 0, False
     # text before this place is a link's; 0: in no link; an anchor that is not closed before the next ends with its block
     link_end, until_block = 0, False
-    open_tags: list[tuple[str, bool, bool]] = []  # name, beside, inside
+    open_tags: list[tuple[str, int, bool]] = []  # name, how surely beside, inside
     counts: dict[str, int] = {}
-    beside = inside = False
+    beside, inside = NO, False
     scan, at, end = Scanner(page), 0, len(page)
 
     def flush() -> None:
@@ -159,7 +170,7 @@ def cut(page: str) -> list[Block]:
         text = SPACES.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
         parts.clear()
         if text:
-            blocks.append(Block(text, linked, heading, beside, inside))
+            blocks.append(Block(text, linked, heading, beside > NO, inside, beside == MAYBE))
         linked = 0
         if until_block:
             link_end, until_block = 0, False
@@ -176,7 +187,7 @@ def cut(page: str) -> list[Block]:
                     break
                 if open_tags[k][0] in within:
                     break
-        beside, inside = open_tags[-1][1:] if open_tags else (False, False)
+        beside, inside = open_tags[-1][1:] if open_tags else (NO, False)
 
     while at < end:
         start = scan.find("<", at)
@@ -242,23 +253,22 @@ def cut(page: str) -> list[Block]:
             shut(tag, LIMITS)  # these end a sibling that was left open
         if tag in ("article", "main"):
             inside = True
-        holds = tag not in ("html", "body", "article", "main") and (tag in BESIDE or bool(attributes) and names_beside(attributes, tag, inside))
-        if holds and tag == "header" and inside:
-            holds = False  # an article's own header has its title
-        beside = beside or holds
+        if tag not in ("html", "body", "article", "main") and not (tag == "header" and inside):
+            beside = max(beside, YES if tag in BESIDE else names_beside(attributes, tag, inside) if attributes else NO)
         open_tags.append((tag, beside, inside))
         counts[tag] = counts.get(tag, 0) + 1
     flush()
     return blocks
 
 
-def first_pass(b: Block, marked: bool) -> bool | None:
+def first_pass(b: Block) -> bool | None:
     """Main text or not by length, link density and density of stop words; None where they cannot tell."""
-    if b.beside or marked and not b.inside:
+    if b.beside:
         return False
     n = len(b.text)
     if b.linked > LINKED * n:
-        return False
+        # running text of an article may be full of links
+        return None if b.inside and n >= LONG and b.linked < MOSTLY * n else False
     if n < SHORT or b.heading:
         return None if b.inside or not b.linked else False
     words = b.text.lower().split()
@@ -301,14 +311,48 @@ def second_pass(blocks: list[Block], labels: list[bool | None], marked: bool) ->
     return out
 
 
+def without_stop_words(blocks: list[Block]) -> list[bool | None]:
+    """Labels of a page whose language the stop words are not of: long blocks with few links are its text.
+
+    A short block before the first or after the last of them that ends no sentence and heads nothing is a menu's or a footer's
+    line, unless it is in a marked article. Where stop words do occur, nothing is decided.
+    """
+    words = [w for b in blocks if not b.beside for w in b.text.lower().split()]
+    if sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) > STRANGE * len(words):
+        return [first_pass(b) for b in blocks]
+    weight = [len(b.text) + 2 * sum("\u3040" <= x <= "\ud7ff" for x in b.text) for b in blocks]  # a sign of these scripts says as much as three letters
+    labels = [None if not b.beside and not b.heading and b.linked <= LINKED * len(b.text) else first_pass(b) for b in blocks]
+    long = [i for i, (b, x) in enumerate(zip(blocks, labels, strict=True)) if x is None and not b.heading and weight[i] >= LONG]
+    for i, b in enumerate(blocks):
+        if long and labels[i] is None:
+            outside = not b.inside and (i < long[0] or i > long[-1])
+            # the last heading before the text is its title
+            title = b.heading and i < long[0] and not any(x.heading and not x.beside for x in blocks[i + 1 : long[0]])
+            labels[i] = True if weight[i] >= LONG and not b.heading else False if outside and not title and not (b.text.endswith(STOPS) and weight[i] >= SHORT) else None
+    return labels
+
+
 def main_text(page: str) -> str:
-    """The blocks of the main text, one a line."""
+    """The blocks of the main text, one a line.
+
+    Where the rules find no main text, blocks count as open that are left out for a part of a name only;
+    where they still find none, the page is taken to be in a language of other stop words.
+    """
     blocks = cut(page)
-    labels = second_pass(blocks, [first_pass(b, False) for b in blocks], False)
+    first = [first_pass(b) for b in blocks]
+    if not any(first) and any(b.unsure for b in blocks):
+        freed = [b._replace(beside=b.beside and not b.unsure) for b in blocks]
+        again = [first_pass(b) for b in freed]
+        if any(again) or not any(x is None for x in first):
+            blocks, first = freed, again
+    if not any(first):
+        first = without_stop_words(blocks)
+    labels = second_pass(blocks, first, False)
     if any(b.inside and not b.beside for b in blocks):
         own, other = (sum(len(b.text) for b, x in zip(blocks, labels, strict=True) if x and b.inside == side) for side in (True, False))
         if own >= other:
-            labels = second_pass(blocks, [first_pass(b, True) for b in blocks], True)
+            marked = [False if not b.inside else x for b, x in zip(blocks, first, strict=True)]
+            labels = second_pass(blocks, marked, True)
     return "\n".join(b.text for b, x in zip(blocks, labels, strict=True) if x)
 
 

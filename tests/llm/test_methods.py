@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import random
 
 import numpy as np
@@ -439,3 +440,24 @@ def test_scopes_remove_their_tables(spark):
         kept = written(outer, "kept", lasting=True)
         assert outer.count() == 5
     assert not os.path.exists(inner) and kept.count() == 5 and not os.path.exists(outer.inputFiles()[0].removeprefix("file://"))
+
+
+def test_main_text_of_awkward_pages():
+    """Names that err, headers of articles, other languages, reader comments: pages labelled by hand."""
+    said = "It is what it is, and that is all that there is to say of it in the end. "
+    shared = f"<nav><a href=x>Home</a></nav><div class='share-story'><h1>Title</h1><p>{said * 4}</p></div><footer>Us</footer>"
+    assert html.main_text(shared) == f"Title\n{(said * 4).strip()}"
+    headed = f"<div class='page-header'><h1>Title</h1></div><div class='content'><p>{said * 4}</p></div><div class='site-header'><p>{said * 3}</p></div>"
+    assert html.main_text(headed) == f"Title\n{(said * 4).strip()}"
+    talk = f"<h1>Title</h1><p>{said * 4}</p><div class='discussion'><p>{said * 4}</p></div><div class='user-comments'><p>{said * 9}</p></div>"
+    assert html.main_text(talk) == f"Title\n{(said * 4).strip()}"
+    only_talk = f"<h1>Title</h1><div class='reader-comments'><p>{said * 4}</p></div>"
+    assert html.main_text(only_talk) == "Title"
+    polish = "Wczoraj wieczorem mieszkańcy miasta zebrali się przed ratuszem, aby świętować otwarcie nowego mostu przez rzekę, którego budowa trwała cztery lata."
+    page = f"<ul><li>Start</li><li>Oferta</li></ul><h1>Nowy most</h1><p>{polish}</p><p>Krótkie zdanie.</p><p>{polish}</p><div>Kontakt tel. 12</div><p>Prawa zastrzeżone</p>"
+    assert html.main_text(page) == f"Nowy most\n{polish}\nKrótkie zdanie.\n{polish}"
+    chinese = "昨天晚上，市民们聚集在市政厅前，庆祝横跨河流的新大桥正式通车，这座大桥的建设历时四年，耗资数亿，期间克服了许多技术上的困难与挑战。"
+    assert html.main_text(f"<div>首页</div><h1>新大桥</h1><p>{chinese}</p><p>{chinese}</p><div>版权所有</div>") == f"新大桥\n{chinese}\n{chinese}"
+    linked = "It was <a href=x>the work of many hands over many long years</a> and <a href=y>of those who came to see it all</a>, as it is said of it today in <a href=z>the old town by the sea</a>."
+    page = f"<article><h1>Title</h1><p>{said * 4}</p><p>{linked}</p><ul><li><a href=1>More of this and that</a></li></ul></article>"
+    assert html.main_text(page).split("\n")[1:] == [(said * 4).strip(), re.sub("<[^>]*>", "", linked)]
