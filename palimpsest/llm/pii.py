@@ -3,7 +3,8 @@
 Numbers and dates that pass their checks are permuted inside their own format: a card number
 becomes another that passes the Luhn check, a date another date written alike, an address of a
 host another address. The permutation depends on the key and the kind only, so equal values stay
-equal in all documents, and different values different. E-mail addresses and secrets are not
+equal in all documents, and different values different. A date that only reads month first moves among
+dates that do, so that no two days share a pseudonym; it is not linked to the same day written otherwise. E-mail addresses and secrets are not
 numbers; they get a keyed hash in their format. What fails its check is left alone.
 
 Everything is DataFrame functions: a text is split at the matches of one pattern, each match is
@@ -141,6 +142,52 @@ def new_date(m: Column, key: str, formats: list[tuple[str, str]]) -> Column:
     return F.coalesce(*[one(*f) for f in formats])
 
 
+def new_month_first(m: Column, key: str) -> Column:
+    """A date that only reads month first, as another of that kind: with a day after the 12th, and inside its own block of 400 years.
+
+    Days move in four sets, each numbered without a gap: the 13th to 28th of all months, the 29th or 30th and the 31st of
+    the months that have them, and the 29th of February, of which 400 years have 97.
+    """
+    year, month, day = (F.regexp_extract(m, "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", g).cast("long") for g in (3, 1, 2))
+    n = lambda x: F.lit(x).cast("long")
+    date = F.struct(year.alias("y"), month.alias("m"), day.alias("d"), F.pmod(year - 2000, n(400)).alias("o"))
+    numbered = lambda index, a, b, kind: F.struct(index.alias("i"), n(a).alias("a"), n(b).alias("b"), F.lit(f"date/{kind}").alias("k"))
+    month_of = lambda months, at: F.element_at(F.array(*[n(x) for x in months]), (at + 1).cast("int"))
+    place_of = lambda months, x: F.array_position(F.array(*[n(k) for k in months]), x) - 1
+    many, few = [1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12], [1, 3, 5, 7, 8, 10, 12]
+
+    def moved(t: Column) -> Column:
+        feb = (t["m"] == 2) & (t["d"] == 29)
+        # leap years since one of 400 begins: every fourth, but for the centuries after it
+        leap = F.floor(t["o"] / 4) - F.floor(t["o"] / 100)
+        at = F.when(t["d"] <= 28, numbered((t["o"] * 12 + t["m"] - 1) * 16 + t["d"] - 13, 320, 240, "28")).when(feb, numbered(leap, 97, 1, "leap"))
+        at = at.when(t["d"] == 31, numbered(t["o"] * 7 + place_of(few, t["m"]), 70, 40, "31"))
+        at = at.otherwise(numbered(t["o"] * 11 + place_of(many, t["m"]), 55, 80, "30")).alias("at")
+
+        def image(v: Column) -> Column:
+            new = lambda o, mm, dd: F.struct(o.cast("long").alias("o"), mm.cast("long").alias("m"), dd.cast("long").alias("d"))
+            first = F.floor(v / 16)
+            # the first century has 25 leap years, the others 24
+            later = F.floor((v - 25) / 24) + 1
+            leap_year = F.when(v < 25, 4 * v).otherwise(100 * later + 4 * (F.pmod(v - 25, n(24)) + 1))
+            return (
+                F.when(t["d"] <= 28, new(F.floor(first / 12), F.pmod(first, n(12)) + 1, F.pmod(v, n(16)) + 13))
+                .when(feb, new(leap_year, n(2), n(29)))
+                .when(t["d"] == 31, new(F.floor(v / 7), month_of(few, F.pmod(v, n(7))), n(31)))
+                .otherwise(new(F.floor(v / 11), month_of(many, F.pmod(v, n(11))), t["d"]))
+            )
+
+        def written(x: Column) -> Column:
+            month = F.when(m.rlike("^[0-9]{2}/"), F.lpad(x["m"].cast("string"), 2, "0")).otherwise(x["m"].cast("string"))
+            return F.concat_ws("/", month, x["d"].cast("string"), F.lpad((t["y"] - t["o"] + x["o"]).cast("string"), 4, "0"))
+
+        kind = F.concat_ws("/", F.lit(""), F.when(feb, "leap").otherwise(t["d"].cast("string")))
+        return let(at, lambda w: let(let(feistel(w["i"], w["a"], w["b"], key, F.when(t["d"] <= 28, w["k"]).otherwise(F.concat(w["k"], kind))), image), written))
+
+    known = F.try_to_timestamp(m, F.lit("M/d/yyyy")).isNotNull()
+    return let(F.when(known, date), lambda t: F.when((t["d"] > 12) & (t["y"] >= 400) & (t["y"] < 9600), moved(t)))
+
+
 def new_ssn(m: Column, key: str) -> Column:
     """Numbers that can be issued: area 001-899 but 666, group from 01, serial from 0001."""
     areas, groups, serials = 898, 99, 9999
@@ -193,17 +240,21 @@ def new_secret(m: Column, key: str) -> Column:
     return let(F.regexp_extract(m, "[A-Za-z0-9+/_-]+$", 0), renewed)
 
 
+def new_date_text(m: Column, key: str) -> Column:
+    """Day first where a text reads so; what only reads month first never gets a pseudonym that reads day first."""
+    dates = [("^[0-9]{2}/[0-9]{2}/", "dd/MM/yyyy"), ("^[0-9]{2}\\.[0-9]{2}\\.", "dd.MM.yyyy"), ("/", "d/M/yyyy"), ("\\.", "d.M.yyyy")]
+    return let(m, lambda x: F.coalesce(new_date(x, key, dates), new_month_first(x, key)))
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """What stands for the match ``m``: itself if it is no valid value of any kind."""
-    dates = [("^[0-9]{2}/[0-9]{2}/", "dd/MM/yyyy"), ("^[0-9]{2}/[0-9]{2}/", "MM/dd/yyyy"), ("^[0-9]{2}\\.[0-9]{2}\\.", "dd.MM.yyyy"), ("/", "d/M/yyyy"), ("/", "M/d/yyyy"), ("\\.", "d.M.yyyy")]
     whole = lambda p: f"^(?:{p})$"
-    date = let(m, lambda x: new_date(x, key, dates))
     return F.coalesce(
         F.when(m.rlike(f"^{NAMED}"), new_secret(m, key))
         .when(F.instr(m, "@") > 0, new_email(m, key))
         .when(m.rlike(whole("(?:[0-9]{1,3}\\.){3}[0-9]{1,3}")), new_ip(m, key))
         .when(m.rlike(whole("[0-9]{4}-[0-9]{2}-[0-9]{2}")), new_date(m, key, [("", "yyyy-MM-dd")]))
-        .when(m.rlike(whole("[0-9]{1,2}([/.])[0-9]{1,2}\\1[0-9]{4}")), date)
+        .when(m.rlike(whole("[0-9]{1,2}([/.])[0-9]{1,2}\\1[0-9]{4}")), new_date_text(m, key))
         .when(m.rlike(whole("[0-9]{3}-[0-9]{2}-[0-9]{4}")), new_ssn(m, key))
         .when(m.rlike(whole(ACCESS_KEY)), new_access_key(m, key))
         .when(m.rlike(whole(IPV6)), new_ipv6(m, key))

@@ -461,3 +461,20 @@ def test_main_text_of_awkward_pages():
     linked = "It was <a href=x>the work of many hands over many long years</a> and <a href=y>of those who came to see it all</a>, as it is said of it today in <a href=z>the old town by the sea</a>."
     page = f"<article><h1>Title</h1><p>{said * 4}</p><p>{linked}</p><ul><li><a href=1>More of this and that</a></li></ul></article>"
     assert html.main_text(page).split("\n")[1:] == [(said * 4).strip(), re.sub("<[^>]*>", "", linked)]
+
+
+def test_dates_keep_apart(spark):
+    """Every day of a block of 400 years, day first, month first and unpadded: no two days share a pseudonym, each reads as its own reads."""
+    day = F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int"))
+    days = spark.range(146_097).select(day.alias("day"))
+    rows = days.select("day", F.explode(F.array(F.date_format("day", "dd/MM/yyyy"), F.date_format("day", "MM/dd/yyyy"), F.date_format("day", "M/d/yyyy"))).alias("text"))
+    # what reads day first is the day that it reads so
+    first = F.coalesce(F.try_to_timestamp("text", F.lit("d/M/yyyy")), F.try_to_timestamp("text", F.lit("M/d/yyyy"))).cast("date")
+    told = rows.select(first.alias("day"), "text").distinct().withColumn("new", pii.new_date_text(F.col("text"), "k"))
+    reads = lambda c, f: F.try_to_timestamp(c, F.lit(f)).isNotNull()
+    same_way = (reads("text", "d/M/yyyy") == reads("new", "d/M/yyyy")) & (reads("new", "d/M/yyyy") | reads("new", "M/d/yyyy"))
+    row = told.agg(F.count_if(F.col("new").isNull() | ~same_way).alias("bad"), F.count_if(F.length("new") > 10).alias("long"), F.count_if(F.col("new") == F.col("text")).alias("still")).first()
+    assert (row["bad"], row["long"]) == (0, 0) and row["still"] < 1_000
+    assert told.groupBy("new").agg(F.count_distinct("day").alias("n")).filter("n > 1").count() == 0
+    months = told.filter(~reads("text", "d/M/yyyy") & F.col("text").rlike("^[0-9]{2}/"))
+    assert months.select("new").distinct().count() == months.count() == days.filter(F.dayofmonth("day") > 12).count()
