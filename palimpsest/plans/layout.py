@@ -9,42 +9,13 @@ from ..operators import layout as L
 from ..sources import fixtures as X
 from ..sources.scratch import written
 from .catalog import Catalog
-from .translation import ENDS, n
+from .layout_sql import ALIGN, BUILT, COLUMNS, HEADINGS, LABEL, RANK, SEGMENTS, SETTLED, blocks_of, d, ends, flags_of, heading, lum, n, norm, words
 
 catalog = Catalog()
 add = catalog.add
 RAW = ["doc_id", "page_num", "raw"]
 
 
-def norm(x: str) -> str:
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
-
-
-def ends(x: str) -> str:
-    return f"regexp_matches(regexp_replace({norm(x)}, '[)\\]}}）】》”’\"'']+$', ''), '{ENDS}$')"
-
-
-def words(x: str) -> str:
-    return n("[A-Za-z0-9]+(?:[./:-][A-Za-z0-9]+)*", x)
-
-
-def heading(x: str, width: str, font: str, block: str) -> str:
-    return f"({norm(x)} <> '' AND {font} > 0 AND length({norm(x)}) <= 90 AND {words(norm(x))} <= 12 AND {width} <= {block} * 0.92::DOUBLE AND NOT {ends(x)})"
-
-
-def d(x: float) -> str:
-    return f"{x}::DOUBLE"
-
-
-SEGMENTS = f"""SELECT doc_id, page_num, raw, line, sum(CASE WHEN pt IS NOT NULL AND pt <> '' AND t <> '' AND (
-   y0 - py1 > greatest(greatest(pf, font_size) * {d(0.35)}, {d(3.2)}) OR (cin >= greatest(font_size * {d(0.7)}, {d(7.5)}) AND cin > pin + greatest(pf * {d(0.35)}, 3) AND pe)
-   OR (pe AND pw <= bw * {d(0.76)} AND cin <= greatest(font_size * {d(0.3)}, 3)) OR ({words("pt")} <= 4 AND length(pt) <= 42 AND NOT pe AND x1 - x0 >= pw * {d(1.6)} AND cin <= pin + greatest(font_size * {d(0.35)}, 3))
-   OR (pf >= font_size * {d(1.06)} AND {heading("pt", "pw", "pf", "bw")}) OR (regexp_matches(t, '^[A-Za-z]') AND NOT regexp_matches(t, '[0-9]') AND {heading("t", "x1 - x0", "font_size", "bw")} AND pw <= bw * {d(0.72)} AND NOT pe)
-  ) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_num, raw ORDER BY line) AS segment FROM (SELECT *, {ends("pt")} AS pe, px1 - px0 AS pw, greatest(px0 - lft, 0) AS pin, greatest(x0 - lft, 0) AS cin FROM (
-  SELECT *, {norm("text")} AS t, lag({norm("text")}) OVER w AS pt, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(y1) OVER w AS py1, lag(font_size) OVER w AS pf, min(x0) OVER (PARTITION BY doc_id, page_num, raw) AS lft,
-   greatest(max(x1) OVER (PARTITION BY doc_id, page_num, raw) - min(x0) OVER (PARTITION BY doc_id, page_num, raw), 1) AS bw FROM layout_lines WINDOW w AS (PARTITION BY doc_id, page_num, raw ORDER BY line)))"""
-
-
 def segmented(spark: SparkSession, d: str) -> DataFrame:
     return L.segments(X.layout_lines(spark, d), RAW, "line")
 
@@ -118,8 +89,7 @@ def line_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @add(
-    f"""SELECT doc_id, page_num, seq, t <> '' AND ((f <= 9 AND regexp_matches(c, '^[A-Za-z]$')) OR (f <= {d(6.1)} AND length(t) <= 8 AND g >= 1) OR (f <= {d(6.3)} AND w >= 10 AND h <= 28) OR (f <= {d(6.8)} AND w <= 8)
-  OR (f <= {d(6.8)} AND g >= greatest(2, l // 2)) OR (f <= {d(6.8)} AND u::DOUBLE / greatest(l, 1) >= {d(0.55)} AND w <= 10) OR (f <= {d(7.2)} AND h > (x1 - x0) * {d(1.8)} AND length(t) <= 90)) AS label
+    f"""SELECT doc_id, page_num, seq, {LABEL} AS label
  FROM (SELECT *, {words("t")} AS w, {n("[0-9]")} AS g, {n("\\p{L}")} AS l, {n("\\p{Lu}")} AS u FROM (SELECT doc_id, page_num, line AS seq, {norm("text")} AS t, regexp_replace(text, '\\s', '', 'g') AS c, 5 + line % 5 AS f, y1 - y0 AS h, x0, x1 FROM layout_lines))""",
     "layout_lines",
 )
@@ -137,11 +107,6 @@ def p31_real_spans(spark: SparkSession, d: str) -> DataFrame:
     return X.spans(spark, d).filter(~L.is_decorative(F.col("text"))).select("doc_id", "page_num", "line", "span")
 
 
-def lum(x: str) -> str:
-    ch = lambda s: f"(CASE WHEN (({x} >> {s}) & 255) / 255::DOUBLE <= {d(0.03928)} THEN (({x} >> {s}) & 255) / 255::DOUBLE / {d(12.92)} ELSE pow(((({x} >> {s}) & 255) / 255::DOUBLE + {d(0.055)}) / {d(1.055)}, {d(2.4)}) END)"
-    return f"({ch(16)} * {d(0.2126)} + {ch(8)} * {d(0.7152)} + {ch(0)} * {d(0.0722)})"
-
-
 @add(
     f"""SELECT p_partkey, ratio, CASE WHEN ratio >= {d(1.6)} THEN a WHEN (0.05::DOUBLE + lb) / 0.05::DOUBLE >= 1.05::DOUBLE / (lb + 0.05::DOUBLE) THEN 0 ELSE 16777215 END AS readable
  FROM (SELECT *, (greatest(la, lb) + {d(0.05)}) / (least(la, lb) + {d(0.05)}) AS ratio FROM (SELECT *, {lum("a")} AS la, {lum("b")} AS lb FROM (SELECT p_partkey, CAST(p_partkey * 7919 % 16777216 AS INT) AS a, CAST(p_partkey * 7907 % 16777216 AS INT) AS b FROM part)))"""
@@ -218,34 +183,82 @@ def j15_room_below(spark: SparkSession, d: str) -> DataFrame:
     return L.room_below(X.layout_lines(spark, d).withColumnRenamed("line", "seq"))
 
 
-@add()
+@add(f"{BUILT} SELECT doc_id, page_num, seq, is_formula, is_header_footer, is_attribution, layout_role FROM built", "layout_lines")
 def p4_p8_roles(spark: SparkSession, d: str) -> DataFrame:
     """Flags and roles of the blocks that the segments make."""
     return built(spark, d).select("doc_id", "page_num", "seq", "is_formula", "is_header_footer", "is_attribution", "layout_role")
 
 
-@add()
+@add(f"{BUILT} SELECT doc_id, page_num, seq, {ALIGN} AS align FROM built", "layout_lines")
 def p29_alignment(spark: SparkSession, d: str) -> DataFrame:
     return built(spark, d).select("doc_id", "page_num", "seq", L.alignment().alias("align"))
 
 
-@add()
+@add(
+    f"{BUILT} SELECT doc_id, page_num, seq, {HEADINGS} FROM (SELECT doc_id, page_num, seq, n, layout_role, font_size + CASE WHEN seq % 3 = 0 THEN 6 ELSE 0 END AS font_size, concat(CASE WHEN seq % 4 = 0 THEN '☀ ■ ' ELSE '' END, t) AS t FROM built)",
+    "layout_lines",
+)
 def p10_p17_headings(spark: SparkSession, d: str) -> DataFrame:
-    return built(spark, d).select("doc_id", "page_num", "seq", L.marker_heading().alias("marker_heading"), L.compact_heading().alias("compact_heading"))
+    """Every fourth block behind symbols, every third in larger type."""
+    b = built(spark, d).withColumns({"text": F.concat(F.when(F.col("seq") % 4 == 0, "☀ ■ ").otherwise(""), "text"), "font_size": F.col("font_size") + F.when(F.col("seq") % 3 == 0, 6.0).otherwise(0.0)})
+    return b.select("doc_id", "page_num", "seq", L.marker_heading().alias("marker_heading"), L.compact_heading().alias("compact_heading"))
+
+
+#: By seq % 12: a word before the line's text, left and right edge, top, height, font. No edge: the line's own.
+KINDS = [
+    ("", 300, 312, 770, 12, 9), ("", 40, 200, 10, 10, 9), ("© 2020 doi:10.1/x ", 72, 292, 765, 10, 8), ("Contact a@b.org ", 72, 292, 600, 10, 8), ("Designed by ", 226, 386, 600, 12, 11), ("via Ada + Bob + Cyd ", 226, 386, 560, 12, 11),
+    ("A., B; ", 72, 292, 100, 200, 7), ("", 20, 30, 300, 40, 9), ("", 590, 600, 300, 120, 9), ("", 10, 80, 300, 20, 9), ("", 500, 590, 40, 10, 12), ("x = 1+", 400, 590, 300, 20, 7),
+]
 
 
-@add()
+def varied(spark: SparkSession, d: str) -> DataFrame:
+    """Every line a block of up to twenty like lines, placed and worded so that each flag, role and alignment occurs."""
+    k, seq = F.col("line") % 12, F.col("line")
+    rows = X.layout_lines(spark, d).filter(F.trim("text") != "").withColumn("kind", F.element_at(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("word", "x0", "x1", "y0", "h", "font"), one, strict=True)]) for one in KINDS]), (k + 1).cast("int")))
+    text = F.when(k == 0, seq.cast("string")).when(k == 7, "ab c").when(k.isin(8, 9), F.substring("text", 1, 40)).when(k == 10, F.upper(F.substring("text", 1, 12))).otherwise(F.concat("kind.word", "text"))
+    box = {"x0": "kind.x0", "x1": "kind.x1", "y0": "kind.y0", "font_size": "kind.font"}
+    rows = rows.select("doc_id", "page_num", seq.alias("seq"), text.alias("text"), "page_width", "page_height", *[F.col(v).cast("double").alias(n) for n, v in box.items()], (F.col("kind.y0") + F.col("kind.h")).cast("double").alias("y1"), k.alias("k"))
+    lines = F.when(F.col("k") == 6, 20).when(F.col("k") == 7, 4).when(F.col("k") == 8, 1).otherwise(1 + F.col("seq") % 3)
+    # lines move to the right, or on every second block shrink from both sides
+    step = (F.col("seq") % 4 * 3).cast("double")
+    one = lambda i: F.struct(F.when(F.col("k") == 7, "ab").otherwise(F.col("text")).alias("text"), (F.col("x0") + i * step).alias("x0"), "y0", (F.col("x1") + i * F.when(F.col("seq") % 2 == 0, step).otherwise(-step)).alias("x1"), "y1", "font_size")
+    return rows.withColumn("lines", F.transform(F.sequence(F.lit(0), (lines - 1).cast("int")), one))
+
+
+VARIED = f"""SELECT *, CASE WHEN length({norm("own")}) <= 95 THEN n ELSE 0 END AS short95, CASE WHEN length(regexp_replace(own, '\\s', '', 'g')) <= 3 THEN n ELSE 0 END AS short3, left_spread * CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END AS mid_spread, list_value(font_size) AS sizes FROM (
+ SELECT *, CASE WHEN k = 7 THEN 'ab' ELSE text END AS own, (n - 1) * (seq % 4 * 3) AS left_spread FROM (SELECT doc_id, page_num, line AS seq, line % 12 AS k, CASE line % 12 WHEN 6 THEN 20 WHEN 7 THEN 4 WHEN 8 THEN 1 ELSE 1 + line % 3 END AS n, b.x0::DOUBLE AS x0, b.x1::DOUBLE AS x1, b.y0::DOUBLE AS y0, (b.y0 + b.h)::DOUBLE AS y1, b.font::DOUBLE AS font_size,
+  CASE line % 12 WHEN 0 THEN CAST(line AS VARCHAR) WHEN 7 THEN 'ab c' WHEN 8 THEN substr(text, 1, 40) WHEN 9 THEN substr(text, 1, 40) WHEN 10 THEN upper(substr(text, 1, 12)) ELSE concat(b.word, text) END AS text
+  FROM layout_lines JOIN (VALUES {", ".join(f"({i}, '{w}', {x0}, {x1}, {y0}, {h}, {f})" for i, (w, x0, x1, y0, h, f) in enumerate(KINDS))}) b(kind, word, x0, x1, y0, h, font) ON b.kind = line % 12 WHERE trim(layout_lines.text) <> ''))"""
+
+
+@add(f", own AS ({VARIED}), flagged AS ({flags_of('own')}), built AS ({SETTLED}) SELECT doc_id, page_num, seq, is_formula, is_header_footer, is_attribution, own_role, layout_role, {ALIGN} AS align FROM built", "layout_lines")
+def p4_p8_p29_every_role(spark: SparkSession, d: str) -> DataFrame:
+    """Flags, roles before and after a page is found to be bibliography, and alignment, where all of them occur."""
+    own = L.flagged(varied(spark, d)).withColumn("own_role", F.col("layout_role"))
+    return L.dense_pages(own).select("doc_id", "page_num", "seq", "is_formula", "is_header_footer", "is_attribution", "own_role", "layout_role", L.alignment().alias("align"))
+
+
+@add(f"{BUILT}, columned AS ({COLUMNS}) SELECT doc_id, page_num, seq, layout_column, {RANK} AS rank FROM columned", "layout_lines")
 def w5_w6_reading_order(spark: SparkSession, d: str) -> DataFrame:
     return L.reading_order(L.columns(stored(spark, d))).select("doc_id", "page_num", "seq", "layout_column", "rank")
 
 
-@add()
+@add(
+    f""", own AS (SELECT doc_id, page_num, line AS seq, text, x0, y0, x1, y1, (5 + line % 5)::DOUBLE AS font_size, CASE WHEN {norm("text")} <> '' THEN 1 ELSE 0 END AS n, 1 AS short95, 0 AS short3 FROM layout_lines), flagged AS ({flags_of("own")})
+ SELECT doc_id, page_num, seq FROM (SELECT * EXCLUDE (l), font_size AS f, digits AS g, letters AS l, uppers AS u, y1 - y0 AS h, {words("t")} AS w FROM flagged) WHERE NOT is_formula AND NOT is_header_footer AND NOT empty AND x0 < 196 AND x1 > 54 AND y0 < 206 AND y1 > 44 AND (({LABEL}) OR (font_size <= {d(7.2)} AND y0 >= {d(117.5)} AND length(t) <= 220))""",
+    "layout_lines",
+)
 def j12_chart_seeds(spark: SparkSession, d: str) -> DataFrame:
     graphics = regions(spark, d).withColumn("y1", F.lit(200.0))
     return L.chart_seeds(L.flagged(line_blocks(spark, d)), graphics)
 
 
-@add()
+@add(
+    f""", headed AS (SELECT doc_id, page_num, raw, line, text, x0, y0, x1, y1, font_size FROM layout_lines UNION ALL SELECT DISTINCT doc_id, page_num, 2, 9998, CASE WHEN page_num = 0 THEN 'Page 1' ELSE 'Results overview' END, 72, 8, 172, 18, 10 FROM layout_lines), own AS ({blocks_of("headed")}), flagged AS ({flags_of("own")})
+ SELECT doc_id, page_num, seq FROM flagged h WHERE is_header_footer AND NOT is_formula AND n = 1 AND length(t) <= 90 AND {words("t")} <= 12 AND NOT {ends("t")} AND font_size > 0 AND EXISTS (SELECT 1 FROM flagged o WHERE o.doc_id = h.doc_id AND o.page_num = h.page_num AND o.seq <> h.seq AND NOT o.is_formula AND NOT o.empty
+  AND abs(o.x0 - h.x0) <= greatest(h.font_size * {d(0.8)}, 10) AND least(h.x1, o.x1) - greatest(h.x0, o.x0) >= greatest(h.x1 - h.x0, 1) * {d(0.45)} AND o.y0 - h.y1 BETWEEN -1 AND greatest(h.font_size * {d(1.2)}, 16))""",
+    "layout_lines",
+)
 def j13_rescued_headers(spark: SparkSession, d: str) -> DataFrame:
     """Heads of pages that are headings of what is right below; every page gets a short line above its first column."""
     lines = X.layout_lines(spark, d)
@@ -268,7 +281,11 @@ def j16_inline_graphics(spark: SparkSession, d: str) -> DataFrame:
     return L.inline_graphics(images, built(spark, d))
 
 
-@add()
+@add(
+    f""", credited AS (SELECT doc_id, page_num, raw, line, text, x0, y0, x1, y1, font_size FROM layout_lines UNION ALL SELECT doc_id, page_num, 2, 9999, 'Designed by Ada + Grace + Edsger', 200, 600, 400, 612, font_size FROM layout_lines WHERE line = 0 AND doc_id % 4 = 0), own AS ({blocks_of("credited")}), flagged AS ({flags_of("own")})
+ SELECT doc_id, seq, text, own_role AS layout_role FROM flagged WHERE is_attribution AND page_num = 0""",
+    "layout_lines",
+)
 def p16_attribution_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Credits on first pages, kept as they are; a credit line is added to the foot of every fourth document."""
     lines = X.layout_lines(spark, d)
@@ -278,7 +295,12 @@ def p16_attribution_blocks(spark: SparkSession, d: str) -> DataFrame:
     return b.filter(F.col("is_attribution") & (F.col("page_num") == 0)).select("doc_id", "seq", "text", "layout_role")
 
 
-@add()
+@add(
+    """SELECT doc_id, page_num, raw, line, string_agg(CASE WHEN pt IS NULL OR regexp_matches(t, '^[,.;:!?%)\\]}、。，；：！？）］｝]') OR regexp_matches(pt, '[(\\[{（［｛<>=≤≥≈∼~×÷±]$') OR (regexp_matches(pt, '[-‐‑‒–]$') AND regexp_matches(t, '^[\\p{L}\\p{N}]'))
+  OR (regexp_matches(t, '^[<>=≤≥≈∼~×÷±]') AND (NOT regexp_matches(pt, '[\\p{L}\\p{N}]$') OR x0 - px1 <= greatest(greatest(pf, font_size, 1) * 0.35::DOUBLE, 2.5::DOUBLE))) THEN '' ELSE ' ' END || t, '' ORDER BY span) AS text
+ FROM (SELECT *, lag(t) OVER w AS pt, lag(x1) OVER w AS px1, lag(font_size) OVER w AS pf FROM (SELECT *, trim(text) AS t FROM spans WHERE NOT regexp_matches(trim(text), '^[/\\-–—•·|]?$')) WINDOW w AS (PARTITION BY doc_id, page_num, raw, line ORDER BY span)) GROUP BY ALL""",
+    "spans",
+)
 def f6_line_text(spark: SparkSession, d: str) -> DataFrame:
     """Text of every line, put together again from its spans."""
     return L.lines_from_spans(X.spans(spark, d), [*RAW, "line"], "span").select(*RAW, "line", "text")

@@ -60,3 +60,12 @@ def test_references(spark):
         assert found["protected"] == f"a[[REF0]] {text}[[REF1]]."
         assert found["restored"] == f"a² {text}³-⁴."
         assert found["appended"] == f"a {text[: len(text) - len(tail)]}²³-⁴{tail}"
+
+
+def test_every_role_occurs(spark):
+    sql = registry.oracle_sql()["p4_p8_p29_every_role"]
+    columns, rows = compare.oracle(sql, SF)
+    seen = {k: {r[i] for r in rows} for i, k in enumerate(columns)}
+    assert seen["own_role"] == seen["layout_role"] == {"body", "metadata", "dense_reference", "vertical_text", "marginalia"} and seen["align"] == {"left", "center", "right"}
+    assert all(seen[k] == {True, False} for k in ("is_formula", "is_header_footer", "is_attribution"))
+    assert any(r[columns.index("own_role")] != r[columns.index("layout_role")] for r in rows)
