@@ -59,16 +59,17 @@ def markers(spans: Column) -> Column:
     start = F.struct(F.array().cast(f"array<{kind}>").alias("out"), F.lit(0.0).alias("base"), F.lit(0.0).alias("foot"))
 
     def step(s: Column, x: Column) -> Column:
-        small = is_marker_text(x["text"], x["font_size"])
-        size, base = x["font_size"], s["base"]
+        small, size, base = x["small"], x["font_size"], s["base"]
         raised = s["foot"] - x["y1"] >= F.greatest(base * 0.16, F.lit(1.1))
         marker = small & (base > 0) & (size > 0) & (size <= F.greatest(F.lit(4.8), base * 0.88)) & (raised | (size <= base * 0.72))
         row = F.struct(F.when(marker, superscript(x["text"])).otherwise(x["text"]).alias("text"), *[x[k].cast("double").alias(k) for k in ("x0", "y0", "x1", "y1", "font_size")], marker.alias("is_marker")).cast(kind)
-        carried = ~marker & (T.normalized(x["text"]) != "")
+        carried = ~marker & ~x["blank"]
         added = F.struct(F.concat(s["out"], F.array(row)).alias("out"), F.when(carried, size).otherwise(base).cast("double").alias("base"), F.when(carried, x["y1"]).otherwise(s["foot"]).cast("double").alias("foot"))
         return F.when(small & (F.size(s["out"]) == 0), s).otherwise(added)
 
-    return F.aggregate(spans, start, step, lambda s: s["out"])
+    # what needs patterns is told once a span; in the step it would be for each use
+    told = F.transform(spans, lambda x: F.struct(*[x[k].alias(k) for k in ("text", "x0", "y0", "x1", "y1", "font_size")], is_marker_text(x["text"], x["font_size"]).alias("small"), T.is_blank(x["text"]).alias("blank")))
+    return F.aggregate(told, start, step, lambda s: s["out"])
 
 
 def repaired(spans: Column) -> Column:
@@ -83,11 +84,11 @@ def repaired(spans: Column) -> Column:
 
         def step(out: Column, p: Column) -> Column:
             x, ahead = p["x"], p["n"]
-            clean, then = T.normalized(x["text"]), T.normalized(ahead["text"])
+            clean, then = x["clean"], F.coalesce(ahead["clean"], F.lit(""))
             before = F.lower(T.normalized(F.array_join(F.slice(out, -2, 2), " ")))
             before = F.when(F.size(out) >= 2, before).otherwise(F.lower(F.array_join(out, " ")))
             number = then.rlike("^\\d")
-            able = (then != "") & (F.coalesce(x["font"], F.lit("")) != "") & ~F.coalesce(x["font"] == ahead["font"], F.lit(False)) & x["font"].rlike(SYMBOL_FONT)
+            able = x["symbol"] & (then != "") & ~F.coalesce(x["font"] == ahead["font"], F.lit(False))
             new = (
                 F.when((clean == "5") & number, "=")
                 .when((clean == "3") & before.rlike("\\d\\s*$"), "×")
@@ -100,7 +101,10 @@ def repaired(spans: Column) -> Column:
 
         return F.aggregate(F.zip_with(cs, nexts, lambda x, n: F.struct(x.alias("x"), n.alias("n"))), start, step)
 
-    return F.transform(F.array(F.filter(spans, lambda x: F.trim(x["text"]) != "")), fold)[0]
+    # what needs patterns is told once a span; in the step it would be for each use
+    symbol = lambda x: (F.coalesce(x["font"], F.lit("")) != "") & x["font"].rlike(SYMBOL_FONT)
+    told = F.transform(F.filter(spans, lambda x: F.trim(x["text"]) != ""), lambda x: F.struct(x["text"].alias("text"), x["font"].alias("font"), T.normalized(x["text"]).alias("clean"), symbol(x).alias("symbol")))
+    return F.transform(F.array(told), fold)[0]
 
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"

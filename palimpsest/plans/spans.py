@@ -20,18 +20,29 @@ def chars(text, x0):
     return F.transform(letters, lambda ch, i: F.struct(ch.alias("c"), (x0 + i * 4.0 + F.floor(i / 7) * 2.0).alias("x0"), (x0 + i * 4.0 + F.floor(i / 7) * 2.0 + 4.0).alias("x1"), F.lit(10.0).alias("y0"), F.lit(20.0).alias("y1")))
 
 
-def nested(spark: SparkSession, d: str) -> DataFrame:
+#: What a line holds of its spans.
+BOX = ["x0", "y0", "x1", "y1"]
+
+
+def nested(spark: SparkSession, d: str, fields: list[str]) -> DataFrame:
+    """The spans of each line in order, with the named fields only: all of them are shuffled."""
     s = X.spans(spark, d)
     # every fourth span is a small raised number
     number = F.col("span") % 4 == 3
-    one = F.struct("span", F.when(number, (F.col("span") % 10).cast("string")).otherwise(F.col("text")).alias("text"), "x0", "y0", "x1", F.when(number, F.col("y1") - 4).otherwise(F.col("y1")).alias("y1"), F.when(number, 5.0).otherwise(F.col("font_size")).alias("font_size"), F.when(F.col("span") % 2 == 0, "Symbol").otherwise("Serif").alias("font"))
+    made = {
+        "text": F.when(number, (F.col("span") % 10).cast("string")).otherwise(F.col("text")),
+        "y1": F.when(number, F.col("y1") - 4).otherwise(F.col("y1")),
+        "font_size": F.when(number, 5.0).otherwise(F.col("font_size")),
+        "font": F.when(F.col("span") % 2 == 0, "Symbol").otherwise("Serif"),
+    }
+    one = F.struct("span", *[made.get(k, F.col(k)).alias(k) for k in fields])
     return s.groupBy(*KEYS).agg(F.array_sort(F.collect_list(one)).alias("spans"))
 
 
 @add()
 def w7_reference_markers(spark: SparkSession, d: str) -> DataFrame:
     found = P.markers("spans")
-    return nested(spark, d).select(*KEYS, F.explode(found).alias("s")).select(*KEYS, "s.text", "s.is_marker")
+    return nested(spark, d, ["text", *BOX, "font_size"]).select(*KEYS, F.explode(found).alias("s")).select(*KEYS, "s.text", "s.is_marker")
 
 
 @add(
@@ -47,13 +58,13 @@ def w8_missing_spaces(spark: SparkSession, d: str) -> DataFrame:
 @add()
 def w9_repaired_symbols(spark: SparkSession, d: str) -> DataFrame:
     """A symbol font's 5 before a number, in every line."""
-    broken = F.concat(F.col("spans"), F.array(F.struct(F.lit(9998).alias("span"), F.lit("5").alias("text"), *[F.lit(0.0).alias(k) for k in ("x0", "y0", "x1", "y1", "font_size")], F.lit("Symbol").alias("font")), F.struct(F.lit(9999).alias("span"), F.lit("7").alias("text"), *[F.lit(0.0).alias(k) for k in ("x0", "y0", "x1", "y1", "font_size")], F.lit("Serif").alias("font"))))
-    return nested(spark, d).select(*KEYS, P.repaired(broken).alias("parts"))
+    more = [F.struct(F.lit(at).alias("span"), F.lit(text).alias("text"), F.lit(font).alias("font")) for at, text, font in ((9998, "5", "Symbol"), (9999, "7", "Serif"))]
+    return nested(spark, d, ["text", "font"]).select(*KEYS, P.repaired(F.concat(F.col("spans"), F.array(*more))).alias("parts"))
 
 
 @add()
 def w10_cover_strips(spark: SparkSession, d: str) -> DataFrame:
-    return nested(spark, d).select(*KEYS, F.explode(P.covers(F.col("spans"), F.lit(792.0))).alias("b")).select(*KEYS, "b.*")
+    return nested(spark, d, BOX).select(*KEYS, F.explode(P.covers(F.col("spans"), F.lit(792.0))).alias("b")).select(*KEYS, "b.*")
 
 
 @add("SELECT doc_id, page_num, raw, line, CASE WHEN line % 3 = 0 THEN 1 ELSE 0 END AS pictures, length(text) AS letters FROM layout_lines", "layout_lines")

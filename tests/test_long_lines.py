@@ -7,8 +7,12 @@ import time
 
 from pyspark.sql import functions as F
 
+from palimpsest import registry
 from palimpsest.operators import layout as L
 from palimpsest.operators import page_geometry as PG
+from palimpsest.plans import spans as plans
+
+from .conftest import SF
 
 WORDS = 60_000
 
@@ -66,3 +70,16 @@ def test_fused_boxes_of_a_crowded_page():
     assert len(PG.fused(boxes, 6)) == 20_000
     # each box against all before it took minutes
     assert time.time() - start < 10
+
+
+def test_lines_hold_only_the_fields_of_spans_that_are_read(spark):
+    line = plans.nested(spark, SF, plans.BOX).schema["spans"].dataType.elementType
+    assert line.names == ["span", *plans.BOX]
+
+
+def test_first_spans_of_lines_short_and_empty(spark, tmp_path):
+    texts = ["", "a\n\n b  c\nd e f g h i", "one two three four five six seven", "x\ny\nz\n\n\n\nw"]
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r.doc_id, r.line, r.span, r.text) for r in registry.queries()["t5_first_spans"](spark, str(tmp_path)).collect())
+    want = [[(i, n, k, w) for n, line in enumerate(t.split("\n")) for k, w in enumerate(line.split(" "))][:5] for i, t in enumerate(texts)]
+    assert found == [x for one in want for x in one]
