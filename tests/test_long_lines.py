@@ -8,6 +8,7 @@ import time
 from pyspark.sql import functions as F
 
 from palimpsest import registry
+from palimpsest.functions import text as T
 from palimpsest.operators import layout as L
 from palimpsest.operators import page_geometry as PG
 from palimpsest.plans import spans as plans
@@ -83,3 +84,21 @@ def test_first_spans_of_lines_short_and_empty(spark, tmp_path):
     found = sorted((r.doc_id, r.line, r.span, r.text) for r in registry.queries()["t5_first_spans"](spark, str(tmp_path)).collect())
     want = [[(i, n, k, w) for n, line in enumerate(t.split("\n")) for k, w in enumerate(line.split(" "))][:5] for i, t in enumerate(texts)]
     assert found == [x for one in want for x in one]
+
+
+def test_joined_lines_of_a_block_of_many_lines(spark):
+    line = F.when(F.col("i") % 5 == 0, "").when(F.col("i") % 3 == 1, F.concat(F.lit("w"), F.col("i").cast("string"), F.lit("-"))).otherwise(F.concat(F.lit("v"), F.col("i").cast("string")))
+
+    def joined(n):
+        rows = spark.range(n).withColumnRenamed("id", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("t")))), lambda x: x["t"]).alias("l"))
+        return rows.select(T.joined_lines(F.col("l"))).first()[0]
+
+    texts = ["" if i % 5 == 0 else f"w{i}-" if i % 3 == 1 else f"v{i}" for i in range(40_000)]
+    want = ""
+    for t in texts:
+        want += t if not want or not t or want.endswith("-") else f" {t}"
+    joined(10)
+    start = time.time()
+    assert joined(len(texts)) == want
+    # a fold over the text so far took far longer
+    assert time.time() - start < 15
