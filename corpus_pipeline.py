@@ -18,7 +18,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each class of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    """Keeps the first document of each class of near copies: five-word shingles, Jaccard similarity 0.8 or more.
+
+    SimHash fingerprints link through pivot tables, the shingle sets check the links and find those beyond the fingerprints' radius.
+    """
     return similar.one_of_each(docs)
 
 

@@ -19,7 +19,7 @@ throughout: everything after step 1 works on distinct fingerprints.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -60,11 +60,17 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     size = min(shingle, len(words))
     starts, ends = starts[: len(words) - size + 1], ends[size - 1 :]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(starts), SLICE):
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : at + SLICE].tolist(), ends[at : at + SLICE].tolist(), strict=True)], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+    cuts = (slice(at, at + SLICE) for at in range(0, len(starts), SLICE))
+    return majority(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[c].tolist(), ends[c].tolist(), strict=True)], "<u8") for c in cuts)
+
+
+def majority(slices: Iterable[np.ndarray]) -> int:
+    """The SimHash of shingles by their 64-bit hashes: each bit that over half of them have."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in slices:
+        ones += np.unpackbits(np.ascontiguousarray(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:

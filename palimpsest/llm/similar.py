@@ -1,14 +1,16 @@
 """Near copies by their sets of word shingles: every pair whose Jaccard similarity is 4/5 or more.
 
-1. ``sketched``: each text's set of shingle hashes as a row: its size, its prefix and its parity map.
-   The prefix is so many of the shingles, in an order that holds for the whole table, that two sets of
-   similarity 4/5 must share one of them (with n shingles, n - ceil(4n/5) + 1). No radius of 64-bit
-   fingerprints promises that: texts this similar differ in some 10 of 64 bits on average, and in more
-   without limit.
-2. ``alike``: candidates share a prefix shingle. The order puts shingles that many texts share last,
-   which decides the number of candidates and never the result. In a first round candidates are the
-   members of a prefix shingle with its least one; in a second, those of a shingle that many have with
-   some leaders; in a third, all pairs that the links so far leave in different classes.
+1. ``sketched``: each text's set of shingle hashes as a row: its SimHash, its size, its prefix and its
+   parity map. The prefix is so many of the shingles, in an order that holds for the whole table, that
+   two sets of similarity 4/5 must share one of them (with n shingles, n - ceil(4n/5) + 1). No radius of
+   64-bit fingerprints promises that: texts this similar differ in some 10 of 64 bits on average, and in
+   more without limit.
+2. ``alike``: first the SimHash operator's tables of pivot distances (``simhash.links``) give pairs, which
+   the sets verify. What its radius cannot reach follows: candidates share a prefix shingle and are of
+   different classes so far. The order puts shingles that many texts share last, which decides the number
+   of candidates and never the result. Candidates are the members of a prefix shingle with its least one;
+   then those of a shingle that many have with some leaders; then all pairs that are left. Shingles with
+   the same members give the same pairs, so one of them stands for all.
 3. ``possible``: the parity map is a fingerprint of about a bit a shingle, each bit the parity of the
    shingles that fall on it. Two maps differ in at most as many bits as their sets in shingles, and
    similar sets in at most a ninth of their sizes' sum: most candidates end here, none of them similar.
@@ -41,6 +43,8 @@ COMMON, MOST_COMMON = 32, 500_000
 SERVED = 64
 #: Leaders of a group of more than COMMON members.
 LEADERS = 12
+#: Numbers of 64 bits of a parity map that the join of pairs compares.
+WIDE = 64
 #: So many distinct keys are broadcast at most; more are joined by a shuffle.
 SENT = 500_000
 
@@ -83,10 +87,10 @@ def parity_map(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
-def folded(parity: bytes) -> np.ndarray:
-    """A parity map folded to 256 bits, as four numbers."""
+def folded(parity: bytes, most: int = 4) -> np.ndarray:
+    """A parity map folded to 256 bits, as four numbers, or to ``most`` numbers."""
     x = np.frombuffer(parity, "<i8")
-    while len(x) > 4:
+    while len(x) > most:
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     return x
 
@@ -106,25 +110,26 @@ def texts_in(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def sketched(hashed: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
-    """doc_id, hash, sid (long, names the set), n (its size), prefix (array of long), parity (binary) and p0 .. p3 (folded) of every row."""
+    """doc_id, hash, sid (long, names the set), fp (its SimHash), n (its size), prefix (array of long), parity (binary), p0 .. p3 (folded) and wide (folded to WIDE numbers) of every row."""
     sent = hashed.sparkSession.sparkContext.broadcast(common)
-    added = {"sid": "long", "n": "long", "prefix": "array<long>", "parity": "binary", "p0": "long", "p1": "long", "p2": "long", "p3": "long"}
+    added = {"sid": "long", "fp": "long", "n": "long", "prefix": "array<long>", "parity": "binary", "p0": "long", "p1": "long", "p2": "long", "p3": "long", "wide": "array<long>"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = sent.value
         for b in batches:
-            sids, sizes, prefixes, maps = [], [], [], []
+            sids, fps, sizes, prefixes, maps = [], [], [], [], []
             for own in shingle_sets(texts_in(b), shingle):
                 sids.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                fps.append(simhash.majority(np.split(own, range(simhash.SLICE, len(own), simhash.SLICE))))
                 sizes.append(len(own))
                 maps.append(parity_map(own))
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
                     own = np.concatenate((own[~late], own[late]))
                 prefixes.append(own[: prefix_size(len(own))].view(np.int64))
-            columns = [b.column("doc_id"), b.column("hash"), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
+            columns = [b.column("doc_id"), b.column("hash"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sids, fps)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
             small = np.array([folded(m) for m in maps], np.int64).reshape(-1, 4)
-            columns += [pa.array(np.ascontiguousarray(small[:, i])) for i in range(4)]
+            columns += [pa.array(np.ascontiguousarray(small[:, i])) for i in range(4)] + [pa.array([folded(m, WIDE) for m in maps], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", *added])
 
     rows = hashed.select("doc_id", "hash", F.col("text").cast("binary").alias("text"))
@@ -209,39 +214,74 @@ def open_pair(a: str, b: str) -> Column:
     return (F.col(f"{a}label") != F.col(f"{b}label")) & of_like_size(n, m) & ((OF_SHARED + OF_ALL) * apart <= (OF_ALL - OF_SHARED) * (n + m))
 
 
+def close_maps(a: Column, b: Column, n: Column) -> Column:
+    """Whether two ``wide`` maps leave open that sets of ``n`` shingles together are similar; the larger is folded to the smaller's size, which is half of it."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), xor)
+    x, y = F.when(F.size(a) > F.size(b), half(a)).otherwise(a), F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
+    apart = F.aggregate(F.zip_with(x, y, xor), F.lit(0), lambda s, v: s + F.bit_count(v))
+    return (OF_SHARED + OF_ALL) * apart <= (OF_ALL - OF_SHARED) * n
+
+
+def by_simhash(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b: sid) that chain the sets whose SimHash fingerprints link, as the operator's tables of pivot distances tell."""
+    firsts = written(sets.groupBy("fp").agg(F.min("sid").alias("first")), "similar-fps")
+    copies = sets.join(firsts, "fp").filter("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    end = lambda s: firsts.select(F.col("fp").alias(s), F.col("first").alias(f"{s}_sid"))
+    across = simhash.links(firsts.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
+    return written(copies.unionByName(across), "similar-simhash")
+
+
 def undecided(met: DataFrame, sets: DataFrame, linked: DataFrame, name: str) -> DataFrame:
-    """The members (key, members, sid, n, label, p0 .. p3) of the shingles whose members the links leave in several classes."""
+    """The members (key, members, sid, n, label, p0 .. p3) of the shingles whose members the links leave in several classes.
+
+    Of shingles with the same members, told by their number and two 64-bit sums of hashes, one is taken.
+    """
     labels = simhash.components(linked)
     named = written(met.join(labels, met["sid"] == labels["node"], "left").select("key", "sid", "n", F.coalesce("label", "sid").alias("label")), f"similar-{name}")
-    split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low < high").select("key", "members")
+    sums = [F.bit_xor(F.xxhash64(F.lit(r), "sid")).alias(f"sum{r}") for r in range(2)]
+    groups = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), *sums).filter("low < high")
+    split = groups.groupBy("members", "sum0", "sum1").agg(F.min("key").alias("key")).select("key", "members")
     return written(named.join(split, "key").join(sets.select("sid", *[f"p{i}" for i in range(4)]), "sid"), f"similar-{name}-open")
 
 
+#: What a member of a group is compared by.
+MEMBER = ["sid", "n", "label", *[f"p{i}" for i in range(4)]]
+
+
+def with_drawn(members: DataFrame, draws: list[Column]) -> DataFrame:
+    """Open pairs (a, b: sid) of each member of a group with those of the group that ``draws`` pick."""
+    drawn = members.groupBy("key").agg(F.array_distinct(F.array(*draws)).alias("l")).select("key", F.explode("l").alias("l")).select("key", *[F.col(f"l.{c}").alias(f"l_{c}") for c in MEMBER])
+    return members.join(drawn, "key").filter(open_pair("", "l_")).select(F.least("l_sid", "sid").alias("a"), F.greatest("l_sid", "sid").alias("b")).distinct()
+
+
 def with_leaders(members: DataFrame) -> DataFrame:
     """Open pairs (a, b: sid) of each member of a large group with LEADERS of the group, drawn by hashes that are the same in all groups."""
-    columns = ["sid", "n", "label", *[f"p{i}" for i in range(4)]]
-    large = members.filter(F.col("members") > COMMON)
-    drawn = [F.min_by(F.struct(*columns), F.xxhash64(F.lit(r), "sid")) for r in range(LEADERS)]
-    leaders = large.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("l")).select("key", F.explode("l").alias("l")).select("key", *[F.col(f"l.{c}").alias(f"l_{c}") for c in columns])
-    return large.join(leaders, "key").filter(open_pair("", "l_")).select(F.col("l_sid").alias("a"), F.col("sid").alias("b")).distinct()
+    return with_drawn(members.filter(F.col("members") > COMMON), [F.min_by(F.struct(*MEMBER), F.xxhash64(F.lit(r), "sid")) for r in range(LEADERS)])
 
 
 def alike(hashed: DataFrame, own: DataFrame, shingle: int) -> DataFrame:
     """Pairs (a, b: sid) of similar sets that connect all of them; ``own`` comes from ``sketched``."""
     sets = written(own.drop("doc_id").dropDuplicates(["sid"]), "similar-sets")
+    linked = decided(by_simhash(sets), hashed, sets, shingle, "near-simhash")
     entries = sets.select("sid", "n", F.explode("prefix").alias("key"))
-    keys = written(entries.groupBy("key").agg(F.count("*").alias("met"), F.min(F.struct("sid", "n")).alias("least")).filter("met > 1").select("key", F.col("least.sid").alias("first"), F.col("least.n").alias("first_n")), "similar-keys")
+    keys = written(entries.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1").select("key"), "similar-keys")
     met = written(entries.join(keys, "key"), "similar-met")
-    star = written(met.filter(of_like_size(F.col("n"), F.col("first_n")) & (F.col("sid") != F.col("first"))).select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct(), "similar-star")
-    linked = decided(star, hashed, sets, shingle, "near-first")
     rest = undecided(met, sets, linked, "first")
+    asked = written(with_drawn(rest, [F.min(F.struct(*MEMBER))]), "similar-star")
+    linked = written(linked.unionByName(decided(asked, hashed, sets, shingle, "near-first")), "similar-linked")
+    rest = undecided(met, sets, linked, "second")
     led = written(with_leaders(rest), "similar-leaders")
     if not led.isEmpty():
         linked = written(linked.unionByName(decided(led, hashed, sets, shingle, "near-leaders")), "similar-linked")
-        rest = undecided(met, sets, linked, "second")
-    side = lambda s: rest.select("key", *[F.col(c).alias(f"{s}{c}") for c in ("sid", "n", "label", *[f"p{i}" for i in range(4)])])
-    pairs = side("a_").join(side("b_"), "key").filter((F.col("a_sid") < F.col("b_sid")) & open_pair("a_", "b_")).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
-    more = written(pairs.join(star, ["a", "b"], "left_anti"), "similar-pairs")
+        rest = undecided(met, sets, linked, "third")
+        asked = asked.unionByName(led)
+    # pairs meet in many groups: the wide maps end most of them before they are rows
+    rest = written(rest.join(sets.select("sid", "wide"), "sid"), "similar-wide")
+    side = lambda s: rest.select("key", *[F.col(c).alias(f"{s}{c}") for c in (*MEMBER, "wide")])
+    close = open_pair("a_", "b_") & close_maps(F.col("a_wide"), F.col("b_wide"), F.col("a_n") + F.col("b_n"))
+    pairs = side("a_").join(side("b_"), "key").filter((F.col("a_sid") < F.col("b_sid")) & close).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
+    more = written(pairs.join(asked, ["a", "b"], "left_anti"), "similar-pairs")
     return linked.unionByName(decided(more, hashed, sets, shingle, "near-pairs"))
 
 

@@ -177,6 +177,33 @@ def test_pipeline_near_dedup_against_brute_force(spark, monkeypatch):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == want
 
 
+def test_pipeline_near_dedup_links_by_simhash_first(spark, monkeypatch):
+    """Texts one word apart link through the fingerprints' pivot tables, and pairs of a group are joined by one of its shingles."""
+    from palimpsest.llm import similar
+
+    rng = random.Random(5)
+    base = rng.choices([f"w{i}" for i in range(400)], k=900)
+    far = [rng.choice(base) if i % 40 == 7 else w for i, w in enumerate(base)]
+    texts = [base, [*base[:450], "other", *base[451:]], far, rng.choices(base, k=80)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    own = similar.sketched(simhash.packed(docs), 5, np.zeros(0, np.uint64)).toPandas().set_index("doc_id")
+    assert [int(f) & (1 << 64) - 1 for f in own["fp"]] == [simhash.majority([similar.shingles(" ".join(t).encode())]) for t in texts]
+    sets, asked, real = spark.createDataFrame(own.reset_index()[["sid", "fp"]]), [], similar.decided
+
+    def decided(pairs, *rest):
+        asked.append((rest[-1], {frozenset((r["a"], r["b"])) for r in pairs.collect()}))
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(similar, "decided", decided)
+    near = {frozenset((r["a"], r["b"])) for r in similar.by_simhash(sets).collect()}
+    assert near == {frozenset((own["sid"][0], own["sid"][1]))}
+    assert {r["doc_id"] for r in similar.one_of_each(docs).collect()} == {0, 2, 3}
+    assert asked[0] == ("near-simhash", near)
+    one = lambda bits: F.array(*[F.lit(x).cast("long") for x in bits])
+    told = spark.range(1).select(*[similar.close_maps(a, b, F.lit(n)).alias(k) for k, a, b, n in (("same", one([1, 2, 3, 4]), one([1, 2, 3, 4]), 0), ("half", one([1, 2, 3, 4]), one([2, 6]), 0), ("apart", one([7, 0]), one([0, 0]), 26), ("near", one([7, 0]), one([0, 0]), 27))])
+    assert tuple(told.first()) == (True, True, False, True)
+
+
 def test_feistel_is_a_permutation(spark):
     a, b = (F.lit(x).cast("long") for x in (189, 773))
     out = spark.range(189 * 773).select(pii.feistel(F.col("id"), a, b, "k", "d").alias("v"))
