@@ -1,13 +1,20 @@
 """Text and boxes of spans: missing spaces, reference markers, symbol repair, covers, symbol boxes.
 
-Array expressions over the characters or spans of one line, folded in order where a step needs
-what the one before it decided.
+Array expressions over the spans of one line, folded in order where a step needs what the one before
+it decided. What looks at single characters takes Arrow arrays of many lines at once.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
@@ -17,28 +24,83 @@ SYMBOL_FONT = "(?i)(symbol|advp|math|mt|cmsy|cmex|glyph)"
 COMPARED = "\\b(frequency|rate|ratio|proportion|percent|percentage)\\s*$"
 
 
-def raw_text(chars: Column, size: Column) -> Column:
-    """Text of a span from its characters (c, x0, x1): spaces where word characters stand apart.
+#: Characters of the lines that are worked on together.
+AT_ONCE = 1 << 20
+
+
+def lines_at_once(lengths: pa.Array) -> Iterator[slice]:
+    """Runs of lines of about AT_ONCE characters, or of one line that has more."""
+    ends = np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        past = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right"))
+        yield slice(at, past := max(past, at + 1))
+        at = past
+
+
+def asked(c: pa.Array, test: Callable[[str], bool]) -> np.ndarray:
+    """``test`` of every string, once for each distinct one; null: False."""
+    d = c.dictionary_encode()
+    told = np.array([v is not None and test(v) for v in d.dictionary.to_pylist()] + [False], bool)
+    return told[d.indices.fill_null(len(told) - 1).to_numpy(zero_copy_only=False)]
+
+
+def is_word(c: str) -> bool:
+    return len(c) == 1 and (c in "'’" or unicodedata.category(c)[0] in "LN")
+
+
+def is_picture(c: str) -> bool:
+    return c[:1] != "" and c[0] not in T.BULLETS and (c[0] >= "\U00010000" or unicodedata.category(c[0]) == "So")
+
+
+def of_lines(chars: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """The line of each character, and the characters of all lines."""
+    lengths = pc.list_value_length(chars).fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(chars)), lengths), chars.flatten()
+
+
+def to_lines(rows: np.ndarray, values: pa.Array, chars: pa.ListArray) -> pa.ListArray:
+    """``values`` as lists by line; a line that is null stays null."""
+    ends = np.cumsum(np.bincount(rows, minlength=len(chars)))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), values)
+    return pc.if_else(chars.is_valid(), lists, pa.scalar(None, lists.type)) if chars.null_count else lists
+
+
+def more(a: pa.Array, b: pa.Array) -> np.ndarray:
+    return pc.greater(a, b).fill_null(False).to_numpy(zero_copy_only=False)
+
+
+def raw_texts(chars: pa.ListArray, size: pa.Array) -> pa.Array:
+    """Texts of spans from their characters (c, x0, x1): spaces where word characters stand apart.
 
     If close to half of all gaps would become spaces, the span is letter-spaced and gets none.
     """
-    word = "[\\p{L}\\p{N}'’]"
-    limit = F.greatest(size * 0.105, F.lit(0.75))
-    kept = F.filter(chars, lambda x: x["c"] != "")
+    rows, flat = of_lines(chars)
+    c = pc.struct_field(flat, "c")
+    kept = pc.not_equal(c, "").fill_null(False)
+    rows, c = rows[kept.to_numpy(zero_copy_only=False)], c.filter(kept)
+    x0, x1 = (pc.struct_field(flat, k).filter(kept) for k in ("x0", "x1"))
+    limit = np.fmax(size.cast(pa.float64()).to_numpy(zero_copy_only=False) * 0.105, 0.75)
+    word, n = asked(c, is_word), max(len(c) - 1, 0)
+    gap = pc.subtract(x0.slice(1), x1.slice(0, n))
+    apart = pc.greater_equal(gap, pa.array(limit[rows[1:]])).fill_null(False).to_numpy(zero_copy_only=False)
+    apart = apart & word[1:] & word[:-1] & (rows[1:] == rows[:-1])
+    gaps = np.maximum(np.bincount(rows, minlength=len(chars)) - 1, 1)
+    few = np.bincount(rows[1:][apart], minlength=len(chars)) / gaps <= 0.45
+    before = np.concatenate((np.zeros(min(len(c), 1), bool), apart & few[rows[1:]]))
+    spaced = pc.if_else(pa.array(before), pc.binary_join_element_wise(" ", c, ""), c)
+    return pc.binary_join(to_lines(rows, spaced, chars), "")
+
+
+@F.arrow_udf(StringType())
+def _raw_text(chars: pa.Array, size: pa.Array) -> pa.Array:
+    parts = [raw_texts(chars[s], size[s]) for s in lines_at_once(pc.list_value_length(chars))]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
-    def apart(a: Column, b: Column) -> Column:
-        return (b["x0"] - a["x1"] >= limit) & a["c"].rlike(f"^{word}$") & b["c"].rlike(f"^{word}$")
 
-    def spaced(cs: Column) -> Column:
-        gaps = F.zip_with(F.slice(cs, 1, F.greatest(F.size(cs) - 1, F.lit(0))), F.slice(cs, 2, F.greatest(F.size(cs) - 1, F.lit(0))), apart)
-        # bound once, so that a line costs as much as it is long
-        told = F.transform(F.array(gaps), lambda g: F.struct(F.concat(F.array(F.lit(False)), g).alias("before"), (F.size(F.filter(g, lambda x: x)) / F.greatest(F.size(g), F.lit(1)) <= 0.45).alias("few")))[0]
-        joined = lambda b: F.array_join(F.zip_with(cs, b["before"], lambda x, s: F.concat(F.when(b["few"] & F.coalesce(s, F.lit(False)), " ").otherwise(""), x["c"])), "")
-        return F.transform(F.array(told), joined)[0]
-
-    # index 0 is no element of an array
-    shifted = lambda cs: F.transform(F.array(cs), spaced)[0]
-    return F.when(F.size(kept) == 0, "").when(F.size(kept) == 1, kept[0]["c"]).otherwise(shifted(kept))
+def raw_text(chars: Column, size: Column) -> Column:
+    """``raw_texts`` of a column."""
+    return _raw_text(chars, size)
 
 
 def is_marker_text(text: Column, size: Column) -> Column:
@@ -140,14 +202,19 @@ def covers(boxes: Column, page_height: Column) -> Column:
     return F.transform(safe, inset)
 
 
-PICTURE = f"[[\\p{{So}}\\x{{10000}}-\\x{{10FFFF}}]&&[^{T.BULLETS}]]"
+def boxes(chars: pa.ListArray, test: Callable[[str], bool]) -> pa.ListArray:
+    """The characters (c, x0, y0, x1, y1) that have some area and pass ``test``."""
+    rows, flat = of_lines(chars)
+    x0, y0, x1, y1, c = (pc.struct_field(flat, k) for k in ("x0", "y0", "x1", "y1", "c"))
+    kept = asked(c, test) & more(x1, x0) & more(y1, y0)
+    return to_lines(rows[kept], flat.filter(pa.array(kept)), chars)
 
 
-def text_boxes(chars: Column) -> Column:
-    """Boxes of characters (c, x0, y0, x1, y1) that are no symbols or pictures."""
-    return F.filter(chars, lambda x: ~x["c"].rlike(f"^(?:{PICTURE}|[\ufe0f\u200d])") & (x["c"] != "") & (x["x1"] > x["x0"]) & (x["y1"] > x["y0"]))
+def text_boxes(chars: pa.ListArray) -> pa.ListArray:
+    """Boxes of characters that are no symbols or pictures."""
+    return boxes(chars, lambda c: c != "" and c[0] not in "\ufe0f\u200d" and not is_picture(c))
 
 
-def picture_boxes(chars: Column) -> Column:
+def picture_boxes(chars: pa.ListArray) -> pa.ListArray:
     """Boxes of symbols and pictures, which are kept when text is replaced."""
-    return F.filter(chars, lambda x: x["c"].rlike(f"^{PICTURE}") & (x["x1"] > x["x0"]) & (x["y1"] > x["y0"]))
+    return boxes(chars, is_picture)

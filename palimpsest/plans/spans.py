@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ..operators import spans as P
 from ..sources import fixtures as X
@@ -14,10 +18,33 @@ add = catalog.add
 KEYS = ["doc_id", "page_num", "raw", "line"]
 
 
-def chars(text, x0):
-    """Characters of a text four points wide each; a gap of two points after every seventh."""
-    letters = F.filter(F.split(text, ""), lambda ch: ch != "")
-    return F.transform(letters, lambda ch, i: F.struct(ch.alias("c"), (x0 + i * 4.0 + F.floor(i / 7) * 2.0).alias("x0"), (x0 + i * 4.0 + F.floor(i / 7) * 2.0 + 4.0).alias("x1"), F.lit(10.0).alias("y0"), F.lit(20.0).alias("y1")))
+def chars(text: pa.Array, x0: pa.Array) -> pa.ListArray:
+    """Characters of texts four points wide each; a gap of two points after every seventh."""
+    flat = pa.concat_arrays([text.fill_null("")])
+    data, bounds = np.frombuffer(flat.buffers()[2] or b"", np.uint8), np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
+    # the bytes that begin a character
+    begins = bounds[0] + np.flatnonzero(data[bounds[0] : bounds[-1]] & 0xC0 != 0x80)
+    c = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, bounds[-1]).astype(np.int32)), flat.buffers()[2])
+    ends = np.searchsorted(begins, bounds)
+    i = np.arange(len(begins)) - np.repeat(ends[:-1], np.diff(ends))
+    left = np.repeat(x0.to_numpy(zero_copy_only=False), np.diff(ends)) + i * 4.0 + np.floor(i / 7) * 2.0
+    level = lambda y: pa.array(np.full(len(begins), y))
+    made = pa.StructArray.from_arrays([c, pa.array(left), pa.array(left + 4.0), level(10.0), level(20.0)], ["c", "x0", "x1", "y0", "y1"])
+    return P.to_lines(np.repeat(np.arange(len(flat)), np.diff(ends)), made, text)
+
+
+@F.arrow_udf(StringType())
+def spaced(text: pa.Array, x0: pa.Array, size: pa.Array) -> pa.Array:
+    parts = [P.raw_texts(chars(text[s], x0[s]), size[s]) for s in P.lines_at_once(pc.utf8_length(text))]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(StructType().add("pictures", IntegerType()).add("letters", IntegerType()))
+def box_counts(text: pa.Array, x0: pa.Array) -> pa.Array:
+    count = lambda boxes: pc.list_value_length(boxes)
+    both = [(count(P.picture_boxes(cs)), count(P.text_boxes(cs))) for s in P.lines_at_once(pc.utf8_length(text)) for cs in [chars(text[s], x0[s])]]
+    pictures, letters = (pa.concat_arrays([pa.array([], pa.int32()), *x]) for x in (zip(*both, strict=True) if both else ((), ())))
+    return pa.StructArray.from_arrays([pictures, letters], ["pictures", "letters"])
 
 
 #: What a line holds of its spans.
@@ -52,7 +79,7 @@ def w7_reference_markers(spark: SparkSession, d: str) -> DataFrame:
 def w8_missing_spaces(spark: SparkSession, d: str) -> DataFrame:
     """Every line, its characters set apart after each seventh: a space where two word characters meet there."""
     rows = X.layout_lines(spark, d)
-    return rows.select(*KEYS, P.raw_text(chars(F.col("text"), F.col("x0")), F.col("font_size")).alias("text"))
+    return rows.select(*KEYS, spaced("text", "x0", "font_size").alias("text"))
 
 
 @add()
@@ -71,5 +98,4 @@ def w10_cover_strips(spark: SparkSession, d: str) -> DataFrame:
 def p33_symbol_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of text and of pictures, with a picture added to every third line."""
     t = F.concat("text", F.when(F.col("line") % 3 == 0, "☀").otherwise(""))
-    boxes = chars(t, F.col("x0"))
-    return X.layout_lines(spark, d).select(*KEYS, F.size(P.picture_boxes(boxes)).alias("pictures"), F.size(P.text_boxes(boxes)).alias("letters"))
+    return X.layout_lines(spark, d).select(*KEYS, box_counts(t, F.col("x0")).alias("n")).select(*KEYS, "n.pictures", "n.letters")
