@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,41 @@ def test_a_replayed_batch_passes_the_same_rows(spark, tmp_path):
     stream_of(spark, str(tmp_path / "in"), parts[1:])
     run()
     assert passed(spark, str(tmp_path / "out")) == WANT and known.rows().count() == 4
+
+
+class Entries(dict):
+    """A map state that counts its messages."""
+
+    def __init__(self):
+        self.messages = 0
+
+    def told(self, out=None):
+        self.messages += 1
+        return out
+
+    def containsKey(self, k):  # noqa: N802
+        return self.told(k in self)
+
+    def getValue(self, k):  # noqa: N802
+        return self.told(self[k])
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.told(self.__setitem__(k, v))
+
+    def removeKey(self, k):  # noqa: N802
+        self.told(self.pop(k))
+
+
+def test_quota_asks_its_state_once_a_key_and_batch():
+    """Thousands of rows of one user on ten keys, in two batches: right answers, right state, few messages."""
+    start, quota = datetime.datetime(2024, 1, 1), S.Quota()
+    quota.held, quota.used = Entries(), Entries()
+    rows = [(i, start + datetime.timedelta(minutes=i), 1, f"k{i * 7 % 10}", "release" if i % 9 >= 7 else "reserve", "2024-01" if i < 3000 else "2024-02", 5, 1) for i in range(4000)]
+    told = {}
+    for part in (rows[:2000], rows[2000:]):
+        frame = pd.DataFrame(part, columns=["event_id", "ts", "user_id", "key", "action", "period", "quota", "base"])
+        told |= {r.event_id: r.admitted for out in quota.handleInputRows((1,), iter([frame]), None) for r in out.itertuples()}
+    assert told == by_hand(rows) and {True, False} == set(told.values())
+    periods = [p for p, in quota.held.values()]
+    assert {p: n for (p,), (n,) in quota.used.items()} == {p: periods.count(p) for p in periods}
+    assert quota.held.messages + quota.used.messages <= 2 * 3 * 12
