@@ -32,16 +32,18 @@ def write_page_results(pages: DataFrame, path: str, buckets: int = BUCKETS) -> N
     """Pages of some tasks into the store at ``path``, in place of those tasks' former pages; other tasks keep theirs.
 
     Tasks share ``buckets`` folders, however many they are. Only folders of the written tasks are read and
-    replaced, each at the commit of the job; the rows are in the shared folder before, so that a run that
-    breaks off can be made again. A bucket's rows are dealt to several files where they are many.
+    replaced, each at the commit of the job; where there is something to replace, the rows are in the shared
+    folder before, so that a run that breaks off can be made again. A bucket's rows are dealt to several files
+    where they are many.
     """
     spark = pages.sparkSession
-    new = written(pages.withColumn("bucket", task_bucket(F.col("task_id"), buckets)), "pages-new")
-    touched = new.select("bucket").distinct()
-    if touched.isEmpty():
-        return
+    new = pages.withColumn("bucket", task_bucket(F.col("task_id"), buckets))
     old = stored_pages(spark, path)
     if old is not None:
+        new = written(new, "pages-new")
+        touched = new.select("bucket").distinct()
+        if touched.isEmpty():
+            return
         kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select("task_id").distinct(), "task_id", "left_anti")
         new = written(new.unionByName(kept.select(*new.columns), allowMissingColumns=True), "pages-both")
     dealt = new.repartition("bucket", F.pmod(F.xxhash64("task_id"), F.lit(buckets * 8)))
