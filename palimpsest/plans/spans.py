@@ -52,8 +52,8 @@ BOX = ["x0", "y0", "x1", "y1"]
 
 
 def nested(spark: SparkSession, d: str, fields: list[str]) -> DataFrame:
-    """The spans of each line in order, with the named fields only: all of them are shuffled."""
-    s = X.spans(spark, d)
+    """The spans of each line in order, with the named fields only."""
+    s = X.spans(spark, d, tuple(KEYS))
     # every fourth span is a small raised number
     number = F.col("span") % 4 == 3
     made = {
