@@ -117,6 +117,25 @@ def test_failed_texts_are_not_remembered(spark):
     assert n == 1 and later[(4, 0)] == "[zh: New words.]"
 
 
+def test_memory_alone_adds_what_translations_add(spark, monkeypatch):
+    """Runs that only fill a memory store nothing but the memory, and hold in it what those that translate blocks do."""
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, block_index int, lang string, text string")
+    runs = [("a", BLOCKS[:3]), ("b", [*BLOCKS, (4, 0, None, "No language."), (4, 1, None, "No language."), (5, 0, "en", None)])]
+    whole, alone = R.memory(spark, new_path(spark, "memory")), R.memory(spark, new_path(spark, "memory"))
+    for name, rows in runs:
+        R.translate_once(df(rows), "zh", known=whole, batch=name)
+    with monkeypatch.context() as m:
+        m.setattr(R, "written", lambda *_: (_ for _ in ()).throw(AssertionError("stored")))
+        for name, rows in runs:
+            R.remember(df(rows), "zh", alone, name)
+            assert held(alone.batch(name)) == held(whole.batch(name))
+    # the same run again, with a text more that its batch lacks
+    assert R.remember(df([*runs[1][1], (6, 0, "en", "New words.")]), "zh", alone, "b").count() == whole.batch("b").count() + 1
+    assert alone.rows().count() == whole.rows().count() + 1
+    never = lambda items: items.withColumn("translated", F.lit(None).cast("string"))
+    assert R.remember(df([(7, 0, "en", "Lost words.")]), "zh", alone, "c", never).count() == 0
+
+
 def test_page_store(spark):
     """Tasks share folders; a task is found by its folder's hash alone, and written again without touching its neighbours."""
     path = new_path(spark, "pages")
