@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import batched
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -41,10 +43,11 @@ def put_files(files: DataFrame, path: str) -> int:
         store, folder = place(path)
         store.create_dir(folder, recursive=True)
         for b in batches:
-            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
+            # one content at a time, not those of a batch
+            for name, content in zip(b.column("name").to_pylist(), b.column("content"), strict=True):
                 part = f"{folder}/.{name}.{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as out:
-                    out.write(content or b"")
+                    out.write(content.as_py() or b"")
                 store.move(part, f"{folder}/{name}")
             yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
 
@@ -52,6 +55,28 @@ def put_files(files: DataFrame, path: str) -> int:
     return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def entries(uri: str) -> Iterator[tuple[str, int, bool]]:
+    """Path, length and whether it is a folder, of what lies in a folder, but for names that begin with a dot or an underscore.
+
+    A local folder is read entry by entry, so that memory does not grow with it; other stores give theirs as one list.
+    """
+    store, folder = place(uri)
+    # what stands before the path in a Hadoop path
+    before = uri[: len(uri) - len(folder.lstrip("/"))] if ":" in uri else ""
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for e in found:
+                if not e.name.startswith((".", "_")):
+                    inside = e.is_dir()
+                    # a link to nothing has no length
+                    size = 0 if inside or not os.path.exists(e.path) else e.stat().st_size
+                    yield before + (e.path.lstrip("/") if before else e.path), size, inside
+        return
+    for i in store.get_file_info(fs.FileSelector(folder)):
+        if not i.base_name.startswith((".", "_")):
+            yield before + (i.path.lstrip("/") if before else i.path), i.size or 0, i.type == fs.FileType.Directory
+
+
 def listed(spark: SparkSession, path: str) -> DataFrame:
     """path and length of every file below ``path``, empty ones too, which a scan of files leaves out; none is opened.
 
@@ -62,14 +87,9 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri in b.column("path").to_pylist():
-                store, folder = place(uri)
-                # what stands before the path in a Hadoop path
-                before = uri[: len(uri) - len(folder.lstrip("/"))] if ":" in uri else ""
-                infos = [i for i in store.get_file_info(fs.FileSelector(folder)) if not i.base_name.startswith((".", "_"))]
-                paths = [before + (i.path.lstrip("/") if before else i.path) for i in infos]
-                for k in range(0, len(infos), SLICE):
-                    part = infos[k : k + SLICE]
-                    yield pa.RecordBatch.from_arrays([pa.array(paths[k : k + SLICE]), pa.array([i.size or 0 for i in part], pa.int64()), pa.array([i.type == fs.FileType.Directory for i in part])], ["path", "length", "folder"])
+                for part in batched(entries(uri), SLICE):
+                    paths, lengths, folders = zip(*part, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lengths, pa.int64()), pa.array(folders, pa.bool_())], ["path", "length", "folder"])
 
     found: list[DataFrame] = []
     level = spark.createDataFrame([(path.rstrip("/"),)], "path string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 from pyspark.sql import functions as F
 
@@ -110,3 +111,21 @@ def test_room_below_on_a_long_page(spark):
     row = Y.room_below(long.withColumn("y0", F.col("y0") * 10)).groupBy().agg(F.count("*").alias("n"), F.count_if(F.col("bottom_limit") == 791982.0).alias("last"), F.sum("bottom_limit").alias("s")).first()
     assert row["n"] == 100_000 and row["last"] == 20
     assert row["s"] == 20 * 791982.0 + sum(20 * (10.0 * k + 6) for k in range(4999))
+
+
+def test_a_listing_holds_no_folder_whole(tmp_path):
+    """Memory of a listing does not grow with the files of a folder."""
+    peaks = []
+    for n in (200, 6000):
+        folder = tmp_path / f"many-{n}"
+        (folder / "inner").mkdir(parents=True)
+        (folder / ".hidden").touch()
+        for i in range(n):
+            (folder / f"{i}.pdf").write_bytes(b"x" * (i % 3))
+        tracemalloc.start()
+        seen = sum(1 + 2 * inside for _, _, inside in H.entries(f"file://{folder}"))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert seen == n + 3
+    assert peaks[1] < 2 * peaks[0]
+    assert sorted((p.rsplit("/", 1)[1], n, f) for p, n, f in H.entries(str(tmp_path / "many-200")))[:2] == [("0.pdf", 0, False), ("1.pdf", 1, False)]
