@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, scope, written
 
-__all__ = ["SPACE", "free", "let", "new_path", "only", "scope", "table", "words", "written"]
+__all__ = ["SPACE", "batches_of", "free", "let", "new_path", "only", "scope", "table", "words", "written"]
 
 #: Separators of words: space and the control characters TAB to CR.
 SPACE = "[\\x09-\\x0D\\x20]+"
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside gives Python at most so many rows at once, or fewer, if the session says so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, also when lambdas use it."""
     return F.transform(F.array(value), body)[0]

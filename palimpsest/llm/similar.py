@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, simhash
-from .shared import scope, written
+from .shared import batches_of, scope, written
 
 SHINGLE = 5
 #: Sets link if their Jaccard similarity is at least OF_SHARED / OF_ALL.
@@ -47,6 +47,8 @@ LEADERS = 12
 WIDE = 64
 #: So many distinct keys are broadcast at most; more are joined by a shuffle.
 SENT = 500_000
+#: Rows, with a text or two each, that Python gets at once: their copies, not Spark's heap, are what executors run out of.
+ROWS = 1000
 
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -294,7 +296,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     * empty table: empty result. Columns of any name pass through.
     """
     hashed = simhash.packed(docs)
-    with scope(docs.sparkSession):
+    with scope(docs.sparkSession), batches_of(docs.sparkSession, ROWS):
         own = written(sketched(hashed, shingle, common_shingles(hashed, shingle)), "similar-sketches")
         labels = simhash.components(alike(hashed, own, shingle))
         kept = simhash.first_ids(own.join(labels, own["sid"] == labels["node"], "left").select("doc_id", "hash", F.coalesce("label", "sid").alias("label")))

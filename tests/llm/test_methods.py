@@ -505,3 +505,20 @@ def test_dates_keep_apart(spark):
     assert told.groupBy("new").agg(F.count_distinct("day").alias("n")).filter("n > 1").count() == 0
     months = told.filter(~reads("text", "d/M/yyyy") & F.col("text").rlike("^[0-9]{2}/"))
     assert months.select("new").distinct().count() == months.count() == days.filter(F.dayofmonth("day") > 12).count()
+
+
+def test_batches_of_bounds_what_python_gets(spark):
+    import pyarrow as pa
+
+    from palimpsest.llm.shared import batches_of
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    most = lambda: spark.range(0, 900, 1, 1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    with batches_of(spark, 100):
+        assert most() == 100
+        with batches_of(spark, 500):  # the lesser holds
+            assert most() == 100
+    assert most() == 900
