@@ -137,7 +137,8 @@ def read_documents(spark: SparkSession, path: str, what: Callable[[np.ndarray],
                 values = [what(ids[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + at[:-1], pa.int64()), pa.array(lengths, pa.int64()), pa.array(values, arrow)], ["doc_id", "start", "n_tokens", "value"])
 
-    placed = segments.join(begins, "part").select((F.col("begin") + F.col("ids_before")).alias("start"), "payload")
+    # one row a part is small beside its segments, which a join by shuffle would move whole
+    placed = segments.join(F.broadcast(begins), "part").select((F.col("begin") + F.col("ids_before")).alias("start"), "payload")
     return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, value {kind}")
 
 

@@ -173,6 +173,19 @@ def test_files_survive_reading_by_ids(odd, spark):
     assert all(r["ids"][-1] == 2 and len(r["ids"]) == r["n_tokens"] for r in tokenfile.read_tokens(spark, path).collect())
 
 
+def test_reading_token_files_moves_no_segments(odd, spark):
+    """Files of any size: only the parts' totals, a row each, are sent; the segments stay where they are read."""
+    path, name = new_path(spark, "ids"), "spark.sql.autoBroadcastJoinThreshold"
+    tokenfile.write_tokens(odd, path, entries.public_tokenizers.path("word_bpe_49k.json"), 2)
+    before = spark.conf.get(name)
+    spark.conf.set(name, -1)
+    try:
+        plan = tokenfile.crc32s(spark, path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 #: Names that some operator uses inside; an input may have any of them.
 INNER = """text_bytes key bucket order row sort id end position schedule bucket_start bucket_size source_size target copies taken positions weight
 found new fp hash label sid n prefix parity kept_id kept_hash chunk docs own_text own_words own_classes judge profile ref_classes ref_common
