@@ -9,8 +9,9 @@
    the sets verify. What its radius cannot reach follows: candidates share a prefix shingle and are of
    different classes so far. The order puts shingles that many texts share last, which decides the number
    of candidates and never the result. Candidates are the members of a prefix shingle with its least one;
-   then those of a shingle that many have with some leaders; then all pairs that are left. Shingles with
-   the same members give the same pairs, so one of them stands for all.
+   then those of a shingle that many have with some leaders, and of one that a crowd has with the square
+   root of it; then all pairs that are left, each by the first shingle that it shares. Shingles with the
+   same members give the same pairs, so one of them stands for all.
 3. ``possible``: the parity map is a fingerprint of about a bit a shingle, each bit the parity of the
    shingles that fall on it. Two maps differ in at most as many bits as their sets in shingles, and
    similar sets in at most a ninth of their sizes' sum: most candidates end here, none of them similar.
@@ -43,8 +44,12 @@ COMMON, MOST_COMMON = 32, 500_000
 SERVED = 64
 #: Leaders of a group of more than COMMON members.
 LEADERS = 12
-#: Numbers of 64 bits of a parity map that the join of pairs compares.
-WIDE = 64
+#: A group of more members draws further leaders, so that pairs grow less than with its square.
+CROWD = 1024
+#: Numbers of 64 bits of a parity map that the join of pairs compares at most, and its bits for each shingle up to there.
+WIDE, SPREAD = 64, 16
+#: So many of a set's least groups tell in which of them a pair is joined.
+FIRST = 64
 #: So many distinct keys are broadcast at most; more are joined by a shuffle.
 SENT = 500_000
 #: Rows, with a text or two each, that Python gets at once: their copies, not Spark's heap, are what executors run out of.
@@ -83,9 +88,10 @@ def of_like_size(a: Column, b: Column) -> Column:
     return (OF_ALL * a >= OF_SHARED * b) & (OF_ALL * b >= OF_SHARED * a)
 
 
-def parity_map(own: np.ndarray) -> bytes:
-    """For each bit of the least power of two from the set's size on, and from 256: whether an odd number of the set falls on it."""
-    bits = max(256, 1 << (len(own) - 1).bit_length()) if len(own) else 256
+def parity_map(own: np.ndarray, size: int | None = None) -> bytes:
+    """For each bit of the least power of two from ``size`` (the set's, if not given) on, and from 256: whether an odd number of the set falls on it."""
+    size = len(own) if size is None else size
+    bits = max(256, 1 << (size - 1).bit_length()) if size else 256
     return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -97,6 +103,11 @@ def folded(parity: bytes, most: int = 4) -> np.ndarray:
     return x
 
 
+def wide_map(own: np.ndarray) -> np.ndarray:
+    """The parity map that the join of pairs compares: SPREAD bits for each shingle, so that hardly two fall on one bit, or WIDE numbers if those are fewer."""
+    return folded(parity_map(own, min(SPREAD * len(own), 64 * WIDE)), WIDE)
+
+
 def differ(a: bytes, b: bytes) -> int:
     """In how many bits two parity maps differ, the larger folded to the smaller's size: at most the sets' difference."""
     x, y = (np.frombuffer(m, "<u8") for m in (a, b))
@@ -112,26 +123,27 @@ def texts_in(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def sketched(hashed: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
-    """doc_id, hash, sid (long, names the set), fp (its SimHash), n (its size), prefix (array of long), parity (binary), p0 .. p3 (folded) and wide (folded to WIDE numbers) of every row."""
+    """doc_id, hash, sid (long, names the set), fp (its SimHash), n (its size), prefix (array of long), parity (binary), p0 .. p3 (folded) and wide (its ``wide_map``) of every row."""
     sent = hashed.sparkSession.sparkContext.broadcast(common)
     added = {"sid": "long", "fp": "long", "n": "long", "prefix": "array<long>", "parity": "binary", "p0": "long", "p1": "long", "p2": "long", "p3": "long", "wide": "array<long>"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = sent.value
         for b in batches:
-            sids, fps, sizes, prefixes, maps = [], [], [], [], []
+            sids, fps, sizes, prefixes, maps, wide = [], [], [], [], [], []
             for own in shingle_sets(texts_in(b), shingle):
                 sids.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 fps.append(simhash.majority(np.split(own, range(simhash.SLICE, len(own), simhash.SLICE))))
                 sizes.append(len(own))
                 maps.append(parity_map(own))
+                wide.append(wide_map(own))
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
                     own = np.concatenate((own[~late], own[late]))
                 prefixes.append(own[: prefix_size(len(own))].view(np.int64))
             columns = [b.column("doc_id"), b.column("hash"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sids, fps)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
             small = np.array([folded(m) for m in maps], np.int64).reshape(-1, 4)
-            columns += [pa.array(np.ascontiguousarray(small[:, i])) for i in range(4)] + [pa.array([folded(m, WIDE) for m in maps], pa.list_(pa.int64()))]
+            columns += [pa.array(np.ascontiguousarray(small[:, i])) for i in range(4)] + [pa.array(wide, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", *added])
 
     rows = hashed.select("doc_id", "hash", F.col("text").cast("binary").alias("text"))
@@ -225,6 +237,11 @@ def close_maps(a: Column, b: Column, n: Column) -> Column:
     return (OF_SHARED + OF_ALL) * apart <= (OF_ALL - OF_SHARED) * n
 
 
+def first_met(key: str, a: str, b: str) -> Column:
+    """Whether members with the least groups ``a`` and ``b`` meet in ``key`` first; if they share none of those, they may meet in several."""
+    return F.coalesce(F.array_min(F.array_intersect(a, b)), F.col(key)) == F.col(key)
+
+
 def by_simhash(sets: DataFrame) -> DataFrame:
     """Pairs (a, b: sid) that chain the sets whose SimHash fingerprints link, as the operator's tables of pivot distances tell."""
     firsts = written(sets.groupBy("fp").agg(F.min("sid").alias("first")), "similar-fps")
@@ -262,6 +279,28 @@ def with_leaders(members: DataFrame) -> DataFrame:
     return with_drawn(members.filter(F.col("members") > COMMON), [F.min_by(F.struct(*MEMBER), F.xxhash64(F.lit(r), "sid")) for r in range(LEADERS)])
 
 
+def marked(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` of groups with wide, firsts (the FIRST least of a set's groups) and crowd (the members of its largest)."""
+    own = members.groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST).alias("firsts"), F.max("members").alias("crowd"))
+    return members.join(sets.select("sid", "wide"), "sid").join(own, "sid")
+
+
+def close_pairs(some: DataFrame, others: DataFrame, which: Column) -> DataFrame:
+    """Open pairs (a, b: sid) of ``some`` with ``others`` of their group (both from ``marked``) that ``which`` admits and wide maps leave open.
+
+    A pair meets in as many groups as it shares prefix shingles. It is a row of the first of them, so that no group's pairs are told again by another.
+    """
+    side = lambda rows, s: rows.select("key", *[F.col(c).alias(f"{s}{c}") for c in (*MEMBER, "wide", "firsts")])
+    close = open_pair("a_", "b_") & close_maps(F.col("a_wide"), F.col("b_wide"), F.col("a_n") + F.col("b_n")) & first_met("key", "a_firsts", "b_firsts")
+    return side(some, "a_").join(side(others, "b_"), "key").filter(which & close).select(F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b"))
+
+
+def with_crowd(members: DataFrame) -> DataFrame:
+    """Open pairs (a, b: sid) of each member of a crowd with as many others as the square root of its members, drawn by a hash that is the same in all groups."""
+    drawn = F.pmod(F.xxhash64(F.lit(LEADERS), "sid"), F.lit(1 << 30)) * F.sqrt("crowd") < 1 << 30
+    return close_pairs(members, members.filter(drawn), F.col("a_sid") != F.col("b_sid")).distinct()
+
+
 def alike(hashed: DataFrame, own: DataFrame, shingle: int) -> DataFrame:
     """Pairs (a, b: sid) of similar sets that connect all of them; ``own`` comes from ``sketched``."""
     sets = written(own.drop("doc_id").dropDuplicates(["sid"]), "similar-sets")
@@ -278,11 +317,14 @@ def alike(hashed: DataFrame, own: DataFrame, shingle: int) -> DataFrame:
         linked = written(linked.unionByName(decided(led, hashed, sets, shingle, "near-leaders")), "similar-linked")
         rest = undecided(met, sets, linked, "third")
         asked = asked.unionByName(led)
-    # pairs meet in many groups: the wide maps end most of them before they are rows
-    rest = written(rest.join(sets.select("sid", "wide"), "sid"), "similar-wide")
-    side = lambda s: rest.select("key", *[F.col(c).alias(f"{s}{c}") for c in (*MEMBER, "wide")])
-    close = open_pair("a_", "b_") & close_maps(F.col("a_wide"), F.col("b_wide"), F.col("a_n") + F.col("b_n"))
-    pairs = side("a_").join(side("b_"), "key").filter((F.col("a_sid") < F.col("b_sid")) & close).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
+    crowds = written(marked(rest.filter(F.col("members") > CROWD), sets), "similar-crowds")
+    if not crowds.isEmpty():
+        drawn = written(with_crowd(crowds).join(asked, ["a", "b"], "left_anti"), "similar-crowd-pairs")
+        linked = written(linked.unionByName(decided(drawn, hashed, sets, shingle, "near-crowds")), "similar-linked")
+        rest = undecided(met, sets, linked, "fourth")
+        asked = asked.unionByName(drawn)
+    rest = written(marked(rest, sets), "similar-wide")
+    pairs = close_pairs(rest, rest, F.col("a_sid") < F.col("b_sid")).distinct()
     more = written(pairs.join(asked, ["a", "b"], "left_anti"), "similar-pairs")
     return linked.unionByName(decided(more, hashed, sets, shingle, "near-pairs"))
 

@@ -204,6 +204,47 @@ def test_pipeline_near_dedup_links_by_simhash_first(spark, monkeypatch):
     assert tuple(told.first()) == (True, True, False, True)
 
 
+def near_copies() -> list[str]:
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    base = rng.choices(words, k=90)
+    return sorted({" ".join(rng.choice(words) if rng.random() < 0.02 else w for w in base) for _ in range(60)})
+
+
+def test_pipeline_near_dedup_meets_a_pair_once(spark, monkeypatch):
+    """Of near copies that share many shingles, the join of pairs makes a row for each similar pair, and hardly another."""
+    from palimpsest.llm import similar
+
+    texts = near_copies()
+    own = similar.sketched(simhash.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), 5, np.zeros(0, np.uint64)).localCheckpoint()
+    members = own.select("sid", "n", F.col("sid").alias("label"), "p0", "p1", "p2", "p3", F.lit(60).alias("members"), F.explode("prefix").alias("key"))
+    sids = {r["doc_id"]: r["sid"] for r in own.select("doc_id", "sid").collect()}
+    sets = [similar.shingles(t.encode()) for t in texts]
+    near = {tuple(sorted((sids[i], sids[j]))) for i in range(len(texts)) for j in range(i) if similar.similar(sets[i], sets[j])}
+
+    def made(which):
+        rows = similar.marked(members, own.select("sid", "wide"))
+        return [tuple(r) for r in similar.close_pairs(rows, rows, which).collect()]
+
+    once = made(F.col("a_sid") < F.col("b_sid"))
+    assert len(once) == len(set(once)) and near <= set(once) and len(once) < 1.3 * len(near)
+    monkeypatch.setattr(similar, "FIRST", 1)
+    assert set(made(F.col("a_sid") < F.col("b_sid"))) == set(once)
+
+
+def test_pipeline_near_dedup_of_a_crowd(spark, monkeypatch):
+    """Further leaders change no class."""
+    from palimpsest.llm import similar
+
+    for name, value in (("COMMON", 5), ("CROWD", 15), ("FIRST", 2)):
+        monkeypatch.setattr(similar, name, value)
+    texts, drawn, real = near_copies(), [], similar.with_crowd
+    monkeypatch.setattr(similar, "with_crowd", lambda members: drawn.append(members.count()) or real(members))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in similar.one_of_each(docs).collect()} == near_classes(texts)
+    assert drawn[0] > 0
+
+
 def test_feistel_is_a_permutation(spark):
     a, b = (F.lit(x).cast("long") for x in (189, 773))
     out = spark.range(189 * 773).select(pii.feistel(F.col("id"), a, b, "k", "d").alias("v"))
