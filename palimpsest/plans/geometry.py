@@ -9,6 +9,7 @@ from ..operators import layout as L
 from ..operators import page_geometry as G
 from ..operators import translate as R
 from ..sources import fixtures as X
+from ..sources.scratch import written
 from .catalog import Catalog
 from .layout import built, stored
 
@@ -66,6 +67,8 @@ def g6_page_layout(spark: SparkSession, d: str) -> DataFrame:
 @add()
 def p15_output_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Translated blocks chosen for output and merged again."""
-    b = stored(spark, d).withColumn("translated", F.concat(F.lit("[zh: "), "text", F.lit("]")))
-    kept = b.filter(~F.col("is_formula") & ~F.col("is_header_footer")).filter(R.translatable(b))
+    b = built(spark, d)
+    # chosen once, before the blocks are stored: columns, order and merging read them again and again
+    kept = written(b.filter(~F.col("is_formula") & ~F.col("is_header_footer")).filter(R.translatable(b)), "blocks", codec="zstd")
+    kept = kept.withColumn("translated", F.concat(F.lit("[zh: "), "text", F.lit("]")))
     return G.merged_blocks(L.reading_order(L.columns(kept))).drop("lines")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from palimpsest.plans import layout, spans
+from palimpsest.plans import geometry, layout, spans
 from palimpsest.sources import pages as G
 from palimpsest.sources.scratch import new_path
 
@@ -28,3 +30,20 @@ def test_first_pages_are_written_without_a_copy(spark, monkeypatch):
     G.write_page_results(page([3, 4], "b"), path)
     G.write_page_results(page([], "c"), path)
     assert {r["task_id"]: r["translated"] for r in G.read_page_results(spark, path).collect()} == {str(i): "b" if i in (3, 4) else "a" for i in range(20)}
+
+
+def whole_blocks_dealt(df) -> int:
+    """Shuffles of a plan whose rows hold the lines of blocks."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return sum(" lines#" in rows for rows in re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan))
+
+
+def test_blocks_are_dealt_once_to_be_merged(spark):
+    assert whole_blocks_dealt(geometry.t4_merged_blocks(spark, SF)) <= 1
+    assert whole_blocks_dealt(layout.built(spark, SF)) == 0
+
+
+def test_blocks_are_chosen_for_output_before_they_are_stored(spark):
+    df = geometry.p15_output_blocks(spark, SF)
+    assert whole_blocks_dealt(df) <= 1
+    assert "RLIKE(text" not in df._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[-1]
