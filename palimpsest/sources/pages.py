@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .heads import listed
-from .scratch import _hadoop, written
+from .scratch import _hadoop, packed, written
 
 RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
 LINE = f"struct<text:string,bbox:{RECT},font_size:double>"
@@ -34,7 +34,7 @@ def write_page_results(pages: DataFrame, path: str, buckets: int = BUCKETS) -> N
     Tasks share ``buckets`` folders, however many they are. Only folders of the written tasks are read and
     replaced, each at the commit of the job; where there is something to replace, the rows are in the shared
     folder before, so that a run that breaks off can be made again. A bucket's rows are dealt to several files
-    where they are many.
+    where they are many; files are gzip, as a page's JSON says each text up to three times.
     """
     spark = pages.sparkSession
     new = pages.withColumn("bucket", task_bucket(F.col("task_id"), buckets))
@@ -45,9 +45,9 @@ def write_page_results(pages: DataFrame, path: str, buckets: int = BUCKETS) -> N
         if touched.isEmpty():
             return
         kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select("task_id").distinct(), "task_id", "left_anti")
-        new = written(new.unionByName(kept.select(*new.columns), allowMissingColumns=True), "pages-both")
+        new = new.unionByName(packed(kept.select(*new.columns), "pages-kept"), allowMissingColumns=True)
     dealt = new.repartition("bucket", F.pmod(F.xxhash64("task_id"), F.lit(buckets * 8)))
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(path)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(path, compression="gzip")
 
 
 def stored_pages(spark: SparkSession, path: str) -> DataFrame | None:

@@ -63,3 +63,17 @@ def test_layout_steps_go_by_tables_without_texts(spark, monkeypatch):
 def test_chart_text_builds_its_blocks_once(spark):
     plan = geometry.g5_u6_chart_text(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(struct(n" not in plan, plan
+
+
+def test_stored_pages_take_few_bytes(spark, tmp_path):
+    text = F.concat_ws(" ", F.sequence(F.lit(1), F.lit(500)).cast("array<string>"))
+    page = lambda ids: spark.createDataFrame([(str(i),) for i in ids], "task_id string").select("task_id", F.lit(1).alias("pageNum"), text.alias("original"), text.alias("translated"), F.array().cast(f"array<{G.BLOCK}>").alias("textBlocks"))
+    read = lambda: sorted((int(r["task_id"]), len(r["original"])) for r in G.read_page_results(spark, path).collect())
+    path, size = f"file://{tmp_path}/pages", 1891
+    # a store of plain files, as one was, is read and replaced too
+    page(range(40)).withColumn("bucket", G.task_bucket(F.col("task_id"))).write.partitionBy("bucket").json(path)
+    plain = sum(f.stat().st_size for f in tmp_path.rglob("*.json"))
+    assert read() == [(i, size) for i in range(40)] and plain > 40 * 2 * size
+    G.write_page_results(page(range(40)), path)
+    assert read() == [(i, size) for i in range(40)] and not list(tmp_path.rglob("*.json"))
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.json.gz")) < plain / 2
